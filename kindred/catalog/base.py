@@ -398,13 +398,13 @@ VIEWS_SQL = {
     "candidates": f"""
         SELECT *, row_number() OVER (PARTITION BY city, timezone ORDER BY {POPULARITY_SQL}) AS candidate_rank
         FROM scored_communities WHERE is_active QUALIFY candidate_rank <= 1000""",
-    "similar": """
+    "sims": """
         SELECT u.user_id, c.community_id, c.community_name, c.category, c.member_count, c.recent_activity,
                round(list_cosine_similarity(u.vector, CAST(c.vector AS DOUBLE[])), 12) AS score
         FROM user_vectors u JOIN candidates c USING (city, timezone)""",
     "ranked": """
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, community_id) AS rn
-        FROM similar QUALIFY rn <= 20""",
+        FROM sims QUALIFY rn <= 20""",
     "flagged": """
         SELECT r.*, h.head, h.n, h.mixed, h.first_other
         FROM ranked r JOIN (

@@ -154,10 +154,10 @@ def f14(v):
 
 
 @query("f15_toxicity_gate", """
-    SELECT event_id, round(value / 100, 2) AS score, round(value / 100, 2) < 0.75 AS postable,
-           NOT round(value / 100, 2) > 0.75 AS approved FROM events""")
+    SELECT event_id, score, score < 0.75 AS postable, NOT score > 0.75 AS approved
+    FROM (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS score FROM events)""")
 def f15(v):
-    s = F.round(F.col("value") / 100, 2)
+    s = F.col("event_id") % 101 / 100.0
     return v.events.select("event_id", s.alias("score"), postable(s).alias("postable"),
                            model_approved(s).alias("approved"))
 

@@ -77,11 +77,10 @@ def x07(v):
 
 
 @query("x08_match_tier", """
-    SELECT event_id, round(value / 100, 2) AS score,
-           CASE WHEN round(value / 100, 2) > 0.87 THEN 'soulmate' WHEN round(value / 100, 2) >= 0.55 THEN 'explorer' ELSE 'fallback' END AS tier
-    FROM events""")
+    SELECT event_id, score, CASE WHEN score > 0.87 THEN 'soulmate' WHEN score >= 0.55 THEN 'explorer' ELSE 'fallback' END AS tier
+    FROM (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS score FROM events)""")
 def x08(v):
-    score = F.round(F.col("value") / 100, 2)
+    score = F.col("event_id") % 101 / 100.0
     return v.events.select("event_id", score.alias("score"), M.match_tier(score).alias("tier"))
 
 

@@ -21,7 +21,8 @@ class StreamViews(Views):
         static = super().table(name)
         if name not in ("events", "customer"):
             return static
-        return self.spark.readStream.schema(static.schema).parquet(f"{self.dir}/{name}.parquet")
+        # Braces make the path a glob, which the file source accepts for a file and a folder alike.
+        return self.spark.readStream.schema(static.schema).parquet(f"{self.dir}/{{{name}.parquet}}")
 
 
 def _run(v, name, start):

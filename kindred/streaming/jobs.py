@@ -100,9 +100,10 @@ def _track_entry(
             "seq": [seq]})
 
     if state.hasTimedOut:
-        _, _, expires_us, seq = state.get
+        op, _, expires_us, seq = state.get
         state.remove()
-        yield row("expired", expires_us, expires_us, seq)
+        if op == "set":
+            yield row("expired", expires_us, expires_us, seq)
         return
 
     op, at_us, expires_us, seq = state.get if state.exists else (None, -1, -1, -1)
@@ -122,7 +123,7 @@ def _track_entry(
             yield row("live" if op == "set" else "removed", at_us, expires_us, seq)
         else:
             state.remove()
-            yield row("expired", expires_us, expires_us, seq)
+            yield row("expired" if op == "set" else "removed", at_us, expires_us, seq)
     elif state.exists:
         state.setTimeoutTimestamp(max(expires_us // 1000, state.getCurrentWatermarkMs() + 1))
 
@@ -139,9 +140,10 @@ def cache_stream(events: DataFrame, path: str, checkpoint: str, delay: str = "1
 
 
 def live_entries(parts: DataFrame, as_of: Column) -> DataFrame:
+    """Entries whose newest write still counts at ``as_of``, also one before the stream's end."""
     last = parts.groupBy("kind", "key").agg(
-        F.max_by(F.struct("status", "at", "expires_at", "seq"), F.struct("seq", "batch")).alias("e"))
-    return (last.filter((F.col("e.status") == "live") & (F.col("e.expires_at") > as_of.cast("timestamp")))
+        F.max_by(F.struct("status", "expires_at", "seq"), F.struct("seq", "batch")).alias("e"))
+    return (last.filter((F.col("e.status") != "removed") & (F.col("e.expires_at") > as_of.cast("timestamp")))
             .select("kind", "key", F.col("e.seq").alias("seq")))
 
 

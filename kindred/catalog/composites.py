@@ -44,7 +44,7 @@ def accepted_profiles(v):
 def p01(v):
     results = matching.match_results(
         accepted_profiles(v), v.communities, v.index, v.activity, v.members, as_of(), v.toxicity,
-        keep=["user_id", "embedding_text"])
+        keep=["user_id", "embedding_text"], population=v.users)
     flat = matching.explode_matches(
         results.withColumn("text_chars", F.length("embedding_text").cast("long")),
         "user_id", "tier", "auto_joined_community", "ai_intro_generated", "text_chars")

@@ -12,13 +12,11 @@ from kindred.functions import text as X
 
 @query("v01_text_vectors")
 def v01(v):
-    """Hashed-token vector of every text: its size, length and number of filled slots."""
+    """Hashed-token vector of every text: its size and largest weight."""
     texts = v.profiles.select("user_id", X.embedding_text(
         F.col("bio"), X.normalize_tags(F.col("interest_tags"))).alias("embedding_text"))
     vectors = hooks.embed(texts)
-    squares = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
-    return vectors.select("user_id", F.size("vector").alias("dims"), F.round(F.sqrt(squares), 4).alias("length"),
-                          F.size(F.filter("vector", lambda x: x > 0)).alias("slots"))
+    return vectors.select("user_id", F.size("vector").alias("dims"), F.array_max("vector").alias("largest"))
 
 
 @query("v02_clean_profiles", f"""

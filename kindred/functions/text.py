@@ -35,11 +35,15 @@ def strip(col: Column) -> Column:
 
 
 def mask_emails(col: Column) -> Column:
-    return F.regexp_replace(col, "(?U)" + EMAIL_PATTERN, F.lit(EMAIL_MASK))
+    """Texts without an @ skip the pattern."""
+    masked = F.regexp_replace(col, "(?U)" + EMAIL_PATTERN, F.lit(EMAIL_MASK))
+    return F.when(F.contains(col, F.lit("@")), masked).otherwise(col)
 
 
 def mask_phones(col: Column) -> Column:
-    return F.regexp_replace(col, "(?U)" + PHONE_PATTERN, F.lit(PHONE_MASK))
+    """Texts without a run of ten (possibly separated) digits skip the word-boundary pattern."""
+    masked = F.regexp_replace(col, "(?U)" + PHONE_PATTERN, F.lit(PHONE_MASK))
+    return F.when(F.rlike(col, F.lit("(?U)" + PHONE_PATTERN.replace(r"\b", ""))), masked).otherwise(col)
 
 
 def mask_pii(col: Column) -> Column:
@@ -54,10 +58,15 @@ def normalize_tags(tags: Column) -> Column:
 
 
 def enrich_tags(bio: Column, tags: Column, rules: Sequence[tuple[str, str]] = tuple(TAG_RULES)) -> Column:
-    """Add the tags whose keyword occurs as a word of the bio; ``rules`` is a small literal list."""
-    words = F.split(F.lower(bio), "[^a-z0-9]+")
+    """Add the tags whose keyword occurs as a word of the bio.
+
+    ``rules`` is a small literal list of lower-case alphanumeric keywords and tags.
+    """
+    text = F.lower(bio)
     implied = F.array_compact(F.array(*[
-        F.when(F.array_contains(words, keyword), F.lit(tag)) for keyword, tag in rules]))
+        F.when(F.contains(text, F.lit(keyword))
+               & F.rlike(text, F.lit(f"(?<![a-z0-9]){keyword}(?![a-z0-9])")), F.lit(tag))
+        for keyword, tag in rules]))
     return F.array_sort(F.array_union(tags, implied))
 
 

@@ -19,6 +19,7 @@ from kindred.schemas import INTRO_MAX_CHARS
 
 VECTOR_DIM = 1536
 BATCH = 1024
+TOKEN_BREAK = r"[\s\p{Punct}]+"
 SCORE_COLUMNS = ("hate", "harassment", "violence", "sexual")
 
 
@@ -60,7 +61,7 @@ def _list_array(rows: np.ndarray) -> pa.Array:
 
 def _hashed_vectors(df: DataFrame, text: str, dim: int) -> DataFrame:
     """Tokens are cut and hashed in the JVM; tasks only count buckets and scale."""
-    tokens = F.filter(F.split(F.lower(F.col(text)), r"(?U)\W+"), lambda t: F.length(t) > 0)
+    tokens = F.filter(F.split(F.lower(F.col(text)), TOKEN_BREAK), lambda t: F.length(t) > 0)
     slots = df.withColumn("_slots", F.transform(
         tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
 

@@ -99,13 +99,16 @@ def top_k_by_cosine(
     keep: Sequence[str] | None = None,
     fields: Sequence[str] = tuple(MATCH_FIELDS),
     k: int = 20,
+    population: DataFrame | None = None,
     block_rows: int = 16384,
 ) -> DataFrame:
     """One row per user: the ``keep`` columns and ``matches``, best first, ties by candidate id.
 
     ``users`` needs ``user_key``, the location columns and ``vector``; ``candidates`` the location
     columns and ``fields`` (first one the id); ``index`` that id and ``vector``. Candidates missing
-    from the index are dropped; a user without candidates or without a vector gets an empty array. Scores are rounded to 12 digits, which hides summation order.
+    from the index are dropped; a user without candidates or without a vector gets an empty array.
+    ``population`` (default ``users``) holds the locations of at least these users and only sizes the
+    blocks; pass the plain table where computing ``users`` is costly, e.g. runs a model. Scores are rounded to 12 digits, which hides summation order.
     """
     keep = list(keep or [user_key])
     fields = list(fields)
@@ -123,7 +126,7 @@ def top_k_by_cosine(
 
     # Locations with more users than fit one block, and how many blocks each needs. Whether this
     # list is broadcast is left to the optimizer, which checks its size.
-    crowded = (users.groupBy(*[key(c).alias(f"_{c}") for c in location])
+    crowded = ((population or users).groupBy(*[key(c).alias(f"_{c}") for c in location])
                .agg(F.count(F.lit(1)).alias("_n"))
                .filter(F.col("_n") > block_rows)
                .select(*loc, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks")))

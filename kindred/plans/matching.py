@@ -120,8 +120,8 @@ def decide(matches: DataFrame, popular: DataFrame) -> DataFrame:
                 "recent_activity"))),
             lambda p: F.struct(p["community_id"], p["community_name"], p["category"],
                                p["member_count"], p["recent_activity"], F.lit(0.0)),
-        ).cast(match_type).alias("popular")
-    ).withColumn("tier", F.lit(FALLBACK))
+        ).cast(match_type).alias("popular"),
+        F.max(F.lit(FALLBACK)).alias("tier"))
     clamped = F.transform(F.col("shown"), lambda m: m.withField(
         "match_score", M.clamp_score(m["match_score"])))
     return (decided.join(F.broadcast(fallback), "tier", "left")
@@ -165,11 +165,12 @@ def match_results(
     cap: int = CANDIDATE_CAP,
     k: int = TOP_K,
     keep: list[str] | None = None,
+    population: DataFrame | None = None,
 ) -> DataFrame:
     """One match result per user: tier, emitted matches, auto-join, intro flag."""
     candidates = location_candidates(communities, activity, as_of, cap)
     popular = popular_communities(communities, activity, as_of)
-    decided = decide(top_matches(users, candidates, index, k, keep=keep), popular)
+    decided = decide(top_matches(users, candidates, index, k, keep=keep, population=population), popular)
     member = members.select(
         "user_id", F.col("community_id").alias("auto_joined_community"), F.lit(True).alias("_member"))
     out = decided.join(member, ["user_id", "auto_joined_community"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,16 +12,14 @@ from kindred.schemas import CHANNEL_PREFIX, PROFILE, USER_PAYLOAD
 def parse_profiles(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(typed profile rows, rows whose JSON does not parse or lacks a required field)."""
     schema = T.StructType([*PROFILE.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = messages.withColumn("_p", F.from_json(
-        F.col(value), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    required = [F.col(f"_p.{f.name}").isNotNull() for f in PROFILE.fields]
-    good = F.col("_p").isNotNull() & F.col("_p._corrupt_record").isNull()
-    for present in required:
-        good = good & present
+    parsed = messages.select("*", once(F.from_json(
+        F.col(value), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})))
+    good = F.col("_corrupt_record").isNull()
+    for f in PROFILE.fields:
+        good = good & F.col(f.name).isNotNull()
     others = [c for c in messages.columns if c != value]
-    rows = (parsed.filter(good)
-            .select(*others, *[F.col(f"_p.{f.name}").alias(f.name) for f in PROFILE.fields]))
-    return rows, parsed.filter(~F.coalesce(good, F.lit(False))).select(*messages.columns)
+    rows = parsed.filter(good).select(*others, *PROFILE.names)
+    return rows, parsed.filter(~good).select(*messages.columns)
 
 
 def parse_change_events(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -29,14 +27,31 @@ def parse_change_events(messages: DataFrame, value: str = "value") -> DataFrame:
     envelope = T.StructType([T.StructField("type", T.StringType()),
                              T.StructField("data", USER_PAYLOAD)])
     others = [c for c in messages.columns if c != value]
-    parsed = messages.withColumn("_e", F.from_json(F.col(value), envelope))
-    return (parsed.filter(F.col("_e.type").isNotNull() & F.col("_e.data").isNotNull())
-            .select(*others, F.col("_e.type").alias("type"), F.col("_e.data.id").alias("user_id"),
-                    primary_email(F.col("_e.data.email_addresses")).alias("email"),
-                    F.col("_e.data.first_name").alias("first_name"),
-                    F.col("_e.data.last_name").alias("last_name"),
-                    F.coalesce(F.to_json("_e.data.public_metadata"), F.lit("{}"))
-                    .alias("public_metadata")))
+    parsed = messages.select(*others, once(F.from_json(F.col(value), envelope)))
+    return (parsed.filter(F.col("type").isNotNull() & F.col("data").isNotNull())
+            .select(*others, "type", F.col("data.id").alias("user_id"),
+                    primary_email(F.col("data.email_addresses")).alias("email"),
+                    "data.first_name", "data.last_name",
+                    F.coalesce(F.to_json("data.public_metadata"), F.lit("{}")).alias("public_metadata")))
+
+
+def once(struct: Column) -> Column:
+    """The struct's fields as columns, computed once per row.
+
+    A filter on parsed fields would otherwise be pushed below the parse and repeat it per field;
+    filters do not pass a generator.
+    """
+    return F.inline(F.array(struct))
+
+
+def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """One JSON message per line, as ``value``; whole messages, parsed by the functions above."""
+    return (spark.readStream if stream else spark.read).text(path)
+
+
+def publish(keyed: DataFrame, format: str, **options: str) -> None:
+    """Append (key, value) rows to a keyed sink, e.g. ``kafka`` where its connector is installed."""
+    keyed.write.format(format).mode("append").options(**options).save()
 
 
 def primary_email(addresses: Column) -> Column:

@@ -22,11 +22,12 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 def append_ledger(entries: DataFrame, path: str, as_of: Column) -> None:
     """Append entries with a generated id, and ``as_of`` where no time is given.
 
-    Files are clustered by day: the repartition spreads a busy day over several tasks by user, so
-    the sink writes neither one giant file nor one small file per task and day.
+    Files are clustered by day. The rebalance splits a busy day and merges quiet ones by size, so
+    the sink writes neither one giant file nor one small file per task and day. Ids are drawn after
+    it, in the task that writes them.
     """
     created = F.coalesce(F.col("created_at"), as_of) if "created_at" in entries.columns else as_of
-    stamped = (entries.withColumn("id", F.uuid()).withColumn("created_at", created)
-               .withColumn("entry_date", F.to_date("created_at")))
-    (stamped.repartition("entry_date", F.pmod(F.xxhash64("user_id"), F.lit(16)))
+    dated = (entries.withColumn("created_at", created)
+             .withColumn("entry_date", F.to_date("created_at")))
+    (dated.hint("rebalance", F.col("entry_date")).withColumn("id", F.uuid())
      .write.mode("append").partitionBy("entry_date").parquet(path))

@@ -36,7 +36,11 @@ MESSAGES = [
     ("comm_game_sf_001", "user_004", 1), ("comm_game_sf_001", "user_004", 6), ("comm_game_sf_001", "user_002", 24),
     ("comm_web_ny_001", "user_002", 48),
 ]
-NOW = F.lit("2024-06-15 12:00:00").cast("timestamp_ntz")
+
+
+def now():
+    return F.lit("2024-06-15 12:00:00").cast("timestamp_ntz")
+
 
 
 @pytest.fixture(scope="module")
@@ -50,34 +54,34 @@ def communities(spark):
 def activity(spark):
     df = spark.createDataFrame([(f"msg_{i + 1:03d}", *m) for i, m in enumerate(MESSAGES)],
                                "message_id string, community_id string, user_id string, hours int")
-    return df.withColumn("created_at", NOW - F.make_dt_interval(hours=F.col("hours"))).drop("hours").cache()
+    return df.withColumn("created_at", now() - F.make_dt_interval(hours=F.col("hours"))).drop("hours").cache()
 
 
 def test_popular_on_the_samples(communities, activity):
-    got = [r.community_name for r in matching.popular_communities(communities, activity, NOW).collect()]
+    got = [r.community_name for r in matching.popular_communities(communities, activity, now()).collect()]
     assert got == ["Tech Enthusiasts Global", "Programming 101", "SF Gaming Community", "NYC Gamers", "Web Dev NYC"]
 
 
 def test_all_sample_messages_are_recent(activity):
-    assert matching.recent_rows(activity, NOW).count() == 10
-    assert matching.recent_rows(activity, NOW, days=5).count() == 10  # inclusive at exactly five days
-    assert matching.recent_rows(activity, NOW, days=4).count() == 9
+    assert matching.recent_rows(activity, now()).count() == 10
+    assert matching.recent_rows(activity, now(), days=5).count() == 10  # inclusive at exactly five days
+    assert matching.recent_rows(activity, now(), days=4).count() == 9
 
 
 def test_report_counts(communities, activity):
-    got = {r.community_id: r.recent_activity for r in matching.with_recent_activity(communities, activity, NOW).collect()}
+    got = {r.community_id: r.recent_activity for r in matching.with_recent_activity(communities, activity, now()).collect()}
     assert got["comm_py_sf_001"] == 4 and got["comm_game_sf_001"] == 3 and got["comm_tech_aus_001"] == 0
 
 
 def test_silent_sorts_before_active_on_equal_members(spark, communities, activity):
     tied = communities.withColumn("member_count", F.lit(7))
-    first = [r.community_id for r in matching.popular_communities(tied, activity, NOW, 15).collect()]
+    first = [r.community_id for r in matching.popular_communities(tied, activity, now(), 15).collect()]
     assert set(first[-4:]) == {"comm_py_sf_001", "comm_ai_sf_001", "comm_game_sf_001", "comm_web_ny_001"}
     assert first[-4] == "comm_py_sf_001"
 
 
 def test_candidate_cap(communities, activity):
-    got = matching.location_candidates(communities, activity, NOW, cap=2)
+    got = matching.location_candidates(communities, activity, now(), cap=2)
     sf = [r.community_id for r in got.filter("city = 'San Francisco'").orderBy("candidate_rank").collect()]
     assert sf == ["comm_general_001", "comm_general_002"]
     assert got.count() == 2 + 2 + 2 + 2
@@ -153,7 +157,7 @@ def test_results_end_to_end(spark, communities, activity):
     members = spark.createDataFrame([("member", "comm_py_sf_001")], "user_id string, community_id string")
     toxicity = spark.createDataFrame([("toxic", 0.75)], "user_id string, score double")
     out = {r.user_id: r for r in matching.match_results(
-        users, communities, index, activity, members, NOW, toxicity).collect()}
+        users, communities, index, activity, members, now(), toxicity).collect()}
     assert [m.community_id for m in out["soul"].matches] == ["comm_py_sf_001"]
     assert (out["soul"].tier, out["soul"].auto_joined_community, out["soul"].ai_intro_generated) == ("soulmate", "comm_py_sf_001", True)
     assert (out["member"].auto_joined_community, out["member"].ai_intro_generated) == ("comm_py_sf_001", False)
@@ -169,7 +173,7 @@ def test_results_end_to_end(spark, communities, activity):
 def test_decide_survives_no_popular_community(spark, communities, activity):
     users = spark.createDataFrame([(1, [])], "user_id int, matches array<struct<community_id:string,"
                                   "community_name:string,category:string,member_count:int,recent_activity:bigint,match_score:double>>")
-    none = matching.popular_communities(communities.filter("false"), activity, NOW)
+    none = matching.popular_communities(communities.filter("false"), activity, now())
     row = matching.decide(users, none).first()
     assert row.tier == "fallback" and row.matches == []
 

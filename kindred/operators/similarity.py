@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.session import settle
+
 MATCH_FIELDS = ["community_id", "community_name", "category", "member_count", "recent_activity"]
 SUB_BLOCK = 4096
 
@@ -124,21 +126,26 @@ def top_k_by_cosine(
         *[F.col(c).cast("string").alias(f"_{c}") for c in location], *fields
     ).join(index.select(fields[0], "vector").filter(F.col("vector").isNotNull()), fields[0])
 
-    # Locations with more users than fit one block, and how many blocks each needs. Whether this
-    # list is broadcast is left to the optimizer, which checks its size.
-    crowded = ((population or users).groupBy(*[key(c).alias(f"_{c}") for c in location])
-               .agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > block_rows)
-               .select(*loc, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks")))
-    blocks = F.coalesce(F.col("_blocks"), F.lit(1))
-    left = (left.join(crowded, loc, "left")
-            .withColumn("_block", F.pmod(F.xxhash64(user_key), blocks).cast("int"))
-            .drop("_blocks"))
-    # The rows come here by candidate id, so a crowded location's copies (one per block) are made
-    # by many tasks.
-    right = (right.join(crowded, loc, "left")
-             .withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .drop("_blocks"))
+    # Locations with more users than fit one block, and how many blocks each needs: at most one row
+    # per ``block_rows`` users. Settled, so that its size decides whether it is broadcast and the
+    # vectors are not shuffled by location only to learn that no location is crowded.
+    crowded = settle(
+        (users if population is None else population)
+        .groupBy(*[key(c).alias(f"_{c}") for c in location]).agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > block_rows)
+        .select(*loc, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks")), "crowded")
+    if crowded.isEmpty():
+        left, right = left.withColumn("_block", F.lit(0)), right.withColumn("_block", F.lit(0))
+    else:
+        blocks = F.coalesce(F.col("_blocks"), F.lit(1))
+        left = (left.join(crowded, loc, "left")
+                .withColumn("_block", F.pmod(F.xxhash64(user_key), blocks).cast("int"))
+                .drop("_blocks"))
+        # Candidates come here by id, so a crowded location's copies (one per block) are made by
+        # many tasks.
+        right = (right.join(crowded, loc, "left")
+                 .withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+                 .drop("_blocks"))
 
     field_type = {f.name: f.dataType.simpleString() for f in candidates.schema}
     struct = ",".join([f"{f}:{field_type[f]}" for f in fields] + ["match_score:double"])

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.session import settle
+
 # Above this rank Spark no longer limits window groups before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
@@ -49,24 +51,27 @@ def running_by_key(
 ) -> DataFrame:
     """Running sums and running last-non-null values per key, ordered by (``ts``, ``tie``).
 
-    A plain running window puts all rows of a key in one task. Here keys with more than
-    ``hot_rows`` rows are cut into time chunks: the chunks are pre-aggregated, a window over the
-    chunk totals (few rows per key) yields what each chunk starts from, and the row-level window
-    runs per chunk. Every other key is one chunk. The chunk is a function of the row alone, so a
+    A plain running window puts all rows of a key in one task. The keys with more than ``hot_rows``
+    rows are counted first (a narrow, map-side combined aggregate). Without any, the plain window
+    is used. Otherwise the rows of those keys are cut into time chunks: the chunks are
+    pre-aggregated, a window over the chunk totals (few rows per key) yields what each chunk starts
+    from, and the row-level window runs per chunk. The chunk is a function of the row alone, so a
     retried task sees the same chunks.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    keys = list(keys)
+    keys, names = list(keys), [*sums, *lasts]
     for name, value in {**sums, **lasts}.items():
         df = df.withColumn(f"_v_{name}", value)
 
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_rows)
-           .select(*keys, F.lit(True).alias("_hot")))
+    hot = settle(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        .select(*keys, F.lit(True).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return _running(df, keys, ts, tie, sums, lasts).drop(*[f"_v_{c}" for c in names])
+
     bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds)
     chunked = (df.join(hot, keys, "left")
                .withColumn("_chunk", F.when(F.col("_hot"), bucket).otherwise(F.lit(0))))
-
     per_chunk = chunked.filter(F.col("_hot")).groupBy(*keys, "_chunk").agg(
         *[F.sum(f"_v_{c}").alias(f"_t_{c}") for c in sums],
         *[F.max_by(f"_v_{c}", F.when(F.col(f"_v_{c}").isNotNull(), F.struct(ts, tie)))
@@ -78,18 +83,26 @@ def running_by_key(
         *[F.sum(f"_t_{c}").over(before).alias(f"_c_{c}") for c in sums],
         *[F.last(f"_t_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in lasts],
     )
-
-    so_far = (Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = chunked.join(carry, [*keys, "_chunk"], "left")
+    # Named explicitly: a partitioning by ``keys`` alone, left by the join above, would satisfy the
+    # window as well and put a hot key back into one task.
+    spread = chunked.repartition(*[F.col(c) for c in [*keys, "_chunk"]])
+    out = _running(spread.join(carry, [*keys, "_chunk"], "left"), [*keys, "_chunk"], ts, tie, sums, lasts)
     for c in sums:
-        out = out.withColumn(
-            c, F.coalesce(F.sum(f"_v_{c}").over(so_far), F.lit(0)) + F.coalesce(f"_c_{c}", F.lit(0)))
+        out = out.withColumn(c, F.col(c) + F.coalesce(f"_c_{c}", F.lit(0)))
     for c in lasts:
-        out = out.withColumn(
-            c, F.coalesce(F.last(f"_v_{c}", ignorenulls=True).over(so_far), F.col(f"_c_{c}")))
-    return out.drop(
-        "_hot", "_chunk", *[f"_v_{c}" for c in {**sums, **lasts}], *[f"_c_{c}" for c in {**sums, **lasts}])
+        out = out.withColumn(c, F.coalesce(c, f"_c_{c}"))
+    return out.drop("_hot", "_chunk", *[f"_v_{c}" for c in names], *[f"_c_{c}" for c in names])
+
+
+def _running(
+    df: DataFrame, keys: list[str], ts: str, tie: str, sums: Mapping[str, Column], lasts: Mapping[str, Column],
+) -> DataFrame:
+    so_far = Window.partitionBy(*keys).orderBy(ts, tie).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({
+        **{c: F.coalesce(F.sum(f"_v_{c}").over(so_far), F.lit(0)) for c in sums},
+        **{c: F.last(f"_v_{c}", ignorenulls=True).over(so_far) for c in lasts},
+    })
 
 
 def page_per_key(

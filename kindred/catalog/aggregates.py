@@ -45,7 +45,7 @@ def a04(v):
     SELECT user_id, count(DISTINCT category) = 1 AS uniform FROM ranked WHERE rn <= 3 GROUP BY 1""")
 def a05(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    top = top_k_by_cosine(v.user_vectors, candidates, v.index, k=3)
+    top = top_k_by_cosine(v.user_vectors, candidates, v.index, k=3, population=v.users)
     names = F.array_distinct(F.transform("matches", lambda m: m["category"]))
     return top.filter(F.size("matches") > 0).select("user_id", (F.size(names) == 1).alias("uniform"))
 
@@ -75,7 +75,7 @@ def a07(v):
     SELECT user_id, string_agg(CAST(community_id AS VARCHAR), ',' ORDER BY new_rank) AS community_ids, count(*) AS n FROM reranked GROUP BY 1""")
 def a08(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    top = matching.top_matches(v.user_vectors, candidates, v.index).filter(F.size("matches") > 0)
+    top = matching.top_matches(v.user_vectors, candidates, v.index, population=v.users).filter(F.size("matches") > 0)
     ids = F.transform("matches", lambda m: m["community_id"].cast("string"))
     return top.select("user_id", F.array_join(ids, ",").alias("community_ids"),
                       F.size("matches").cast("long").alias("n"))

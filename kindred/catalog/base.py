@@ -9,6 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kindred.schemas import PREFERENCE_CHOICES, PREFERENCE_FIELDS
 
@@ -27,6 +28,9 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
+# Schemas read from the files once per session, so that building a query starts no job for them.
+_SCHEMAS: dict[str, StructType] = {}
+
 
 def query(name: str, sql: str | None = None):
     """Register ``run(views)``; ``sql`` may use the view names below, which become CTEs."""
@@ -45,7 +49,10 @@ class Views:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        path = f"{self.dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def events(self) -> DataFrame:

@@ -18,7 +18,7 @@ from kindred.sources import messages
 def decided(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
     popular = matching.popular_communities(v.communities, v.activity, as_of())
-    return matching.decide(matching.top_matches(v.user_vectors, candidates, v.index), popular)
+    return matching.decide(matching.top_matches(v.user_vectors, candidates, v.index, population=v.users), popular)
 
 
 def accepted_profiles(v):
@@ -59,7 +59,8 @@ def p02(v):
 @query("p02_results", "SELECT user_id, tier, auto_joined_community, ai_intro_generated, requires_profile_update FROM results")
 def p02_results(v):
     return matching.match_results(
-        v.user_vectors, v.communities, v.index, v.activity, v.members, as_of(), v.toxicity).drop("matches")
+        v.user_vectors, v.communities, v.index, v.activity, v.members, as_of(), v.toxicity,
+        population=v.users).drop("matches")
 
 
 @query("p02_introductions", """

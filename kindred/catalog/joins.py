@@ -64,7 +64,7 @@ def j05(v):
     SELECT user_id, community_id, CAST(rn AS INTEGER) AS rank, round(score, 6) AS score FROM ranked""")
 def j06(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    top = top_k_by_cosine(v.user_vectors, candidates, v.index)
+    top = top_k_by_cosine(v.user_vectors, candidates, v.index, population=v.users)
     return top.select("user_id", F.posexplode("matches").alias("p", "m")).select(
         "user_id", "m.community_id", (F.col("p") + 1).alias("rank"),
         F.round("m.match_score", 6).alias("score"))

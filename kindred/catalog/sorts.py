@@ -48,7 +48,7 @@ def k03(v):
     SELECT user_id, community_id, new_rank AS position FROM reranked WHERE new_rank <= 5""")
 def k04(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    head = matching.top_matches(v.user_vectors, candidates, v.index).withColumn("matches", F.slice("matches", 1, 5))
+    head = matching.top_matches(v.user_vectors, candidates, v.index, population=v.users).withColumn("matches", F.slice("matches", 1, 5))
     return matching.explode_matches(head, "user_id").select("user_id", "community_id", "position")
 
 

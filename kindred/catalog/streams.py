@@ -44,7 +44,8 @@ def t01(v):
     def matched(batch):
         profiles = batch.join(v.user_vectors, "user_id")
         return matching.match_results(
-            profiles, v.communities, v.index, v.activity, v.members, as_of(), v.toxicity)
+            profiles, v.communities, v.index, v.activity, v.members, as_of(), v.toxicity,
+        population=v.users)
 
     jobs.write_parts(requests, f"{base}/parts", f"{base}/checkpoint", matched).awaitTermination()
     return jobs.read_parts(v.spark, f"{base}/parts").select(

@@ -24,7 +24,7 @@ def w01(v):
 def w02(v):
     """Ranked again from long form (one row per user and community)."""
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    rows = top_k_by_cosine(v.user_vectors, candidates, v.index).select("user_id", F.inline("matches"))
+    rows = top_k_by_cosine(v.user_vectors, candidates, v.index, population=v.users).select("user_id", F.inline("matches"))
     return top_k_per_key(rows, ["user_id"], [F.desc("match_score"), F.asc("community_id")], 20).select(
         "user_id", "community_id", "rn")
 
@@ -62,7 +62,7 @@ def w04_deep(v):
 @query("w05_diversity_rerank", "SELECT user_id, community_id, new_rank FROM reranked")
 def w05(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    long = top_k_by_cosine(v.user_vectors, candidates, v.index).select(
+    long = top_k_by_cosine(v.user_vectors, candidates, v.index, population=v.users).select(
         "user_id", F.posexplode("matches").alias("p", "m")).select(
         "user_id", (F.col("p") + 1).alias("rn"), "m.community_id", "m.category")
     return matching.diversity_ranks(long).select("user_id", "community_id", "new_rank")

@@ -10,7 +10,7 @@ from kindred.catalog.changes import SYNC_SQL, stored_preferences, synced_users
 from kindred.catalog.scalars import ELIGIBLE_SQL, EMAIL_SQL, PHONE_SQL, TAGS_SQL
 from kindred.functions import text as X
 from kindred.operators import validation as V
-from kindred.plans import ledger, matching, preferences, users
+from kindred.plans import ledger, matching, preferences, requests, users
 from kindred.schemas import PREFERENCE_FIELDS
 from kindred.sources import messages
 
@@ -23,11 +23,7 @@ def decided(v):
 
 def accepted_profiles(v):
     """Valid profiles, cleaned, with their owner's location and vector."""
-    valid, _ = V.split(v.profiles, [V.bio_rule(F.col("bio")), V.tag_count_rule(F.col("interest_tags"))])
-    stripped = (valid.withColumn("bio", X.strip(F.col("bio")))
-                .withColumn("interest_tags", X.normalize_tags(F.col("interest_tags"))))
-    cleaned = hooks.clean_profiles(stripped).withColumn(
-        "embedding_text", X.embedding_text(F.col("sanitized_bio"), F.col("enriched_tags")))
+    cleaned, _ = requests.prepare(v.profiles)
     return cleaned.select("user_id", "embedding_text", "pii_removed").join(v.user_vectors, "user_id")
 
 
@@ -51,6 +47,18 @@ def p01(v):
     return flat.drop("category", "member_count")
 
 
+@query("p01_match_from_text")
+def p01_text(v):
+    """Raw profiles to results with the default text vectors on both sides."""
+    profiles = v.profiles.join(v.users.select("user_id", "city", "timezone"), "user_id")
+    described = v.communities.select("community_id", F.concat_ws(
+        " ", "community_name", "category", "description").alias("embedding_text"))
+    index = hooks.embed(described).select("community_id", "vector")
+    results, _ = requests.match_profiles(
+        profiles, v.communities, index, v.activity, v.members, v.users, as_of())
+    return matching.explode_matches(results, "user_id", "tier")
+
+
 @query("p02_decision", "SELECT user_id, tier, position, community_id, category, member_count, recent_activity, match_score FROM emitted")
 def p02(v):
     return matching.explode_matches(decided(v), "user_id", "tier")
@@ -133,9 +141,9 @@ def p05_rejects(v):
            CASE WHEN pair_id % 29 = 3 THEN 'forbidden' ELSE reason END AS reason FROM ({ELIGIBLE_SQL}) e""")
 def p06(v):
     """Pairs asked for by someone other than the sender are refused before any lookup."""
-    requests = v.pairs.withColumn("requester_id", F.when(
+    asked = v.pairs.withColumn("requester_id", F.when(
         F.col("pair_id") % 29 == 3, F.col("sender_id") + 1).otherwise(F.col("sender_id")))
-    allowed, refused = V.split(requests, [V.self_only_rule(F.col("requester_id"), F.col("sender_id"))])
+    allowed, refused = V.split(asked, [V.self_only_rule(F.col("requester_id"), F.col("sender_id"))])
     checked = ledger.eligibility(allowed, ledger.scores(v.users, v.ledger), v.shield)
     return checked.select("pair_id", "allowed", "reason").unionByName(
         refused.select("pair_id", F.lit(None).cast("boolean").alias("allowed"), "reason"))

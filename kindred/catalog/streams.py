@@ -9,7 +9,7 @@ from kindred.catalog.base import Views, as_of, query
 from kindred.catalog.changes import SYNC_SQL, synced_users
 from kindred.plans import delivery, matching, preferences
 from kindred.schemas import PREFERENCE_FIELDS
-from kindred.session import shared_dir
+from kindred.session import settle, shared_dir
 from kindred.sources import messages
 from kindred.streaming import jobs
 
@@ -39,17 +39,12 @@ def _streams(v):
 @query("t01_match_stream", "SELECT user_id, tier, auto_joined_community, ai_intro_generated FROM results")
 def t01(v):
     requests = _streams(v).table("customer").select(F.col("c_custkey").alias("user_id"))
-    base = shared_dir(v.spark, "match")
-
-    def matched(batch):
-        profiles = batch.join(v.user_vectors, "user_id")
-        return matching.match_results(
-            profiles, v.communities, v.index, v.activity, v.members, as_of(), v.toxicity,
-        population=v.users)
-
-    jobs.write_parts(requests, f"{base}/parts", f"{base}/checkpoint", matched).awaitTermination()
-    return jobs.read_parts(v.spark, f"{base}/parts").select(
-        "user_id", "tier", "auto_joined_community", "ai_intro_generated")
+    candidates = settle(matching.location_candidates(v.communities, v.activity, as_of()), "candidates")
+    popular = settle(matching.popular_communities(v.communities, v.activity, as_of()), "popular")
+    parts = _run(v, "match", lambda p, c: jobs.match_stream(
+        requests.join(v.user_vectors, "user_id"), p, c, candidates, popular, v.index, v.members,
+        toxicity=v.toxicity, population=v.users))
+    return parts.select("user_id", "tier", "auto_joined_community", "ai_intro_generated")
 
 
 @query("t02_score_stream", "SELECT user_id, CAST(sum(point_delta) AS BIGINT) AS karma_score FROM ledger GROUP BY 1")
@@ -95,8 +90,8 @@ def t05(v):
 
 @query("t05_cache_stream", FRESH_SQL)
 def t05_stream(v):
-    parts = _run(v, "cache", lambda p, c: jobs.cache_stream(_streams(v).cache_events, p, c))
-    return jobs.live_entries(parts, yesterday())
+    parts = _run(v, "cache", lambda p, c: jobs.cache_stream(_streams(v).cache_events, p, c, ["value"]))
+    return jobs.live_entries(parts, yesterday(), ["seq"]).select("kind", "key", "seq")
 
 
 @query("t06_presence_stream", "SELECT user_id, sid FROM live")

@@ -6,17 +6,22 @@ every job runs without a model.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import default_introduction, enrich_tags, mask_pii
 from kindred.schemas import INTRO_MAX_CHARS
 
+# Task functions travel with their code, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 VECTOR_DIM = 1536
 BATCH = 1024
 TOKEN_BREAK = r"[\s\p{Punct}]+"

@@ -9,16 +9,21 @@ the task is one row per user. Candidates are bounded per location by the candida
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.session import settle
 
+# Task functions travel with their code, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MATCH_FIELDS = ["community_id", "community_name", "category", "member_count", "recent_activity"]
 SUB_BLOCK = 4096
 

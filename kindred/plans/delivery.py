@@ -38,15 +38,20 @@ def ttl_of(kind: Column) -> Column:
     return seconds
 
 
+def newest_entries(cache_events: DataFrame, payload: list[str]) -> DataFrame:
+    """Newest event per (kind, key), in the shape of the events, so that parts merge again."""
+    at = F.struct("ts", "seq")
+    newest = cache_events.groupBy("kind", "key").agg(
+        F.max_by(F.struct("op", "ts", "seq", *[c for c in payload if c != "seq"]), at).alias("e"))
+    return newest.select("kind", "key", "e.*")
+
+
 def fresh_entries(cache_events: DataFrame, as_of: Column, payload: list[str]) -> DataFrame:
     """Entries still valid at ``as_of``: newest write per (kind, key), not expired, not removed.
 
     ``cache_events``: kind, key, op ('set' or 'invalidate'), ts, seq and the payload columns.
     """
-    at = F.struct("ts", "seq")
-    newest = cache_events.groupBy("kind", "key").agg(
-        F.max_by(F.struct("op", "ts", *payload), at).alias("e"))
-    left = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("e.ts").cast("timestamp"))
-    return (newest.filter((F.col("e.op") == "set") & (left < ttl_of(F.col("kind"))))
-            .select("kind", "key", F.col("e.ts").alias("cached_at"),
-                    *[F.col(f"e.{c}").alias(c) for c in payload]))
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return (newest_entries(cache_events, payload)
+            .filter((F.col("op") == "set") & (age < ttl_of(F.col("kind")) * F.lit(1_000_000).cast("long")))
+            .select("kind", "key", F.col("ts").alias("cached_at"), *payload))

@@ -154,22 +154,21 @@ def introductions(
             .withColumn("posted", M.postable(F.col("toxicity_score"))))
 
 
-def match_results(
+def match_against(
     users: DataFrame,
-    communities: DataFrame,
+    candidates: DataFrame,
+    popular: DataFrame,
     index: DataFrame,
-    activity: DataFrame,
     members: DataFrame,
-    as_of: Column,
     toxicity: DataFrame | None = None,
-    cap: int = CANDIDATE_CAP,
     k: int = TOP_K,
     keep: list[str] | None = None,
     population: DataFrame | None = None,
 ) -> DataFrame:
-    """One match result per user: tier, emitted matches, auto-join, intro flag."""
-    candidates = location_candidates(communities, activity, as_of, cap)
-    popular = popular_communities(communities, activity, as_of)
+    """One match result per user: tier, emitted matches, auto-join, intro flag.
+
+    ``candidates`` and ``popular`` may be plans (recomputed on use) or settled tables.
+    """
     decided = decide(top_matches(users, candidates, index, k, keep=keep, population=population), popular)
     member = members.select(
         "user_id", F.col("community_id").alias("auto_joined_community"), F.lit(True).alias("_member"))
@@ -183,6 +182,16 @@ def match_results(
             .drop("_member", "_toxicity"))
 
 
+def match_results(
+    users: DataFrame, communities: DataFrame, index: DataFrame, activity: DataFrame, members: DataFrame,
+    as_of: Column, toxicity: DataFrame | None = None, cap: int = CANDIDATE_CAP, **options,
+) -> DataFrame:
+    """:func:`match_against` the candidates and popular communities as of a moment."""
+    candidates = location_candidates(communities, activity, as_of, cap)
+    popular = popular_communities(communities, activity, as_of)
+    return match_against(users, candidates, popular, index, members, toxicity, **options)
+
+
 def explode_matches(results: DataFrame, *columns: str) -> DataFrame:
     """One row per emitted match with its 1-based ``position``."""
     return results.select(*columns, F.posexplode("matches").alias("_pos", "_m")).select(

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kindred.plans import delivery, matching, preferences, users
-from kindred.plans.delivery import TTL_SECONDS
 
 
 def write_parts(
@@ -44,13 +41,15 @@ def compact(spark: SparkSession, parts: DataFrame, merge: Callable[[DataFrame],
 
 def match_stream(
     profiles: DataFrame, path: str, checkpoint: str,
-    communities: DataFrame, index: DataFrame, activity: DataFrame, members: DataFrame, as_of: Column,
-    **options,
+    candidates: DataFrame, popular: DataFrame, index: DataFrame, members: DataFrame, **options,
 ) -> StreamingQuery:
-    """Profile rows in, one match result per profile out; candidates are re-read every batch."""
+    """Profile rows with vectors in, one match result per profile out.
+
+    ``candidates`` and ``popular`` are recomputed by every batch if they are plans, and only read
+    if they are settled tables.
+    """
     def matched(batch: DataFrame) -> DataFrame:
-        return matching.match_results(
-            batch, communities, index, activity, members, as_of, **options)
+        return matching.match_against(batch, candidates, popular, index, members, **options)
 
     return write_parts(profiles, path, checkpoint, matched)
 
@@ -84,67 +83,18 @@ def preference_stream(patches: DataFrame, path: str, checkpoint: str) -> Streami
 
 # --- cache freshness ----------------------------------------------------------------------------
 
-CACHE_OUT = "kind string, key string, status string, at timestamp, expires_at timestamp, seq long"
-CACHE_STATE = "op string, at_us long, expires_us long, seq long"
-
-
-def _track_entry(
-    key: tuple[str, str], chunks: Iterator[pd.DataFrame], state: GroupState,
-) -> Iterator[pd.DataFrame]:
-    kind, name = key
-
-    def row(status: str, at_us: int, expires_us: int, seq: int) -> pd.DataFrame:
-        return pd.DataFrame({
-            "kind": [kind], "key": [name], "status": [status],
-            "at": [pd.Timestamp(at_us, unit="us")], "expires_at": [pd.Timestamp(expires_us, unit="us")],
-            "seq": [seq]})
-
-    if state.hasTimedOut:
-        op, _, expires_us, seq = state.get
-        state.remove()
-        if op == "set":
-            yield row("expired", expires_us, expires_us, seq)
-        return
-
-    op, at_us, expires_us, seq = state.get if state.exists else (None, -1, -1, -1)
-    changed = False
-    for chunk in chunks:
-        newest = chunk.sort_values(["ts", "seq"]).iloc[-1]
-        ts_us = int(newest["ts"].value // 1000)
-        if (ts_us, int(newest["seq"])) > (at_us, seq):
-            op, at_us, seq, changed = newest["op"], ts_us, int(newest["seq"]), True
-            expires_us = at_us + TTL_SECONDS[kind] * 1_000_000
-    if changed:
-        state.update((op, at_us, expires_us, seq))
-        # Removals are remembered as long as the entry would have lived, so that an older write
-        # arriving late does not bring it back.
-        if expires_us // 1000 > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expires_us // 1000)
-            yield row("live" if op == "set" else "removed", at_us, expires_us, seq)
-        else:
-            state.remove()
-            yield row("expired" if op == "set" else "removed", at_us, expires_us, seq)
-    elif state.exists:
-        state.setTimeoutTimestamp(max(expires_us // 1000, state.getCurrentWatermarkMs() + 1))
-
-
-def cache_stream(events: DataFrame, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Follow cache writes and removals; state of an entry is dropped once its lifetime is over.
-
-    State holds four scalars per entry, never the vector. ``events``: kind, key, op, ts, seq.
+def cache_stream(events: DataFrame, path: str, checkpoint: str, payload: list[str]) -> StreamingQuery:
+    """Follow cache writes and removals: each batch keeps its newest event per entry.
+
+    Whether an entry is still fresh depends on when it is read, so lifetimes apply at the reader
+    (:func:`live_entries`) and the stream needs no state. ``events``: kind, key, op, ts, seq and
+    the payload columns.
     """
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    tracked = timed.select("kind", "key", "op", "ts", "seq").groupBy("kind", "key").applyInPandasWithState(
-        _track_entry, CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return write_parts(tracked, path, checkpoint)
-
-
-def live_entries(parts: DataFrame, as_of: Column) -> DataFrame:
-    """Entries whose newest write still counts at ``as_of``, also one before the stream's end."""
-    last = parts.groupBy("kind", "key").agg(
-        F.max_by(F.struct("status", "expires_at", "seq"), F.struct("seq", "batch")).alias("e"))
-    return (last.filter((F.col("e.status") != "removed") & (F.col("e.expires_at") > as_of.cast("timestamp")))
-            .select("kind", "key", F.col("e.seq").alias("seq")))
+    return write_parts(events, path, checkpoint, lambda batch: delivery.newest_entries(batch, payload))
+
+
+def live_entries(parts: DataFrame, as_of: Column, payload: list[str]) -> DataFrame:
+    return delivery.fresh_entries(parts, as_of, payload)
 
 
 # --- presence and delivery ----------------------------------------------------------------------

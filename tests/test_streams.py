@@ -107,12 +107,29 @@ def test_daily_activity(spark, stream, batch):
 
 
 def test_cache_stream_equals_batch(spark, stream, batch):
-    parts = run(spark, "cache", lambda p, c: jobs.cache_stream(stream().cache_events, p, c, delay="10 days"))
+    parts = run(spark, "cache", lambda p, c: jobs.cache_stream(stream().cache_events, p, c, ["value"]))
     for moment in (as_of(), as_of() - F.expr("INTERVAL 2 DAYS")):
-        # Only entries written before the moment exist at it; the last day is complete.
-        want = delivery.fresh_entries(batch.cache_events, moment, ["seq"]).select("kind", "key", "seq")
-        assert rows(jobs.live_entries(parts, moment), "kind", "key", "seq") == rows(want)
-    assert parts.filter("status = 'expired'").count() > 0
+        want = delivery.fresh_entries(batch.cache_events, moment, ["seq", "value"])
+        assert want.count() > 0
+        assert rows(jobs.live_entries(parts, moment, ["seq", "value"])) == rows(want)
+
+
+def test_lifetimes_and_invalidation(spark):
+    events = spark.createDataFrame([
+        ("user", "a", "set", "2024-01-01 00:00:00", 1, 1.0), ("user", "a", "set", "2024-01-02 00:00:00", 2, 2.0),
+        ("user", "b", "set", "2024-01-02 00:00:00", 3, 1.0), ("user", "b", "invalidate", "2024-01-03 00:00:00", 4, None),
+        ("user", "c", "invalidate", "2024-01-01 00:00:00", 5, None), ("user", "c", "set", "2024-01-02 00:00:00", 6, 3.0),
+        ("group", "g", "set", "2024-01-08 23:00:00", 7, 4.0), ("group", "h", "set", "2024-01-08 00:00:00", 8, 5.0),
+        ("query", "q", "set", "2024-01-08 23:50:00", 9, 6.0), ("query", "r", "set", "2024-01-08 23:45:00", 10, 7.0),
+    ], "kind string, key string, op string, at string, seq int, value double")
+    events = events.withColumn("ts", F.to_timestamp_ntz("at"))
+    moment = F.lit("2024-01-09 00:00:00").cast("timestamp_ntz")
+    # user: 7 days (a written exactly 7 days ago is gone), group: 24 hours, query: 15 minutes
+    assert rows(delivery.fresh_entries(events, moment, ["value"]), "kind", "key", "value") == [
+        ("group", "g", 4.0), ("query", "q", 6.0)]
+    earlier = F.lit("2024-01-08 23:59:59").cast("timestamp_ntz")
+    assert rows(delivery.fresh_entries(events, earlier, ["value"]), "kind", "key", "value") == [
+        ("group", "g", 4.0), ("group", "h", 5.0), ("query", "q", 6.0), ("query", "r", 7.0), ("user", "a", 2.0), ("user", "c", 3.0)]
 
 
 def test_match_stream(spark, batch, sf_dir):
@@ -122,7 +139,9 @@ def test_match_stream(spark, batch, sf_dir):
     vectors = batch.user_vectors
     base = shared_dir(spark, "matches")
     jobs.match_stream(requests.join(vectors, "user_id"), f"{base}/parts", f"{base}/checkpoint",
-                      batch.communities, batch.index, batch.activity, batch.members, as_of()).awaitTermination()
+                      matching.location_candidates(batch.communities, batch.activity, as_of()),
+                      matching.popular_communities(batch.communities, batch.activity, as_of()),
+                      batch.index, batch.members).awaitTermination()
     want = matching.match_results(vectors, batch.communities, batch.index, batch.activity, batch.members, as_of())
     columns = ["user_id", "tier", "auto_joined_community", "ai_intro_generated"]
     parts = jobs.read_parts(spark, f"{base}/parts")

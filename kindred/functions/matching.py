@@ -15,25 +15,19 @@ def match_tier(top_score: Column) -> Column:
             .otherwise(F.lit(FALLBACK)))
 
 
-def diversify(matches: Column) -> Column:
+def diversify(column: str) -> Column:
     """Move the first match of another category to third place if the top three share one.
 
-    ``matches`` is one user's ranked array (at most the top 20), so this needs no shuffle.
+    ``column`` is one user's ranked array (at most the top 20), so this needs no shuffle.
     """
-    def category(i: int) -> Column:
-        return F.get(matches, F.lit(i))["category"]
-
-    n = F.size(matches)
-    uniform = (n >= 4) & (category(0) == category(1)) & (category(0) == category(2))
-    first_other = F.array_position(
-        F.transform(matches, lambda m: m["category"] != category(0)), True).cast("int")
-    moved = F.concat(
-        F.slice(matches, 1, 2),
-        F.slice(matches, first_other, F.lit(1)),
-        F.slice(matches, F.lit(3), first_other - 3),
-        F.slice(matches, first_other + 1, n - first_other),
-    )
-    return F.when(uniform & (first_other > 0), moved).otherwise(matches)
+    other = f"array_position(transform({column}, m -> m.category <> {column}[0].category), true)"
+    return F.expr(f"""
+        CASE WHEN size({column}) >= 4 AND {other} > 3 THEN
+          concat(slice({column}, 1, 2),
+                 slice({column}, int({other}), 1),
+                 slice({column}, 3, int({other}) - 3),
+                 slice({column}, int({other}) + 1, size({column}) - int({other})))
+        ELSE {column} END""")
 
 
 def clamp_score(score: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.session import settle
+from kindred.operators.skew import heavy_keys
 
 # Task functions travel with their code, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -132,16 +132,14 @@ def top_k_by_cosine(
     ).join(index.select(fields[0], "vector").filter(F.col("vector").isNotNull()), fields[0])
 
     # Locations with more users than fit one block, and how many blocks each needs: at most one row
-    # per ``block_rows`` users. Settled, so that its size decides whether it is broadcast and the
+    # per ``block_rows`` users. It is settled, so that its size decides whether it is broadcast and the
     # vectors are not shuffled by location only to learn that no location is crowded.
-    crowded = settle(
-        (users if population is None else population)
-        .groupBy(*[key(c).alias(f"_{c}") for c in location]).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > block_rows)
-        .select(*loc, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks")), "crowded")
-    if crowded.isEmpty():
+    crowded = heavy_keys(users if population is None else population,
+                         [key(c).alias(f"_{c}") for c in location], block_rows, "crowded")
+    if crowded is None:
         left, right = left.withColumn("_block", F.lit(0)), right.withColumn("_block", F.lit(0))
     else:
+        crowded = crowded.select(*loc, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
         blocks = F.coalesce(F.col("_blocks"), F.lit(1))
         left = (left.join(crowded, loc, "left")
                 .withColumn("_block", F.pmod(F.xxhash64(user_key), blocks).cast("int"))

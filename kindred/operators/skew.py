@@ -14,6 +14,18 @@ from kindred.session import settle
 GROUP_LIMIT = 1000
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str | Column], above: int, name: str) -> DataFrame | None:
+    """Keys with more than ``above`` rows and their count ``_n``, settled; None if there are none.
+
+    At most one row per ``above`` rows of ``df``. Only the largest count comes to the driver.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n")).first()[0]
+    if largest is None or largest <= above:
+        return None
+    return settle(counts.filter(F.col("_n") > above), name)
+
+
 def top_k_per_key(
     df: DataFrame,
     keys: Sequence[str],
@@ -60,15 +72,13 @@ def running_by_key(
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     keys, names = list(keys), [*sums, *lasts]
-    for name, value in {**sums, **lasts}.items():
-        df = df.withColumn(f"_v_{name}", value)
+    df = df.withColumns({f"_v_{name}": value for name, value in {**sums, **lasts}.items()})
 
-    hot = settle(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot")), "hot-keys")
-    if hot.isEmpty():
+    hot = heavy_keys(df, keys, hot_rows, "hot-keys")
+    if hot is None:
         return _running(df, keys, ts, tie, sums, lasts).drop(*[f"_v_{c}" for c in names])
 
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
     bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds)
     chunked = (df.join(hot, keys, "left")
                .withColumn("_chunk", F.when(F.col("_hot"), bucket).otherwise(F.lit(0))))

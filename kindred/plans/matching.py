@@ -61,7 +61,7 @@ def top_matches(
 ) -> DataFrame:
     """user_id and the ranked, diversity-adjusted ``matches`` array."""
     ranked = top_k_by_cosine(users, candidates, index, k=k, **options)
-    return ranked.withColumn("matches", M.diversify(F.col("matches")))
+    return ranked.withColumn("matches", M.diversify("matches"))
 
 
 def diversity_ranks(ranked: DataFrame, user: str = "user_id", rank: str = "rn") -> DataFrame:

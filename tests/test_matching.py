@@ -96,7 +96,7 @@ def test_diversity_lists(spark):
     same = [(1, "Programming", .95), (2, "Programming", .92), (3, "Programming", .89), (4, "Gaming", .86), (5, "Programming", .84)]
     mixed = [(1, "Programming", .95), (2, "Gaming", .92), (3, "Art", .89)]
     df = as_array(spark, [(1, same), (2, mixed), (3, [])])
-    got = {r.user_id: [m.community_id for m in r.m] for r in df.select("user_id", M.diversify(F.col("matches")).alias("m")).collect()}
+    got = {r.user_id: [m.community_id for m in r.m] for r in df.select("user_id", M.diversify("matches").alias("m")).collect()}
     assert got == {1: [1, 2, 4, 3, 5], 2: [1, 2, 3], 3: []}
 
 
@@ -116,7 +116,7 @@ def test_diversity_array_and_window_forms_equal_a_list_move(spark):
     lists = [(u, [(i, rng.choice("aaab"), 1 - i / 100) for i in range(rng.randint(0, 20))]) for u in range(1500)]
     df = as_array(spark, lists)
     want = {u: moved([c for _, c, _ in items]) for u, items in lists}
-    arrays = {r.user_id: [m.community_id for m in r.m] for r in df.select("user_id", M.diversify(F.col("matches")).alias("m")).collect()}
+    arrays = {r.user_id: [m.community_id for m in r.m] for r in df.select("user_id", M.diversify("matches").alias("m")).collect()}
     assert arrays == want
     long = df.select("user_id", F.posexplode("matches").alias("p", "m")).select(
         "user_id", (F.col("p") + 1).alias("rn"), "m.community_id", "m.category")

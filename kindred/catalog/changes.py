@@ -25,8 +25,8 @@ def u01(v):
 
 
 def synced_users(v):
-    """Users before any event: sync columns unset; only every second user is known already."""
-    return (v.users.filter("user_id % 2 = 0").select("user_id", "username", "is_active")
+    """Users before any event: sync columns unset; the inactive ones are not known yet."""
+    return (v.users.filter("is_active").select("user_id", "username", "is_active")
             .withColumns({c: F.lit(None).cast("string") for c in users.SYNC_COLUMNS}))
 
 
@@ -34,7 +34,7 @@ SYNC_SQL = """
     SELECT coalesce(u.user_id, f.user_id) AS user_id, u.username,
            f.email, f.first_name, f.last_name, f.public_metadata,
            CASE WHEN l.type = 'user.deleted' THEN FALSE WHEN f.user_id IS NOT NULL THEN TRUE ELSE u.is_active END AS is_active
-    FROM (SELECT * FROM users WHERE user_id % 2 = 0) u
+    FROM (SELECT * FROM users WHERE is_active) u
     FULL JOIN (SELECT * FROM change_events WHERE type IN ('user.created', 'user.updated') {where}
                QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) f ON u.user_id = f.user_id
     LEFT JOIN (SELECT * FROM change_events WHERE type <> 'session.started' {where}
@@ -67,7 +67,7 @@ UPSERT_SQL = f"""
              CAST(CASE WHEN n.user_id IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE c.last_at END AS DATE) AS updated_on
       FROM (SELECT user_id, {_LATEST}, min(created_at) AS first_at, max(created_at) AS last_at
             FROM pref_patches WHERE created_at < {_HALF} GROUP BY 1) c
-      FULL JOIN (SELECT user_id, {_LATEST} FROM pref_patches WHERE created_at >= {_HALF} AND user_id % 3 <> 0 GROUP BY 1) n
+      FULL JOIN (SELECT user_id, {_LATEST} FROM pref_patches WHERE created_at >= {_HALF} GROUP BY 1) n
       ON c.user_id = n.user_id)"""
 
 
@@ -75,7 +75,7 @@ def stored_preferences(v):
     """What was stored after the first half of the patches."""
     half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     old = preferences.fold(v.pref_patches.filter(F.col("created_at") < half))
-    new = v.pref_patches.filter((F.col("created_at") >= half) & (F.col("user_id") % 3 != 0))
+    new = v.pref_patches.filter(F.col("created_at") >= half)
     return old.withColumnsRenamed({"first_patch_at": "created_at", "last_patch_at": "updated_at"}), new
 
 

@@ -19,8 +19,14 @@ def since(as_of: Column, days: int = ACTIVITY_DAYS) -> Column:
 
 
 def recent_rows(activity: DataFrame, as_of: Column, days: int = ACTIVITY_DAYS) -> DataFrame:
-    """Rows of the trailing window; the lower bound is inclusive, there is no upper bound."""
-    return activity.filter(F.col("created_at") >= since(as_of, days))
+    """Rows of the trailing window; the lower bound is inclusive, there is no upper bound.
+
+    A table laid out by day (``entry_date``) is also pruned to the window's days.
+    """
+    recent = activity.filter(F.col("created_at") >= since(as_of, days))
+    if "entry_date" in activity.columns:
+        recent = recent.filter(F.col("entry_date") >= F.to_date(since(as_of, days)))
+    return recent
 
 
 def message_counts(activity: DataFrame, as_of: Column, by: tuple[str, ...] = ("community_id",)) -> DataFrame:

@@ -19,15 +19,21 @@ def conform(df: DataFrame, name: str) -> DataFrame:
         for f in TABLES[name].fields])
 
 
-def append_ledger(entries: DataFrame, path: str, as_of: Column) -> None:
-    """Append entries with a generated id, and ``as_of`` where no time is given.
+def append_dated(df: DataFrame, path: str, ts: str, with_id: str | None = None) -> None:
+    """Append rows in one folder per day of ``ts`` (partition column ``entry_date``).
 
-    Files are clustered by day. The rebalance splits a busy day and merges quiet ones by size, so
-    the sink writes neither one giant file nor one small file per task and day. Ids are drawn after
-    it, in the task that writes them.
+    The rebalance splits a busy day and merges quiet ones by size, so the sink writes neither one
+    giant file nor one small file per task and day. Ids are drawn after it, in the task that
+    writes them. Trailing-window jobs then read the days they need
+    (:func:`kindred.plans.matching.recent_rows`).
     """
+    dated = df.withColumn("entry_date", F.to_date(ts)).hint("rebalance", F.col("entry_date"))
+    if with_id:
+        dated = dated.withColumn(with_id, F.uuid())
+    dated.write.mode("append").partitionBy("entry_date").parquet(path)
+
+
+def append_ledger(entries: DataFrame, path: str, as_of: Column) -> None:
+    """Append entries with a generated id, and ``as_of`` where no time is given."""
     created = F.coalesce(F.col("created_at"), as_of) if "created_at" in entries.columns else as_of
-    dated = (entries.withColumn("created_at", created)
-             .withColumn("entry_date", F.to_date("created_at")))
-    (dated.hint("rebalance", F.col("entry_date")).withColumn("id", F.uuid())
-     .write.mode("append").partitionBy("entry_date").parquet(path))
+    append_dated(entries.withColumn("created_at", created), path, "created_at", with_id="id")

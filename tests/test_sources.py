@@ -63,3 +63,19 @@ def test_inline_sample_rows_with_relative_times(spark):
         SELECT message_id, TIMESTAMP_NTZ '2024-06-15 12:00:00' - make_dt_interval(0, hours) AS created_at
         FROM VALUES ('m1', 1), ('m2', 24) AS t(message_id, hours)""")
     assert [str(r.created_at) for r in got.orderBy("message_id").collect()] == ["2024-06-15 11:00:00", "2024-06-14 12:00:00"]
+
+
+def test_trailing_window_reads_only_its_days(spark):
+    from kindred.plans.matching import message_counts
+    path = shared_dir(spark, "activity")
+    df = spark.range(2000).select(
+        F.col("id").alias("message_id"), (F.col("id") % 7).alias("community_id"),
+        (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("id") % 720).cast("int"))).alias("created_at"))
+    tables.append_dated(df, path, "created_at")
+    stored = spark.read.parquet(path)
+    now = F.lit("2024-03-20 12:00:00").cast("timestamp_ntz")
+    counted = message_counts(stored, now)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(entry_date" in plan and ">= 2024-03-13" in plan
+    assert "ReadSchema: struct<community_id:bigint,created_at:timestamp_ntz>" in plan
+    assert rows(counted) == rows(message_counts(df, now))

@@ -149,12 +149,40 @@ def test_match_stream(spark, batch, sf_dir):
     assert rows(parts, *columns) == rows(want, *columns)
 
 
-def test_replayed_batch_overwrites_itself(spark, tmp_path):
-    df = spark.range(5)
-    path = str(tmp_path / "parts")
-    for _ in range(2):
-        df.write.mode("overwrite").parquet(f"{path}/batch=0")
-    assert jobs.read_parts(spark, path).count() == 5
+def test_replay_from_the_start_overwrites_its_own_parts(spark, stream, batch):
+    """A lost checkpoint replays every batch under the same ids and must not double anything."""
+    path = shared_dir(spark, "replay")
+    for attempt in range(2):
+        checkpoint = shared_dir(spark, f"replay-checkpoint-{attempt}")
+        jobs.score_stream(stream().ledger, path, checkpoint).awaitTermination()
+    parts = jobs.read_parts(spark, path)
+    want = batch.ledger.groupBy("user_id").agg(F.sum("point_delta").alias("karma_score"))
+    assert rows(jobs.latest_by_batch(parts, ["user_id"], ["karma_score"]), "user_id", "karma_score") == rows(want)
+
+
+def test_restart_continues_from_the_checkpoint(spark):
+    folder, base = shared_dir(spark, "grow"), shared_dir(spark, "grow-out")
+    schema = "user_id string, point_delta int"
+    for points in (5, 7):
+        spark.createDataFrame([("u", points)], schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs.score_stream(spark.readStream.schema(schema).parquet(folder), f"{base}/parts", f"{base}/cp").awaitTermination()
+    got = jobs.latest_by_batch(jobs.read_parts(spark, f"{base}/parts"), ["user_id"], ["karma_score"])
+    assert rows(got, "user_id", "karma_score") == [("u", 12)]
+
+
+def test_rows_behind_the_watermark_are_dropped(spark):
+    folder, base = shared_dir(spark, "late"), shared_dir(spark, "late-out")
+    schema = "message_id int, community_id int, at string"
+
+    def deliver(*data):
+        spark.createDataFrame(list(data), schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder).withColumn("created_at", F.to_timestamp_ntz("at"))
+        jobs.daily_activity_stream(stream, f"{base}/parts", f"{base}/cp", delay="2 days").awaitTermination()
+
+    deliver((1, 1, "2024-01-20 10:00:00"))
+    deliver((2, 1, "2024-01-01 10:00:00"), (3, 1, "2024-01-19 10:00:00"))  # too late, late but in time
+    daily = jobs.latest_by_batch(jobs.read_parts(spark, f"{base}/parts"), ["community_id", "day"], ["n"])
+    assert sorted(str(r.day) for r in daily.collect()) == ["2024-01-19", "2024-01-20"]
 
 
 def test_profile_lines_as_stream(spark):

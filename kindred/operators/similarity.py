@@ -32,18 +32,18 @@ NO_LOCATION = "\u0000"
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of rows holding a vector of ``dim`` values, those rows as float64)."""
+    """(indices of rows holding a vector of ``dim`` values, those rows as a matrix)."""
     arr = column.combine_chunks()
     if isinstance(arr, pa.ChunkedArray):
         arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], type=column.type)
     ok = pc.fill_null(pc.equal(pc.list_value_length(arr), dim), False)
     rows = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
-    flat = arr.filter(ok).flatten().cast(pa.float64())
-    values = flat.to_numpy(zero_copy_only=False) if len(flat) else np.empty(0)
-    return rows, np.nan_to_num(values).reshape(len(rows), dim)
+    return rows, arr.filter(ok).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision; rows of length 0 stay 0."""
+    m = np.nan_to_num(m.astype(np.float64))
     length = np.sqrt(np.einsum("ij,ij->i", m, m))
     length[length == 0] = np.inf
     return m / length[:, None]
@@ -107,7 +107,7 @@ def top_k_by_cosine(
     fields: Sequence[str] = tuple(MATCH_FIELDS),
     k: int = 20,
     population: DataFrame | None = None,
-    block_rows: int = 16384,
+    block_rows: int = 8192,
 ) -> DataFrame:
     """One row per user: the ``keep`` columns and ``matches``, best first, ties by candidate id.
 

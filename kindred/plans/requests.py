@@ -12,6 +12,7 @@ from kindred.functions import matching as M
 from kindred.functions.text import embedding_text, normalize_tags, strip
 from kindred.operators.validation import bio_rule, split, tag_count_rule
 from kindred.plans import matching
+from kindred.session import settle
 
 
 def prepare(profiles: DataFrame, clean_fn: Callable | None = None) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +41,7 @@ def match_profiles(
 
     ``profiles``: user_id, bio, interest_tags, city, timezone. The hooks run once per valid profile
     (introductions: once per new soulmate); block sizes come from the raw table, so no model runs
-    just to count rows.
+    just to count rows. Settle the results before using them more than once.
     """
     cleaned, rejected = prepare(profiles, clean_fn)
     vectors = hooks.embed(
@@ -59,9 +60,10 @@ def _with_introductions(
 ) -> DataFrame:
     """Give every new soulmate an introduction and post it if its toxicity allows.
 
-    The hook sees the bio, the community and its most active members; it runs on those rows only
-    and its output rides along with them, so results are not joined to themselves.
+    The hook sees the bio, the community and its most active members, for those rows only. The
+    results are settled first: both parts below read them, and the models must not run twice.
     """
+    results = settle(results, "results")
     names = (matching.active_members(users, members, activity, as_of).groupBy("community_id")
              .agg(F.array_sort(F.collect_list(F.struct("rn", "username"))).alias("_m"))
              .select(F.col("community_id").alias("auto_joined_community"),

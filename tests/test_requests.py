@@ -85,3 +85,20 @@ def test_default_vectors_run(world):
     index = hooks.embed(communities.select("community_id", F.col("community_name").alias("embedding_text"))).select("community_id", "vector")
     results, _ = requests.match_profiles(profiles, communities, index, activity, members, users, now)
     assert results.count() == 2
+
+
+@pytest.mark.parametrize("with_intro", [False, True])
+def test_the_embedding_model_runs_once_per_valid_profile(spark, world, with_intro):
+    communities, activity, members, users, profiles, now = world
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return keyword_vectors(texts)
+
+    index = hooks.embed(communities.select("community_id", F.col("community_name").alias("embedding_text")), batch_fn=keyword_vectors)
+    results, _ = requests.match_profiles(
+        profiles, communities, index.select("community_id", "vector"), activity, members, users, now, embed_fn=counted,
+        intro_fn=(lambda batch: [("hi", None, 0.0) for _ in batch]) if with_intro else None)
+    results.write.format("noop").mode("overwrite").save()
+    assert calls.value == 2

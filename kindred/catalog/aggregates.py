@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import SINCE, as_of, query
+from kindred.catalog.base import ALL_FIELDS_SQL, LATEST_FIELDS_SQL, SINCE, as_of, query
+from kindred.hooks import max_score
 from kindred.operators.similarity import top_k_by_cosine
-from kindred.operators.validation import union_all
 from kindred.plans import delivery, ledger, matching, preferences
 
 
@@ -54,19 +54,14 @@ def a05(v):
     SELECT event_id, greatest(value / 100, (user_id % 100) / 100.0::DOUBLE, (event_id % 97) / 100.0::DOUBLE, 0.05::DOUBLE) AS toxicity
     FROM events""")
 def a06(v):
-    from kindred.hooks import max_score
     scored = v.events.select(
         "event_id", (F.col("value") / 100).alias("hate"), (F.col("user_id") % 100 / 100.0).alias("harassment"),
         (F.col("event_id") % 97 / 100.0).alias("violence"), F.lit(0.05).alias("sexual"))
     return scored.select("event_id", max_score().alias("toxicity"))
 
 
-_LATEST = ", ".join(f"arg_max({f}, seq) AS {f}" for f in preferences.PREFERENCE_FIELDS)
-_ALL = " AND ".join(f"{f} IS NOT NULL" for f in preferences.PREFERENCE_FIELDS)
-
-
 @query("a07_onboarding_complete", f"""
-    SELECT user_id, ({_ALL}) AS onboarding_complete FROM (SELECT user_id, {_LATEST} FROM pref_patches GROUP BY 1)""")
+    SELECT user_id, ({ALL_FIELDS_SQL}) AS onboarding_complete FROM (SELECT user_id, {LATEST_FIELDS_SQL} FROM pref_patches GROUP BY 1)""")
 def a07(v):
     return preferences.fold(v.pref_patches).select("user_id", "onboarding_complete")
 

@@ -281,6 +281,7 @@ K_SQL = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 POPULARITY_SQL = "member_count DESC NULLS FIRST, message_count DESC NULLS FIRST, community_id"
 WHITESPACE_SQL = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(8195)||chr(12288)"
 ALL_FIELDS_SQL = " AND ".join(f"{f} IS NOT NULL" for f in PREFERENCE_FIELDS)
+LATEST_FIELDS_SQL = ", ".join(f"arg_max({f}, seq) AS {f}" for f in PREFERENCE_FIELDS)
 
 
 def strip_sql(expr: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import SINCE, as_of, query
+from kindred.catalog.base import ALL_FIELDS_SQL, LATEST_FIELDS_SQL, SINCE, as_of, query
 from kindred.operators.validation import union_all
 from kindred.plans import matching, preferences, users
 from kindred.schemas import PREFERENCE_FIELDS
@@ -58,16 +58,14 @@ def u03(v):
 
 _HALF = "TIMESTAMP '2024-01-16'"
 _BOTH = ", ".join(f"coalesce(n.{f}, c.{f}) AS {f}" for f in PREFERENCE_FIELDS)
-_LATEST = ", ".join(f"arg_max({f}, seq) AS {f}" for f in PREFERENCE_FIELDS)
-_ALL = " AND ".join(f"{f} IS NOT NULL" for f in PREFERENCE_FIELDS)
 UPSERT_SQL = f"""
-    SELECT *, ({_ALL}) AS onboarding_complete FROM (
+    SELECT *, ({ALL_FIELDS_SQL}) AS onboarding_complete FROM (
       SELECT coalesce(c.user_id, n.user_id) AS user_id, {_BOTH},
              CAST(coalesce(c.first_at, TIMESTAMP '2024-01-31') AS DATE) AS created_on,
              CAST(CASE WHEN n.user_id IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE c.last_at END AS DATE) AS updated_on
-      FROM (SELECT user_id, {_LATEST}, min(created_at) AS first_at, max(created_at) AS last_at
+      FROM (SELECT user_id, {LATEST_FIELDS_SQL}, min(created_at) AS first_at, max(created_at) AS last_at
             FROM pref_patches WHERE created_at < {_HALF} GROUP BY 1) c
-      FULL JOIN (SELECT user_id, {_LATEST} FROM pref_patches WHERE created_at >= {_HALF} GROUP BY 1) n
+      FULL JOIN (SELECT user_id, {LATEST_FIELDS_SQL} FROM pref_patches WHERE created_at >= {_HALF} GROUP BY 1) n
       ON c.user_id = n.user_id)"""
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kindred import hooks
-from kindred.catalog.base import as_of, label_sql, level_sql, next_sql, query, strip_sql, tier_sql
+from kindred.catalog.base import (
+    ALL_FIELDS_SQL, LATEST_FIELDS_SQL, as_of, label_sql, level_sql, next_sql, query, strip_sql, tier_sql)
 from kindred.catalog.changes import SYNC_SQL, stored_preferences, synced_users
 from kindred.catalog.scalars import ELIGIBLE_SQL, EMAIL_SQL, PHONE_SQL, TAGS_SQL
 from kindred.functions import text as X
@@ -149,16 +150,14 @@ def p06(v):
         refused.select("pair_id", F.lit(None).cast("boolean").alias("allowed"), "reason"))
 
 
-_LATEST = ", ".join(f"arg_max({f}, seq) AS {f}" for f in PREFERENCE_FIELDS)
 _BOTH = ", ".join(f"coalesce(n.{f}, c.{f}) AS {f}" for f in PREFERENCE_FIELDS)
-_ALL = " AND ".join(f"{f} IS NOT NULL" for f in PREFERENCE_FIELDS)
 
 
 @query("p07_preference_update", f"""
-    SELECT *, ({_ALL}) AS onboarding_complete FROM (
+    SELECT *, ({ALL_FIELDS_SQL}) AS onboarding_complete FROM (
       SELECT coalesce(c.user_id, n.user_id) AS user_id, {_BOTH}
-      FROM (SELECT user_id, {_LATEST} FROM pref_patches WHERE created_at < TIMESTAMP '2024-01-16' GROUP BY 1) c
-      FULL JOIN (SELECT user_id, {_LATEST} FROM checked_patches
+      FROM (SELECT user_id, {LATEST_FIELDS_SQL} FROM pref_patches WHERE created_at < TIMESTAMP '2024-01-16' GROUP BY 1) c
+      FULL JOIN (SELECT user_id, {LATEST_FIELDS_SQL} FROM checked_patches
                  WHERE reason IS NULL AND created_at >= TIMESTAMP '2024-01-16' GROUP BY 1) n ON c.user_id = n.user_id)""")
 def p07(v):
     stored, _ = stored_preferences(v)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import SINCE, as_of, query, strip_sql
+from kindred.catalog.base import (
+    ALL_FIELDS_SQL, LATEST_FIELDS_SQL, SINCE, as_of, query, strip_sql)
 from kindred.functions.karma import award_rejection
 from kindred.functions.matching import model_approved, postable
 from kindred.functions.text import strip
 from kindred.operators import validation as V
-from kindred.plans import ledger, preferences
-from kindred.plans.matching import recent_rows
+from kindred.operators.lookups import restrict
+from kindred.plans import preferences
+from kindred.plans.matching import message_counts, recent_rows
 from kindred.schemas import KARMA_ACTIONS, PREFERENCE_CHOICES
 
 
@@ -48,8 +50,6 @@ def f03(v):
     SELECT community_id, community_name, category, member_count, description FROM communities
     WHERE community_id IN (SELECT community_id FROM recent)""")
 def f04(v):
-    from kindred.operators.lookups import restrict
-    from kindred.plans.matching import message_counts
     return restrict(v.communities, message_counts(v.activity, as_of()), "community_id").select(
         "community_id", "community_name", "category", "member_count", "description")
 
@@ -68,18 +68,8 @@ def f06(v):
     return V.with_reason(v.patch_requests, [rule]).select("seq", "reason")
 
 
-_FOLD_SQL = """
-    SELECT user_id, arg_max(location, seq) AS location, arg_max(recharge_method, seq) AS recharge_method,
-           arg_max(natural_rhythm, seq) AS natural_rhythm, arg_max(ideal_group_size, seq) AS ideal_group_size,
-           arg_max(weekend_trip, seq) AS weekend_trip, arg_max(weekend_env, seq) AS weekend_env,
-           arg_max(background_vibe, seq) AS background_vibe
-    FROM pref_patches GROUP BY 1"""
-
-
 @query("f07_onboarded_cohort", f"""
-    SELECT user_id, location FROM ({_FOLD_SQL}) WHERE location IS NOT NULL AND recharge_method IS NOT NULL
-    AND natural_rhythm IS NOT NULL AND ideal_group_size IS NOT NULL AND weekend_trip IS NOT NULL
-    AND weekend_env IS NOT NULL AND background_vibe IS NOT NULL""")
+    SELECT user_id, location FROM (SELECT user_id, {LATEST_FIELDS_SQL} FROM pref_patches GROUP BY 1) WHERE {ALL_FIELDS_SQL}""")
 def f07(v):
     return preferences.fold(v.pref_patches).filter("onboarding_complete").select("user_id", "location")
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from kindred import hooks
 from kindred.catalog.base import query
-from kindred.catalog.scalars import BIO_SQL, EMAIL_SQL, ENRICHED_SQL, MASKED_SQL, TAGS_SQL, bios
+from kindred.catalog.composites import decided
+from kindred.catalog.scalars import BIO_SQL, ENRICHED_SQL, MASKED_SQL, bios
 from kindred.functions import text as X
+from kindred.functions.matching import postable
 
 
 @query("v01_text_vectors")
@@ -33,7 +35,6 @@ def v02(v):
            CAST(NULL AS VARCHAR) AS mentioned_member, CAST(0 AS DOUBLE) AS toxicity_score, TRUE AS fits
     FROM tiers t JOIN communities c ON c.community_id = t.auto_joined_community""")
 def v03(v):
-    from kindred.catalog.composites import decided
     soulmates = decided(v).filter(F.col("tier") == "soulmate").select(
         "user_id", F.col("auto_joined_community").alias("community_id"),
         F.col("matches")[0]["community_name"].alias("community_name"))
@@ -44,7 +45,6 @@ def v03(v):
     SELECT d.doc_id, coalesce(x.score, 0) AS toxicity_score, coalesce(x.score, 0) < 0.75 AS postable
     FROM documents d LEFT JOIN toxicity x ON x.user_id = d.doc_id""")
 def v04(v):
-    from kindred.functions.matching import postable
     labels = v.toxicity.withColumnRenamed("user_id", "doc_id")
     scored = hooks.score_toxicity(v.table("documents").select("doc_id"), labels=labels)
     return scored.withColumn("postable", postable(F.col("toxicity_score")))

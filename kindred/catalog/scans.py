@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import K_SQL, query
-from kindred.catalog.base import as_of
+from kindred.catalog.base import as_of, query
+from kindred.functions.vectors import norm
 from kindred.operators import lookups
-from kindred.plans import delivery, ledger
+from kindred.plans import ledger
+from kindred.plans.matching import location_candidates
+from kindred.plans.preferences import fold
 from kindred.schemas import AWARD_RULES
 from kindred.session import shared_dir
 from kindred.sources import messages, tables
@@ -109,8 +111,6 @@ def s04(v):
            round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm
     FROM embeddings WHERE vec_id IN (SELECT community_id FROM candidates)""")
 def s05(v):
-    from kindred.functions.vectors import norm
-    from kindred.plans.matching import location_candidates
     allowed = location_candidates(v.communities, v.activity, as_of())
     index = v.table("embeddings").withColumnRenamed("vec_id", "community_id")
     return (lookups.restrict(index, allowed, "community_id")
@@ -136,7 +136,6 @@ def s06(v):
       SELECT user_id, arg_max(location, seq) AS location, arg_max(natural_rhythm, seq) AS natural_rhythm
       FROM pref_patches GROUP BY 1) p USING (user_id)""")
 def s06_preferences(v):
-    from kindred.plans.preferences import fold
     folded = fold(v.pref_patches).select("user_id", "location", "natural_rhythm", F.lit(True).alias("found"))
     return lookups.lookup(v.users.select("user_id"), folded, "user_id", {"found": F.lit(False)})
 

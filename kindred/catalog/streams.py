@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import Views, as_of, query
+from kindred.catalog.base import ALL_FIELDS_SQL, LATEST_FIELDS_SQL, Views, as_of, query
 from kindred.catalog.changes import SYNC_SQL, synced_users
+from kindred.catalog.scans import raw_messages
 from kindred.plans import delivery, matching, preferences
-from kindred.schemas import PREFERENCE_FIELDS
 from kindred.session import settle, shared_dir
 from kindred.sources import messages
 from kindred.streaming import jobs
@@ -61,12 +61,8 @@ def t03(v):
     return jobs.synced_users(synced_users(v), parts)
 
 
-_LATEST = ", ".join(f"arg_max({f}, seq) AS {f}" for f in PREFERENCE_FIELDS)
-_ALL = " AND ".join(f"{f} IS NOT NULL" for f in PREFERENCE_FIELDS)
-
-
 @query("t04_preference_stream", f"""
-    SELECT *, ({_ALL}) AS onboarding_complete FROM (SELECT user_id, {_LATEST} FROM pref_patches GROUP BY 1)""")
+    SELECT *, ({ALL_FIELDS_SQL}) AS onboarding_complete FROM (SELECT user_id, {LATEST_FIELDS_SQL} FROM pref_patches GROUP BY 1)""")
 def t04(v):
     parts = _run(v, "preferences", lambda p, c: jobs.preference_stream(_streams(v).pref_patches, p, c))
     return preferences.merge_parts(parts)
@@ -104,7 +100,6 @@ def t06(v):
     SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS user_id, l.sid, e.event_type AS tier
     FROM events e JOIN live l USING (user_id) WHERE e.event_id % 5 <> 0 AND e.event_id % 13 <> 2""")
 def t07(v):
-    from kindred.catalog.scans import raw_messages
     live = delivery.live_connections(v.connections).withColumn("user_id", F.col("user_id").cast("string"))
     results = messages.parse_results(raw_messages(_streams(v)), "task long, tier string").select(
         "event_id", "user_id", "result.tier")

@@ -143,11 +143,5 @@ QUERY_RESULT_TTL = 900
 CHANNEL_PREFIX = "match_updates_"
 
 
-def award_rules(spark: SparkSession) -> DataFrame:
-    """The award rules as a (constant, eight-row) DataFrame."""
-    return spark.createDataFrame(
-        AWARD_RULES, "action_type string, points int, cap int, cap_scope string")
-
-
 def tier_unlocks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TIER_UNLOCKS, "level int, feature string")

@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from kindred import hooks
 from tests.conftest import rows

@@ -15,6 +15,10 @@ DEFAULTS = {
     # Split a hot key's join even where the split costs the following operator a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Stream state on local disk with changelog checkpoints: it may outgrow executor memory.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 # Fixed when the session is built: records no Python call site per column expression, which makes

@@ -144,4 +144,6 @@ CHANNEL_PREFIX = "match_updates_"
 
 
 def tier_unlocks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TIER_UNLOCKS, "level int, feature string")
+    """The unlocks as an inline relation."""
+    values = ", ".join(f"({level}, '{feature}')" for level, feature in TIER_UNLOCKS)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS unlocks(level, feature)")

@@ -19,3 +19,13 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def share(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal id, modulo ``modulus`` (a null id counts as the empty string)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def row_key() -> Column:
+    """A key of (doc_id, text): rows that repeat both share it and are treated alike."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
+def signed(value: int) -> int:
+    """A 64-bit pattern as Spark's signed long."""
+    return value - (1 << 64) if value >= 1 << 63 else value

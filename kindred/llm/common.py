@@ -29,3 +29,17 @@ def row_key() -> Column:
 def signed(value: int) -> int:
     """A 64-bit pattern as Spark's signed long."""
     return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, zeros: int, ones: int) -> tuple[DataFrame, float | None]:
+    """Labelled texts (``doc_id``, ``text``, ``label``) and the share of label 1 among all labelled ids.
+
+    At most ``zeros`` and ``ones`` ids of either label, in the order of a hash of the id. Null labels and ids are left
+    out; of conflicting labels of an id the higher counts. Only the ids are broadcast; texts stay where they are read.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    base = known.agg(F.avg("label")).first()[0]
+    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+             for y, n in ((0, zeros), (1, ones))]
+    return texts(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id"), base

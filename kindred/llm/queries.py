@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, decontaminate, licenses, neighbours, secrets, simhash
-from kindred.llm.common import table
+from kindred.llm import bpe, decontaminate, licenses, neighbours, quality, secrets, simhash, toxicity
+from kindred.llm.common import share, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,27 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _held_out(modulus: int):
+    return share(F.col("doc_id"), modulus) == 2
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~_held_out(4)))
+    return toxicity.score(docs, model).select(
+        "doc_id", _held_out(4).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    vectors = quality.learn_vectors(docs)
+    network = quality.train(docs, labels.where(~_held_out(4)), vectors)
+    return quality.score(docs, vectors, network).select(
+        "doc_id", _held_out(4).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
@@ -38,6 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontaminate, op2_secret_scan, op3_byte_bpe, op5_simhash, op9_nearest, op10_license_scan)
+        op1_decontaminate, op2_secret_scan, op3_byte_bpe, op5_simhash, op6_toxicity, op7_quality, op9_nearest,
+        op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle()}

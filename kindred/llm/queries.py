@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, decontaminate, licenses, neighbours, quality, secrets, simhash, toxicity
+from kindred.llm import bpe, decontaminate, licenses, lm, neighbours, quality, secrets, simhash, toxicity
 from kindred.llm.common import share, table
 
 
@@ -48,6 +48,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), ~_held_out(7))
+    return found.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                        "score", "bits_per_byte")
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
@@ -59,7 +65,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontaminate, op2_secret_scan, op3_byte_bpe, op5_simhash, op6_toxicity, op7_quality, op9_nearest,
-        op10_license_scan)
+        op1_decontaminate, op2_secret_scan, op3_byte_bpe, op5_simhash, op6_toxicity, op7_quality, op8_context_tree,
+        op9_nearest, op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle()}

@@ -3,12 +3,12 @@
 Each byte is eight binary decisions, each with the path of the bits before it. For every decision a tree over the
 preceding ``DEPTH`` bytes mixes Krichevsky-Trofimov estimates of all depths: a node's weight is half that of its own
 estimate and half the product of its children's. The counts come from all training rows; the weights are then
-frozen, so the probability of a byte depends only on the three bytes before it and scoring adds up looked-up values.
+frozen, so the probability of a byte depends only on the ``DEPTH`` bytes before it and scoring adds up looked-up values.
 
 Spark's part: texts are packed into blocks of some megabytes, frozen in the shared folder. Every block counts its
-words and byte 4-grams; sums over blocks give the training counts; 4-grams are grouped by their last two context bytes
-(at most 65,536 counts to a group) to weight the lower half of the tree, and only the upper half, at most
-256 x 255 nodes, passes the driver. Counts and log-probabilities go back to the blocks that asked for them. Nothing
+words and grams (a byte with its context); sums over blocks give the training counts; distinct grams are grouped by
+their last two context bytes, a bounded alphabet, to weight the lower levels of the tree, and only the two upper ones,
+at most 256 x 255 nodes, pass the driver. Counts and log-probabilities go back to the blocks that asked for them. Nothing
 that grows with the corpus is broadcast or collected.
 
 Defined cases: null texts count as empty; an empty text has the end token only; a null ``doc_id`` belongs to the share
@@ -19,6 +19,7 @@ rows every byte decision has probability 1/2 and the base score is 0; an empty t
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window
 from kindred.llm.common import texts
 from kindred.session import settle
 
-DEPTH = 3
+DEPTH = 4
 BLOCK = 16 << 20
 # Stands before and after every text; it never occurs in UTF-8.
 EDGE = b"\xff"
@@ -41,10 +42,13 @@ def padded(text: str) -> bytes:
     return EDGE * DEPTH + text.encode("utf-8", "replace").lower() + EDGE
 
 
-def codes(data: bytes) -> np.ndarray:
-    """Context and byte of every position after the first ``DEPTH``, as one 32-bit number."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    return b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+def codes(data: bytes, depth: int = DEPTH) -> np.ndarray:
+    """Context and byte of every position after the first ``depth``, as one number."""
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    out = b[:len(b) - depth]
+    for k in range(1, depth + 1):
+        out = out << 8 | b[k:len(b) - depth + k]
+    return out
 
 
 def log_gamma_half(top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +76,6 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return half(zeros) + half(ones) - whole - LOG_PI
 
 
-def bit_counts(rows: np.ndarray, bytes_: np.ndarray, counts: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the 255 decision nodes of each row (n_rows, 256); node 0 is unused."""
-    out = np.zeros((2, n_rows * 256))
-    for depth in range(8):
-        node = (1 << depth) | (bytes_ >> (8 - depth))
-        bit = (bytes_ >> (7 - depth)) & 1
-        for value in (0, 1):
-            here = bit == value
-            out[value] += np.bincount(rows[here] * 256 + node[here], counts[here], n_rows * 256)
-    return out[0].reshape(n_rows, 256), out[1].reshape(n_rows, 256)
-
-
 def mix(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log weighted probability of nodes whose children's logs sum to ``children``, and the share of their own
     estimate in the mixture."""
@@ -97,35 +89,55 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (ones + 0.5) / (zeros + ones + 1)
 
 
-def lower_half(grams: np.ndarray, counts: np.ndarray):
-    """Both lower levels of the tree under one pair of context bytes: rows of the three-byte contexts, their counts,
-    and the pair's counts, log weighted probability and share."""
-    contexts, rows = np.unique(grams >> 8, return_inverse=True)
-    zeros, ones = bit_counts(rows, grams & 255, counts, len(contexts))
-    a, b = zeros.sum(axis=0), ones.sum(axis=0)
-    weighted, own = mix(a, b, estimate(zeros, ones).sum(axis=0))
-    return rows, zeros, ones, a, b, weighted, own
-
-
-def byte_logs(ones: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte, from its row's (n, 256) probabilities of ones."""
-    total, place = np.zeros(len(bytes_)), np.arange(len(bytes_))
-    for depth in range(8):
-        p = ones[place, (1 << depth) | (bytes_ >> (8 - depth))]
-        total += np.log10(np.where((bytes_ >> (7 - depth)) & 1, p, 1 - p))
-    return total
-
-
-def tree_values(counts: DataFrame) -> DataFrame:
-    """``gram`` and ``value``: log10 probability of each gram's last byte after its first three, from the training
+@dataclass
+class Level:
+    """The decision nodes of one depth: where each decision finds its own, its estimate of a one, and its share."""
+    place: np.ndarray
+    one: np.ndarray
+    share: np.ndarray
+
+
+def decisions(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Node (the path with a leading one) and bit of the eight decisions of each gram's byte, (8, n)."""
+    byte, depth = grams & 255, np.arange(8)[:, None]
+    return (1 << depth) | (byte >> (8 - depth)), (byte >> (7 - depth)) & 1
+
+
+def lower_levels(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[list[Level], np.ndarray]:
+    """Levels ``depth`` to 2 under one pair of last context bytes, and that pair's nodes as an array
+    (4, 256): zeros, ones, log weighted probability, share."""
+    nodes, bits = decisions(grams)
+    weights = np.broadcast_to(counts, nodes.shape).ravel()
+    bits = bits.ravel()
+    levels: list[Level] = []
+    below = None
+    for d in range(depth, 1, -1):
+        keys = ((grams >> 8) & ((1 << 8 * d) - 1)) << 8 | nodes
+        own, place = np.unique(keys.ravel(), return_inverse=True)
+        zeros = np.bincount(place, weights * (bits == 0), len(own))
+        ones = np.bincount(place, weights * (bits == 1), len(own))
+        if below is None:
+            weighted, share = estimate(zeros, ones), np.ones(len(own))
+        else:
+            keys, values = below
+            up = ((keys >> 8) & ((1 << 8 * d) - 1)) << 8 | (keys & 255)
+            weighted, share = mix(zeros, ones, np.bincount(np.searchsorted(own, up), values, len(own)))
+        below = own, weighted
+        levels.append(Level(place.ravel(), kt(zeros, ones), share))
+    top = np.zeros((4, 256))
+    top[:, own & 255] = zeros, ones, weighted, share
+    return levels, top
+
+
+def tree_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``gram`` and ``value``: log10 probability of each gram's last byte after its context, from the training
     counts ``n`` of all grams (rows with n = 0 are asked for but teach nothing)."""
-    spark = counts.sparkSession
     grouped = counts.withColumn("pair", F.shiftright(F.col("gram"), 8).bitwiseAND(F.lit(0xFFFF)).cast("int"))
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        _, _, _, a, b, weighted, _ = lower_half(group["gram"].to_numpy(), group["n"].to_numpy(float))
-        return pd.DataFrame({"last": int(group["pair"].iloc[0]) & 255, "node": np.arange(1, 256), "zeros": a[1:],
-                             "ones": b[1:], "below": weighted[1:]})
+        zeros, ones, weighted, _ = lower_levels(group["gram"].to_numpy(), group["n"].to_numpy(float), depth)[1][:, 1:]
+        return pd.DataFrame({"last": int(group["pair"].iloc[0]) & 255, "node": np.arange(1, 256), "zeros": zeros,
+                             "ones": ones, "below": weighted})
 
     # At most 256 x 255 rows.
     upper = grouped.groupBy("pair").applyInPandas(
@@ -140,17 +152,20 @@ def tree_values(counts: DataFrame) -> DataFrame:
     zeros0, ones0 = tables["zeros"].sum(axis=0), tables["ones"].sum(axis=0)
     _, share0 = mix(zeros0, ones0, above.sum(axis=0))
     kt0 = kt(zeros0, ones0)
-    packed = spark.sparkContext.broadcast((kt0, share0, kt1, share1))
+    packed = counts.sparkSession.sparkContext.broadcast((kt0, share0, kt1, share1))
 
     def values(group: pd.DataFrame) -> pd.DataFrame:
-        grams = group["gram"].to_numpy()
-        rows, zeros, ones, a, b, _, own = lower_half(grams, group["n"].to_numpy(float))
         kt_root, share_root, kt_last, share_last = packed.value
-        last = int(group["pair"].iloc[0]) & 255
-        p = own * kt(a, b) + (1 - own) * kt(zeros, ones)
-        p = share_last[last] * kt_last[last] + (1 - share_last[last]) * p
-        p = share_root * kt_root + (1 - share_root) * p
-        return pd.DataFrame({"gram": grams, "value": byte_logs(p[rows], grams & 255)})
+        grams, last = group["gram"].to_numpy(), int(group["pair"].iloc[0]) & 255
+        nodes, bits = (x.ravel() for x in decisions(grams))
+        p = np.zeros(len(nodes))
+        for level in lower_levels(grams, group["n"].to_numpy(float), depth)[0]:
+            share = level.share[level.place]
+            p = share * level.one[level.place] + (1 - share) * p
+        p = share_last[last, nodes] * kt_last[last, nodes] + (1 - share_last[last, nodes]) * p
+        p = share_root[nodes] * kt_root[nodes] + (1 - share_root[nodes]) * p
+        logs = np.log10(np.where(bits == 1, p, 1 - p)).reshape(8, -1).sum(axis=0)
+        return pd.DataFrame({"gram": grams, "value": logs})
 
     return grouped.groupBy("pair").applyInPandas(values, "gram long, value double")
 
@@ -217,26 +232,42 @@ def count_block(data: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
         grams[trained].append(codes(low))
     counts = dict.fromkeys([b"", *other], 0) | words
     learned = np.unique(np.concatenate(grams[True]), return_counts=True) if grams[True] else (
-        np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    asked = np.setdiff1d(np.concatenate(grams[False]), learned[0]) if grams[False] else np.zeros(0, np.uint32)
+        np.zeros(0, np.int64), np.zeros(0, np.int64))
+    asked = np.setdiff1d(np.concatenate(grams[False]), learned[0]) if grams[False] else np.zeros(0, np.int64)
     return counts, np.concatenate([learned[0], asked]), np.concatenate([learned[1], np.zeros(len(asked), np.int64)])
 
 
+class Lookup:
+    """Values by gram: one slot for most grams, a sorted search for those whose slot is taken."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.values = grams[order], values[order]
+        self.shift = np.uint64(64 - max(8, int(len(grams)).bit_length() + 2))
+        slots = self.slots(self.grams)
+        self.held = np.full(1 << int(np.uint64(64) - self.shift), -1, np.int64)
+        self.found = np.zeros(len(self.held))
+        self.held[slots], self.found[slots] = self.grams, self.values
+
+    def slots(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def total(self, grams: np.ndarray) -> float:
+        slots = self.slots(grams)
+        hit = self.held[slots] == grams
+        rest = grams[~hit]
+        return float(self.found[slots[hit]].sum() + self.values[np.searchsorted(self.grams, rest)].sum())
+
+
 def score_block(data: bytes, words: dict[bytes, float], grams: np.ndarray, values: np.ndarray):
     """(doc_id, tokens, known tokens, coded bytes, sum of log10(c + 1), log10 probability) of every row of a block."""
-    contexts, rows = np.unique(grams >> 8, return_inverse=True)
-    place = np.zeros(1 << 24, np.int32)
-    place[contexts] = np.arange(len(contexts))
-    table = np.zeros((len(contexts), 256), np.float32)
-    table[rows, grams & 255] = values
-    table = table.ravel()
+    lookup = Lookup(grams, values)
     for doc_id, _, text in unpack(data):
         low = padded(text)
         found = low[DEPTH:-1].split()
         logs = np.array([words[b""], *(words[w] for w in found)])
         code = codes(low)
-        total = table[place[code >> 8] * np.int64(256) + (code & 255)].sum(dtype=np.float64)
-        yield doc_id, len(logs), int((logs > 0).sum()), len(code), float(logs.sum()), float(total)
+        yield doc_id, len(logs), int((logs > 0).sum()), len(code), float(logs.sum()), lookup.total(code)
 
 
 def score(docs: DataFrame, trained: Column, block: int = BLOCK) -> DataFrame:
@@ -254,7 +285,7 @@ def score(docs: DataFrame, trained: Column, block: int = BLOCK) -> DataFrame:
                     names=["block", "word", "gram", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(grams), key)), pa.nulls(len(grams), pa.binary()),
-                     pa.array(grams.astype(np.int64)), pa.array(n)], names=["block", "word", "gram", "n"])
+                     pa.array(grams), pa.array(n)], names=["block", "word", "gram", "n"])
 
     counted = settle(blocks.mapInArrow(count, "block long, word binary, gram long, n long"), "counts")
     words = counted.where(F.col("word").isNotNull()).select("block", "word", "n")

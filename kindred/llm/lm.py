@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kindred.llm.blocks import BLOCK, pack, unpack
 from kindred.llm.common import texts
 from kindred.session import settle
 
 DEPTH = 4
-BLOCK = 16 << 20
 # Stands before and after every text; it never occurs in UTF-8.
 EDGE = b"\xff"
 LOG_PI = float(np.log(np.pi))
@@ -170,52 +170,6 @@ def tree_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return grouped.groupBy("pair").applyInPandas(values, "gram long, value double")
 
 
-def pack(docs: DataFrame, trained: Column, block: int = BLOCK) -> DataFrame:
-    """Blocks of about ``block`` bytes of text: ``block`` (key) and ``data`` (compressed Arrow batches)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("trained", pa.bool_()), ("text", pa.string())])
-
-    def run(batches):
-        from pyspark import TaskContext
-        part, number = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def row():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for piece in held:
-                    out.write_batch(piece)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                names=["block", "data"])
-
-        for b in batches:
-            sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in b.column("text")], np.int64)
-            at = 0
-            while at < b.num_rows:
-                room = int(np.searchsorted(np.cumsum(sizes[at:]), block - size, "right"))
-                take = min(b.num_rows - at, max(room, 0 if held else 1))
-                if take:
-                    held.append(b.slice(at, take).cast(schema))
-                    size += int(sizes[at:at + take].sum())
-                    at += take
-                if at < b.num_rows or size >= block:
-                    yield row()
-                    number += 1
-                    held, size = [], 0
-        if held:
-            yield row()
-
-    # Settled: the blocks' keys must not change when a lost task runs again.
-    return settle(texts(docs).select("doc_id", F.coalesce(trained, F.lit(False)).alias("trained"), "text").mapInArrow(
-        run, "block long, data binary"), "blocks")
-
-
-def unpack(data: bytes):
-    for b in pa.ipc.open_stream(data):
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-
 def count_block(data: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
     """Training counts of all words of a block (the empty word is the end token) and of all its grams."""
     words: Counter = Counter()
@@ -273,7 +227,7 @@ def score_block(data: bytes, words: dict[bytes, float], grams: np.ndarray, value
 def score(docs: DataFrame, trained: Column, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10 probability of the text and
     its end) and ``bits_per_byte`` (its code length) for every row, from a model of the rows where ``trained`` (a condition on ``doc_id``) holds."""
-    blocks = pack(docs, trained, block)
+    blocks = pack(texts(docs).select("doc_id", F.coalesce(trained, F.lit(False)).alias("trained"), "text"), block)
 
     def count(batches):
         for b in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, decontaminate, licenses, lm, neighbours, quality, secrets, simhash, toxicity
+from kindred.llm import bpe, decontaminate, licenses, lm, neighbours, quality, repeats, secrets, simhash, toxicity
 from kindred.llm.common import share, table
 
 
@@ -23,6 +23,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.removed(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontaminate, op2_secret_scan, op3_byte_bpe, op5_simhash, op6_toxicity, op7_quality, op8_context_tree,
-        op9_nearest, op10_license_scan)
+        op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_repeats, op5_simhash, op6_toxicity,
+        op7_quality, op8_context_tree, op9_nearest, op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle()}

@@ -43,3 +43,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, zeros: int, ones: int
     parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
              for y, n in ((0, zeros), (1, ones))]
     return texts(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id"), base
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a variant of it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` and, under the returned name, the key that ``row_key`` gives its texts."""
+    name = fresh(docs, "row")
+    return docs.withColumn(name, F.xxhash64(
+        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))), name

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import row_key, texts
+from kindred.llm.common import row_key, texts, with_row_key
 
 WINDOW = 8
 LITERALS = 0.4
@@ -191,6 +191,5 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without those that match an item, columns unchanged."""
     bad = matches(docs, items, **options).select("row").distinct()
-    keyed = docs.withColumn("__row", F.xxhash64(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(bad, keyed["__row"] == bad["row"], "left_anti").select(docs.columns)
+    keyed, row = with_row_key(docs)
+    return keyed.join(bad.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)

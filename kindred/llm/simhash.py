@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import signed, texts
+from kindred.llm.common import row_key, signed, texts, with_row_key
 from kindred.llm.components import components
 from kindred.session import settle
 
@@ -61,14 +61,14 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``bits`` (the fingerprint as a signed long), one row per input row."""
+    """``row`` (key of id and text), ``doc_id`` and ``bits`` (the fingerprint as a signed long) of every row."""
     def score(batches):
         for b in batches:
             # Signed, as Spark's long.
-            bits = np.array([fingerprint(t.as_py(), size) for t in b[1]], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(bits)], names=["doc_id", "bits"])
+            bits = np.array([fingerprint(t.as_py(), size) for t in b[2]], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(bits)], names=["row", "doc_id", "bits"])
 
-    return texts(docs).mapInArrow(score, "doc_id long, bits long")
+    return texts(docs).select(row_key(), "doc_id", "text").mapInArrow(score, "row long, doc_id long, bits long")
 
 
 def grid_point(bits: Column) -> Column:
@@ -164,29 +164,26 @@ def links(points: DataFrame, distance: int = DISTANCE, axes: int = AXES, block:
     return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` for every row."""
+def placed(docs: DataFrame, size: int, distance: int) -> DataFrame:
+    """``row``, ``doc_id``, ``bits`` and ``root`` (a fingerprint that names the component) of every row."""
     marked = settle(fingerprints(docs, size), "fingerprints")
     groups = components(links(marked.select("bits").distinct(), distance))
-    placed = marked.join(groups.withColumnRenamed("node", "bits"), "bits", "left").select(
-        "doc_id", "bits", F.coalesce("root", "bits").alias("root"))
-    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(names, "root").select(
+    return marked.join(groups.withColumnRenamed("node", "bits"), "bits", "left").select(
+        "row", "doc_id", "bits", F.coalesce("root", "bits").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` for every row."""
+    rows = placed(docs, size, distance)
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "root").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that repeat that id, one. Among rows
-    without an id, one of each component that holds no other. Columns unchanged."""
-    first = near_duplicates(docs, size, distance)
-    chosen = first.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    orphans = first.where(F.col("component_id").isNull()).select("fingerprint").distinct()
-    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if orphans.isEmpty():
-        return named.select(docs.columns)
-    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    nameless = settle(nameless.withColumn("__row", F.monotonically_increasing_id()), "nameless")
-    again = near_duplicates(nameless.select(F.col("__row").alias("doc_id"), "text"), size, distance)
-    alone = again.where(F.col("doc_id") == F.col("component_id")).join(orphans, "fingerprint", "left_semi")
-    return named.select(docs.columns).unionByName(
-        nameless.join(alone.select(F.col("doc_id").alias("__row")), "__row", "left_semi").select(docs.columns))
+    """One document of each component, the one with the smallest id (a null id only where there is no other); of rows
+    that repeat id and text, one. Columns unchanged."""
+    first = placed(docs, size, distance).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))["row"].alias("row"))
+    keyed, row = with_row_key(docs)
+    return keyed.join(first.select(F.col("row").alias(row)), row, "left_semi").dropDuplicates([row]).select(docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import ALL_FIELDS_SQL, LATEST_FIELDS_SQL, SINCE, as_of, query
+from kindred.catalog.base import DIM, ALL_FIELDS_SQL, LATEST_FIELDS_SQL, SINCE, as_of, query
 from kindred.hooks import max_score
 from kindred.operators.similarity import top_k_by_cosine
 from kindred.plans import delivery, ledger, matching, preferences
@@ -16,11 +16,16 @@ def a01(v):
 
 
 @query("a02_count_nullable", f"""
-    SELECT c.community_id, count(a.message_id) AS recent_messages FROM communities c
-    LEFT JOIN (SELECT * FROM activity WHERE created_at >= {SINCE}) a USING (community_id) GROUP BY 1""")
+    SELECT c.community_id, count(a.message_id) AS recent_messages, count(a.user_id) AS recent_rows FROM communities c
+    LEFT JOIN (SELECT community_id, user_id, CASE WHEN message_id % 7 <> 3 THEN message_id END AS message_id
+               FROM activity WHERE created_at >= {SINCE}) a USING (community_id) GROUP BY 1""")
 def a02(v):
-    return matching.with_recent_activity(v.communities, v.activity, as_of()).select(
-        "community_id", F.col("recent_activity").alias("recent_messages"))
+    """Messages that lost their id do not count; a community without any counts 0."""
+    recent = matching.recent_rows(v.activity, as_of()).withColumn(
+        "message_id", F.when(F.col("message_id") % 7 != 3, F.col("message_id")))
+    counts = recent.groupBy("community_id").agg(
+        F.count("message_id").alias("recent_messages"), F.count("user_id").alias("recent_rows"))
+    return v.communities.select("community_id").join(counts, "community_id", "left").fillna(0)
 
 
 @query("a03_table_counts", """
@@ -45,7 +50,7 @@ def a04(v):
     SELECT user_id, count(DISTINCT category) = 1 AS uniform FROM ranked WHERE rn <= 3 GROUP BY 1""")
 def a05(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    top = top_k_by_cosine(v.user_vectors, candidates, v.index, k=3, population=v.users)
+    top = top_k_by_cosine(v.user_vectors, candidates, v.index, DIM, k=3, population=v.users)
     names = F.array_distinct(F.transform("matches", lambda m: m["category"]))
     return top.filter(F.size("matches") > 0).select("user_id", (F.size(names) == 1).alias("uniform"))
 
@@ -70,7 +75,7 @@ def a07(v):
     SELECT user_id, string_agg(CAST(community_id AS VARCHAR), ',' ORDER BY new_rank) AS community_ids, count(*) AS n FROM reranked GROUP BY 1""")
 def a08(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    top = matching.top_matches(v.user_vectors, candidates, v.index, population=v.users).filter(F.size("matches") > 0)
+    top = matching.top_matches(v.user_vectors, candidates, v.index, dim=DIM, population=v.users).filter(F.size("matches") > 0)
     ids = F.transform("matches", lambda m: m["community_id"].cast("string"))
     return top.select("user_id", F.array_join(ids, ",").alias("community_ids"),
                       F.size("matches").cast("long").alias("n"))

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 from kindred.schemas import PREFERENCE_CHOICES, PREFERENCE_FIELDS
 
 AS_OF = "2024-01-31 00:00:00"
+# Values of a vector of the given table.
+DIM = 64
 
 
 def as_of() -> Column:
@@ -97,6 +99,10 @@ class Views:
                 .select(u.alias("user_id"), F.col("c_name").alias("username"), "city", "timezone",
                         (u % 11 != 3).alias("is_active"), F.col("c_nationkey").alias("place")))
 
+    @cached_property
+    def n_vectors(self) -> int:
+        return self.table("embeddings").count()
+
     @cached_property
     def user_vectors(self) -> DataFrame:
         u = F.col("user_id")
@@ -104,8 +110,8 @@ class Views:
         a = emb.select(F.col("vec_id").alias("_a"), F.col("embedding").alias("_va"))
         b = emb.select(F.col("vec_id").alias("_b"), F.col("embedding").alias("_vb"))
         w = F.when(u % 3 == 0, 1.0).when(u % 3 == 1, 0.5).otherwise(0.2)
-        return (self.users.join(a, F.col("_a") == F.col("place") + 25 * (u % 20))
-                .join(b, F.col("_b") == (u * 7 + 3) % 500)
+        return (self.users.join(a, F.col("_a") == F.col("place") + 25 * (u % F.lit(self.n_vectors // 25)))
+                .join(b, F.col("_b") == (u * 7 + 3) % self.n_vectors)
                 .withColumn("_w", w)
                 .select("user_id", "username", "city", "timezone",
                         F.zip_with("_va", "_vb", lambda x, y: F.col("_w") * x.cast("double")
@@ -327,8 +333,8 @@ VIEWS_SQL = {
                list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),
                               lambda x: CAST(w AS DOUBLE) * x[1] + (1 - CAST(w AS DOUBLE)) * x[2]) AS vector
         FROM (SELECT *, CAST(CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.2 END AS DOUBLE) AS w FROM users) u
-        JOIN embeddings a ON a.vec_id = u.place + 25 * (u.user_id % 20)
-        JOIN embeddings b ON b.vec_id = (u.user_id * 7 + 3) % 500""",
+        JOIN embeddings a ON a.vec_id = u.place + 25 * (u.user_id % ((SELECT count(*) FROM embeddings) // 25))
+        JOIN embeddings b ON b.vec_id = (u.user_id * 7 + 3) % (SELECT count(*) FROM embeddings)""",
     "ledger": f"""
         SELECT event_id AS id, user_id,
                CASE event_type {" ".join(f"WHEN '{e}' THEN '{a}'" for e, a, _ in EVENT_AWARDS)} END AS action_type,

@@ -6,20 +6,21 @@ from pyspark.sql import functions as F
 
 from kindred import hooks
 from kindred.catalog.base import (
-    ALL_FIELDS_SQL, LATEST_FIELDS_SQL, as_of, label_sql, level_sql, next_sql, query, strip_sql, tier_sql)
+    ALL_FIELDS_SQL, AS_OF, DIM, LATEST_FIELDS_SQL, as_of, label_sql, level_sql, next_sql, query, strip_sql, tier_sql)
 from kindred.catalog.changes import SYNC_SQL, stored_preferences, synced_users
 from kindred.catalog.scalars import ELIGIBLE_SQL, EMAIL_SQL, PHONE_SQL, TAGS_SQL
 from kindred.functions import text as X
 from kindred.operators import validation as V
 from kindred.plans import ledger, matching, preferences, requests, users
 from kindred.schemas import PREFERENCE_FIELDS
+from kindred.session import settle
 from kindred.sources import messages
 
 
 def decided(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
     popular = matching.popular_communities(v.communities, v.activity, as_of())
-    return matching.decide(matching.top_matches(v.user_vectors, candidates, v.index, population=v.users), popular)
+    return matching.decide(matching.top_matches(v.user_vectors, candidates, v.index, dim=DIM, population=v.users), popular)
 
 
 def accepted_profiles(v):
@@ -41,7 +42,7 @@ def accepted_profiles(v):
 def p01(v):
     results = matching.match_results(
         accepted_profiles(v), v.communities, v.index, v.activity, v.members, as_of(), v.toxicity,
-        keep=["user_id", "embedding_text"], population=v.users)
+        keep=["user_id", "embedding_text"], population=v.users, dim=DIM)
     flat = matching.explode_matches(
         results.withColumn("text_chars", F.length("embedding_text").cast("long")),
         "user_id", "tier", "auto_joined_community", "ai_intro_generated", "text_chars")
@@ -69,14 +70,28 @@ def p02(v):
 def p02_results(v):
     return matching.match_results(
         v.user_vectors, v.communities, v.index, v.activity, v.members, as_of(), v.toxicity,
-        population=v.users).drop("matches")
+        population=v.users, dim=DIM).drop("matches")
+
+
+def greet(rows):
+    """An introduction model: mentions the most active member; every tenth user's text is toxic, every
+    thirteenth makes it fail."""
+    out = []
+    for row in rows:
+        if row["user_id"] % 13 == 5:
+            raise ValueError("no text")
+        first = (row["active_members"] or [None])[0]
+        out.append((f"{row['community_name']} welcomes you, says {first}", first, 0.9 if row["user_id"] % 10 == 1 else 0.2))
+    return out
 
 
 @query("p02_introductions", """
-    SELECT t.user_id, t.auto_joined_community AS community_id, m.username AS mentioned_member,
-           coalesce(x.score, 0) AS toxicity_score, coalesce(x.score, 0) < 0.75 AS posted
+    SELECT t.user_id, t.auto_joined_community AS community_id, t.user_id % 13 = 5 AS model_failed,
+           CASE WHEN t.user_id % 13 <> 5 THEN m.username END AS mentioned_member,
+           CASE WHEN t.user_id % 13 = 5 THEN 'Welcome to Community#' || t.auto_joined_community || '! We''re excited to have you here.'
+                ELSE 'Community#' || t.auto_joined_community || ' welcomes you, says ' || coalesce(m.username, 'None') END AS intro_text,
+           t.user_id % 13 = 5 OR t.user_id % 10 <> 1 AS posted
     FROM tiers t LEFT JOIN members j ON j.user_id = t.user_id AND j.community_id = t.auto_joined_community
-    LEFT JOIN toxicity x ON x.user_id = t.user_id
     LEFT JOIN (
       SELECT community_id, username FROM (
         SELECT m.community_id, u.username, u.user_id, count(a.message_id) AS n FROM users u JOIN members m USING (user_id)
@@ -85,9 +100,19 @@ def p02_results(v):
       QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY n DESC, user_id) = 1) m ON m.community_id = t.auto_joined_community
     WHERE t.tier = 'soulmate' AND j.user_id IS NULL""")
 def p02_introductions(v):
-    first = matching.active_members(v.users, v.members, v.activity, as_of(), k=1)
-    return matching.introductions(decided(v), v.members, first, v.toxicity).select(
-        "user_id", "community_id", "mentioned_member", "toxicity_score", "posted")
+    existing = v.members.withColumnRenamed("community_id", "auto_joined_community")
+    joining = settle(decided(v).filter(F.col("tier") == "soulmate").select("user_id", "auto_joined_community")
+                     .join(existing, ["user_id", "auto_joined_community"], "left_anti"), "joining")
+    return requests.introductions(joining, v.communities, v.activity, v.members, v.users, as_of(), greet).select(
+        "user_id", F.col("auto_joined_community").alias("community_id"), "model_failed", "mentioned_member", "intro_text", "posted")
+
+
+@query("p02_new_members", f"""
+    SELECT t.user_id, t.auto_joined_community AS community_id, TIMESTAMP '{AS_OF}' AS joined_at, TRUE AS auto_joined
+    FROM tiers t LEFT JOIN members m ON m.user_id = t.user_id AND m.community_id = t.auto_joined_community
+    WHERE t.tier = 'soulmate' AND m.user_id IS NULL""")
+def p02_new_members(v):
+    return matching.new_memberships(decided(v), v.members, as_of())
 
 
 @query("p03_no_candidate_fallback", """
@@ -101,7 +126,7 @@ def p03(v):
     moved = v.user_vectors.withColumn("city", F.when(F.col("user_id") % 4 != 0, F.col("city")).otherwise("NOWHERE"))
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
     popular = matching.popular_communities(v.communities, v.activity, as_of())
-    out = matching.decide(matching.top_matches(moved, candidates, v.index), popular)
+    out = matching.decide(matching.top_matches(moved, candidates, v.index, dim=DIM), popular)
     ids = F.transform("matches", lambda m: m["community_id"])
     return out.select("user_id", (F.col("user_id") % 4 == 0).alias("moved"), "tier",
                       F.size("matches").cast("long").alias("n_matches"), F.array_min(ids).alias("least_id"))
@@ -123,12 +148,18 @@ def p04(v):
 
 @query("p05_award_batch", f"""
     SELECT id, user_id, balance, {tier_sql("balance")} AS tier, {level_sql("balance")} AS tier_level,
-           {next_sql("balance")} AS next_tier_threshold, CAST(coalesce(threshold, 0) AS INTEGER) AS inbox_shield_threshold
+           {next_sql("balance")} AS next_tier_threshold, inbox_shield_threshold FROM (
+    SELECT id, user_id, CAST(run + coalesce(opening, 0) AS BIGINT) AS balance,
+           CAST(coalesce(threshold, 0) AS INTEGER) AS inbox_shield_threshold
     FROM (SELECT *, CAST(sum(point_delta) OVER (PARTITION BY user_id ORDER BY created_at, id
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance
-          FROM checked_awards WHERE reason IS NULL) LEFT JOIN shield USING (user_id)""")
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run
+          FROM checked_awards WHERE reason IS NULL AND created_at >= TIMESTAMP '2024-01-10') LEFT JOIN shield USING (user_id)
+    LEFT JOIN (SELECT user_id, sum(point_delta) AS opening FROM ledger WHERE created_at < TIMESTAMP '2024-01-10' GROUP BY 1)
+          USING (user_id))""")
 def p05(v):
-    return ledger.award(v.award_requests, v.users, v.shield).select(
+    """Awards since a day, on top of the ledger before it."""
+    late = F.col("created_at") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    return ledger.award(v.award_requests.filter(late), v.users, v.ledger.filter(~late), v.shield).select(
         "id", "user_id", "balance", "tier", "tier_level", "next_tier_threshold", "inbox_shield_threshold")
 
 

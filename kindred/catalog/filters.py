@@ -23,13 +23,18 @@ def f01(v):
 
 
 @query("f02_location_filter", """
-    SELECT u.user_id, c.community_id FROM users u JOIN communities c USING (city, timezone)
-    WHERE c.is_active AND c.community_id = u.place + 25 * (u.user_id % 20)""")
+    SELECT u.user_id, count(*) AS n_communities, min(c.community_id) AS first_id, max(c.community_id) AS last_id,
+           CAST(sum(c.community_id) AS BIGINT) AS sum_of_ids
+    FROM users u JOIN communities c USING (city, timezone) WHERE c.is_active GROUP BY 1""")
 def f02(v):
-    """Each user's own-city community of the fixture, kept if it passes the location predicate."""
-    u = v.users.withColumn("community_id", F.col("place") + 25 * (F.col("user_id") % 20))
-    c = v.communities.filter("is_active").select("community_id", "city", "timezone")
-    return u.join(c, ["community_id", "city", "timezone"]).select("user_id", "community_id")
+    """All active communities at each user's location, folded to one row per user.
+
+    Users of a place see the same communities, so each place is folded once.
+    """
+    at = v.communities.filter("is_active").groupBy("city", "timezone").agg(
+        F.count(F.lit(1)).alias("n_communities"), F.min("community_id").alias("first_id"),
+        F.max("community_id").alias("last_id"), F.sum("community_id").alias("sum_of_ids"))
+    return v.users.join(at, ["city", "timezone"]).select("user_id", "n_communities", "first_id", "last_id", "sum_of_ids")
 
 
 @query("f02_communities_at", """
@@ -151,19 +156,34 @@ def f15(v):
                            model_approved(s).alias("approved"))
 
 
-@query("f16_key_constraints", """
-    SELECT 'communities' AS table_name, 'duplicate key' AS check_name, count(*) AS violations FROM
-      (SELECT community_id FROM communities GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'communities', 'null description', count(*) FILTER (description IS NULL) FROM communities
-    UNION ALL SELECT 'communities', 'null city', count(*) FILTER (city IS NULL) FROM communities
-    UNION ALL SELECT 'activity', 'duplicate key', count(*) FROM
-      (SELECT user_id, community_id FROM activity GROUP BY 1, 2 HAVING count(*) > 1)
-    UNION ALL SELECT 'activity', 'null community_id', count(*) FILTER (community_id IS NULL) FROM activity""")
+# Of every table its true key, further unique columns, and the columns that must not be null.
+CONSTRAINTS = {
+    "communities": (["community_id"], [], ["community_name", "city", "description"]),
+    "members": (["user_id", "community_id"], [], ["user_id", "community_id"]),
+    "activity": (["message_id"], [], ["community_id", "user_id", "created_at"]),
+    "users": (["user_id"], ["username"], ["username", "is_active"]),
+    "ledger": (["id"], [], ["user_id", "action_type", "point_delta"]),
+    "pref_patches": (["seq"], [], ["user_id", "created_at"]),
+}
+
+
+def _constraint_sql() -> str:
+    parts = []
+    for name, (key, unique, required) in CONSTRAINTS.items():
+        for columns, label in ((key, "duplicate key"), *(([u], f"duplicate {u}") for u in unique)):
+            parts.append(f"SELECT '{name}' AS table_name, '{label}' AS check_name, count(*) AS violations "
+                         f"FROM (SELECT 1 FROM {name} GROUP BY {', '.join(columns)} HAVING count(*) > 1)")
+        parts += [f"SELECT '{name}', 'null {c}', count(*) FILTER ({c} IS NULL) FROM {name}" for c in required]
+    return " UNION ALL ".join(parts)
+
+
+@query("f16_key_constraints", _constraint_sql())
 def f16(v):
-    return V.union_all([
-        V.key_violations(v.communities, "communities", ["community_id"], ["description", "city"]),
-        V.key_violations(v.activity, "activity", ["user_id", "community_id"], ["community_id"]),
-    ])
+    checks = []
+    for name, (key, unique, required) in CONSTRAINTS.items():
+        checks.append(V.key_violations(getattr(v, name), name, key, required))
+        checks += [V.key_violations(getattr(v, name), name, [u], [], f"duplicate {u}") for u in unique]
+    return V.union_all(checks)
 
 
 @query("f17_orphans", """

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import SINCE, as_of, query
+from kindred.catalog.base import DIM, SINCE, as_of, query
 from kindred.functions.karma import levels_may_chat
 from kindred.operators.lookups import lookup, restrict
 from kindred.plans import delivery, ledger, matching, users
-from kindred.operators.similarity import top_k_by_cosine
+from kindred.operators.similarity import top_k_by_cosine, vector_rejects
 
 
 @query("j01_activity_left_join", """
@@ -36,40 +36,72 @@ def j03(v):
 
 
 @query("j04_activity_report", f"""
-    SELECT c.community_name, c.category, c.city, c.member_count, count(a.message_id) AS recent_messages
+    SELECT c.city, c.category, count(DISTINCT c.community_id) AS n_communities, count(a.message_id) AS recent_messages
     FROM communities c LEFT JOIN activity a ON c.community_id = a.community_id AND a.created_at >= {SINCE}
-    GROUP BY c.community_id, 1, 2, 3, 4""")
+    GROUP BY 1, 2""")
 def j04(v):
-    return matching.with_recent_activity(v.communities, v.activity, as_of()).select(
-        "community_name", "category", "city", "member_count", F.col("recent_activity").alias("recent_messages"))
-
-
-def own_hit(v):
-    """One scored hit per user (its own-city fixture community), some ids without a detail row."""
-    u = v.user_vectors.join(v.users.select("user_id", "place"), "user_id")
-    cid = F.col("place") + 25 * (F.col("user_id") % 20)
-    return u.select("user_id", F.when(F.col("user_id") % 8 == 5, cid + 1_000_000).otherwise(cid).alias("community_id"))
+    """Report by city and category; communities and their groups stay without any message."""
+    counted = matching.with_recent_activity(v.communities, v.activity, as_of())
+    return counted.groupBy("city", "category").agg(
+        F.count(F.lit(1)).alias("n_communities"), F.sum("recent_activity").alias("recent_messages"))
 
 
 @query("j05_detail_merge", """
-    SELECT u.user_id, c.community_id, c.category, c.member_count
-    FROM (SELECT user_id, CASE WHEN user_id % 8 = 5 THEN 1000000 ELSE 0 END + place + 25 * (user_id % 20) AS community_id FROM users) u
+    SELECT h.user_id, c.community_id, c.category, c.member_count, h.match_score
+    FROM (SELECT user_id, CASE WHEN community_id % 8 = 5 THEN 1000000 ELSE 0 END + community_id AS community_id,
+                 round(score, 6) AS match_score FROM ranked) h
     JOIN communities c USING (community_id)""")
 def j05(v):
-    return own_hit(v).join(v.communities, "community_id").select(
-        "user_id", "community_id", "category", "member_count")
+    """All scored hits with their details; every eighth community has lost its detail row."""
+    candidates = matching.location_candidates(v.communities, v.activity, as_of())
+    top = top_k_by_cosine(v.user_vectors, candidates, v.index, DIM, population=v.users)
+    hits = top.select("user_id", F.inline("matches")).select("user_id", F.when(
+        F.col("community_id") % 8 == 5, F.col("community_id") + 1_000_000).otherwise(F.col("community_id")).alias("community_id"),
+        F.round("match_score", 6).alias("match_score"))
+    return hits.join(v.communities.select("community_id", "category", "member_count"), "community_id")
 
 
 @query("j06_similarity_join", """
     SELECT user_id, community_id, CAST(rn AS INTEGER) AS rank, round(score, 6) AS score FROM ranked""")
 def j06(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    top = top_k_by_cosine(v.user_vectors, candidates, v.index, population=v.users)
+    top = top_k_by_cosine(v.user_vectors, candidates, v.index, DIM, population=v.users)
     return top.select("user_id", F.posexplode("matches").alias("p", "m")).select(
         "user_id", "m.community_id", (F.col("p") + 1).alias("rank"),
         F.round("m.match_score", 6).alias("score"))
 
 
+def misfits(v):
+    """The index with unusable vectors: cut short on the lowest ids, empty, missing or not finite elsewhere."""
+    i, x = F.col("community_id"), F.col("vector")
+    return v.index.withColumn("vector", F.when(i < 25, F.slice(x, 1, 3)).when(i % 50 == 26, F.lit(None))
+                              .when(i % 50 == 27, F.slice(x, 1, 0))
+                              .when(i % 50 == 28, F.transform(x, lambda y, at: F.when(at == 2, F.lit("NaN").cast("float")).otherwise(y)))
+                              .otherwise(x))
+
+
+@query("j06_vector_rejects", """
+    SELECT 'index' AS side, vec_id AS id, CASE WHEN vec_id >= 25 AND vec_id % 50 = 26 THEN 'no vector'
+           WHEN vec_id < 25 OR vec_id % 50 = 27 THEN 'wrong size' ELSE 'not finite' END AS reason
+    FROM embeddings WHERE vec_id < 25 OR vec_id % 50 IN (26, 27, 28)
+    UNION ALL SELECT 'user', user_id, 'wrong size' FROM user_vectors WHERE user_id % 9 = 4""")
+def j06_rejects(v):
+    users = v.user_vectors.withColumn("vector", F.when(F.col("user_id") % 9 == 4, F.array(F.lit(1.0))).otherwise(F.col("vector")))
+    return vector_rejects(misfits(v), DIM).select(F.lit("index").alias("side"), F.col("community_id").alias("id"), "reason").unionByName(
+        vector_rejects(users, DIM).select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "reason"))
+
+
+@query("j06_misfits_change_nobody_else", """
+    SELECT user_id, community_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, community_id) AS INTEGER) AS rank,
+           round(score, 6) AS score FROM sims WHERE NOT (community_id < 25 OR community_id % 50 IN (26, 27, 28))
+    QUALIFY rank <= 20""")
+def j06_misfits(v):
+    candidates = matching.location_candidates(v.communities, v.activity, as_of())
+    top = top_k_by_cosine(v.user_vectors, candidates, misfits(v), DIM, population=v.users)
+    return top.select("user_id", F.posexplode("matches").alias("p", "m")).select(
+        "user_id", "m.community_id", (F.col("p") + 1).alias("rank"), F.round("m.match_score", 6).alias("score"))
+
+
 @query("j07_id_semi_join", """
     SELECT community_id, category FROM communities WHERE community_id IN (SELECT community_id FROM candidates)""")
 def j07(v):
@@ -123,15 +155,16 @@ def j12(v):
 
 
 @query("j13_chat_tier_range", """
-    SELECT pair_id, s.lvl AS sender_level, t.lvl AS target_level, abs(s.lvl - t.lvl) <= 1 AS may_chat
-    FROM pairs JOIN (SELECT user_id, %s AS lvl FROM karma) s ON s.user_id = sender_id
-    JOIN (SELECT user_id, %s AS lvl FROM karma) t ON t.user_id = target_id""" % (
+    SELECT pair_id, coalesce(s.lvl, 0) AS sender_level, coalesce(t.lvl, 0) AS target_level,
+           abs(coalesce(s.lvl, 0) - coalesce(t.lvl, 0)) <= 1 AS may_chat
+    FROM pairs LEFT JOIN (SELECT user_id, %s AS lvl FROM karma) s ON s.user_id = sender_id
+    LEFT JOIN (SELECT user_id, %s AS lvl FROM karma) t ON t.user_id = target_id""" % (
     ("CAST(CASE WHEN karma_score >= 1000 THEN 4 WHEN karma_score >= 500 THEN 3 WHEN karma_score >= 300 THEN 2 "
      "WHEN karma_score >= 100 THEN 1 ELSE 0 END AS INTEGER)",) * 2))
 def j13(v):
     levels = ledger.with_tier(ledger.scores(v.users, v.ledger)).select("user_id", "tier_level")
     s = levels.select(F.col("user_id").alias("sender_id"), F.col("tier_level").alias("sender_level"))
     t = levels.select(F.col("user_id").alias("target_id"), F.col("tier_level").alias("target_level"))
-    return (v.pairs.join(s, "sender_id").join(t, "target_id")
-            .select("pair_id", "sender_level", "target_level",
+    known = v.pairs.join(s, "sender_id", "left").join(t, "target_id", "left").fillna(0, ["sender_level", "target_level"])
+    return (known.select("pair_id", "sender_level", "target_level",
                     levels_may_chat(F.col("sender_level"), F.col("target_level")).alias("may_chat")))

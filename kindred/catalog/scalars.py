@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kindred.catalog.base import (
-    SINCE, as_of, label_sql, level_sql, next_sql, query, strip_sql, tier_sql)
+    DIM, SINCE, as_of, label_sql, level_sql, next_sql, query, strip_sql, tier_sql)
 from kindred.functions import karma as K
 from kindred.functions import matching as M
 from kindred.functions import text as X
@@ -69,10 +69,10 @@ def x06(v):
 
 @query("x07_cosine", """
     SELECT u.user_id, round(list_cosine_similarity(u.vector, CAST(c.embedding AS DOUBLE[])), 6) AS similarity
-    FROM user_vectors u JOIN embeddings c ON c.vec_id = u.user_id % 500""")
+    FROM user_vectors u JOIN embeddings c ON c.vec_id = u.user_id % (SELECT count(*) FROM embeddings)""")
 def x07(v):
     index = v.index.withColumnRenamed("vector", "other")
-    pairs = v.user_vectors.join(index, F.col("community_id") == F.col("user_id") % 500)
+    pairs = v.user_vectors.join(index, F.col("community_id") == F.col("user_id") % v.n_vectors)
     return pairs.select("user_id", F.round(cosine(F.col("vector"), F.col("other")), 6).alias("similarity"))
 
 
@@ -165,17 +165,26 @@ def x18(v):
 
 
 @query("x19_display", """
-    SELECT event_id, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '%' AS percent,
-           upper(event_type[1]) || event_type[2:] AS tier, format('{:,}', event_id * 997) AS members FROM events""")
+    SELECT user_id, position, printf('%.0f%%', match_score * 100) AS percent,
+           upper(tier[1]) || tier[2:] AS tier, format('{:,}', member_count * 997) AS members FROM emitted""")
 def x19(v):
-    return v.events.select(
-        "event_id", X.percent(F.floor("value") / 100).alias("percent"), F.initcap("event_type").alias("tier"),
-        X.with_separators(F.col("event_id") * 997).alias("members"))
-
-
-@query("x20_null_default", "SELECT community_id, recent_activity FROM scored_communities")
+    """Match results as shown: whole percent, capitalised tier, member count with separators."""
+    candidates = matching.location_candidates(v.communities, v.activity, as_of())
+    popular = matching.popular_communities(v.communities, v.activity, as_of())
+    results = matching.decide(matching.top_matches(v.user_vectors, candidates, v.index, dim=DIM, population=v.users), popular)
+    return matching.explode_matches(results, "user_id", "tier").select(
+        "user_id", "position", X.percent(F.col("match_score")).alias("percent"), F.initcap("tier").alias("tier"),
+        X.with_separators(F.col("member_count") * 997).alias("members"))
+
+
+@query("x20_null_default", """
+    SELECT event_id, CAST(coalesce(CASE WHEN event_id % 5 <> 1 THEN user_id END, 0) AS BIGINT) AS user_or_zero,
+           coalesce(CASE WHEN event_id % 3 = 2 THEN value END, 0) AS value_or_zero FROM events""")
 def x20(v):
-    return matching.with_recent_activity(v.communities, v.activity, as_of()).select("community_id", "recent_activity")
+    e = F.col("event_id")
+    return v.events.select(
+        "event_id", F.coalesce(F.when(e % 5 != 1, F.col("user_id")), F.lit(0)).cast("long").alias("user_or_zero"),
+        F.coalesce(F.when(e % 3 == 2, F.col("value")), F.lit(0.0)).alias("value_or_zero"))
 
 
 @query("x21_score_default", """

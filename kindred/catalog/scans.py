@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import as_of, query
+from kindred.catalog.base import AS_OF, DIM, as_of, query
 from kindred.functions.vectors import norm
 from kindred.operators import lookups
 from kindred.plans import ledger
-from kindred.plans.matching import location_candidates
+from kindred.plans.matching import location_candidates, match_results
 from kindred.plans.preferences import fold
 from kindred.schemas import AWARD_RULES
 from kindred.session import shared_dir
@@ -16,64 +16,87 @@ from kindred.sources import messages, tables
 from kindred.sources.tables import conform
 
 
+def scanned(df, name: str):
+    """The rows as a table of the declared schema, written once and read back by the typed scan."""
+    path = shared_dir(df.sparkSession, name)
+    conform(df, name).write.parquet(path)
+    return tables.read_table(df.sparkSession, path, name)
+
+
+def micros(df, *columns: str):
+    """Times with a zone as microseconds, which both engines show alike."""
+    return df.withColumns({c: F.unix_micros(c) for c in columns})
+
+
 @query("s01_scan_communities", """
     SELECT CAST(community_id AS VARCHAR) AS community_id, community_name, category, city, timezone,
            member_count, description, is_active, CAST(NULL AS TIMESTAMP) AS created_at
     FROM communities""")
 def s01_communities(v):
-    return conform(v.communities, "communities")
+    return scanned(v.communities, "communities")
 
 
 @query("s01_scan_community_members", """
     SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(community_id AS VARCHAR) AS community_id,
            CAST(NULL AS TIMESTAMP) AS joined_at, CAST(NULL AS BOOLEAN) AS auto_joined FROM members""")
 def s01_members(v):
-    return conform(v.members, "community_members")
+    return scanned(v.members, "community_members")
 
 
 @query("s01_scan_community_activity", """
     SELECT CAST(message_id AS VARCHAR) AS message_id, CAST(community_id AS VARCHAR) AS community_id,
            CAST(user_id AS VARCHAR) AS user_id, created_at FROM activity""")
 def s01_activity(v):
-    return conform(v.activity, "community_activity")
+    return scanned(v.activity, "community_activity")
 
 
 @query("s01_scan_users", """
-    SELECT CAST(user_id AS VARCHAR) AS user_id, username, is_active, threshold AS inbox_shield_threshold
+    SELECT CAST(user_id AS VARCHAR) AS user_id, username, CAST(NULL AS VARCHAR) AS bio, CAST(NULL AS TIMESTAMP) AS created_at,
+           CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS first_name, CAST(NULL AS VARCHAR) AS last_name,
+           CAST(NULL AS VARCHAR) AS public_metadata, is_active, threshold AS inbox_shield_threshold
     FROM users JOIN shield USING (user_id)""")
 def s01_users(v):
     users = v.users.join(v.shield.withColumnRenamed("threshold", "inbox_shield_threshold"), "user_id")
-    return conform(users, "users").select("user_id", "username", "is_active", "inbox_shield_threshold")
+    return scanned(users, "users")
 
 
 @query("s01_scan_karma_ledger", """
     SELECT CAST(id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, point_delta, action_type,
-           CAST(reference_id AS VARCHAR) AS reference_id, CAST(epoch_us(created_at) AS BIGINT) AS created_us
+           CAST(reference_id AS VARCHAR) AS reference_id, CAST(epoch_us(created_at) AS BIGINT) AS created_at
     FROM ledger""")
 def s01_ledger(v):
-    return (conform(v.ledger, "karma_ledger")
-            .withColumn("created_us", F.unix_micros("created_at")).drop("created_at"))
+    return micros(scanned(v.ledger, "karma_ledger"), "created_at")
 
 
 @query("s01_scan_user_preferences", """
     SELECT CAST(user_id AS VARCHAR) AS user_id, location, recharge_method, natural_rhythm, ideal_group_size,
-           weekend_trip, weekend_env, background_vibe FROM pref_patches""")
+           weekend_trip, weekend_env, background_vibe, CAST(NULL AS BOOLEAN) AS onboarding_complete,
+           CAST(epoch_us(created_at) AS BIGINT) AS created_at, CAST(NULL AS BIGINT) AS updated_at FROM pref_patches""")
 def s01_preferences(v):
-    return conform(v.pref_patches, "user_preferences").drop(
-        "onboarding_complete", "created_at", "updated_at")
+    return micros(scanned(v.pref_patches, "user_preferences"), "created_at", "updated_at")
 
 
-_RULE_VALUES = ", ".join(f"('{a}', {p})" for a, p, _, _ in AWARD_RULES)
+_RULE_VALUES = ", ".join(f"('{a}', {p}, {i})" for i, (a, p, _, _) in enumerate(AWARD_RULES))
 
 
 @query("s02_inline_values", f"""
-    SELECT l.action_type, CAST(points AS INTEGER) AS documented, count(*) AS awards,
-           CAST(sum(point_delta) AS BIGINT) AS paid
-    FROM ledger l JOIN (VALUES {_RULE_VALUES}) r(action_type, points) USING (action_type) GROUP BY 1, 2""")
+    SELECT coalesce(l.action_type, r.action_type) AS action_type, CAST(points AS INTEGER) AS documented,
+           TIMESTAMP '{AS_OF}' - to_days(CAST(days AS INTEGER)) AS seeded_at, count(id) AS awards,
+           count(CASE WHEN created_at <= TIMESTAMP '{AS_OF}' - to_days(CAST(days AS INTEGER)) THEN 1 END) AS before,
+           CAST(coalesce(sum(point_delta), 0) AS BIGINT) AS paid
+    FROM ledger l FULL JOIN (VALUES {_RULE_VALUES}) r(action_type, points, days) ON l.action_type = r.action_type
+    GROUP BY 1, 2, 3""")
 def s02(v):
-    rules = v.spark.sql(f"SELECT * FROM VALUES {_RULE_VALUES} AS r(action_type, documented)")
-    return (v.ledger.join(F.broadcast(rules), "action_type").groupBy("action_type", "documented")
-            .agg(F.count(F.lit(1)).alias("awards"), F.sum("point_delta").alias("paid")))
+    """Seed rows, each some days before the run, next to all awards: kinds without a seed row stay too."""
+    rules = v.spark.sql(f"SELECT * FROM VALUES {_RULE_VALUES} AS r(kind, documented, days)").withColumn(
+        "seeded_at", as_of() - F.make_dt_interval(days=F.col("days")))
+    per_day = v.ledger.groupBy("action_type", "created_at").agg(
+        F.count("id").alias("n"), F.sum("point_delta").alias("points"))
+    joined = per_day.join(rules, F.col("action_type") == F.col("kind"), "full")
+    return joined.groupBy(F.coalesce("action_type", "kind").alias("action_type"), "documented", "seeded_at").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("awards"),
+        F.coalesce(F.sum(F.when(F.col("created_at") <= F.col("seeded_at"), F.col("n"))), F.lit(0)).alias("before"),
+        F.coalesce(F.sum("points"), F.lit(0)).alias("paid"))
 
 
 def profile_messages(v):
@@ -157,29 +180,50 @@ def s07(v):
         F.unix_micros("created_at").alias("created_us"))
 
 
-@query("s08_keyed_publish", """
-    SELECT 'match_updates_' || user_id AS key,
-           CAST(to_json({'user_id': user_id, 'karma_score': karma_score, 'level': %s}) AS VARCHAR) AS value
-    FROM karma""" % "CASE WHEN karma_score >= 100 THEN 'member' END")
+def published(v):
+    """Whole match results, with a request id, as keyed messages."""
+    results = match_results(
+        v.user_vectors.withColumn("request_id", F.concat(F.lit("req-"), "user_id")), v.communities, v.index,
+        v.activity, v.members, as_of(), v.toxicity, keep=["request_id", "user_id"], population=v.users, dim=DIM)
+    return messages.keyed_messages(results.withColumn("created_at", as_of()))
+
+
+@query("s08_keyed_publish", f"""
+    SELECT 'match_updates_' || r.user_id AS key, 'req-' || r.user_id AS request_id, r.tier, n_matches, first_match,
+           r.auto_joined_community, r.ai_intro_generated, r.requires_profile_update, TIMESTAMP '{AS_OF}' AS created_at
+    FROM results r JOIN (SELECT user_id, CAST(count(*) AS BIGINT) AS n_matches,
+                                max(CASE WHEN position = 1 THEN 'Community#' || community_id END) AS first_match
+                         FROM emitted GROUP BY 1) e USING (user_id)""")
 def s08(v):
-    results = ledger.scores(v.users, v.ledger).withColumn(
-        "level", F.when(F.col("karma_score") >= 100, "member"))
-    return messages.keyed_messages(results)
+    """Fields picked from the published JSON by path."""
+    def path(p: str):
+        return F.get_json_object("value", p)
+
+    return published(v).select(
+        "key", path("$.request_id").alias("request_id"), path("$.tier").alias("tier"),
+        F.json_array_length(path("$.matches")).cast("long").alias("n_matches"),
+        path("$.matches[0].community_name").alias("first_match"),
+        path("$.auto_joined_community").cast("long").alias("auto_joined_community"),
+        path("$.ai_intro_generated").cast("boolean").alias("ai_intro_generated"),
+        path("$.requires_profile_update").cast("boolean").alias("requires_profile_update"),
+        path("$.created_at").cast("timestamp_ntz").alias("created_at"))
 
 
-def raw_messages(v):
-    """Published messages: some on other channels, some cut short."""
-    e = F.col("event_id")
-    body = F.to_json(F.struct(F.col("event_id").alias("task"), F.col("event_type").alias("tier")))
-    key = F.when(e % 5 == 0, F.concat(F.lit("audit_"), "user_id")).otherwise(
-        messages.channel(F.col("user_id")))
-    return v.events.select("event_id", key.alias("key"),
-                           F.when(e % 13 == 2, F.substring(body, 1, 9)).otherwise(body).alias("value"))
+def on_the_wire(v):
+    """Published results among other traffic: some on other channels, some cut short."""
+    user = F.regexp_extract("key", r"(\d+)$", 1).cast("long")
+    return published(v).select(
+        F.when(user % 5 == 0, F.concat(F.lit("audit_"), user)).otherwise(F.col("key")).alias("key"),
+        F.when(user % 13 == 2, F.substring("value", 1, 60)).otherwise(F.col("value")).alias("value"))
 
 
 @query("s09_pattern_subscribe", """
-    SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, event_id AS task, event_type AS tier
-    FROM events WHERE event_id % 5 <> 0 AND event_id % 13 <> 2""")
+    SELECT CAST(user_id AS VARCHAR) AS user_id, tier, position, community_id, match_score FROM emitted
+    WHERE user_id % 5 <> 0 AND user_id % 13 <> 2""")
 def s09(v):
-    parsed = messages.parse_results(raw_messages(v), "task long, tier string")
-    return parsed.select("event_id", "user_id", "result.task", "result.tier")
+    """Results read back from their messages, one row per match."""
+    schema = "tier string, matches array<struct<community_id:long,match_score:double>>"
+    parsed = messages.parse_results(on_the_wire(v), schema).withColumn("tier", F.col("result.tier"))
+    return parsed.select("user_id", "tier", F.posexplode("result.matches").alias("p", "m")).select(
+        "user_id", "tier", (F.col("p") + 1).alias("position"), F.col("m.community_id").alias("community_id"),
+        F.round("m.match_score", 6).alias("match_score"))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import POPULARITY_SQL, as_of, query
-from kindred.operators.skew import top_k_per_key
+from kindred.catalog.base import DIM, POPULARITY_SQL, as_of, query
 from kindred.plans import ledger, matching
 
 
 @query("k01_null_first_sort", f"""
     SELECT category, community_id, CAST(rn AS INTEGER) AS rn FROM (
-      SELECT *, row_number() OVER (PARTITION BY category ORDER BY {POPULARITY_SQL}) AS rn FROM scored_communities)
-    WHERE rn <= 25""")
+      SELECT *, row_number() OVER (PARTITION BY category, city ORDER BY {POPULARITY_SQL}) AS rn FROM scored_communities)""")
 def k01(v):
+    """The sort rule as positions within a category and city, all of them."""
     scored = matching.with_recent_activity(v.communities, v.activity, as_of())
-    return top_k_per_key(scored, ["category"], matching.popularity_order(), 25,
-                         salt_on=["community_id"]).select("category", "community_id", "rn")
+    position = F.row_number().over(Window.partitionBy("category", "city").orderBy(*matching.popularity_order()))
+    return scored.select("category", "community_id", position.alias("rn"))
 
 
 @query("k02_popular_communities", """
@@ -48,7 +48,7 @@ def k03(v):
     SELECT user_id, community_id, new_rank AS position FROM reranked WHERE new_rank <= 5""")
 def k04(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    head = matching.top_matches(v.user_vectors, candidates, v.index, population=v.users).withColumn("matches", F.slice("matches", 1, 5))
+    head = matching.top_matches(v.user_vectors, candidates, v.index, dim=DIM, population=v.users).withColumn("matches", F.slice("matches", 1, 5))
     return matching.explode_matches(head, "user_id").select("user_id", "community_id", "position")
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import ALL_FIELDS_SQL, LATEST_FIELDS_SQL, Views, as_of, query
+from kindred.catalog.base import ALL_FIELDS_SQL, AS_OF, DIM, LATEST_FIELDS_SQL, Views, as_of, query
 from kindred.catalog.changes import SYNC_SQL, synced_users
-from kindred.catalog.scans import raw_messages
 from kindred.plans import delivery, matching, preferences
+from kindred.schemas import PREFERENCE_FIELDS
 from kindred.session import settle, shared_dir
 from kindred.sources import messages
 from kindred.streaming import jobs
@@ -25,6 +25,9 @@ class StreamViews(Views):
         return self.spark.readStream.schema(static.schema).parquet(f"{self.dir}/{{{name}.parquet}}")
 
 
+_BOTH = ", ".join(f"coalesce(n.{f}, c.{f}) AS {f}" for f in PREFERENCE_FIELDS)
+
+
 def _run(v, name, start):
     """Start a job under a fresh shared folder, wait for it, return its parts."""
     base = shared_dir(v.spark, name)
@@ -43,7 +46,7 @@ def t01(v):
     popular = settle(matching.popular_communities(v.communities, v.activity, as_of()), "popular")
     parts = _run(v, "match", lambda p, c: jobs.match_stream(
         requests.join(v.user_vectors, "user_id"), p, c, candidates, popular, v.index, v.members,
-        toxicity=v.toxicity, population=v.users))
+        toxicity=v.toxicity, dim=DIM))
     return parts.select("user_id", "tier", "auto_joined_community", "ai_intro_generated")
 
 
@@ -62,10 +65,21 @@ def t03(v):
 
 
 @query("t04_preference_stream", f"""
-    SELECT *, ({ALL_FIELDS_SQL}) AS onboarding_complete FROM (SELECT user_id, {LATEST_FIELDS_SQL} FROM pref_patches GROUP BY 1)""")
+    SELECT *, ({ALL_FIELDS_SQL}) AS onboarding_complete FROM (
+      SELECT coalesce(c.user_id, n.user_id) AS user_id, {_BOTH}, TIMESTAMP '{AS_OF}' AS created_at,
+             CASE WHEN n.user_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE c.updated_at END AS updated_at
+      FROM (SELECT user_id, TIMESTAMP '{AS_OF}' AS updated_at, {LATEST_FIELDS_SQL} FROM pref_patches
+            WHERE created_at < TIMESTAMP '2024-01-16' GROUP BY 1) c
+      FULL JOIN (SELECT user_id, {LATEST_FIELDS_SQL} FROM checked_patches
+                 WHERE reason IS NULL AND created_at >= TIMESTAMP '2024-01-16' GROUP BY 1) n ON c.user_id = n.user_id)""")
 def t04(v):
-    parts = _run(v, "preferences", lambda p, c: jobs.preference_stream(_streams(v).pref_patches, p, c))
-    return preferences.merge_parts(parts)
+    """Requests of the second half of the month as a stream, onto the rows stored before it."""
+    late = F.col("created_at") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    stored = preferences.fold(v.pref_patches.filter(~late)).select("user_id", *PREFERENCE_FIELDS).withColumns(
+        {"created_at": as_of(), "updated_at": as_of()})
+    parts = _run(v, "preferences", lambda p, c: jobs.preference_stream(
+        _streams(v).patch_requests.filter(late), p, c, settle(v.users, "known")))
+    return jobs.current_preferences(stored, parts, as_of())
 
 
 FRESH_SQL = """
@@ -84,6 +98,19 @@ def t05(v):
     return delivery.fresh_entries(v.cache_events, yesterday(), ["seq"]).select("kind", "key", "seq")
 
 
+@query("t05_cached_vectors", f"""
+    SELECT f.key AS user_id, CAST(len(e.embedding) AS BIGINT) AS dims, CAST(list_sum(e.embedding) AS DOUBLE) IS NOT NULL AS whole,
+           CAST(e.embedding[1] AS DOUBLE) AS first_value
+    FROM ({FRESH_SQL}) f JOIN embeddings e ON e.vec_id = f.seq % (SELECT count(*) FROM embeddings) WHERE f.kind = 'user'""")
+def t05_vectors(v):
+    """Vectors as cached payload: the newest write of a user, if it is fresh and not removed."""
+    vectors = v.index.select(F.col("community_id").alias("_i"), "vector")
+    writes = v.cache_events.filter("kind = 'user'").withColumn("_i", F.col("seq") % v.n_vectors).join(vectors, "_i").drop("_i")
+    return delivery.fresh_entries(writes, yesterday(), ["seq", "vector"]).select(
+        F.col("key").alias("user_id"), F.size("vector").cast("long").alias("dims"),
+        F.forall("vector", lambda x: x.isNotNull()).alias("whole"), F.col("vector")[0].cast("double").alias("first_value"))
+
+
 @query("t05_cache_stream", FRESH_SQL)
 def t05_stream(v):
     parts = _run(v, "cache", lambda p, c: jobs.cache_stream(_streams(v).cache_events, p, c, ["value"]))
@@ -96,11 +123,21 @@ def t06(v):
     return jobs.present(parts)
 
 
+def raw_messages(v):
+    """Published messages: some on other channels, some cut short."""
+    e = F.col("event_id")
+    body = F.to_json(F.struct(F.col("event_id").alias("task"), F.col("event_type").alias("tier")))
+    key = F.when(e % 5 == 0, F.concat(F.lit("audit_"), "user_id")).otherwise(
+        messages.channel(F.col("user_id")))
+    return v.events.select("event_id", key.alias("key"),
+                           F.when(e % 13 == 2, F.substring(body, 1, 9)).otherwise(body).alias("value"))
+
+
 @query("t07_result_fan_out", """
     SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS user_id, l.sid, e.event_type AS tier
     FROM events e JOIN live l USING (user_id) WHERE e.event_id % 5 <> 0 AND e.event_id % 13 <> 2""")
 def t07(v):
-    live = delivery.live_connections(v.connections).withColumn("user_id", F.col("user_id").cast("string"))
+    live = settle(delivery.live_connections(v.connections).withColumn("user_id", F.col("user_id").cast("string")), "live")
     results = messages.parse_results(raw_messages(_streams(v)), "task long, tier string").select(
         "event_id", "user_id", "result.tier")
     return _run(v, "delivery", lambda p, c: jobs.delivery_stream(results, p, c, live)).select(

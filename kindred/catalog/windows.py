@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import POPULARITY_SQL, as_of, query, tier_sql
+from kindred.catalog.base import DIM, POPULARITY_SQL, as_of, query, tier_sql
 from kindred.operators.skew import top_k_per_key
 from kindred.operators.similarity import top_k_by_cosine
 from kindred.plans import ledger, matching, preferences, users
@@ -20,13 +20,13 @@ def w01(v):
     return capped.select("city", "timezone", "community_id", "candidate_rank")
 
 
-@query("w02_top_per_user", "SELECT user_id, community_id, CAST(rn AS INTEGER) AS rn FROM ranked")
+@query("w02_top_per_user", """
+    SELECT user_id, event_id, CAST(rn AS INTEGER) AS rn FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 20""")
 def w02(v):
-    """Ranked again from long form (one row per user and community)."""
-    candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    rows = top_k_by_cosine(v.user_vectors, candidates, v.index, population=v.users).select("user_id", F.inline("matches"))
-    return top_k_per_key(rows, ["user_id"], [F.desc("match_score"), F.asc("community_id")], 20).select(
-        "user_id", "community_id", "rn")
+    """Top 20 of long-form rows, most users having more: events by value."""
+    return top_k_per_key(v.events, ["user_id"], [F.desc("value"), F.asc("event_id")], 20, salt_on=["event_id"]).select(
+        "user_id", "event_id", "rn")
 
 
 @query("w03_top_members", """
@@ -62,7 +62,7 @@ def w04_deep(v):
 @query("w05_diversity_rerank", "SELECT user_id, community_id, new_rank FROM reranked")
 def w05(v):
     candidates = matching.location_candidates(v.communities, v.activity, as_of())
-    long = top_k_by_cosine(v.user_vectors, candidates, v.index, population=v.users).select(
+    long = top_k_by_cosine(v.user_vectors, candidates, v.index, DIM, population=v.users).select(
         "user_id", F.posexplode("matches").alias("p", "m")).select(
         "user_id", (F.col("p") + 1).alias("rn"), "m.community_id", "m.category")
     return matching.diversity_ranks(long).select("user_id", "community_id", "new_rank")
@@ -107,6 +107,6 @@ def w08(v):
       ELSE point_delta END AS INTEGER) AS earned
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id, action_type, scope ORDER BY created_at, id) AS nth
           FROM (SELECT *, CASE action_type WHEN 'EVENT_RSVP' THEN strftime(created_at, '%Y-%m-%d')
-                               WHEN 'GPS_CHECKIN' THEN CAST(reference_id AS VARCHAR) ELSE 'once' END AS scope FROM ledger))""")
+                               WHEN 'GPS_CHECKIN' THEN coalesce('event ' || reference_id, 'row ' || id) ELSE 'once' END AS scope FROM ledger))""")
 def w09(v):
     return ledger.apply_caps(v.ledger).select("id", "user_id", "action_type", "earned")

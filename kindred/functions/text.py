@@ -74,6 +74,7 @@ def embedding_text(bio: Column, tags: Column) -> Column:
     return F.concat(F.lit("Bio: "), bio, F.lit("\nInterests: "), F.array_join(tags, ", "))
 
 
+# Fixed value: the welcome sentence.
 def default_introduction(community_name: Column) -> Column:
     return F.concat(F.lit("Welcome to "), community_name, F.lit("! We're excited to have you here."))
 

@@ -17,12 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import default_introduction, enrich_tags, mask_pii
-from kindred.schemas import INTRO_MAX_CHARS
+from kindred.schemas import INTRO_MAX_CHARS, VECTOR_DIM
 
 # Task functions travel with their code, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-VECTOR_DIM = 1536
 BATCH = 1024
 TOKEN_BREAK = r"[\s\p{Punct}]+"
 SCORE_COLUMNS = ("hate", "harassment", "violence", "sexual")
@@ -58,6 +57,11 @@ def embed(
     return df.mapInArrow(run, _ddl(df, "vector array<float>"))
 
 
+def token_slot(token: Column, dim: int) -> Column:
+    """A token's slot: the first 28 bits of its md5, modulo ``dim``."""
+    return F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("int") % F.lit(dim)
+
+
 def _list_array(rows: np.ndarray) -> pa.Array:
     n, dim = rows.shape
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
@@ -65,10 +69,10 @@ def _list_array(rows: np.ndarray) -> pa.Array:
 
 
 def _hashed_vectors(df: DataFrame, text: str, dim: int) -> DataFrame:
-    """Tokens are cut and hashed in the JVM; tasks only count buckets and scale."""
-    tokens = F.filter(F.split(F.lower(F.col(text)), TOKEN_BREAK), lambda t: F.length(t) > 0)
-    slots = df.withColumn("_slots", F.transform(
-        tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
+    """Tokens are cut and hashed in the JVM; tasks only count buckets and scale. The text itself stays
+    with the JVM unless the caller's frame has it."""
+    tokens = F.array_remove(F.split(F.lower(F.col(text)), TOKEN_BREAK), "")
+    slots = df.withColumn("_slots", F.transform(tokens, lambda t: token_slot(t, dim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,59 +95,65 @@ def _hashed_vectors(df: DataFrame, text: str, dim: int) -> DataFrame:
 def clean_profiles(
     df: DataFrame, batch_fn: Callable[[list[str], list[list[str]]], list[tuple[str, list[str], bool]]] | None = None,
 ) -> DataFrame:
-    """Add sanitized_bio, enriched_tags, pii_removed from ``bio`` and ``interest_tags``.
+    """Add sanitized_bio, enriched_tags, pii_removed from ``bio`` and ``interest_tags``, and ``model_failed``.
 
-    A batch on which ``batch_fn`` fails keeps null results and takes the default ones.
+    A row on which ``batch_fn`` fails takes the default results; rows around it are not affected.
     """
     masked = mask_pii(F.col("bio"))
     tags = enrich_tags(F.col("bio"), F.col("interest_tags"))
     if batch_fn is None:
         return (df.withColumn("sanitized_bio", masked).withColumn("enriched_tags", tags)
-                .withColumn("pii_removed", F.col("sanitized_bio") != F.col("bio")))
+                .withColumn("pii_removed", F.col("sanitized_bio") != F.col("bio"))
+                .withColumn("model_failed", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = _guarded(batch_fn, batch.num_rows, batch.column("bio").to_pylist(),
-                               batch.column("interest_tags").to_pylist())
+            results = by_row(batch_fn, lambda r: (str(r[0]), [str(t) for t in r[1]], bool(r[2])),
+                             batch.column("bio").to_pylist(), batch.column("interest_tags").to_pylist())
             yield _replacing(
                 batch,
                 _bio=pa.array([r[0] if r else None for r in results], type=pa.string()),
-                _tags=pa.array([list(r[1]) if r else None for r in results], type=pa.list_(pa.string())),
-                _found=pa.array([bool(r[2]) if r else None for r in results], type=pa.bool_()))
+                _tags=pa.array([r[1] if r else None for r in results], type=pa.list_(pa.string())),
+                _found=pa.array([r[2] if r else None for r in results], type=pa.bool_()))
 
     hooked = df.mapInArrow(run, _ddl(df, "_bio string", "_tags array<string>", "_found boolean"))
     return (hooked.withColumn("sanitized_bio", F.coalesce("_bio", masked))
             .withColumn("enriched_tags", F.coalesce("_tags", tags))
             .withColumn("pii_removed", F.coalesce("_found", masked != F.col("bio")))
+            .withColumn("model_failed", F.col("_bio").isNull())
             .drop("_bio", "_tags", "_found"))
 
 
 def introduce(
     df: DataFrame, batch_fn: Callable[[list[dict]], list[tuple[str, str | None, float]]] | None = None,
 ) -> DataFrame:
-    """Add intro_text, mentioned_member, toxicity_score and whether the text fits its limit.
+    """Add intro_text, mentioned_member, toxicity_score, whether the text fits its limit, and ``model_failed``.
 
     ``df`` holds only the rows that need a text and a ``community_name`` column; ``batch_fn`` gets
-    the rows as dicts. The default text mentions nobody and scores 0.
+    the rows as dicts. The default text, also of rows on which it fails, mentions nobody and scores 0.
     """
     default = default_introduction(F.col("community_name"))
     if batch_fn is None:
         out = (df.withColumn("intro_text", default)
                .withColumn("mentioned_member", F.lit(None).cast("string"))
-               .withColumn("toxicity_score", F.lit(0.0)))
+               .withColumn("toxicity_score", F.lit(0.0)).withColumn("model_failed", F.lit(False)))
     else:
+        def row(r) -> tuple[str, str | None, float]:
+            return str(r[0]), None if r[1] is None else str(r[1]), float(r[2])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                results = _guarded(batch_fn, batch.num_rows, batch.to_pylist())
+                results = by_row(batch_fn, row, batch.to_pylist())
                 yield _replacing(
                     batch,
                     intro_text=pa.array([r[0] if r else None for r in results], type=pa.string()),
                     mentioned_member=pa.array([r[1] if r else None for r in results], type=pa.string()),
-                    toxicity_score=pa.array([float(r[2]) if r else None for r in results], type=pa.float64()))
+                    toxicity_score=pa.array([r[2] if r else None for r in results], type=pa.float64()))
 
         hooked = df.mapInArrow(run, _ddl(
             df, "intro_text string", "mentioned_member string", "toxicity_score double"))
-        out = (hooked.withColumn("intro_text", F.coalesce("intro_text", default))
+        out = (hooked.withColumn("model_failed", F.col("intro_text").isNull())
+               .withColumn("intro_text", F.coalesce("intro_text", default))
                .withColumn("toxicity_score", F.coalesce("toxicity_score", F.lit(0.0))))
     return out.withColumn("fits", F.length("intro_text") <= INTRO_MAX_CHARS)
 
@@ -157,21 +167,25 @@ def score_toxicity(
 ) -> DataFrame:
     """Add ``toxicity_score``: the highest of the model's four scores, or the label table's score.
 
-    A failing batch and an unlabelled row score 0.
+    A text on which the model fails and an unlabelled row score 0; ``model_failed`` tells the former,
+    so that a caller may hold such texts back.
     """
     if batch_fn is None:
         return (df.join(labels.select(key, F.col("score").alias("_s")), key, "left")
-                .withColumn("toxicity_score", F.coalesce("_s", F.lit(0.0))).drop("_s"))
+                .withColumn("toxicity_score", F.coalesce("_s", F.lit(0.0))).drop("_s")
+                .withColumn("model_failed", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _guarded(batch_fn, batch.num_rows, batch.column(text).to_pylist())
-            scores = {c: pa.array([None if r is None else float(r[i]) for r in rows], type=pa.float64())
+            rows = by_row(batch_fn, lambda r: [float(r[i]) for i in range(len(SCORE_COLUMNS))],
+                          batch.column(text).to_pylist())
+            scores = {c: pa.array([None if r is None else r[i] for r in rows], type=pa.float64())
                       for i, c in enumerate(SCORE_COLUMNS)}
             yield _replacing(batch, **scores)
 
     hooked = df.mapInArrow(run, _ddl(df, *[f"{c} double" for c in SCORE_COLUMNS]))
-    return (hooked.withColumn("toxicity_score", F.coalesce(max_score(), F.lit(0.0)))
+    return (hooked.withColumn("model_failed", max_score().isNull())
+            .withColumn("toxicity_score", F.coalesce(max_score(), F.lit(0.0)))
             .drop(*SCORE_COLUMNS))
 
 
@@ -179,10 +193,22 @@ def max_score(columns: tuple[str, ...] = SCORE_COLUMNS) -> Column:
     return F.greatest(*columns)
 
 
-def _guarded(fn: Callable, n: int, *args: Any) -> list:
-    """The hook's n results, or n nulls if it fails."""
+def by_row(fn: Callable, shape: Callable[[Any], Any], *columns: list) -> list:
+    """The hook's results in their declared shape; None for each row on which it fails.
+
+    Where a batch fails, or returns the wrong number of results, its halves are asked again, down to
+    single rows: the outcome of a row does not depend on the rows it shares a batch with.
+    """
+    count = len(columns[0])
+    if not count:
+        return []
     try:
-        results = list(fn(*args))
-    except Exception:
-        return [None] * n
-    return results if len(results) == n else [None] * n
+        results = [shape(r) for r in fn(*columns)]
+        if len(results) == count:
+            return results
+    except Exception:  # noqa: BLE001  whatever a model raises
+        pass
+    if count == 1:
+        return [None]
+    half = count // 2
+    return by_row(fn, shape, *(c[:half] for c in columns)) + by_row(fn, shape, *(c[half:] for c in columns))

@@ -31,19 +31,31 @@ SUB_BLOCK = 4096
 NO_LOCATION = "\u0000"
 
 
+def vector_reason(vector: Column, dim: int) -> Column:
+    """Why a vector cannot be compared in an index of ``dim`` values; null if it can."""
+    return (F.when(vector.isNull(), "no vector")
+            .when(F.size(vector) != dim, "wrong size")
+            .when(~F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), "not finite"))
+
+
+def vector_rejects(df: DataFrame, dim: int, vector: str = "vector") -> DataFrame:
+    """The rows that a search of an index of ``dim`` values cannot use, with ``reason``."""
+    return df.withColumn("reason", vector_reason(F.col(vector), dim)).filter(F.col("reason").isNotNull())
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of rows holding a vector of ``dim`` values, those rows as a matrix)."""
+    """(indices of rows with a vector, those rows as a matrix); unusable vectors are null by now."""
     arr = column.combine_chunks()
     if isinstance(arr, pa.ChunkedArray):
         arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], type=column.type)
-    ok = pc.fill_null(pc.equal(pc.list_value_length(arr), dim), False)
+    ok = pc.is_valid(arr)
     rows = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
     return rows, arr.filter(ok).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision; rows of length 0 stay 0."""
-    m = np.nan_to_num(m.astype(np.float64))
+    m = m.astype(np.float64)
     length = np.sqrt(np.einsum("ij,ij->i", m, m))
     length[length == 0] = np.inf
     return m / length[:, None]
@@ -64,13 +76,12 @@ def _top_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], cols[keep]
 
 
-def _scorer(k: int, keep: list[str], id_field: str, fields: list[str]) -> Callable:
+def _scorer(k: int, dim: int, keep: list[str], id_field: str, fields: list[str]) -> Callable:
     def score(users: pa.Table, candidates: pa.Table) -> pa.Table:
         n = users.num_rows
-        candidates = candidates.filter(pc.is_valid(candidates["vector"])).sort_by(id_field)
+        candidates = candidates.sort_by(id_field)
         u_parts, c_parts, s_parts = [], [], []
         if n and candidates.num_rows:
-            dim = pc.list_value_length(candidates["vector"])[0].as_py()
             c_rows, c_mat = _matrix(candidates["vector"], dim)
             u_rows, u_mat = _matrix(users["vector"], dim)
             c_unit = _unit(c_mat).T
@@ -101,6 +112,7 @@ def top_k_by_cosine(
     users: DataFrame,
     candidates: DataFrame,
     index: DataFrame,
+    dim: int,
     location: Sequence[str] = ("city", "timezone"),
     user_key: str = "user_id",
     keep: Sequence[str] | None = None,
@@ -112,10 +124,12 @@ def top_k_by_cosine(
     """One row per user: the ``keep`` columns and ``matches``, best first, ties by candidate id.
 
     ``users`` needs ``user_key``, the location columns and ``vector``; ``candidates`` the location
-    columns and ``fields`` (first one the id); ``index`` that id and ``vector``. Candidates missing
-    from the index are dropped; a user without candidates or without a vector gets an empty array.
+    columns and ``fields`` (first one the id); ``index`` that id and ``vector``, of ``dim`` values.
+    Candidates without a usable vector of that size are left out and users without one get an empty
+    array, whatever the vectors around them; :func:`vector_rejects` lists both with the reason.
     ``population`` (default ``users``) holds the locations of at least these users and only sizes the
-    blocks; pass the plain table where computing ``users`` is costly, e.g. runs a model. Scores are rounded to 12 digits, which hides summation order.
+    blocks; pass the plain table where computing ``users`` is costly, e.g. runs a model. Scores are
+    rounded to 12 digits, which hides summation order.
     """
     keep = list(keep or [user_key])
     fields = list(fields)
@@ -124,12 +138,13 @@ def top_k_by_cosine(
     def key(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit(NO_LOCATION))
 
-    columns = dict.fromkeys([*keep, user_key, "vector"])
-    left = users.select(*[key(c).alias(f"_{c}") for c in location], *columns)
+    columns = dict.fromkeys([*keep, user_key])
+    usable = F.when(vector_reason(F.col("vector"), dim).isNull(), F.col("vector"))
+    left = users.select(*[key(c).alias(f"_{c}") for c in location], *columns, usable.alias("vector"))
     # Vectors join after the candidates are ranked, so ranking moves narrow rows only.
     right = candidates.dropna(subset=list(location)).select(
         *[F.col(c).cast("string").alias(f"_{c}") for c in location], *fields
-    ).join(index.select(fields[0], "vector").filter(F.col("vector").isNotNull()), fields[0])
+    ).join(index.select(fields[0], "vector").filter(vector_reason(F.col("vector"), dim).isNull()), fields[0])
 
     # Locations with more users than fit one block, and how many blocks each needs: at most one row
     # per ``block_rows`` users. It is settled, so that its size decides whether it is broadcast and the
@@ -155,4 +170,4 @@ def top_k_by_cosine(
     user_type = {f.name: f.dataType.simpleString() for f in users.schema}
     schema = ", ".join([f"`{c}` {user_type[c]}" for c in keep] + [f"matches array<struct<{struct}>>"])
     return (left.groupBy(*loc, "_block").cogroup(right.groupBy(*loc, "_block"))
-            .applyInArrow(_scorer(k, keep, fields[0], fields), schema))
+            .applyInArrow(_scorer(k, dim, keep, fields[0], fields), schema))

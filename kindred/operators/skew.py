@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,13 +18,11 @@ GROUP_LIMIT = 1000
 def heavy_keys(df: DataFrame, keys: Sequence[str | Column], above: int, name: str) -> DataFrame | None:
     """Keys with more than ``above`` rows and their count ``_n``, settled; None if there are none.
 
-    At most one row per ``above`` rows of ``df``. Only the largest count comes to the driver.
+    One narrow aggregate; at most one row per ``above`` rows of ``df`` is written.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0]
-    if largest is None or largest <= above:
-        return None
-    return settle(counts.filter(F.col("_n") > above), name)
+    found = settle(counts.filter(F.col("_n") > above), name)
+    return None if found.isEmpty() else found
 
 
 def top_k_per_key(
@@ -59,55 +58,67 @@ def running_by_key(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     hot_rows: int = 1_000_000,
-    chunk_seconds: int = 3600,
+    population: DataFrame | None = None,
+    descending: bool = False,
 ) -> DataFrame:
     """Running sums and running last-non-null values per key, ordered by (``ts``, ``tie``).
 
-    A plain running window puts all rows of a key in one task. The keys with more than ``hot_rows``
-    rows are counted first (a narrow, map-side combined aggregate). Without any, the plain window
-    is used. Otherwise the rows of those keys are cut into time chunks: the chunks are
-    pre-aggregated, a window over the chunk totals (few rows per key) yields what each chunk starts
-    from, and the row-level window runs per chunk. The chunk is a function of the row alone, so a
-    retried task sees the same chunks.
+    A plain running window puts all rows of a key in one task. The keys (null is one too) with more
+    than ``hot_rows`` rows are counted first; ``population`` (default ``df``) holds the keys of at
+    least these rows and is only counted, so pass the plain table where computing ``df`` is costly.
+    Without such keys the plain window is used. Otherwise their rows are cut by range into chunks of
+    about ``hot_rows`` rows of consecutive (key, ``ts``, ``tie``): a single hour or timestamp is cut
+    like any other stretch. The chunks are pre-aggregated, a window over the chunk totals (few rows
+    per key) yields what each chunk starts from, and the row-level window runs per chunk. The cut
+    rows are settled, so a retried task sees the same chunks.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     keys, names = list(keys), [*sums, *lasts]
+    values = [f"_v_{name}" for name in names]
     df = df.withColumns({f"_v_{name}": value for name, value in {**sums, **lasts}.items()})
 
-    hot = heavy_keys(df, keys, hot_rows, "hot-keys")
+    hot = heavy_keys(df if population is None else population, keys, hot_rows, "hot-keys")
     if hot is None:
-        return _running(df, keys, ts, tie, sums, lasts).drop(*[f"_v_{c}" for c in names])
-
-    hot = hot.select(*keys, F.lit(True).alias("_hot"))
-    bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds)
-    chunked = (df.join(hot, keys, "left")
-               .withColumn("_chunk", F.when(F.col("_hot"), bucket).otherwise(F.lit(0))))
-    per_chunk = chunked.filter(F.col("_hot")).groupBy(*keys, "_chunk").agg(
+        return _running(df, keys, ts, tie, sums, lasts, descending).drop(*values)
+
+    same = reduce(lambda a, b: a & b, (df[c].eqNullSafe(hot[c]) for c in keys))
+    plain = _running(df.join(hot, same, "left_anti"), keys, ts, tie, sums, lasts, descending)
+    chunks = 1 + int(hot.agg(F.sum("_n")).first()[0] // max(1, hot_rows))
+    cut = settle(df.join(hot, same, "left_semi").repartitionByRange(chunks, *keys, ts, tie)
+                 .withColumn("_chunk", F.spark_partition_id()), "chunks")
+    def step(c: str) -> Column:
+        return F.desc(c) if descending else F.asc(c)
+
+    edge = F.min_by if descending else F.max_by
+    per_chunk = cut.groupBy(*keys, "_chunk").agg(
         *[F.sum(f"_v_{c}").alias(f"_t_{c}") for c in sums],
-        *[F.max_by(f"_v_{c}", F.when(F.col(f"_v_{c}").isNotNull(), F.struct(ts, tie)))
-          .alias(f"_t_{c}") for c in lasts],
+        *[edge(f"_v_{c}", F.when(F.col(f"_v_{c}").isNotNull(), F.struct(ts, tie))).alias(f"_t_{c}") for c in lasts],
     )
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(step("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select(
-        *keys, "_chunk",
+        *[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_chunk").alias("_k_chunk"),
         *[F.sum(f"_t_{c}").over(before).alias(f"_c_{c}") for c in sums],
         *[F.last(f"_t_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in lasts],
     )
-    # Named explicitly: a partitioning by ``keys`` alone, left by the join above, would satisfy the
-    # window as well and put a hot key back into one task.
-    spread = chunked.repartition(*[F.col(c) for c in [*keys, "_chunk"]])
-    out = _running(spread.join(carry, [*keys, "_chunk"], "left"), [*keys, "_chunk"], ts, tie, sums, lasts)
+    meets = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys),
+                   F.col("_chunk") == F.col("_k_chunk"))
+    # Named explicitly: the join's own partitioning may put all chunks of a key in one task.
+    spread = cut.join(carry, meets, "left").repartition(*[F.col(c) for c in [*keys, "_chunk"]])
+    out = _running(spread, [*keys, "_chunk"], ts, tie, sums, lasts, descending)
     for c in sums:
         out = out.withColumn(c, F.col(c) + F.coalesce(f"_c_{c}", F.lit(0)))
     for c in lasts:
         out = out.withColumn(c, F.coalesce(c, f"_c_{c}"))
-    return out.drop("_hot", "_chunk", *[f"_v_{c}" for c in names], *[f"_c_{c}" for c in names])
+    plain = plain.drop(*values)
+    return plain.unionByName(out.select(plain.columns))
 
 
 def _running(
     df: DataFrame, keys: list[str], ts: str, tie: str, sums: Mapping[str, Column], lasts: Mapping[str, Column],
+    descending: bool = False,
 ) -> DataFrame:
-    so_far = Window.partitionBy(*keys).orderBy(ts, tie).rowsBetween(
+    order = [F.desc(ts), F.desc(tie)] if descending else [F.asc(ts), F.asc(tie)]
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({
         **{c: F.coalesce(F.sum(f"_v_{c}").over(so_far), F.lit(0)) for c in sums},
@@ -123,15 +134,17 @@ def page_per_key(
     limit: int,
     offset: int = 0,
     rank: str = "rn",
+    **options,
 ) -> DataFrame:
-    """Newest-first page (LIMIT/OFFSET) of every key, ranked ``offset + 1 .. offset + limit``."""
+    """Newest-first page (LIMIT/OFFSET) of every key, ranked ``offset + 1 .. offset + limit``.
+
+    Rows with a null key are one key like any other, at every depth.
+    """
     last = offset + limit
     if last <= GROUP_LIMIT:
-        ranked = top_k_per_key(df, [key], [F.desc(ts), F.desc(tie)], last, rank)
-        return ranked.filter(F.col(rank) > offset)
-    # Deep page: the newest-first rank is the key's row count minus the oldest-first rank.
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    numbered = running_by_key(df, [key], ts, tie, sums={"_oldest": F.lit(1)})
-    return (numbered.join(counts, key)
-            .withColumn(rank, (F.col("_rows") - F.col("_oldest") + 1).cast("int"))
-            .filter(F.col(rank).between(offset + 1, last)).drop("_rows", "_oldest"))
+        ranked = top_k_per_key(df, [key], [F.desc(ts), F.desc(tie)], last, rank, salt_on=[tie])
+    else:
+        # A deep page would send most of a hot key to one task; a running count does not.
+        ranked = running_by_key(df, [key], ts, tie, sums={rank: F.lit(1)}, descending=True, **options)
+        ranked = ranked.withColumn(rank, F.col(rank).cast("int"))
+    return ranked.filter(F.col(rank).between(offset + 1, last))

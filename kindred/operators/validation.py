@@ -83,12 +83,16 @@ def known_active(requests: DataFrame, users: DataFrame, key: str = "user_id") ->
             .drop("_active"))
 
 
-def key_violations(df: DataFrame, table: str, key: Sequence[str], required: Sequence[str]) -> DataFrame:
+def key_violations(
+    df: DataFrame, table: str, key: Sequence[str], required: Sequence[str], check: str = "duplicate key",
+) -> DataFrame:
     """Duplicate-key groups and null counts of one table, one row per check."""
     duplicates = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                   .agg(F.count(F.lit(1)).alias("violations"))
-                  .select(F.lit(table).alias("table_name"), F.lit("duplicate key").alias("check_name"),
+                  .select(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"),
                           "violations"))
+    if not required:
+        return duplicates
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
     unpivoted = nulls.unpivot([], list(required), "column_name", "violations").select(
         F.lit(table).alias("table_name"),

@@ -16,10 +16,14 @@ def live_connections(events: DataFrame) -> DataFrame:
     ``events``: user_id, sid, connected, ts, event_id; rows without a user are refused. The
     registry stays one row per connection, since one user may hold very many.
     """
-    last = (events.filter(F.col("user_id").isNotNull())
-            .groupBy("user_id", "sid")
-            .agg(F.max_by("connected", F.struct("ts", "event_id")).alias("connected")))
-    return last.filter("connected").select("user_id", "sid")
+    return newest_states(events).filter("connected").select("user_id", "sid")
+
+
+def newest_states(events: DataFrame) -> DataFrame:
+    """Newest event per connection, in the shape of the events, so that it can be folded again."""
+    newest = (events.filter(F.col("user_id").isNotNull()).groupBy("user_id", "sid")
+              .agg(F.max(F.struct("ts", "event_id", "connected")).alias("e")))
+    return newest.select("user_id", "sid", "e.connected", "e.ts", "e.event_id")
 
 
 def connection_counts(live: DataFrame) -> DataFrame:
@@ -38,6 +42,12 @@ def ttl_of(kind: Column) -> Column:
     return seconds
 
 
+def unknown_kinds(cache_events: DataFrame) -> DataFrame:
+    """Cache events of a kind that has no lifetime, with ``reason``."""
+    known = F.coalesce(F.col("kind").isin(list(TTL_SECONDS)), F.lit(False))
+    return cache_events.filter(~known).withColumn("reason", F.lit("unknown kind"))
+
+
 def newest_entries(cache_events: DataFrame, payload: list[str]) -> DataFrame:
     """Newest event per (kind, key), in the shape of the events, so that parts merge again."""
     at = F.struct("ts", "seq")
@@ -49,6 +59,8 @@ def newest_entries(cache_events: DataFrame, payload: list[str]) -> DataFrame:
 def fresh_entries(cache_events: DataFrame, as_of: Column, payload: list[str]) -> DataFrame:
     """Entries still valid at ``as_of``: newest write per (kind, key), not expired, not removed.
 
+    An entry of a kind without a lifetime never counts as fresh; :func:`unknown_kinds` lists them.
+
     ``cache_events``: kind, key, op ('set' or 'invalidate'), ts, seq and the payload columns.
     """
     age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import karma as K
 from kindred.operators.skew import page_per_key, running_by_key
 from kindred.operators.validation import reject_if
-from kindred.schemas import AWARD_RULES
+from kindred.schemas import AWARD_RULES, PAGE_LIMIT
 
 
 def scores(users: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -41,7 +41,9 @@ def ledger_page(ledger: DataFrame, limit: int = 20, offset: int = 0) -> DataFram
 def profiles_with_page(
     users: DataFrame, ledger: DataFrame, shields: DataFrame, limit: int = 20, offset: int = 0,
 ) -> DataFrame:
-    """Profiles with the page as an ordered array of at most ``limit`` entries."""
+    """Profiles with the page as an ordered array of at most ``limit`` (1 to 100) entries."""
+    if not 1 <= limit <= PAGE_LIMIT or offset < 0:
+        raise ValueError(f"a page has 1 to {PAGE_LIMIT} entries and a non-negative offset")
     entry = F.struct("rn", "id", "action_type", "point_delta", "reference_id", "created_at")
     pages = (ledger_page(ledger, limit, offset).groupBy("user_id")
              .agg(F.array_sort(F.collect_list(entry)).alias("ledger")))
@@ -55,15 +57,19 @@ def running_balance(ledger: DataFrame, **options) -> DataFrame:
     return out.withColumn("tier", K.tier(F.col("balance")))
 
 
-def cap_scope(action: Column, created_at: Column, reference: Column) -> Column:
-    """What an action's cap counts within: one day, one event, or everything."""
+def cap_scope(action: Column, created_at: Column, reference: Column, row: Column) -> Column:
+    """What an action's cap counts within: one day, one event, or everything.
+
+    An award that names no event cannot be held against another one: it is a scope of its own.
+    """
     scope = F.lit(None).cast("string")
     for name, _, _, kind in AWARD_RULES:
         if kind is None:
             continue
         value = {"once": F.lit("once"),
                  "day": F.date_format(created_at, "yyyy-MM-dd"),
-                 "reference": F.coalesce(reference.cast("string"), F.lit(""))}[kind]
+                 "reference": F.coalesce(F.concat(F.lit("event "), reference.cast("string")),
+                                        F.concat(F.lit("row "), row.cast("string")))}[kind]
         scope = F.when(action == name, value).otherwise(scope)
     return scope
 
@@ -79,7 +85,7 @@ def cap_of(action: Column) -> Column:
 def apply_caps(ledger: DataFrame, **options) -> DataFrame:
     """``earned`` = the delta, or 0 for awards beyond their action's cap. Keeps every row."""
     capped = (ledger.withColumn("_scope", cap_scope(
-                  F.col("action_type"), F.col("created_at"), F.col("reference_id")))
+                  F.col("action_type"), F.col("created_at"), F.col("reference_id"), F.col("id")))
               .withColumn("_cap", cap_of(F.col("action_type"))))
     limited = running_by_key(
         capped.filter(F.col("_cap").isNotNull()), ["user_id", "action_type", "_scope"],
@@ -100,11 +106,20 @@ def check_awards(requests: DataFrame, users: DataFrame) -> DataFrame:
             .drop("_known"))
 
 
-def award(requests: DataFrame, users: DataFrame, shields: DataFrame, **options) -> DataFrame:
-    """Accepted awards, each with the profile that results from it."""
+def award(
+    requests: DataFrame, users: DataFrame, ledger: DataFrame, shields: DataFrame, **options,
+) -> DataFrame:
+    """Accepted awards, each with the profile that results from it on top of the existing ledger.
+
+    The rows to append are the accepted ones; ``balance`` is the user's whole score after each.
+    """
     accepted = check_awards(requests, users).filter(F.col("reason").isNull()).drop("reason")
-    balances = running_balance(accepted, **options).drop("tier")
-    return with_shield(with_tier(balances, "balance"), shields)
+    opening = ledger.groupBy("user_id").agg(F.sum("point_delta").cast("long").alias("_opening"))
+    # The requests bound the rows per user, so hot users are counted without the checks.
+    balances = running_balance(accepted, population=requests, **options).drop("tier")
+    whole = (balances.join(opening, "user_id", "left")
+             .withColumn("balance", F.col("balance") + F.coalesce("_opening", F.lit(0))).drop("_opening"))
+    return with_shield(with_tier(whole, "balance"), shields)
 
 
 def pair_scores(pairs: DataFrame, score_table: DataFrame, shields: DataFrame) -> DataFrame:
@@ -134,7 +149,7 @@ def unlocks(profile: DataFrame, unlock_table: DataFrame) -> DataFrame:
     """
     reached = profile.filter("tier_level >= 1").withColumn(
         "level", F.explode(F.sequence(F.lit(1), F.col("tier_level"))))
-    return reached.join(F.broadcast(unlock_table), "level")
+    return reached.join(unlock_table, "level")
 
 
 def leaderboard(score_table: DataFrame, n: int) -> DataFrame:

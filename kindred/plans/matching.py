@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import matching as M
-from kindred.functions.text import default_introduction
 from kindred.operators.similarity import top_k_by_cosine
 from kindred.operators.skew import top_k_per_key
 from kindred.schemas import (
     ACTIVITY_DAYS, CANDIDATE_CAP, EMIT_EXPLORER, EXPLORER, FALLBACK, INTRO_MEMBERS, POPULAR_K,
-    SOULMATE, TOP_K)
+    SOULMATE, TOP_K, VECTOR_DIM)
 
 
 def since(as_of: Column, days: int = ACTIVITY_DAYS) -> Column:
@@ -63,10 +62,10 @@ def location_candidates(
 
 
 def top_matches(
-    users: DataFrame, candidates: DataFrame, index: DataFrame, k: int = TOP_K, **options,
+    users: DataFrame, candidates: DataFrame, index: DataFrame, k: int = TOP_K, dim: int = VECTOR_DIM, **options,
 ) -> DataFrame:
     """user_id and the ranked, diversity-adjusted ``matches`` array."""
-    ranked = top_k_by_cosine(users, candidates, index, k=k, **options)
+    ranked = top_k_by_cosine(users, candidates, index, dim, k=k, **options)
     return ranked.withColumn("matches", M.diversify("matches"))
 
 
@@ -112,12 +111,13 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: list[str]) -
 def decide(matches: DataFrame, popular: DataFrame) -> DataFrame:
     """Tier and emitted list per user, from ``matches`` and the few popular communities.
 
-    The popular list (``POPULAR_K`` rows) is folded into one row and attached to the fallback
+    The first ``POPULAR_K`` of the popular list are folded into one row and attached to the fallback
     users by an equi-join on the tier.
     """
     top = F.get("matches", F.lit(0))["match_score"]
     decided = matches.withColumn("tier", M.match_tier(top))
     match_type = matches.schema["matches"].dataType.simpleString()
+    popular = popular.orderBy(*popularity_order()).limit(POPULAR_K)
     listed = popular.withColumn("pos", F.row_number().over(Window.orderBy(*popularity_order())))
     fallback = listed.agg(
         F.transform(
@@ -141,23 +141,12 @@ def decide(matches: DataFrame, popular: DataFrame) -> DataFrame:
             .drop("shown", "popular"))
 
 
-def introductions(
-    decided: DataFrame, members: DataFrame, top_member: DataFrame, toxicity: DataFrame,
-) -> DataFrame:
-    """Soulmate rows whose user newly joins: intro text, member to mention, toxicity, posted.
-
-    ``top_member``: one row per community (community_id, username); ``toxicity``: user_id, score.
-    """
-    joining = decided.filter(F.col("tier") == SOULMATE).select(
-        "user_id", F.col("auto_joined_community").alias("community_id"),
-        F.col("matches")[0]["community_name"].alias("community_name"))
-    new = joining.join(members.select("user_id", "community_id"), ["user_id", "community_id"], "left_anti")
-    mention = top_member.select("community_id", F.col("username").alias("mentioned_member"))
-    return (new.join(mention, "community_id", "left")
-            .join(toxicity.select("user_id", F.col("score").alias("toxicity_score")), "user_id", "left")
-            .withColumn("toxicity_score", F.coalesce("toxicity_score", F.lit(0.0)))
-            .withColumn("intro_text", default_introduction(F.col("community_name")))
-            .withColumn("posted", M.postable(F.col("toxicity_score"))))
+def new_memberships(results: DataFrame, members: DataFrame, as_of: Column) -> DataFrame:
+    """The membership rows that the auto-joins of ``results`` add: none for users already in the group."""
+    joining = results.filter(F.col("auto_joined_community").isNotNull()).select(
+        "user_id", F.col("auto_joined_community").alias("community_id"))
+    new = insert_if_absent(members, joining, ["user_id", "community_id"])
+    return new.withColumn("joined_at", as_of).withColumn("auto_joined", F.lit(True))
 
 
 def match_against(
@@ -170,12 +159,13 @@ def match_against(
     k: int = TOP_K,
     keep: list[str] | None = None,
     population: DataFrame | None = None,
+    dim: int = VECTOR_DIM,
 ) -> DataFrame:
     """One match result per user: tier, emitted matches, auto-join, intro flag.
 
     ``candidates`` and ``popular`` may be plans (recomputed on use) or settled tables.
     """
-    decided = decide(top_matches(users, candidates, index, k, keep=keep, population=population), popular)
+    decided = decide(top_matches(users, candidates, index, k, dim, keep=keep, population=population), popular)
     member = members.select(
         "user_id", F.col("community_id").alias("auto_joined_community"), F.lit(True).alias("_member"))
     out = decided.join(member, ["user_id", "auto_joined_community"], "left")

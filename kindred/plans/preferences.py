@@ -34,9 +34,13 @@ def fold_parts(patches: DataFrame, order: tuple[str, str] = ("created_at", "seq"
         for f in PREFERENCE_FIELDS])
 
 
+def refold(parts: DataFrame) -> DataFrame:
+    """Folded parts folded together, in the same shape."""
+    return parts.groupBy("user_id").agg(*[F.max(f).alias(f) for f in PREFERENCE_FIELDS])
+
+
 def merge_parts(parts: DataFrame) -> DataFrame:
-    merged = parts.groupBy("user_id").agg(*[F.max(f).alias(f) for f in PREFERENCE_FIELDS])
-    return (merged.select("user_id", *[F.col(f"{f}.value").alias(f) for f in PREFERENCE_FIELDS])
+    return (refold(parts).select("user_id", *[F.col(f"{f}.value").alias(f) for f in PREFERENCE_FIELDS])
             .withColumn("onboarding_complete", complete()))
 
 

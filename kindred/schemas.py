@@ -70,7 +70,7 @@ KARMA_TIERS = [
     ("conqueror", "Conqueror", 1000, 4),
 ]
 
-# Level at which a feature unlocks.
+# Level at which a feature unlocks; the names are our own.
 TIER_UNLOCKS = [
     (1, "dm_peers"),
     (1, "rsvp_events"),
@@ -128,8 +128,12 @@ SOULMATE_ABOVE = 0.87
 EXPLORER_FROM = 0.55
 TOXICITY_LIMIT = 0.75
 INTRO_MAX_CHARS = 300
+# Candidates of a location that are scored at all; the rest are dropped by popularity before scoring.
 CANDIDATE_CAP = 1000
 TOP_K = 20
+PAGE_LIMIT = 100
+# Values of a vector of the index.
+VECTOR_DIM = 1536
 EMIT_EXPLORER = 5
 POPULAR_K = 5
 INTRO_MEMBERS = 5

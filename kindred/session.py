@@ -26,6 +26,10 @@ DEFAULTS = {
 STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+# Folders handed out by shared_dir.
+_WRITTEN: list[str] = []
+
+
 def build_session(app_name: str = "kindred", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)
@@ -39,9 +43,11 @@ def build_session(app_name: str = "kindred", master: str | None = None, **conf:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session someone else built."""
+    """Apply those runtime settings that a session someone else built leaves open."""
+    given = spark.conf.getAll
     for key, value in DEFAULTS.items():
-        spark.conf.set(key, value)
+        if key not in given:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -59,7 +65,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every folder this process has settled tables in; call it when no result is read any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _WRITTEN:
+        path = hadoop(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

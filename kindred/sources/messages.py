@@ -74,12 +74,14 @@ def keyed_messages(results: DataFrame, columns: list[str] | None = None) -> Data
 
 
 def parse_results(messages: DataFrame, schema: str) -> DataFrame:
-    """Messages of the result channels: user recovered from the key, malformed JSON dropped."""
-    return (messages.filter(F.startswith("key", F.lit(CHANNEL_PREFIX)))
-            .withColumn("user_id", channel_user(F.col("key")))
-            .withColumn("result", F.from_json("value", schema))
-            .filter(json_parses(F.col("value"))))
+    """Messages of the result channels: user recovered from the key, malformed JSON dropped.
 
-
-def json_parses(value: Column) -> Column:
-    return F.try_parse_json(value).isNotNull()
+    Each message is parsed once: what does not parse lands in the corrupt-record field.
+    """
+    corrupt = "_corrupt_record"
+    typed = f"{schema}, {corrupt} string"
+    found = messages.filter(F.startswith("key", F.lit(CHANNEL_PREFIX))).select(
+        "*", channel_user(F.col("key")).alias("user_id"), once(F.struct(F.from_json(
+            F.col("value"), typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}).alias("result"))))
+    return found.filter(F.col("value").isNotNull() & F.col(f"result.{corrupt}").isNull()).withColumn(
+        "result", F.col("result").dropFields(corrupt))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,22 +21,55 @@ def write_parts(
     mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the stream; batch ``n`` goes, transformed, to ``path/batch=n`` (replays overwrite)."""
+    """Start the stream; each micro-batch becomes, transformed, a part under ``path``.
+
+    A part is written to a folder of its own and counts once its commit row is there, so a replayed
+    batch never takes away what a reader sees: the newest commit of a batch wins.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _commit(transform(batch), path, batch_id, compacted=False)
 
     return (stream.writeStream.foreachBatch(step).outputMode(mode)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _commit(rows: DataFrame, path: str, batch_id: int, compacted: bool) -> None:
+    attempt = f"a{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/rows/batch={batch_id}/attempt={attempt}")
+    rows.sparkSession.sql(
+        f"SELECT {batch_id}L AS batch, '{attempt}' AS attempt, {time.time_ns()}L AS at, {compacted} AS compacted"
+    ).write.mode("append").parquet(f"{path}/commits")
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """The commits that count: the newest compaction, and of every later batch the newest attempt."""
+    commits = spark.read.parquet(f"{path}/commits")
+    base = commits.filter("compacted").agg(F.max("batch")).first()[0]
+    later = commits.filter(~F.col("compacted"))
+    if base is not None:
+        later = later.filter(F.col("batch") > base)
+        commits = later.unionByName(commits.filter(F.col("compacted") & (F.col("batch") == base)))
+    else:
+        commits = later
+    return commits.groupBy("batch").agg(F.max_by("attempt", "at").alias("attempt"))
+
+
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The committed parts, with the ``batch`` each row came from."""
+    rows = spark.read.parquet(f"{path}/rows").withColumn("batch", F.col("batch").cast("long"))
+    return rows.join(_commits(spark, path), ["batch", "attempt"]).drop("attempt")
+
 
+def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Fold all parts into one that takes their place at once; later batches go on from there.
 
-def compact(spark: SparkSession, parts: DataFrame, merge: Callable[[DataFrame], DataFrame], target: str) -> None:
-    """Fold many parts into one at a new place, so that readers merge fewer rows."""
-    merge(parts).write.mode("overwrite").parquet(f"{target}/batch=0")
+    ``merge`` must give rows that can be merged again. Folders of replaced parts may be deleted when
+    no reader uses them any more.
+    """
+    last = _commits(spark, path).agg(F.max("batch")).first()[0]
+    merged = merge(read_parts(spark, path))
+    _commit(merged.drop("batch"), path, last, compacted=True)
 
 
 # --- match results ------------------------------------------------------------------------------
@@ -46,7 +81,7 @@ def match_stream(
     """Profile rows with vectors in, one match result per profile out.
 
     ``candidates`` and ``popular`` are recomputed by every batch if they are plans, and only read
-    if they are settled tables.
+    if they are settled tables. Blocks are sized by the batch, not by the users table.
     """
     def matched(batch: DataFrame) -> DataFrame:
         return matching.match_against(batch, candidates, popular, index, members, **options)
@@ -77,8 +112,22 @@ def synced_users(base: DataFrame, parts: DataFrame) -> DataFrame:
     return users.apply_folds(base, users.merge_folds(parts))
 
 
-def preference_stream(patches: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return write_parts(patches, path, checkpoint, preferences.fold_parts)
+def preference_stream(requests: DataFrame, path: str, checkpoint: str, known: DataFrame) -> StreamingQuery:
+    """Patch requests in, folded accepted patches out.
+
+    Requests pass the same checks as in a batch (requester, active user of ``known``, choices,
+    location); refused ones are left out.
+    """
+    def folded(batch: DataFrame) -> DataFrame:
+        checked = preferences.check_patches(batch, known)
+        return preferences.fold_parts(checked.filter(F.col("reason").isNull()))
+
+    return write_parts(requests, path, checkpoint, folded)
+
+
+def current_preferences(stored: DataFrame, parts: DataFrame, as_of: Column) -> DataFrame:
+    """The stored rows with everything the stream has accepted so far."""
+    return preferences.upsert(stored, preferences.merge_parts(parts), as_of)
 
 
 # --- cache freshness ----------------------------------------------------------------------------
@@ -100,19 +149,31 @@ def live_entries(parts: DataFrame, as_of: Column, payload: list[str]) -> DataFra
 # --- presence and delivery ----------------------------------------------------------------------
 
 def presence_stream(connections: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Last known state per connection. Keyed by (user, connection), so a user with very many
-    connections is many small states and not one large one."""
-    last = (connections.filter(F.col("user_id").isNotNull()).groupBy("user_id", "sid")
-            .agg(F.max_by("connected", F.struct("ts", "event_id")).alias("connected")))
-    return write_parts(last, path, checkpoint, mode="update")
+    """Newest state per connection and batch. The stream itself keeps no state; keyed by (user,
+    connection), so a user with very many connections is many small rows and not one large one."""
+    return write_parts(connections, path, checkpoint, lambda batch: delivery.newest_states(batch))
 
 
 def present(parts: DataFrame) -> DataFrame:
-    return latest_by_batch(parts, ["user_id", "sid"], ["connected"]).filter("connected").select("user_id", "sid")
+    return delivery.newest_states(parts).filter("connected").select("user_id", "sid")
+
+
+def forget_closed(grace: str = "INTERVAL 1 DAY") -> Callable[[DataFrame], DataFrame]:
+    """A merge for :func:`compact`: closed connections leave the table once they are ``grace`` older
+    than its newest event, so it shrinks with the connections. An event that arrives later than that
+    would reopen what it names."""
+    def merge(parts: DataFrame) -> DataFrame:
+        newest = parts.agg(F.max("ts")).first()[0]
+        return delivery.newest_states(parts).filter(
+            F.col("connected") | (F.col("ts") >= F.lit(newest) - F.expr(grace)))
+    return merge
 
 
 def delivery_stream(results: DataFrame, path: str, checkpoint: str, live: DataFrame) -> StreamingQuery:
-    """Each published result once per live connection of its user."""
+    """Each published result once per live connection of its user.
+
+    ``live`` should be a settled presence table: every micro-batch reads it.
+    """
     return write_parts(results, path, checkpoint, lambda batch: delivery.fan_out(batch, live))
 
 

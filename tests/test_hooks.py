@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 import pytest
-import xxhash
+from pyspark.sql import functions as F
 
 from kindred import hooks
 from tests.conftest import rows
@@ -22,9 +23,7 @@ def brute(text, dim):
     v = np.zeros(dim)
     for token in re.split(r"[\s!-/:-@\[-`{-~]+", (text or "").lower()):
         if token:
-            h = xxhash.xxh64_intdigest(token.encode(), seed=42)
-            h = h - 2**64 if h >= 2**63 else h
-            v[h % dim] += 1
+            v[int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % dim] += 1
     n = np.linalg.norm(v)
     return v / n if n else v
 
@@ -74,6 +73,27 @@ def test_introductions(spark):
     assert rows(failing, "user_id", "toxicity_score") == [(1, 0.0), (2, 0.0)]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_one_failing_row_of_many_fails_alone(spark, parts):
+    df = spark.range(2000).select("id", F.concat(F.lit("text "), "id").alias("text")).repartition(parts)
+
+    def scores(texts):
+        if "text 1234" in texts:
+            raise RuntimeError("bad text")
+        return np.array([[0.9, 0.1, 0.1, 0.1]] * len(texts))
+
+    got = hooks.score_toxicity(df, batch_fn=scores, key="id").collect()
+    assert [(r.id, r.toxicity_score) for r in got if r.model_failed] == [(1234, 0.0)]
+    assert all(r.toxicity_score == 0.9 for r in got if r.id != 1234)
+
+
+def test_results_are_matched_row_by_row():
+    short = hooks.by_row(lambda xs: [x * 2 for x in xs if x != 3], int, [1, 2, 3, 4])
+    assert short == [2, 4, None, 8]
+    assert hooks.by_row(lambda xs: [None if x == 2 else x for x in xs], int, [1, 2, 3]) == [1, None, 3]
+    assert hooks.by_row(lambda xs: 1 / 0, int, [1, 2]) == [None, None] and hooks.by_row(lambda xs: xs, int, []) == []
+
+
 def test_toxicity(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string")
     labels = spark.createDataFrame([(1, 0.9)], "doc_id int, score double")

@@ -77,7 +77,7 @@ def test_caps(spark, hot_rows):
     data += [("u", "PEER_ENDORSEMENT", 20, "e1", day(1, h)) for h in range(4)]       # no cap
     data += [("v", "SIGNUP_CLAIM_ID", 20, None, day(1)), ("u", "NO_SHOW_PENALTY", -10, None, day(1))]
     got = [r.earned for r in L.apply_caps(entries(spark, data), hot_rows=hot_rows).orderBy("id").collect()]
-    assert got == [10, 10, 10, 0, 0, 10, 25, 0, 25, 25, 0, 15, 15, 0, 20, 0, 20, 20, 20, 20, 20, -10]
+    assert got == [10, 10, 10, 0, 0, 10, 25, 0, 25, 25, 25, 15, 15, 0, 20, 0, 20, 20, 20, 20, 20, -10]
 
 
 def test_award_batch_rejects_and_pays(spark):
@@ -87,10 +87,29 @@ def test_award_batch_rejects_and_pays(spark):
                                ("b", "NO_SHOW_PENALTY", 10, None, day(1)), ("a", "NO_SHOW_PENALTY", -30, None, day(2))])
     assert rows(L.check_awards(requests, users), "id", "reason") == [
         (0, None), (1, "unknown user"), (2, "penalty must be negative"), (3, None)]
-    assert rows(L.award(requests, users, shields), "id", "balance", "tier", "inbox_shield_threshold") == [
+    none = requests.filter("id < 0")
+    assert rows(L.award(requests, users, none, shields), "id", "balance", "tier", "inbox_shield_threshold") == [
         (0, 120, "beginner", 200), (3, 90, None, 200)]
 
 
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_awards_go_on_from_the_existing_ledger(spark, journey, hot_rows):
+    users = spark.createDataFrame([("u",)], "user_id string")
+    shields = spark.createDataFrame([("u", 50)], "user_id string, threshold int")
+    first, later = journey.filter("id < 4"), journey.filter("id >= 4")
+    got = L.award(first, users, later.filter("id < 0"), shields, hot_rows=hot_rows)
+    assert [r.balance for r in got.orderBy("id").collect()][-1] == 100
+    got = L.award(later, users, first, shields, hot_rows=hot_rows).orderBy("id").collect()
+    assert [r.balance for r in got] == [110, 135, 150, 170, 160] and {r.tier for r in got} == {"beginner"}
+
+
+def test_page_size_is_checked(spark, journey):
+    shields = spark.createDataFrame([("u", 50)], "user_id string, threshold int")
+    for limit, offset in ((0, 0), (101, 0), (10, -1)):
+        with pytest.raises(ValueError):
+            L.profiles_with_page(shields.select("user_id"), journey, shields, limit, offset)
+
+
 def test_eligibility(spark):
     scores = spark.createDataFrame([("low", 50), ("mid", 200), ("top", 900)], "user_id string, karma_score long")
     shields = spark.createDataFrame([("low", 300), ("mid", 0)], "user_id string, threshold int")

@@ -157,7 +157,7 @@ def test_results_end_to_end(spark, communities, activity):
     members = spark.createDataFrame([("member", "comm_py_sf_001")], "user_id string, community_id string")
     toxicity = spark.createDataFrame([("toxic", 0.75)], "user_id string, score double")
     out = {r.user_id: r for r in matching.match_results(
-        users, communities, index, activity, members, now(), toxicity).collect()}
+        users, communities, index, activity, members, now(), toxicity, dim=15).collect()}
     assert [m.community_id for m in out["soul"].matches] == ["comm_py_sf_001"]
     assert (out["soul"].tier, out["soul"].auto_joined_community, out["soul"].ai_intro_generated) == ("soulmate", "comm_py_sf_001", True)
     assert (out["member"].auto_joined_community, out["member"].ai_intro_generated) == ("comm_py_sf_001", False)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from kindred.catalog import REGISTRY
 from tools import compare
 
-SQL = entry.oracle_sql()
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in REGISTRY}
 
 
 @pytest.fixture(scope="module")

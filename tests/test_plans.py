@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from kindred.catalog import REGISTRY
 
-BATCH = [name for name in sorted(entry.queries()) if not name.startswith("t0")]
+BATCH = [name for name in sorted(REGISTRY) if not name.startswith("t0")]
 
 
 def plan(df):
@@ -27,8 +28,9 @@ def test_trailing_window_is_pushed_and_columns_are_pruned(spark, sf_dir):
 
 
 def test_messages_are_parsed_once(spark, sf_dir):
-    text = plan(entry.queries()["s04_change_event_source"](spark, sf_dir))
-    assert text.count("from_json(") == 1
+    for name in ("s04_change_event_source", "s09_pattern_subscribe"):
+        text = plan(entry.queries()[name](spark, sf_dir))
+        assert text.count("from_json(") == 1 and "parse_json" not in text
 
 
 def test_ranking_moves_no_vectors(spark, sf_dir):

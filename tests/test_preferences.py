@@ -61,7 +61,7 @@ def test_fold_keeps_latest_non_null(spark):
 @pytest.mark.parametrize("hot_rows", [0, 10**6])
 def test_history_flag_flips_at_the_last_field(spark, hot_rows):
     steps = [("a", "a", {f: v}) for f, v in FULL.items()] + [("a", "a", {"location": "Goa"})]
-    got = P.history(patches(spark, steps), hot_rows=hot_rows, chunk_seconds=120).orderBy("seq").collect()
+    got = P.history(patches(spark, steps), hot_rows=hot_rows).orderBy("seq").collect()
     assert [r.onboarding_complete for r in got] == [False] * 6 + [True, True]
     assert [r.cur_location for r in got] == ["Mumbai"] * 7 + ["Goa"]
 

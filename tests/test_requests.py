@@ -56,7 +56,7 @@ def match(world, **fns):
     text = communities.select("community_id", F.concat_ws(" ", "community_name", "description").alias("embedding_text"))
     index = hooks.embed(text, batch_fn=keyword_vectors).select("community_id", "vector")
     results, rejected = requests.match_profiles(
-        profiles, communities, index, activity, members, users, now, embed_fn=keyword_vectors, **fns)
+        profiles, communities, index, activity, members, users, now, embed_fn=keyword_vectors, dim=3, **fns)
     assert rejected.count() == 2
     return {r.user_id: r for r in results.collect()}
 
@@ -65,6 +65,8 @@ def test_custom_vectors(world):
     got = match(world)
     assert set(got) == {"a", "b"}
     assert (got["a"].tier, got["a"].auto_joined_community, got["a"].ai_intro_generated) == ("soulmate", "py", True)
+    assert got["a"].intro_text.startswith("Welcome to Python Circle!") and got["a"].mentioned_member is None
+    assert got["a"].created_at is not None
     assert got["b"].tier == "fallback" and [m.community_id for m in got["b"].matches] == ["ga", "ml", "py"]
 
 
@@ -74,6 +76,8 @@ def test_introduction_hook_sees_members_and_gates_on_toxicity(world):
     assert (seen["a"].intro_text, seen["a"].mentioned_member, seen["a"].ai_intro_generated) == (
         "Hi Python Circle, meet olga", "olga", True)
     assert seen["b"].intro_text is None
+    long = match(world, intro_fn=lambda batch: [("w" * 400, None, 0.1) for _ in batch])
+    assert long["a"].ai_intro_generated and len(long["a"].intro_text) == 400
     toxic = match(world, intro_fn=lambda batch: [("bad words", None, 0.75) for _ in batch])
     assert toxic["a"].ai_intro_generated is False and toxic["a"].auto_joined_community == "py"
     broken = match(world, intro_fn=lambda batch: 1 / 0)
@@ -98,7 +102,37 @@ def test_the_embedding_model_runs_once_per_valid_profile(spark, world, with_intr
 
     index = hooks.embed(communities.select("community_id", F.col("community_name").alias("embedding_text")), batch_fn=keyword_vectors)
     results, _ = requests.match_profiles(
-        profiles, communities, index.select("community_id", "vector"), activity, members, users, now, embed_fn=counted,
+        profiles, communities, index.select("community_id", "vector"), activity, members, users, now, embed_fn=counted, dim=3,
         intro_fn=(lambda batch: [("hi", None, 0.0) for _ in batch]) if with_intro else None)
     results.write.format("noop").mode("overwrite").save()
     assert calls.value == 2
+
+
+def test_request_id_travels_with_the_result(world):
+    profiles = world[4].withColumn("request_id", F.concat(F.lit("r-"), "user_id"))
+    got = match((*world[:4], profiles, world[5]))
+    assert {r.request_id for r in got.values()} == {"r-a", "r-b"}
+
+
+def test_fresh_vectors_are_reused_and_stale_ones_replaced(spark, world):
+    now = world[5]
+    cached = spark.createDataFrame([
+        ("user", "a", "set", "2024-01-08 00:00:00", 1, [0.0, 0.0, 1.0]), ("user", "b", "set", "2024-01-01 00:00:00", 2, [9.0, 9.0, 9.0]),
+        ("group", "a", "set", "2024-01-11 00:00:00", 3, [5.0, 5.0, 5.0])],
+        "kind string, key string, op string, at string, seq long, vector array<float>").withColumn("ts", F.to_timestamp_ntz("at")).drop("at")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return keyword_vectors(texts)
+
+    cleaned, _ = requests.prepare(world[4])
+    got = {r.user_id: r.vector for r in requests.user_vectors(cleaned, now, counted, 3, cached).collect()}
+    assert calls.value == 1 and got == {"a": [0.0, 0.0, 1.0], "b": [0.0, 1.0, 0.0]}
+    removed = cached.unionByName(spark.createDataFrame(
+        [("user", "a", "invalidate", 4, None)], "kind string, key string, op string, seq long, vector array<float>").withColumn("ts", now))
+    again = {r.user_id: r.vector for r in requests.user_vectors(cleaned, now, keyword_vectors, 3, removed).collect()}
+    assert again["a"] == [1.0, 0.0, 0.0]
+    writes = requests.cache_writes(requests.user_vectors(cleaned, now, keyword_vectors, 3), now, F.lit(9).cast("long"))
+    stored = requests.user_vectors(cleaned, now, lambda texts: 1 / 0, 3, cached.unionByName(writes.select(cached.columns)))
+    assert stored.count() == 2

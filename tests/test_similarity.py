@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions.vectors import cosine
-from kindred.operators.similarity import top_k_by_cosine
+from kindred.operators.similarity import top_k_by_cosine, vector_rejects
 
 FIELDS = ["community_id", "category"]
 
@@ -55,23 +55,43 @@ def expected(users, communities, k):
 @pytest.mark.parametrize("k", [1, 5, 50])
 def test_equals_brute_force(data, k, block_rows):
     users, communities, u, c = data
-    got = top_k_by_cosine(u, c.drop("vector"), c.select("community_id", "vector"), fields=FIELDS, k=k, block_rows=block_rows)
+    got = top_k_by_cosine(u, c.drop("vector"), c.select("community_id", "vector"), 8, fields=FIELDS, k=k, block_rows=block_rows)
     found = {r.user_id: [(m.community_id, round(m.match_score, 6)) for m in r.matches] for r in got.collect()}
     assert found == expected(users, communities, k)
 
 
 def test_hot_location_is_cut_into_blocks(data, spark):
     _, _, u, c = data
-    got = top_k_by_cosine(u, c.drop("vector"), c.select("community_id", "vector"), fields=FIELDS, k=3, block_rows=20)
+    got = top_k_by_cosine(u, c.drop("vector"), c.select("community_id", "vector"), 8, fields=FIELDS, k=3, block_rows=20)
     assert got.count() == u.count()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("bad", [[], [1.0, 2.0, 3.0], [float("nan")] * 8, [None] * 8, None])
+def test_a_bad_vector_changes_nobody_elses_matches(spark, data, bad):
+    """Also on the lowest id of a location, where it once set the size for all others."""
+    _, _, u, c = data
+    index = c.select("community_id", "vector")
+    spoiled = index.withColumn("vector", F.when(F.col("community_id") == 0, F.lit(bad).cast("array<double>")).otherwise(F.col("vector")))
+
+    def matches(vectors, without=None):
+        got = top_k_by_cosine(u, c.drop("vector"), vectors, 8, fields=FIELDS, k=60)
+        return {r.user_id: [m.community_id for m in r.matches if m.community_id != without] for r in got.collect()}
+    assert matches(spoiled) == matches(index, without=0)
+
+
+def test_rejects_name_the_reason(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [1.0, None]), (5, [float("inf"), 1.0]), (6, [])],
+                               "id int, vector array<double>")
+    got = {r.id: r.reason for r in vector_rejects(df, 2).collect()}
+    assert got == {2: "wrong size", 3: "no vector", 4: "not finite", 5: "not finite", 6: "wrong size"}
+
+
 def test_keeps_named_user_columns(data):
     _, _, u, c = data
     tagged = u.withColumn("note", F.concat(F.lit("n"), "user_id"))
-    got = top_k_by_cosine(tagged, c.drop("vector"), c.select("community_id", "vector"), fields=FIELDS, k=2,
+    got = top_k_by_cosine(tagged, c.drop("vector"), c.select("community_id", "vector"), 8, fields=FIELDS, k=2,
                           keep=["user_id", "note"], population=u)
     assert got.columns == ["user_id", "note", "matches"]
     assert got.filter("note <> concat('n', user_id)").count() == 0

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.catalog.base import Views, as_of
+from kindred.catalog.base import DIM, Views, as_of
 from kindred.plans import delivery, ledger, matching, preferences, users
 from kindred.schemas import PREFERENCE_FIELDS
 from kindred.session import shared_dir
@@ -47,7 +47,9 @@ def stream(spark, sf_dir, batch):
 def run(spark, name, start):
     base = shared_dir(spark, name)
     start(f"{base}/parts", f"{base}/checkpoint").awaitTermination()
-    return jobs.read_parts(spark, f"{base}/parts")
+    parts = jobs.read_parts(spark, f"{base}/parts")
+    parts.path = f"{base}/parts"
+    return parts
 
 
 def test_scores(spark, stream, batch):
@@ -70,22 +72,49 @@ def test_user_sync(spark, stream, batch):
     want = rows(users.sync(base, parse(batch)), *columns)
     assert rows(jobs.synced_users(base, parts), *columns) == want
     # Compacted parts and a replayed batch change nothing.
-    target = shared_dir(spark, "compact")
-    jobs.compact(spark, parts, users.merge_folds, target)
-    once = jobs.read_parts(spark, target)
-    assert rows(jobs.synced_users(base, once.unionByName(parts)), *columns) == want
+    assert rows(jobs.synced_users(base, parts.unionByName(parts)), *columns) == want
+    jobs.compact(spark, parts.path, users.merge_folds)
+    once = jobs.read_parts(spark, parts.path)
+    assert once.select("batch").distinct().count() == 1 and rows(jobs.synced_users(base, once), *columns) == want
 
 
 def test_preferences(spark, stream, batch):
-    parts = run(spark, "prefs", lambda p, c: jobs.preference_stream(stream().pref_patches, p, c))
+    parts = run(spark, "prefs", lambda p, c: jobs.preference_stream(stream().patch_requests, p, c, batch.users))
     columns = ["user_id", *PREFERENCE_FIELDS, "onboarding_complete"]
-    assert rows(preferences.merge_parts(parts), *columns) == rows(preferences.fold(batch.pref_patches), *columns)
+    stored = preferences.fold(batch.pref_patches.filter("user_id % 3 = 0")).select("user_id", *PREFERENCE_FIELDS).withColumns(
+        {"created_at": as_of(), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    want = preferences.update(batch.patch_requests, batch.users, stored, as_of())
+    assert rows(jobs.current_preferences(stored, parts, as_of()), *columns, "updated_at") == rows(want, *columns, "updated_at")
+    jobs.compact(spark, parts.path, preferences.refold)
+    once = jobs.read_parts(spark, parts.path)
+    assert rows(jobs.current_preferences(stored, once, as_of()), *columns) == rows(want, *columns)
+
+
+def test_a_replay_keeps_the_parts_visible(spark):
+    path = shared_dir(spark, "replay")
+    one, two = (spark.createDataFrame([(i, v)], "id int, v string") for i, v in ((1, "old"), (2, "next")))
+    jobs._commit(one, path, 0, compacted=False)
+    jobs._commit(two, path, 1, compacted=False)
+    reader = jobs.read_parts(spark, path)
+    jobs._commit(one.withColumn("v", F.lit("new")), path, 0, compacted=False)
+    assert rows(reader, "id", "v") == [(1, "old"), (2, "next")]
+    assert rows(jobs.read_parts(spark, path), "id", "v", "batch") == [(1, "new", 0), (2, "next", 1)]
+    jobs.compact(spark, path, lambda parts: parts)
+    # A batch that the compaction holds does not come back when it is replayed; a later one does.
+    jobs._commit(two, path, 1, compacted=False)
+    jobs._commit(two.withColumn("id", F.lit(3)), path, 2, compacted=False)
+    assert rows(jobs.read_parts(spark, path), "id", "v") == [(1, "new"), (2, "next"), (3, "next")]
 
 
 def test_presence_and_delivery(spark, stream, batch):
     parts = run(spark, "presence", lambda p, c: jobs.presence_stream(stream().connections, p, c))
     live = delivery.live_connections(batch.connections)
     assert rows(jobs.present(parts), "user_id", "sid") == rows(live)
+    jobs.compact(spark, parts.path, jobs.forget_closed())
+    once = jobs.read_parts(spark, parts.path)
+    assert once.count() < parts.count() and rows(jobs.present(once), "user_id", "sid") == rows(live)
+    old = once.filter("NOT connected").agg(F.min("ts")).first()[0]
+    assert old is None or old >= parts.agg(F.max(F.col("ts")) - F.expr("INTERVAL 1 DAY")).first()[0]
     results = ledger.scores(batch.users, batch.ledger)
     sent = delivery.fan_out(results, live)
     assert sent.count() == live.count()
@@ -141,8 +170,8 @@ def test_match_stream(spark, batch, sf_dir):
     jobs.match_stream(requests.join(vectors, "user_id"), f"{base}/parts", f"{base}/checkpoint",
                       matching.location_candidates(batch.communities, batch.activity, as_of()),
                       matching.popular_communities(batch.communities, batch.activity, as_of()),
-                      batch.index, batch.members).awaitTermination()
-    want = matching.match_results(vectors, batch.communities, batch.index, batch.activity, batch.members, as_of())
+                      batch.index, batch.members, dim=DIM).awaitTermination()
+    want = matching.match_results(vectors, batch.communities, batch.index, batch.activity, batch.members, as_of(), dim=DIM)
     columns = ["user_id", "tier", "auto_joined_community", "ai_intro_generated"]
     parts = jobs.read_parts(spark, f"{base}/parts")
     assert parts.select("batch").distinct().count() == 3

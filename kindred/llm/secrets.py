@@ -48,7 +48,8 @@ CLASSES = (
 )
 # What a suppressed candidate holds, or what stands right before it.
 ALLOWED = re.compile(r"(?i)example|sample|placeholder|dummy|x{6,}|0123456789|abcdefgh|qwertyui")
-ALLOWED_BEFORE = re.compile(r"(?i)(sha-?\d+|md5|checksum|digest|commit|etag|uuid|https?://\S*|www\.\S*|/)[\s:=\"'-]{0,3}$")
+ALLOWED_BEFORE = re.compile(
+    r"""(?i)(?:sha-?\d+|md5|checksum|digest|commit|etag|uuid)[\s:=\"'-]{0,3}$|(?:https?:|www\.)\S*$|/$""")
 
 
 def random_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:

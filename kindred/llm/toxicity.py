@@ -15,8 +15,7 @@ labels in the training rows every text gets the share of label 1 (0 without any
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,8 @@ CLEAN = 3
 BAG = 48
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 12, 8
 MAX_WORDS, MAX_GRAMS = 20_000, 40_000
-LEAST_DOCS = 4
+LEAST_DOCS, LEAST_WORD_DOCS = 8, 20
+LEAST_STEPS = 80
 GRAMS = (3, 5)
 SLOTS = 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -92,15 +92,14 @@ class Model:
     grams: Grams | None
     weights: dict[str, np.ndarray]
     constant: float | None = None
-    cache: dict[str, int] = field(default_factory=dict)
-    rows: np.ndarray | None = None
 
-    def __getstate__(self):
-        return self.words, self.grams, self.weights, self.constant
 
-    def __setstate__(self, state):
-        self.words, self.grams, self.weights, self.constant = state
-        self.cache, self.rows = {}, None
+class Table:
+    """The projected inputs of words met so far (row 0: padding); owned by a task, so that it goes with it."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((1, 6 * HIDDEN), np.float32)
 
 
 def new_model(words: list[str], grams: Grams, seed: int = 7) -> Model:
@@ -184,18 +183,28 @@ def gradients(model: Model, x: np.ndarray, mask: np.ndarray, error) -> tuple[np.
 
 
 class Lexicon:
-    """The sample's words: ids of their vectors, and of the n-grams of each."""
+    """The sample's words (rows from 1, row 0 is padding): ids of their vectors, and of the n-grams of each."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.word = names, np.zeros(len(names) + 1, np.int32)
+
+    def parts_of(self, step: int = 1 << 15):
+        """Codes and owners (rows) of the words' n-grams, some words at a time."""
+        for at in range(0, len(self.names), step):
+            codes, owners = gram_codes(self.names[at:at + step])
+            yield codes, owners + at + 1
 
-    def __init__(self, model: Model, names: list[str], codes: np.ndarray, owners: np.ndarray):
-        self.index = {w: i + 1 for i, w in enumerate(names)}
-        self.word = np.array([0, *(model.words.get(w, 0) for w in names)])
-        self.sizes = np.concatenate([[1], np.bincount(owners, minlength=len(names))])
-        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.gram = np.concatenate([[0], model.grams.find(codes)])
+    def number(self, model: Model):
+        self.word[1:] = [model.words.get(w, 0) for w in self.names]
+        found = [(model.grams.find(codes), owners) for codes, owners in self.parts_of()]
+        self.gram = np.concatenate([np.zeros(1, np.int32), *(g for g, _ in found)])
+        self.sizes = np.bincount(np.concatenate([o for _, o in found]), minlength=len(self.word))
+        self.sizes[0] = 1
+        self.first = np.cumsum(self.sizes) - self.sizes
 
     def vectors(self, model: Model, used: np.ndarray) -> np.ndarray:
-        gram, owner, sizes = self.parts(used)
-        sums = np.add.reduceat(model.weights["C"][gram], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        gram, _, sizes = self.parts(used)
+        sums = np.add.reduceat(model.weights["C"][gram], np.cumsum(sizes) - sizes, axis=0)
         return np.concatenate([model.weights["E"][self.word[used]], sums / sizes[:, None]], axis=1).astype(np.float32)
 
     def parts(self, used: np.ndarray):
@@ -219,32 +228,36 @@ def fit(documents: list[tuple[str, int]], base: float | None = None, noisy: int
     share = float(np.mean([y for _, y in documents])) if documents else 0.0
     if share in (0.0, 1.0):
         return Model({}, None, {}, share)
-    bags, seen = [], Counter()
-    for text, _ in documents:
+    index: dict[str, int] = {}
+    parts, owner, seen = [], [], []
+    for d, (text, _) in enumerate(documents):
         words = split(text)
-        at = list(starts(len(words)))
+        at = np.array(starts(len(words)))
         if len(at) > BAG:
-            at = [at[i] for i in np.sort(rng.permutation(len(at))[:BAG])]
-        bags.append([words[a:a + WINDOW] for a in at])
-        seen.update({w for window in bags[-1] for w in window})
-    names = sorted(seen)
-    if not names:
+            at = np.sort(rng.choice(at, BAG, replace=False))
+        line = np.zeros(max(at[-1] + WINDOW, len(words)), np.int32)
+        line[:len(words)] = [index.setdefault(w, len(index) + 1) for w in words]
+        parts.append(line[at[:, None] + np.arange(WINDOW)])
+        owner.append(np.full(len(at), d))
+        seen.append(np.unique(parts[-1]))
+    ids, owner = np.concatenate(parts), np.concatenate(owner)
+    seen = np.bincount(np.concatenate(seen), minlength=len(index) + 1)
+    lexicon = Lexicon(list(index))
+    if not index:
         return Model({}, None, {}, share)
-    codes, owners = gram_codes(names)
-    distinct, place = np.unique(codes, return_inverse=True)
-    often = np.bincount(place, np.array([seen[w] for w in names])[owners])
-    chosen = np.argsort(-often, kind="stable")[:MAX_GRAMS]
-    model = new_model([w for w in sorted(names, key=lambda w: (-seen[w], w))[:MAX_WORDS] if seen[w] >= LEAST_DOCS],
-                      Grams(distinct[chosen[often[chosen] >= LEAST_DOCS]]), seed)
-    lexicon = Lexicon(model, names, codes, owners)
+    del parts, index
+    often: dict[str, np.ndarray] = {"codes": np.zeros(0, np.uint64), "docs": np.zeros(0)}
+    for codes, owners in lexicon.parts_of():
+        distinct, place = np.unique(np.concatenate([often["codes"], codes]), return_inverse=True)
+        often = {"codes": distinct, "docs": np.bincount(place, np.concatenate([often["docs"], seen[owners]]))}
+    chosen = np.argsort(-often["docs"], kind="stable")[:MAX_GRAMS]
+    common = np.argsort(-seen[1:], kind="stable")[:MAX_WORDS]
+    model = new_model([lexicon.names[i] for i in common if seen[i + 1] >= LEAST_WORD_DOCS],
+                      Grams(often["codes"][chosen[often["docs"][chosen] >= LEAST_DOCS]]), seed)
+    lexicon.number(model)
     labels = np.array([y for _, y in documents], np.float32)
     # Both labels weigh the same while learning; the prior of label 1 comes back in the last step.
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    flat = [(d, window) for d, bag in enumerate(bags) for window in bag]
-    ids = np.zeros((len(flat), WINDOW), np.int64)
-    for i, (_, window) in enumerate(flat):
-        ids[i, :len(window)] = [lexicon.index[w] for w in window]
-    owner = np.array([d for d, _ in flat])
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in model.weights.items()}
     step = 0
 
@@ -265,9 +278,13 @@ def fit(documents: list[tuple[str, int]], base: float | None = None, noisy: int
         for k, (m, v) in moments.items():
             m += 0.1 * (g[k] - m)
             v += 0.01 * (g[k] ** 2 - v)
-            model.weights[k] -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+            move = m / (1 - 0.9 ** step) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
+            model.weights[k] -= (rate * move).astype(np.float32)
 
     everything = _Scorer(model, lexicon)
+    # A small sample is read more often, so that each phase takes its ``LEAST_STEPS``.
+    noisy = max(noisy, -(-LEAST_STEPS * batch // (4 * len(documents))))
+    sharp = max(sharp, -(-LEAST_STEPS * batch // (2 * len(documents))))
     for epoch in range(noisy + sharp):
         if epoch < noisy:
             # As many windows as there are documents times four, each label half of them.
@@ -293,9 +310,12 @@ class _Scorer:
         self.model, self.lexicon = model, lexicon
 
     def logits(self, ids: np.ndarray) -> np.ndarray:
-        vectors = self.lexicon.vectors(self.model, np.arange(len(self.lexicon.sizes)))
-        p = self.model.weights
-        rows = np.concatenate([vectors @ p["Wf"] + p["bf"], vectors @ p["Wb"] + p["bb"]], axis=1)
+        p, every = self.model.weights, np.arange(len(self.lexicon.sizes))
+        rows = np.zeros((len(every), 6 * HIDDEN), np.float32)
+        for at in range(0, len(every), 8192):
+            vectors = self.lexicon.vectors(self.model, every[at:at + 8192])
+            for side, columns in (("f", slice(0, 3 * HIDDEN)), ("b", slice(3 * HIDDEN, None))):
+                rows[at:at + 8192, columns] = vectors @ p[f"W{side}"] + p[f"b{side}"]
         return window_logits(self.model, rows, ids)
 
 
@@ -310,10 +330,11 @@ def window_logits(model: Model, rows: np.ndarray, ids: np.ndarray, batch: int =
     return out
 
 
-def scores(model: Model, given: list[str]) -> np.ndarray:
+def scores(model: Model, given: list[str], table: Table | None = None) -> np.ndarray:
     """Scores of whole texts: the highest of all overlapping windows."""
     if model.constant is not None:
         return np.full(len(given), model.constant)
+    table = table or Table()
     best = np.full(len(given), -np.inf)
     at = 0
     while at < len(given):
@@ -322,7 +343,7 @@ def scores(model: Model, given: list[str]) -> np.ndarray:
             chars += len(given[end])
             end += 1
         lists = [split(t) for t in given[at:end]]
-        rows, index = project(model, {w for words in lists for w in words})
+        rows, index = project(model, table, {w for words in lists for w in words})
         lines, owners = [], []
         for i, words in enumerate(lists):
             count = len(starts(len(words)))
@@ -335,21 +356,19 @@ def scores(model: Model, given: list[str]) -> np.ndarray:
     return sigmoid(best)
 
 
-def project(model: Model, words: set[str]) -> tuple[np.ndarray, dict[str, int]]:
+def project(model: Model, table: Table, words: set[str]) -> tuple[np.ndarray, dict[str, int]]:
     """The table of projected words with at least all the given ones, and their rows in it (row 0: padding)."""
-    index = model.cache
-    if len(index) > CACHE:
-        index.clear()
+    if len(table.index) > CACHE:
+        table.__init__()
+    index = table.index
     new = [w for w in words if w not in index]
-    if not index:
-        model.rows = np.zeros((1, 6 * HIDDEN), np.float32)
     if new:
         count = len(index) + 1
         index.update((w, count + k) for k, w in enumerate(new))
-        if len(model.rows) < count + len(new):
+        if len(table.rows) < count + len(new):
             room = np.zeros((count + len(new) + len(new) // 2, 6 * HIDDEN), np.float32)
-            room[:len(model.rows)] = model.rows
-            model.rows = room
+            room[:len(table.rows)] = table.rows
+            table.rows = room
         p = model.weights
         for at in range(0, len(new), 8192):
             part = new[at:at + 8192]
@@ -357,9 +376,9 @@ def project(model: Model, words: set[str]) -> tuple[np.ndarray, dict[str, int]]:
             sizes = np.bincount(owners, minlength=len(part))
             means = np.add.reduceat(p["C"][model.grams.find(codes)], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
             vectors = np.concatenate([p["E"][[model.words.get(w, 0) for w in part]], means], axis=1)
-            model.rows[count + at:count + at + len(part)] = np.concatenate(
+            table.rows[count + at:count + at + len(part)] = np.concatenate(
                 [vectors @ p["Wf"] + p["bf"], vectors @ p["Wb"] + p["bb"]], axis=1)
-    return model.rows, index
+    return table.rows, index
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", size: int = SAMPLE) -> Model:
@@ -372,8 +391,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        table = Table()
         for b in batches:
-            found = scores(packed.value, b[1].to_pylist())
+            found = scores(packed.value, b[1].to_pylist(), table)
             yield pa.RecordBatch.from_arrays([b[0], pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
@@ -384,8 +404,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        table = Table()
         for b in batches:
             given = ["" if t is None else t for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array(scores(packed.value, given) < threshold))
+            yield b.filter(pa.array(scores(packed.value, given, table) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -81,16 +81,6 @@ class Encoder:
         return out, ends, counts
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder(vocabulary: str | None, pattern: str | None) -> Encoder:
-    key = (vocabulary, pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(vocabulary, pattern)
-    return _ENCODERS[key]
-
-
 def cut(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int, int]]:
     """(start, end, start of the next chunk or -1). Every overlap holds a place where white space begins after
     another character; no pre-token runs across it, so neighbouring chunks always have a boundary in common."""
@@ -134,7 +124,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     rows = texts(docs)
 
     def whole(batches):
-        enc = encoder(vocabulary, pattern)
+        # Owned by the task, so that its tables go when the task ends.
+        enc = Encoder(vocabulary, pattern)
         yield from _id_batches(
             (((k,), enc.ids(t)) for b in batches for k, t in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True)),
             ["doc_id"], [pa.int64()])
@@ -149,7 +140,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
                         names=["row", "doc_id", "start", "following", "text"])
 
     def encode_chunks(batches):
-        enc = encoder(vocabulary, pattern)
+        # Owned by the task, so that its tables go when the task ends.
+        enc = Encoder(vocabulary, pattern)
         for b in batches:
             for row, doc_id, start, following, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, ends, counts = enc.marked(text)

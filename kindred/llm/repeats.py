@@ -73,19 +73,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_NAMES: dict[int, Names] = {}
+def names(seed: int, length: int) -> Names:
+    """Large enough for every joined piece of text. Made anew by each task, so that it goes with the task."""
+    return Names(seed, 2 * SEGMENT + 2 * length)
 
 
-def names(seed: int) -> Names:
-    if seed not in _NAMES:
-        _NAMES[seed] = Names(seed, 2 * SEGMENT + LENGTH)
-    return _NAMES[seed]
-
-
-def chosen(data: np.ndarray, valid: np.ndarray, length: int, spread: int):
+def chosen(data: np.ndarray, valid: np.ndarray, length: int, spread: int, first: Names, second: Names):
     """Chosen positions of joined texts: core, full, position, first and last start of the strings it represents.
     ``valid``: the starts of strings that lie in one text."""
-    first, second = names(1), names(2)
     sums = first.sums(data)
     at = np.arange(len(data) - GRAM + 1)
     low = (first.of(sums, at, at + GRAM) & ~LOW) | at.astype(np.uint64)
@@ -147,11 +142,12 @@ ANCHORS = "core long, full long, block long, row int, place int, first int, last
 def anchors(blocks: DataFrame, length: int, spread: int, wanted=None) -> DataFrame:
     """The chosen positions of all blocks; ``wanted``: a broadcast bit table that their cores must meet."""
     def run(batches):
+        first_names, second_names = names(1, length), names(2, length)
         table = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little")
         for b in batches:
             for key, packed in zip(b[0].to_pylist(), b[1], strict=True):
                 for data, valid, rows, shift in segments(packed.as_py(), length):
-                    core, full, place, begin, last = chosen(data, valid, length, spread)
+                    core, full, place, begin, last = chosen(data, valid, length, spread, first_names, second_names)
                     keep = slice(None) if table is None else table[core & np.uint64(len(table) - 1)].astype(bool)
                     core, full, place, begin, last = (x[keep] for x in (core, full, place, begin, last))
                     move = shift[begin]
@@ -187,9 +183,8 @@ def repeated_runs(codes: np.ndarray, owners: np.ndarray, starts: np.ndarray, sin
     return np.stack([owners[begin], starts[begin], starts[end]], axis=1)
 
 
-def string_names(pieces: list[bytes], sizes: np.ndarray, cores: np.ndarray, length: int):
+def string_names(pieces: list[bytes], sizes: np.ndarray, cores: np.ndarray, length: int, named: Names):
     """Names of all strings of all pieces (``sizes``: how many each has), and the piece of each."""
-    named = names(2)
     codes, owners = [], []
     at = 0
     while at < len(pieces):
@@ -249,10 +244,12 @@ def removed(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, block:
     common = strings.where(F.col("pairs") <= group)
 
     def compare(batches):
+        named = names(2, length)
+
         def runs(rows: pa.Table):
             first, last = rows["first"].to_numpy(), rows["last"].to_numpy()
             sizes = (last - first + 1).astype(np.int64)
-            codes, owners = string_names(rows["bytes"].to_pylist(), sizes, rows["core"].to_numpy(), length)
+            codes, owners = string_names(rows["bytes"].to_pylist(), sizes, rows["core"].to_numpy(), length, named)
             starts = first[owners] + np.arange(len(owners)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             found = repeated_runs(codes, owners, starts, rows["single"].to_numpy())
             of = found[:, 0]
@@ -278,12 +275,14 @@ def removed(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, block:
         compare, "block long, row int, first int, last int")
 
     def spread_out(batches):
+        named = names(2, length)
         for rows in batches:
             first, last = rows.column("first").to_numpy(), rows.column("last").to_numpy()
             for a in range(0, rows.num_rows, 1024):
                 part = rows.slice(a, 1024)
                 sizes = (last - first + 1)[a:a + 1024].astype(np.int64)
-                codes, owners = string_names(part.column("bytes").to_pylist(), sizes, part.column("core").to_numpy(), length)
+                codes, owners = string_names(
+                    part.column("bytes").to_pylist(), sizes, part.column("core").to_numpy(), length, named)
                 starts = first[a:a + 1024][owners] + np.arange(len(owners)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part.column("core").to_numpy()[owners]), pa.array(codes.astype(np.int64)),

@@ -5,8 +5,9 @@ character n-grams, so unseen forms of a known stem are recognised. The network r
 overlap by half; attention pools the states of a window to one logit, and the highest window gives a text its score.
 
 Training takes a bounded sample: at most ``SAMPLE`` documents of label 1 and ``CLEAN`` times as many of label 0, in
-the order of a hash of the id, and at most ``BAG`` windows of each, spread over the whole text. First every window carries its document's label, then only
-the highest window of each document does. Everything else (scoring) covers all rows and whole texts.
+the order of a hash of the id, and at most ``BAG`` windows of each, spread over the whole text. First every window
+carries its document's label, then only the highest window of each document does. Everything else (scoring) covers
+all rows and whole texts.
 
 Defined cases: null texts count as empty; a text without words scores like a window without words; a null ``doc_id``
 and repeated rows are kept; null labels are left out and of conflicting labels the higher counts; without both
@@ -111,7 +112,8 @@ def new_model(words: list[str], grams: Grams, seed: int = 7) -> Model:
                     f"U{side}": rng.normal(0, HIDDEN ** -0.5, (HIDDEN, 3 * HIDDEN))}
     weights |= {"A": rng.normal(0, (2 * HIDDEN) ** -0.5, (2 * HIDDEN, HIDDEN)), "a": np.zeros(HIDDEN),
                 "v": rng.normal(0, 1, HIDDEN), "w": rng.normal(0, (2 * HIDDEN) ** -0.5, 2 * HIDDEN), "c": np.zeros(1)}
-    return Model({w: i + 1 for i, w in enumerate(words)}, grams, {k: x.astype(np.float32) for k, x in weights.items()})
+    return Model({w: i + 1 for i, w in enumerate(words)}, grams,
+                 {k: x.astype(np.float32) for k, x in weights.items()})
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -220,8 +222,8 @@ def _summed(index: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     return np.bincount(flat, values.ravel(), count * size).reshape(count, size).astype(np.float32)
 
 
-def fit(documents: list[tuple[str, int]], base: float | None = None, noisy: int = 3, sharp: int = 4, batch: int = 256, rate: float = 0.01,
-        seed: int = 7) -> Model:
+def fit(documents: list[tuple[str, int]], base: float | None = None, noisy: int = 3, sharp: int = 4,
+        batch: int = 256, rate: float = 0.01, seed: int = 7) -> Model:
     """Train on (text, label) pairs; ``base``: the share of label 1 among all rows that the sample stands for."""
     rng = np.random.default_rng(seed)
     documents = sorted(documents)

@@ -6,6 +6,7 @@ to the block that asked for them; the block is also the unit in which text trave
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,12 @@ def pack(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def unpack(data: bytes) -> Iterator[tuple]:
-    """The packed rows in order."""
+    """The packed rows in order, a few texts at a time as Python objects.
+
+    A worker opens block after block: what earlier ones left in reference cycles or in Arrow's pool goes first.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     for b in pa.ipc.open_stream(data):
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        for at in range(0, b.num_rows, 256):
+            yield from zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True)

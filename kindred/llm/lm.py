@@ -8,8 +8,8 @@ frozen, so the probability of a byte depends only on the ``DEPTH`` bytes before
 Spark's part: texts are packed into blocks of some megabytes, frozen in the shared folder. Every block counts its
 words and grams (a byte with its context); sums over blocks give the training counts; distinct grams are grouped by
 their last two context bytes, a bounded alphabet, to weight the lower levels of the tree, and only the two upper ones,
-at most 256 x 255 nodes, pass the driver. Counts and log-probabilities go back to the blocks that asked for them. Nothing
-that grows with the corpus is broadcast or collected.
+at most 256 x 255 nodes, pass the driver. Word counts go back to the blocks that asked for them, and so do the
+log-probabilities of grams, unless the whole tree is below ``BROADCAST_GRAMS``.
 
 Defined cases: null texts count as empty; an empty text has the end token only; a null ``doc_id`` belongs to the share
 its empty string hashes to; repeated rows are kept and count each time; other columns are ignored; without training
@@ -28,11 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.blocks import BLOCK, pack, unpack
+from kindred.llm.blocks import pack, unpack
 from kindred.llm.common import texts
 from kindred.session import settle
 
 DEPTH = 4
+BLOCK = 12 << 20
+# A tree of up to so many grams (16 bytes each) travels to every task; a larger one only where it is asked for.
+BROADCAST_GRAMS = 2_000_000
+# Grams that are counted together.
+PIECE = 1 << 20
 # Stands before and after every text; it never occurs in UTF-8.
 EDGE = b"\xff"
 LOG_PI = float(np.log(np.pi))
@@ -170,11 +175,19 @@ def tree_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return grouped.groupBy("pair").applyInPandas(values, "gram long, value double")
 
 
-def count_block(data: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+def count_block(data: bytes) -> tuple[Counter, np.ndarray, np.ndarray]:
     """Training counts of all words of a block (the empty word is the end token) and of all its grams."""
     words: Counter = Counter()
     other: set[bytes] = set()
-    grams = {True: [], False: []}
+    held: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    sums = {t: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for t in held}
+
+    def gather(trained: bool):
+        found, counts = np.unique(np.concatenate(held[trained]), return_counts=True)
+        both, place = np.unique(np.concatenate([sums[trained][0], found]), return_inverse=True)
+        sums[trained] = both, np.bincount(place, np.concatenate([sums[trained][1], counts])).astype(np.int64)
+        held[trained].clear()
+
     for _, trained, text in unpack(data):
         low = padded(text)
         found = low[DEPTH:-1].split()
@@ -183,50 +196,89 @@ def count_block(data: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
             words[b""] += 1
         else:
             other.update(found)
-        grams[trained].append(codes(low))
-    counts = dict.fromkeys([b"", *other], 0) | words
-    learned = np.unique(np.concatenate(grams[True]), return_counts=True) if grams[True] else (
-        np.zeros(0, np.int64), np.zeros(0, np.int64))
-    asked = np.setdiff1d(np.concatenate(grams[False]), learned[0]) if grams[False] else np.zeros(0, np.int64)
-    return counts, np.concatenate([learned[0], asked]), np.concatenate([learned[1], np.zeros(len(asked), np.int64)])
+        held[trained].append(codes(low))
+        if sum(map(len, held[trained][-32:])) > PIECE or len(held[trained]) > 512:
+            gather(trained)
+    for trained in (True, False):
+        if held[trained]:
+            gather(trained)
+    (grams, counts), (asked, _) = sums[True], sums[False]
+    asked = np.setdiff1d(asked, grams)
+    for word in other:
+        words.setdefault(word, 0)
+    words.setdefault(b"", 0)
+    return words, np.concatenate([grams, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)])
 
 
 class Lookup:
-    """Values by gram: one slot for most grams, a sorted search for those whose slot is taken."""
+    """Values by gram: most grams have a slot of their own, those whose slot is taken one in a smaller table after it."""
 
     def __init__(self, grams: np.ndarray, values: np.ndarray):
-        order = np.argsort(grams)
-        self.grams, self.values = grams[order], values[order]
-        self.shift = np.uint64(64 - max(8, int(len(grams)).bit_length() + 2))
-        slots = self.slots(self.grams)
-        self.held = np.full(1 << int(np.uint64(64) - self.shift), -1, np.int64)
-        self.found = np.zeros(len(self.held))
-        self.held[slots], self.found[slots] = self.grams, self.values
-
-    def slots(self, grams: np.ndarray) -> np.ndarray:
-        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-
-    def total(self, grams: np.ndarray) -> float:
-        slots = self.slots(grams)
-        hit = self.held[slots] == grams
-        rest = grams[~hit]
-        return float(self.found[slots[hit]].sum() + self.values[np.searchsorted(self.grams, rest)].sum())
+        self.levels = []
+        factor = 0x9E3779B97F4A7C15
+        while len(grams):
+            bits = max(4, int(len(grams)).bit_length() + 1)
+            level = np.uint64(factor), np.uint64(64 - bits), np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+            slots = self.slots(level, grams)
+            level[2][slots], level[3][slots] = grams, values
+            self.levels.append(level)
+            rest = level[2][slots] != grams
+            grams, values = grams[rest], values[rest]
+            factor = (factor * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
+
+    @staticmethod
+    def slots(level: tuple, grams: np.ndarray) -> np.ndarray:
+        return (grams.astype(np.uint64) * level[0]) >> level[1]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams))
+        place = None
+        for level in self.levels:
+            slots = self.slots(level, grams)
+            hit = level[2][slots] == grams
+            if place is None:
+                out[hit] = level[3][slots[hit]]
+                place = np.flatnonzero(~hit)
+            else:
+                out[place[hit]] = level[3][slots[hit]]
+                place = place[~hit]
+            grams = grams[~hit]
+            if not len(grams):
+                break
+        return out
+
+
+def score_block(data: bytes, words: dict[bytes, float], lookup: Lookup):
+    """(doc_id, tokens, known tokens, coded bytes, sum of log10(c + 1), log10 probability) of every row of a block."""
+    held: list[tuple] = []
+    waiting: list[np.ndarray] = []
+    size = 0
 
+    def flush():
+        begin = np.cumsum([0, *(len(c) for c in waiting[:-1])])
+        totals = np.add.reduceat(lookup.of(np.concatenate(waiting)), begin)
+        for row, total in zip(held, totals.tolist(), strict=True):
+            yield *row, total
 
-def score_block(data: bytes, words: dict[bytes, float], grams: np.ndarray, values: np.ndarray):
-    """(doc_id, tokens, known tokens, coded bytes, sum of log10(c + 1), log10 probability) of every row of a block."""
-    lookup = Lookup(grams, values)
     for doc_id, _, text in unpack(data):
         low = padded(text)
         found = low[DEPTH:-1].split()
-        logs = np.array([words[b""], *(words[w] for w in found)])
-        code = codes(low)
-        yield doc_id, len(logs), int((logs > 0).sum()), len(code), float(logs.sum()), lookup.total(code)
-
-
-def score(docs: DataFrame, trained: Column, block: int = BLOCK) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10 probability of the text and
-    its end) and ``bits_per_byte`` (its code length) for every row, from a model of the rows where ``trained`` (a condition on ``doc_id``) holds."""
+        logs = np.fromiter(map(words.__getitem__, [b"", *found]), np.float64, len(found) + 1)
+        waiting.append(codes(low))
+        held.append((doc_id, len(logs), int((logs > 0).sum()), len(waiting[-1]), float(logs.sum())))
+        size += len(low)
+        if size > PIECE // 4:
+            yield from flush()
+            held, waiting, size = [], [], 0
+    if held:
+        yield from flush()
+
+
+def score(docs: DataFrame, trained: Column, block: int = BLOCK,
+          broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10 probability of the
+    text and its end) and ``bits_per_byte`` (its code length) for every row, from a model of the rows
+    where ``trained`` (a condition on ``doc_id``) holds."""
     blocks = pack(texts(docs).select("doc_id", F.coalesce(trained, F.lit(False)).alias("trained"), "text"), block)
 
     def count(batches):
@@ -234,7 +286,7 @@ def score(docs: DataFrame, trained: Column, block: int = BLOCK) -> DataFrame:
             for key, data in zip(b[0].to_pylist(), b[1], strict=True):
                 words, grams, n = count_block(data.as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(words)), pa.array(list(words), pa.binary()),
+                    [pa.array(np.full(len(words), key)), pa.array(list(words), pa.binary()),
                      pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())],
                     names=["block", "word", "gram", "n"])
                 yield pa.RecordBatch.from_arrays(
@@ -246,30 +298,44 @@ def score(docs: DataFrame, trained: Column, block: int = BLOCK) -> DataFrame:
     grams = counted.where(F.col("gram").isNotNull()).select("block", "gram", "n")
     # A word has at most one row for each block, so its window stays small.
     own = Window.partitionBy("word")
-    word_values = words.select(
-        "block", "word", F.lit(None).cast("long").alias("gram"),
-        F.log10(F.sum("n").over(own) + 1).alias("value"),
+    back = words.select(
+        "block", "word", F.sum("n").over(own).alias("c"),
         (F.min(F.when(F.col("n") > 0, F.col("block"))).over(own) == F.col("block")).alias("first"))
-    values = settle(tree_values(grams.groupBy("gram").agg(F.sum("n").alias("n"))), "tree")
-    gram_values = grams.select("block", "gram").join(values, "gram").select(
-        "block", F.lit(None).cast("binary").alias("word"), "gram", "value", F.lit(False).alias("first"))
+    tree = settle(tree_values(grams.groupBy("gram").agg(F.sum("n").alias("n"))), "tree")
+    model = None
+    if tree.count() <= broadcast_grams:
+        # At most ``broadcast_grams`` rows of 16 bytes.
+        held = tree.toArrow()
+        model = docs.sparkSession.sparkContext.broadcast((held["gram"].to_numpy(), held["value"].to_numpy()))
+    none = F.lit(None)
+    back = back.withColumns({"gram": none.cast("long"), "value": none.cast("double")})
+    if model is None:
+        # A larger tree goes to the blocks as the word counts do: to each the grams it has.
+        back = back.unionByName(grams.select("block", "gram").join(tree, "gram").select(
+            "block", none.cast("binary").alias("word"), none.cast("long").alias("c"), F.lit(False).alias("first"),
+            "gram", "value"))
 
     def meet(data: pa.Table, found: pa.Table) -> pa.Table:
         names = ["doc_id", "n_tokens", "n_known", "n_bytes", "logs", "score", "distinct"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        is_word = found["word"].is_valid()
-        of_words, of_grams = found.filter(is_word), found.filter(pa.compute.invert(is_word))
-        known = dict(zip(of_words["word"].to_pylist(), of_words["value"].to_pylist(), strict=True))
+        of_words = found.filter(found["word"].is_valid())
+        logs = np.log10(of_words["c"].to_numpy() + 1.0).tolist()
+        known = dict(zip(of_words["word"].to_pylist(), logs, strict=True))
         first = pa.compute.sum(of_words["first"]).as_py() or 0
+        if model is None:
+            of_grams = found.filter(found["gram"].is_valid())
+            lookup = Lookup(of_grams["gram"].to_numpy(), of_grams["value"].to_numpy())
+        else:
+            lookup = Lookup(*model.value)
         rows = []
         for blob in data["data"]:
-            rows += score_block(blob.as_py(), known, of_grams["gram"].to_numpy(), of_grams["value"].to_numpy())
+            rows += score_block(blob.as_py(), known, lookup)
         # The last row carries the number of words that this block counts for the vocabulary.
         columns = zip(*(r + (None,) for r in rows), (None, 0, 0, 0, 0.0, 0.0, first), strict=True)
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     scored = settle(
-        blocks.groupBy("block").cogroup(word_values.unionByName(gram_values).groupBy("block")).applyInArrow(
+        blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
             meet, "doc_id long, n_tokens long, n_known long, n_bytes long, logs double, score double, "
                   "distinct long"), "scores")
     vocabulary = scored.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]

@@ -215,11 +215,11 @@ def check_scores(rows, got, trained):
             assert row.score == pytest.approx(tree.score(lm.padded(text or "")), rel=1e-9)
 
 
-@pytest.mark.parametrize("block", [500, 1 << 20])
-def test_language_model_equals_definition(spark, docs, block):
+@pytest.mark.parametrize("block, broadcast", [(500, 0), (500, 10**6), (1 << 20, 10**6)])
+def test_language_model_equals_definition(spark, docs, block, broadcast):
     rows = [(d, (t or "")[:700]) for d, t in docs[:40]] + [(900, None), (901, "ÄÖ unseen 😀 bytes")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lm.score(table, F.col("doc_id") % 3 != 0, block).collect()}
+    got = {r.doc_id: r for r in lm.score(table, F.col("doc_id") % 3 != 0, block, broadcast).collect()}
     check_scores(rows, got, lambda d: d % 3 != 0)
 
 

@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import texts
+from kindred.llm.common import slices, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 1 << 16
@@ -30,7 +30,7 @@ OVERLAP = 1 << 10
 # Matches that start this close to a chunk's cut end may differ in the whole text ("'re" is decided by 3 characters).
 EDGE = 3
 BATCH_IDS = 1 << 20
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -127,11 +127,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
         # Owned by the task, so that its tables go when the task ends.
         enc = Encoder(vocabulary, pattern)
         yield from _id_batches(
-            (((k,), enc.ids(t)) for b in batches for k, t in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True)),
+            (((k,), enc.ids(t)) for b in slices(batches) for k, t in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True)),
             ["doc_id"], [pa.int64()])
 
     def cut_rows(batches):
-        for b in batches:
+        for b in slices(batches, 8):
             for row, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for start, end, following in cut(text, chunk, overlap):
                     yield pa.RecordBatch.from_arrays(
@@ -142,7 +142,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     def encode_chunks(batches):
         # Owned by the task, so that its tables go when the task ends.
         enc = Encoder(vocabulary, pattern)
-        for b in batches:
+        for b in slices(batches, 8):
             for row, doc_id, start, following, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, ends, counts = enc.marked(text)
                 ends, counts = np.array([0, *ends], np.int64) + start, np.array([0, *counts], np.int64)
@@ -187,12 +187,9 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def to_bytes(batches):
         tokens = {rank: token for token, rank in load_ranks(vocabulary).items()}
         table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        for b in batches:
-            step = max(1, b.num_rows // 16)
-            for part in (b.slice(i, step) for i in range(0, b.num_rows, step)):
-                data = [b"".join(map(table.__getitem__, ids or ())) for ids in part[1].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(data, pa.binary())],
-                                                 names=["doc_id", "ids", "bytes"])
+        for b in slices(batches, 64):
+            data = [b"".join(map(table.__getitem__, ids or ())) for ids in b[1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(data, pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(
         to_bytes, "doc_id long, ids array<int>, bytes binary")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +62,14 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     name = fresh(docs, "row")
     return docs.withColumn(name, F.xxhash64(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))), name
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that few texts at a time become Python objects.
+
+    Workers run task after task; what earlier ones left in reference cycles is collected first.
+    """
+    gc.collect()
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

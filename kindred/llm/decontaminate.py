@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import row_key, texts, with_row_key
+from kindred.llm.common import row_key, slices, texts, with_row_key
 
 WINDOW = 8
 LITERALS = 0.4
 COVERAGE = 0.5
 CONSISTENCY = 0.75
 BITS = 22
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 # Words that count as units of measure.
 UNITS = frozenset("""
@@ -114,7 +114,7 @@ def _window_rows(batches, lengths: list[int] | None, size: int, table: np.ndarra
     codes = Codes()
     names = ["row", "id", "place", "total", "hash", "slots"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-    for batch in batches:
+    for batch in slices(batches):
         for row, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = text.split()
             coded = codes.of(words)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import sample, texts
+from kindred.llm.common import sample, slices, texts
 
 TOKENS = regex.compile(r"\p{L}+|\p{N}+|\n|[^\s\p{L}\p{N}]+")
 BUCKETS = 1 << 14
@@ -34,7 +34,7 @@ REACH = 2
 SAMPLE = 3000
 HIDDEN = 16
 THRESHOLD = 0.7
-CACHE = 1 << 19
+CACHE = 1 << 18
 # Tokens that are counted together.
 PART = 1 << 20
 
@@ -93,7 +93,7 @@ def learn_vectors(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         buckets = Buckets()
-        sums = contexts(buckets.of(t.as_py()) for b in batches for t in b[0])
+        sums = contexts(buckets.of(t.as_py()) for b in slices(batches) for t in b[0])
         rows = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows.astype(np.int32)), *(pa.array(sums[rows, i].astype(np.int64)) for i in range(DIMS))],
@@ -126,7 +126,7 @@ def features(docs: DataFrame, vectors: np.ndarray, network: dict | None = None)
     def run(batches):
         table, net = packed.value
         buckets = Buckets()
-        for b in batches:
+        for b in slices(batches):
             pooled = np.array([pool(buckets.of(t.as_py()), table) for t in b.column("text")]).reshape(-1, 2 * DIMS)
             out = pa.array(list(pooled)) if net is None else pa.array(probabilities(net, pooled), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), out],

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import texts
+from kindred.llm.common import slices, texts
 
 # The base patterns and their shortest secret.
 ASSIGN = re.compile(
@@ -125,7 +125,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             spans = [[dict(zip(("start", "end", "kind"), s, strict=True)) for s in find_spans(t.as_py())] for t in b[1]]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(spans, kind)], names=["doc_id", "spans"])
 
@@ -137,7 +137,7 @@ def redact(docs: DataFrame, mark: str = "[secret removed]") -> DataFrame:
     table has it. Texts without a span, null ones too, and all other columns stay as they are."""
     def clean(batches):
         at = None
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index("text") if at is None else at
             out = []
             for text in b[at].to_pylist():

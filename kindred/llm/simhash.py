@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import row_key, signed, texts, with_row_key
+from kindred.llm.common import row_key, signed, slices, texts, with_row_key
 from kindred.llm.components import components
 from kindred.session import settle
 
@@ -63,7 +63,7 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``row`` (key of id and text), ``doc_id`` and ``bits`` (the fingerprint as a signed long) of every row."""
     def score(batches):
-        for b in batches:
+        for b in slices(batches):
             # Signed, as Spark's long.
             bits = np.array([fingerprint(t.as_py(), size) for t in b[2]], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(bits)], names=["row", "doc_id", "bits"])

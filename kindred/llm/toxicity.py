@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kindred.llm.common import sample, texts
+from kindred.llm.common import sample, slices, texts
 
 WORDS = regex.compile(r"\p{L}+")
 WINDOW = 32
@@ -394,7 +394,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         table = Table()
-        for b in batches:
+        for b in slices(batches):
             found = scores(packed.value, b[1].to_pylist(), table)
             yield pa.RecordBatch.from_arrays([b[0], pa.array(found, pa.float64())], names=["doc_id", "score"])
 
@@ -407,7 +407,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches):
         table = Table()
-        for b in batches:
+        for b in slices(batches):
             given = ["" if t is None else t for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(scores(packed.value, given, table) < threshold))
 

@@ -36,7 +36,7 @@ LENGTH = 200
 SPREAD = 100
 GRAM = 8
 # Bytes of text ranked at once, and bits of the table that spares unique cores the join.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 BITS = 24
 # Positions of one core that one task compares.
 GROUP = 20_000

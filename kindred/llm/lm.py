@@ -248,6 +248,13 @@ class Lookup:
         return out
 
 
+class Known(dict):
+    """log10(c + 1) by word; 0 for words that are not there."""
+
+    def __missing__(self, word: bytes) -> float:
+        return 0.0
+
+
 def score_block(data: bytes, words: dict[bytes, float], lookup: Lookup):
     """(doc_id, tokens, known tokens, coded bytes, sum of log10(c + 1), log10 probability) of every row of a block."""
     held: list[tuple] = []
@@ -301,6 +308,8 @@ def score(docs: DataFrame, trained: Column, block: int = BLOCK,
     back = words.select(
         "block", "word", F.sum("n").over(own).alias("c"),
         (F.min(F.when(F.col("n") > 0, F.col("block"))).over(own) == F.col("block")).alias("first"))
+    # A block takes a word that does not come back for one that no training row has.
+    back = back.where((F.col("c") > 0) | (F.col("word") == F.lit(b"")))
     tree = settle(tree_values(grams.groupBy("gram").agg(F.sum("n").alias("n"))), "tree")
     model = None
     if tree.count() <= broadcast_grams:
@@ -320,7 +329,7 @@ def score(docs: DataFrame, trained: Column, block: int = BLOCK,
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         of_words = found.filter(found["word"].is_valid())
         logs = np.log10(of_words["c"].to_numpy() + 1.0).tolist()
-        known = dict(zip(of_words["word"].to_pylist(), logs, strict=True))
+        known = Known(zip(of_words["word"].to_pylist(), logs, strict=True))
         first = pa.compute.sum(of_words["first"]).as_py() or 0
         if model is None:
             of_grams = found.filter(found["gram"].is_valid())

@@ -6,12 +6,17 @@ hashed on both sides and joined; each placeholder keeps its surface as a slot. A
 enough of the item's windows and the slots are consistent: equal surfaces of the item became equal surfaces of the
 document, and the other way round. So a question whose names and numbers were exchanged is found too.
 
+Verbatim copies need no template: windows of the case-folded words themselves, without placeholders and whatever they
+consist of, go through the same join, so a copy in another case is found, and one of mostly names or numbers. Each
+character of a script that is written without spaces is a word.
+
 The items' window hashes fill a bit table of fixed size that goes to every task; document windows that miss it are
 never shuffled. The table is bounded whatever the size of the benchmark; the join behind it is left to Spark.
 
-Defined cases: null texts count as empty; a document or item without enough literal words never matches; items
-shorter than a window are one window as long as themselves; repeated rows and repeated item ids count once; a null
-``doc_id`` or ``item_id`` is a value of its own; other columns are ignored; empty tables give an empty result.
+Defined cases: null texts count as empty; without enough literal words only verbatim copies match; an item of one word,
+or one that merely counts (1 2 3 4 ...), never matches; items shorter than a window are one window as long as
+themselves; repeated rows and repeated item ids count once; a null ``doc_id`` or ``item_id`` is a value of its own;
+other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -43,9 +48,15 @@ UNITS = frozenset("""
     """.split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|€|\$)?")
 QUANTITY = re.compile(r"[+-]?\d[\d.,]*[a-z°]{1,3}")
-PUNCTUATION = " \t\n.,;:!?\"'`()[]{}<>*#&|~_=«»„“”‘’…¿¡"
+PUNCTUATION = " \t\n.,;:!?\"'`()[]{}<>*#&|~_=«»„“”‘’…¿¡。，、；：！？（）「」『』《》【】"
+# Scripts without spaces between words: Thai to Tibetan, Burmese, Khmer, Chinese and Japanese.
+UNSPACED = ("\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+            "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff")
+UNSPACED_CHAR = re.compile(f"[{UNSPACED}]")
+UNSPACED_PARTS = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 KINDS = {"<number>": 1, "<name>": 2, "<unit>": 3, "<quantity>": 4}
 BASE = np.uint64(0x9E3779B97F4A7C15)
+PLAIN_SEED = 0x517CC1B7
 
 
 def canonical(word: str) -> tuple[str, str]:
@@ -66,39 +77,69 @@ def canonical(word: str) -> tuple[str, str]:
 
 
 class Codes:
-    """Words to 64-bit codes; the low three bits are 0 for literal words and the kind for placeholders."""
+    """Words to 64-bit codes, as templates and plain. The low three bits of a template code are 0 for literal words and
+    the kind for placeholders."""
+
+    DROP, SPLIT = 7, 15
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.codes = np.zeros((2, 1 << 12), np.uint64)
 
     def new(self, word: str) -> int:
+        at = self.known[word] = len(self.known) + 1
+        if at >= self.codes.shape[1]:
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)], axis=1)
+        token, _ = canonical(word)
+        if UNSPACED_CHAR.search(word) and len(word) > 1:
+            self.codes[:, at] = self.SPLIT
+        elif not token:
+            self.codes[:, at] = self.DROP
+        else:
+            self.codes[0, at] = xxhash.xxh64_intdigest(token) & ~7 | KINDS.get(token, 0)
+            self.codes[1, at] = xxhash.xxh64_intdigest(word.strip(PUNCTUATION).casefold())
+        return at
+
+    def of(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words that are more than punctuation, their template codes and their plain codes."""
         if len(self.known) >= CACHE:
             self.known.clear()
-        token, _ = canonical(word)
-        code = (xxhash.xxh64_intdigest(token) & ~7 | KINDS.get(token, 0)) if token else 7
-        self.known[word] = code
-        return code
-
-    def of(self, words: list[str]) -> np.ndarray:
         get, new = self.known.get, self.new
-        return np.array([get(w) or new(w) for w in words], np.uint64)
-
-
-def windows(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window of ``length`` tokens, and which of them hold enough literal words."""
+        at = np.array([get(w) or new(w) for w in words], np.int64)
+        template = self.codes[0, at]
+        if (template == self.SPLIT).any():
+            return self.of([part for w, c in zip(words, template, strict=True)
+                            for part in (UNSPACED_PARTS.findall(w) if c == self.SPLIT else (w,))])
+        real = template != self.DROP
+        if not real.all():
+            words, at, template = [w for w, r in zip(words, real, strict=True) if r], at[real], template[real]
+        return words, template, self.codes[1, at]
+
+
+def windows(codes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """Hash of every window of ``length`` tokens."""
     count = len(codes) - length + 1
     if count <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    mixed = np.full(count, length, np.uint64)
-    literal = np.zeros(count, np.int64)
-    plain = (codes & np.uint64(7)) == 0
+        return np.zeros(0, np.uint64)
+    mixed = np.full(count, length + seed, np.uint64)
     for k in range(length):
         mixed = mixed * BASE + codes[k:k + count]
-        literal += plain[k:k + count]
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    return mixed, literal >= max(2, LITERALS * length)
+    return mixed
+
+
+def literal_windows(codes: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of template codes hold enough literal words."""
+    before = np.concatenate([[0], np.cumsum((codes & np.uint64(7)) == 0)])
+    return before[length:] - before[:-length] >= max(2, LITERALS * length)
+
+
+def counts_up(words: list[str]) -> bool:
+    """Whether the words are whole numbers, each one more than the one before."""
+    bare = [w.strip(PUNCTUATION) for w in words]
+    return all(w.isdecimal() for w in bare) and all(int(b) - int(a) == 1 for a, b in zip(bare, bare[1:], strict=False))
 
 
 def _surfaces(words: list[str]) -> list[str]:
@@ -110,38 +151,42 @@ def _surfaces(words: list[str]) -> list[str]:
 
 
 def _window_rows(batches, lengths: list[int] | None, size: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Windows of every text as rows; ``lengths`` None: the text's own (items)."""
+    """Windows of every text as rows, templates and plain ones; ``lengths`` None: the text's own (items)."""
     codes = Codes()
-    names = ["row", "id", "place", "total", "hash", "slots"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+    names = ["row", "id", "plain", "place", "total", "hash", "slots"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
     for batch in slices(batches):
         for row, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = text.split()
-            coded = codes.of(words)
-            real = coded != 7
-            if not real.all():
-                words, coded = [w for w, r in zip(words, real, strict=True) if r], coded[real]
+            words, template, folded = codes.of(text.split())
             rows = []
             for length in lengths or [min(size, len(words))]:
-                hashes, enough = windows(coded, length) if length else windows(coded, size)
-                if table is not None:
-                    enough &= table[hashes & np.uint64(len(table) - 1)]
-                total = int(enough.sum())
-                rows += [(row, key, int(i), total, int(hashes[i].astype(np.int64)), _surfaces(words[i:i + length]))
-                         for i in np.flatnonzero(enough)]
+                if length > len(words) or length < 2:
+                    continue
+                if lengths is None and counts_up(words):
+                    continue
+                for plain, coded in ((False, template), (True, folded)):
+                    hashes = windows(coded, length, PLAIN_SEED if plain else 0)
+                    enough = np.ones(len(hashes), bool) if plain else literal_windows(coded, length)
+                    if table is not None:
+                        enough &= table[hashes & np.uint64(len(table) - 1)]
+                    total = int(enough.sum())
+                    rows += [(row, key, plain, int(i), total, int(hashes[i].astype(np.int64)),
+                              [""] * length if plain else _surfaces(words[i:i + length]))
+                             for i in np.flatnonzero(enough)]
             for at in range(0, len(rows), 10_000):
                 part = list(zip(*rows[at:at + 10_000], strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(part, types, strict=True)], names=names)
 
 
-ROWS = "row long, id long, place int, total int, hash long, slots array<string>"
+ROWS = "row long, id long, plain boolean, place int, total int, hash long, slots array<string>"
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: float = COVERAGE,
             consistency: float = CONSISTENCY, bits: int = BITS) -> DataFrame:
     """``row`` (key of the text), ``doc_id``, ``item_id``, ``coverage`` (share of the item's windows), ``consistency``
-    of the slots and ``same`` (share of slots left as they are), for every document and item that match."""
+    of the slots and ``same`` (share of slots left as they are, null where no template matches), for every document
+    and item that match; one row each for a match of templates and of plain words."""
     spark = docs.sparkSession
     items = texts(items, "item_id").dropDuplicates()
     items = items.select(row_key(), F.col("doc_id").alias("id"), "text")
@@ -161,10 +206,10 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: flo
     # A window that occurs again in a text adds nothing; equal windows with other slots do.
     held = held.groupBy("row", F.col("id").alias("doc_id"), "hash", "slots").agg(F.min("place").alias("place"))
     pairs = held.join(wanted.select(
-        F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("place").alias("item_place"), "total", "hash",
-        F.col("slots").alias("item_slots")), "hash")
+        F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("place").alias("item_place"), "plain", "total",
+        "hash", F.col("slots").alias("item_slots")), "hash")
     slot_pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["slots"] != "")
-    grouped = pairs.groupBy("row", "doc_id", "item", "item_id").agg(
+    grouped = pairs.groupBy("row", "doc_id", "item", "item_id", "plain").agg(
         (F.count_distinct("item_place") / F.max("total")).alias("coverage"),
         F.array_distinct(F.flatten(F.collect_set(slot_pairs))).alias("pairs"))
     apart = F.size("pairs")
@@ -175,7 +220,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: flo
     return grouped.where(F.col("coverage") >= coverage).select(
         "row", "doc_id", "item_id", "coverage",
         F.when(apart == 0, F.lit(1.0)).otherwise(F.least(kept("slots"), kept("item_slots"))).alias("consistency"),
-        F.when(apart == 0, F.lit(1.0)).otherwise(F.size(F.filter(
+        F.when(F.col("plain"), F.lit(None)).when(apart == 0, F.lit(1.0)).otherwise(F.size(F.filter(
             "pairs", lambda p: p["slots"] == p["item_slots"])) / apart).alias("same"),
     ).where(F.col("consistency") >= consistency)
 
@@ -185,7 +230,7 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     ``reparameterised`` (whether names, numbers or units were exchanged)."""
     return matches(docs, items, **options).groupBy("doc_id", "item_id").agg(
         F.max("coverage").alias("coverage"), F.max("consistency").alias("consistency"),
-        (F.max("same") < 1).alias("reparameterised"))
+        (F.coalesce(F.max("same"), F.lit(1.0)) < 1).alias("reparameterised"))
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -54,6 +54,22 @@ def test_short_items_and_clean_texts(spark, items):
     assert not found(spark, items, " ".join(ITEM.split()[:12]))
 
 
+def test_verbatim_copies_in_any_case_and_script(spark, items):
+    for text in (ITEM.upper(), ITEM.lower(), ITEM.title()):
+        got = found(spark, items, f"Before it. {text}. After.")
+        assert set(got) == {1} and got[1].coverage == 1 and not got[1].reparameterised
+    own = spark.createDataFrame(
+        [(1, "3 14 15 92 65 35 89 79 32 38 46"), (2, "Otto Hahn, Lise Meitner, Max Planck, Marie Curie, Niels Bohr"),
+         (3, "小明有3个苹果，卖了2个，又买了5个，现在他一共有几个苹果？"), (4, "Große Straße"), (5, "Alone")],
+        "item_id long, text string")
+    for item, text in ((1, "pi: 3 14 15 92 65 35 89 79 32 38 46 and so on"),
+                       (2, "They were OTTO HAHN, LISE MEITNER, MAX PLANCK, MARIE CURIE, NIELS BOHR."),
+                       (3, "请看题目：小明有3个苹果，卖了2个，又买了5个，现在他一共有几个苹果？答案是六。"), (4, "DIE GROSSE STRASSE")):
+        got = found(spark, own, text)
+        assert set(got) == {item} and got[item].coverage == 1
+    assert not found(spark, own, "3 14 15 92 6 5 3 5 8 9 7 Otto Alone 小明有很多苹果")
+
+
 def test_canonical_tokens():
     assert [decontaminate.canonical(w)[0] for w in ("12,5", "$3", "Tom's", "kg", "5kg", "(the", "--", "A", "7th")] == [
         "<number>", "<number>", "<name>", "<unit>", "<quantity>", "the", "--", "a", "<number>"]

@@ -4,7 +4,9 @@ Words become canonical tokens: numbers, names (capitalised words), units and qua
 placeholders, everything else into its lower-case form without surrounding punctuation. Windows of eight tokens are
 hashed on both sides and joined; each placeholder keeps its surface as a slot. A document matches an item if it holds
 enough of the item's windows and the slots are consistent: equal surfaces of the item became equal surfaces of the
-document, and the other way round. So a question whose names and numbers were exchanged is found too.
+document, and the other way round. So a question whose names and numbers were exchanged is found too. Both are judged
+for each occurrence: windows whose place in the document less that in the item is the same, up to a quarter or half of
+the item's length. One occurrence that passes is enough, and so are all windows of the document together.
 
 Verbatim copies need no template: windows of the case-folded words themselves, without placeholders and whatever they
 consist of, go through the same join, so a copy in another case is found, and one of mostly names or numbers. Each
@@ -142,19 +144,19 @@ def counts_up(words: list[str]) -> bool:
     return all(w.isdecimal() for w in bare) and all(int(b) - int(a) == 1 for a, b in zip(bare, bare[1:], strict=False))
 
 
-def _surfaces(words: list[str]) -> list[str]:
-    """The surface of each placeholder of a window, kind first; empty strings for literal words."""
+def _surfaces(words: list[str]) -> str:
+    """The surface of each placeholder of a window, kind first; empty strings for literal words; joined by blanks."""
     out = []
     for token, surface in map(canonical, words):
         out.append(f"{token[1]}{token[2]}:{surface}" if token in KINDS else "")
-    return out
+    return " ".join(out)
 
 
 def _window_rows(batches, lengths: list[int] | None, size: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Windows of every text as rows, templates and plain ones; ``lengths`` None: the text's own (items)."""
     codes = Codes()
-    names = ["row", "id", "plain", "place", "total", "hash", "slots"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+    names = ["row", "id", "plain", "place", "length", "words", "total", "hash", "slots"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.int64(), pa.string()]
     for batch in slices(batches):
         for row, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words, template, folded = codes.of(text.split())
@@ -170,8 +172,8 @@ def _window_rows(batches, lengths: list[int] | None, size: int, table: np.ndarra
                     if table is not None:
                         enough &= table[hashes & np.uint64(len(table) - 1)]
                     total = int(enough.sum())
-                    rows += [(row, key, plain, int(i), total, int(hashes[i].astype(np.int64)),
-                              [""] * length if plain else _surfaces(words[i:i + length]))
+                    rows += [(row, key, plain, int(i), length, len(words), total, int(hashes[i].astype(np.int64)),
+                              "" if plain else _surfaces(words[i:i + length]))
                              for i in np.flatnonzero(enough)]
             for at in range(0, len(rows), 10_000):
                 part = list(zip(*rows[at:at + 10_000], strict=True))
@@ -179,7 +181,59 @@ def _window_rows(batches, lengths: list[int] | None, size: int, table: np.ndarra
                     [pa.array(c, t) for c, t in zip(part, types, strict=True)], names=names)
 
 
-ROWS = "row long, id long, plain boolean, place int, total int, hash long, slots array<string>"
+ROWS = "row long, id long, plain boolean, place int, length int, words int, total int, hash long, slots string"
+FOUND = "array<struct<places:array<int>,item_places:array<int>,slots:string,item_slots:string>>"
+JUDGED = "row long, doc_id long, item_id long, coverage double, consistency double, same double"
+
+
+def _slots_agree(found: list[dict]) -> tuple[float, float]:
+    """Consistency of the slots of matched windows, and the share of slots left as they are."""
+    pairs = {pair for f in found for pair in zip(f["item_slots"].split(" "), f["slots"].split(" "), strict=True) if pair[1]}
+    if not pairs:
+        return 1.0, 1.0
+    kept = min(len({a for a, _ in pairs}), len({b for _, b in pairs}))
+    return kept / len(pairs), sum(a == b for a, b in pairs) / len(pairs)
+
+
+def occurrences(found: list[dict], words: int) -> Iterator[tuple[int, list[dict]]]:
+    """(number of the item's windows held, matched windows) of each stretch of the document that may be one copy.
+
+    Stretches are ranges of shifts (place in the document less place in the item) half as wide as the item's ``words``
+    and overlapping by half, so that shifts a quarter apart share one, and copies side by side do not; and ranges of
+    two shifts, for items that repeat their own templates.
+    """
+    places = [np.array(f["places"]) for f in found]
+    for step in {max(1, words // 4), 1}:
+        held: dict[int, set[int]] = {}
+        within: dict[int, set[int]] = {}
+        for n, f in enumerate(found):
+            for at in f["item_places"]:
+                for shift in np.unique((places[n] - at) // step).tolist():
+                    for group in (shift - 1, shift):
+                        held.setdefault(group, set()).add(at)
+                        within.setdefault(group, set()).add(n)
+        for group, item_places in held.items():
+            yield len(item_places), [found[n] for n in within[group]]
+
+
+def _judge(batches, coverage: float, consistency: float) -> Iterator[pa.RecordBatch]:
+    """The best values of all stretches that pass, if any does; the whole document is one of them."""
+    names = ["row", "doc_id", "item_id", "coverage", "consistency", "same"]
+    types = [*[pa.int64()] * 3, *[pa.float64()] * 3]
+    for batch in slices(batches):
+        out = []
+        for r in batch.to_pylist():
+            whole = len({at for f in r["found"] for at in f["item_places"]}), r["found"]
+            # Where the slots of all windows agree, as without slots, no stretch is better than the whole.
+            agree = r["plain"] or _slots_agree(r["found"])[0] == 1
+            stretches = [whole] if agree else [whole, *occurrences(r["found"], r["words"])]
+            good = [(n / r["total"], *_slots_agree(f)) for n, f in stretches if n / r["total"] >= coverage]
+            good = [g for g in good if g[1] >= consistency]
+            if good:
+                best = [max(g) for g in zip(*good, strict=True)]
+                out.append((r["row"], r["doc_id"], r["item_id"], *best[:2], None if r["plain"] else best[2]))
+        columns = list(zip(*out, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: float = COVERAGE,
@@ -195,7 +249,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: flo
     slots = wanted.select(F.expr(f"hash & {(1 << bits) - 1}").cast("int").alias("slot")).distinct().toArrow()
     table = np.zeros(1 << bits, bool)
     table[slots["slot"].to_numpy()] = True
-    lengths = sorted({r[0] for r in wanted.select(F.size("slots").alias("n")).distinct().collect()} or {size})
+    lengths = sorted({r[0] for r in wanted.select("length").distinct().collect()} or {size})
     packed = spark.sparkContext.broadcast(np.packbits(table).tobytes())
 
     def look(batches):
@@ -203,26 +257,16 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: flo
         yield from _window_rows(batches, lengths, size, bit_table)
 
     held = texts(docs).select(row_key(), F.col("doc_id").alias("id"), "text").mapInArrow(look, ROWS)
-    # A window that occurs again in a text adds nothing; equal windows with other slots do.
-    held = held.groupBy("row", F.col("id").alias("doc_id"), "hash", "slots").agg(F.min("place").alias("place"))
-    pairs = held.join(wanted.select(
-        F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("place").alias("item_place"), "plain", "total",
-        "hash", F.col("slots").alias("item_slots")), "hash")
-    slot_pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["slots"] != "")
-    grouped = pairs.groupBy("row", "doc_id", "item", "item_id", "plain").agg(
-        (F.count_distinct("item_place") / F.max("total")).alias("coverage"),
-        F.array_distinct(F.flatten(F.collect_set(slot_pairs))).alias("pairs"))
-    apart = F.size("pairs")
-
-    def kept(side: str):
-        return F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) / apart
-
-    return grouped.where(F.col("coverage") >= coverage).select(
-        "row", "doc_id", "item_id", "coverage",
-        F.when(apart == 0, F.lit(1.0)).otherwise(F.least(kept("slots"), kept("item_slots"))).alias("consistency"),
-        F.when(F.col("plain"), F.lit(None)).when(apart == 0, F.lit(1.0)).otherwise(F.size(F.filter(
-            "pairs", lambda p: p["slots"] == p["item_slots"])) / apart).alias("same"),
-    ).where(F.col("consistency") >= consistency)
+    # One row for each window of a text or item, with all its places.
+    held = held.groupBy("row", F.col("id").alias("doc_id"), "hash", "slots").agg(F.collect_set("place").alias("places"))
+    wanted = wanted.groupBy(
+        F.col("row").alias("item"), F.col("id").alias("item_id"), "plain", "words", "total", "hash",
+        F.col("slots").alias("item_slots")).agg(F.collect_set("place").alias("item_places"))
+    grouped = held.join(wanted, "hash").groupBy("row", "doc_id", "item", "item_id", "plain", "words", "total").agg(
+        F.collect_list(F.struct("places", "item_places", "slots", "item_slots")).cast(FOUND).alias("found"))
+    # No stretch holds more windows of the item than the whole document.
+    likely = F.size(F.array_distinct(F.flatten("found.item_places"))) / F.col("total") >= coverage
+    return grouped.where(likely).mapInArrow(lambda b: _judge(b, coverage, consistency), JUDGED)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -70,6 +70,24 @@ def test_verbatim_copies_in_any_case_and_script(spark, items):
     assert not found(spark, own, "3 14 15 92 6 5 3 5 8 9 7 Otto Alone 小明有很多苹果")
 
 
+def test_each_copy_of_a_document_is_judged_alone(spark, items):
+    def variant(name, *numbers):
+        new = iter(numbers)
+        return " ".join(name if w == "Tom" else next(new) if w.isdigit() else w for w in ITEM.split())
+
+    one, two = variant("Anna", "40", "9", "7"), variant("Otto", "31", "8", "6")
+    alone = found(spark, items, one)[1]
+    assert alone.coverage == alone.consistency == 1 and alone.reparameterised
+    for text in (f"{one}. {two}.", f"First: {one}. Much more text stands in between. Then: {two}.", f"{one} {two} {one}"):
+        assert found(spark, items, text)[1] == alone
+    both = found(spark, items, f"{ITEM}. Or so: {one}.")
+    assert both[1].coverage == both[1].consistency == 1 and not both[1].reparameterised
+    # A template that stands twice in the item itself.
+    item = "Tom likes the red apples and eats them all day long . Ann likes the red apples and eats them all day long"
+    twice = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert set(found(spark, twice, item.replace("Tom", "Eva").replace("Ann", "Max"))) == {1}
+
+
 def test_canonical_tokens():
     assert [decontaminate.canonical(w)[0] for w in ("12,5", "$3", "Tom's", "kg", "5kg", "(the", "--", "A", "7th")] == [
         "<number>", "<number>", "<name>", "<unit>", "<quantity>", "the", "--", "a", "<number>"]

@@ -5,6 +5,8 @@ base-64 characters a window slides one character at a time; the counts of its ch
 Shannon entropy, are updated by the one that leaves and the one that enters. Windows above the limit of their
 class merge into spans. An allow-list suppresses what is known to look random without being secret: words,
 plain numbers, placeholder text, alphabets, declared digests and parts of addresses. It never touches base spans.
+A listed word suppresses its path segment, not the whole run. Known spans are cut out of a run and the windows of
+what remains are judged; a remainder of half a window or more is judged as one window, unless it names an assignment.
 
 Defined cases: null texts count as empty; empty texts have no spans; a null ``doc_id`` and repeated rows are kept,
 one result row per input row; other columns are ignored. Whole texts are scanned, of any length.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -79,12 +82,39 @@ def random_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     return found
 
 
-def allowed(text: str, start: int, end: int) -> bool:
-    """Whether the run is known not to be a secret: it needs letters and digits, and no listed context."""
-    run = text[start:end]
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-        return True
-    return bool(ALLOWED.search(run) or ALLOWED_BEFORE.search(text, max(0, start - 100), start))
+def declared(text: str, start: int) -> bool:
+    """Whether what stands before the run says that it is no secret: a digest or a part of an address."""
+    return bool(ALLOWED_BEFORE.search(text, max(0, start - 100), start))
+
+
+def allowed(part: str) -> bool:
+    """Whether the characters are known not to be a secret: it needs letters and digits, and no listed word."""
+    return mere(part) or bool(ALLOWED.search(part))
+
+
+def mere(part: str) -> bool:
+    """Whether letters or digits are missing."""
+    return not any(c.isdigit() for c in part) or not any(c.isalpha() for c in part)
+
+
+def listed_segments(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The path segments of a run that hold a listed word."""
+    out = []
+    for m in ALLOWED.finditer(text, start, end):
+        a, b = text.rfind("/", start, m.start()) + 1 or start, text.find("/", m.end(), end)
+        out.append((a, end if b < 0 else b))
+    return out
+
+
+def without(start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What remains of [start, end) when the spans of ``known`` are cut out."""
+    left = []
+    for a, b in sorted(known):
+        if b > start and a < end:
+            if a > start:
+                left.append((start, a))
+            start = max(start, b)
+    return left + [(start, end)] if start < end else left
 
 
 RUNS = tuple(re.compile(c.run) for c in CLASSES)
@@ -101,19 +131,53 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The spans by start, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for a, b, _ in spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def run_spans(text: str, start: int, end: int, rule: Class, known: list[tuple[int, int]],
+              names: set[int]) -> list[tuple[int, int]]:
+    """The random stretches of a run outside the ``known`` spans in it; ``names`` has the starts of assignments."""
+    run = text[start:end]
+    if mere(run) or declared(text, start):
+        return []
+    listed = listed_segments(text, start, end)
+    if not known and not listed:
+        return [(a + start, b + start) for a, b in random_windows(run, rule.window, rule.bits)]
+    edges = {x for k in known for x in k}
+    across = None
+    out = []
+    for a, b in without(start, end, known + listed):
+        part, size = text[a:b], b - a
+        if size >= rule.window:
+            if not listed or not mere(part):
+                out += [(x + a, y + a) for x, y in random_windows(part, rule.window, rule.bits)]
+        elif size >= rule.window // 2 and b not in names and (a in edges or b in edges) and not allowed(part):
+            if across is None:
+                across = [(x + start, y + start) for x, y in random_windows(run, rule.window, rule.bits)]
+            bits = rule.bits * math.log2(size) / math.log2(rule.window)
+            if any(x < b and a < y for x, y in across) and random_windows(part, size, bits):
+                out.append((a, b))
+    return out
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind as listed, then end; code points, end exclusive."""
     spans = base_spans(text)
-    known = sorted((a, b) for a, b, _ in spans)
+    names = {a for a, _, kind in spans if kind == "assign"}
     for rule, runs in zip(CLASSES, RUNS, strict=True):
+        known = apart(spans)
+        ends = [b for _, b in known]
         for m in runs.finditer(text):
-            if allowed(text, *m.span()):
-                continue
-            for a, b in random_windows(m[0], rule.window, rule.bits):
-                a, b = a + m.start(), b + m.start()
-                if not any(a < y and x < b for x, y in known):
-                    spans.append((a, b, rule.kind))
-                    known.append((a, b))
+            inside = known[bisect_right(ends, m.start()):bisect_left(known, (m.end(),))]
+            spans += [(a, b, rule.kind) for a, b in run_spans(text, *m.span(), rule, inside, names)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

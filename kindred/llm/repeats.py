@@ -1,10 +1,13 @@
-"""Exact removal of repeated passages: prefix doubling over chosen positions.
+"""Exact removal of repeated passages: anchors chosen by content, counted by the hash of what surrounds them.
+
+This replaces prefix doubling: no rank pairs are sorted, nothing is ranked anew and the offsets do not double.
 
 A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts anywhere else. Sorting the pairs of ranks
-of all positions, again for every doubled offset, would move each byte of the corpus a dozen times. So ranks are kept
-for chosen positions only. The hashes of 8 bytes rank the positions of a text; every string of ``LENGTH`` bytes is
-represented by its lowest position among the first ``SPREAD`` (the leftmost of equal ones), which depends on the string
-alone: equal strings choose the same place within themselves. The rounds, at growing offsets:
+of all positions, again for every doubled offset, would move each byte of the corpus a dozen times (an estimate; no
+such run was measured). Here names are kept for chosen positions only, below called ranks. The hashes of 8 bytes rank
+the positions of a text; every string of ``LENGTH`` bytes is represented by its lowest position among the first
+``SPREAD`` (the leftmost of equal ones), which depends on the string alone: equal strings choose the same place within
+themselves. The rounds, at growing offsets:
 
 1. ``core``: the rank of the LENGTH - SPREAD + 1 bytes after a chosen position, a part of every string it represents.
    Spark counts them; a position whose rank is unique leaves, and with it all its strings.

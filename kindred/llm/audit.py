@@ -142,11 +142,11 @@ def flags(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str =
         twice = np.frombuffer(plane.value, np.uint8)
         for b in slices(batches, 1024):
             again = repeated(twice, b.column(3).to_numpy())
-            words = b.column(2)
-            mask = [failures(t.encode()) for t in words.to_pylist()]
+            words = b.column(2).to_pylist()
+            mask = [failures(t.encode()) for t in words]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(mask, pa.int32()), b.column(3),
-                 pa.compute.if_else(pa.array(again), words, pa.scalar(None, words.type))],
+                 pa.array([t if a else None for t, a in zip(words, again, strict=True)], pa.string())],
                 names=["doc_id", "part", "mask", "name", "repeat"])
 
     judged = settle(rows.mapInArrow(judge, "doc_id long, part string, mask int, name long, repeat string"), "judged")

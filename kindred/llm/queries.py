@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import (
-    audit, bpe, conversations, decontaminate, licenses, lm, neighbours, quality, repeats, secrets, simhash, toxicity)
+    audit, bpe, conversations, cosine, decontaminate, licenses, lm, neighbours, quality, repeats, secrets, simhash, toxicity)
 from kindred.llm.common import share, table
 
 
@@ -68,6 +68,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_cosine_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -79,7 +83,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_repeats, op5_simhash, op6_toxicity,
-        op7_quality, op8_context_tree, op9_nearest, op10_license_scan, op12_repair_conversations,
+        op7_quality, op8_context_tree, op9_nearest, op10_license_scan, op11_cosine_duplicates, op12_repair_conversations,
         op13_filter_audit)
 }
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle(), "op13_filter_audit": audit.oracle()}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle(), "op11_cosine_duplicates": cosine.oracle(),
+                              "op13_filter_audit": audit.oracle()}

@@ -11,7 +11,7 @@ from kindred.plans import delivery, matching, preferences
 from kindred.schemas import PREFERENCE_FIELDS
 from kindred.session import settle, shared_dir
 from kindred.sources import messages
-from kindred.streaming import jobs
+from kindred.streaming import jobs, sinks
 
 
 class StreamViews(Views):
@@ -29,10 +29,10 @@ _BOTH = ", ".join(f"coalesce(n.{f}, c.{f}) AS {f}" for f in PREFERENCE_FIELDS)
 
 
 def _run(v, name, start):
-    """Start a job under a fresh shared folder, wait for it, return its parts."""
+    """Start a job under a fresh shared folder and wait for it; its output and its checkpoint."""
     base = shared_dir(v.spark, name)
-    start(f"{base}/parts", f"{base}/checkpoint").awaitTermination()
-    return jobs.read_parts(v.spark, f"{base}/parts")
+    start(f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/out", f"{base}/checkpoint"
 
 
 def _streams(v):
@@ -44,24 +44,24 @@ def t01(v):
     requests = _streams(v).table("customer").select(F.col("c_custkey").alias("user_id"))
     candidates = settle(matching.location_candidates(v.communities, v.activity, as_of()), "candidates")
     popular = settle(matching.popular_communities(v.communities, v.activity, as_of()), "popular")
-    parts = _run(v, "match", lambda p, c: jobs.match_stream(
+    out, _ = _run(v, "match", lambda p, c: jobs.match_stream(
         requests.join(v.user_vectors, "user_id"), p, c, candidates, popular, v.index, v.members,
         toxicity=v.toxicity, dim=DIM))
-    return parts.select("user_id", "tier", "auto_joined_community", "ai_intro_generated")
+    return sinks.read(v.spark, out, "user_id long, tier string, auto_joined_community long, ai_intro_generated boolean")
 
 
 @query("t02_score_stream", "SELECT user_id, CAST(sum(point_delta) AS BIGINT) AS karma_score FROM ledger GROUP BY 1")
 def t02(v):
-    parts = _run(v, "scores", lambda p, c: jobs.score_stream(_streams(v).ledger, p, c))
-    return jobs.latest_by_batch(parts, ["user_id"], ["karma_score"])
+    out, _ = _run(v, "scores", lambda p, c: jobs.score_stream(_streams(v).ledger, p, c))
+    return jobs.current_scores(v.spark, out)
 
 
 @query("t03_user_sync_stream", SYNC_SQL.format(where="AND event_id % 97 <> 5"))
 def t03(v):
     events = messages.parse_change_events(_streams(v).change_messages).withColumn(
         "user_id", F.col("user_id").cast("long"))
-    parts = _run(v, "users", lambda p, c: jobs.user_sync_stream(events, p, c))
-    return jobs.synced_users(synced_users(v), parts)
+    _, checkpoint = _run(v, "users", lambda p, c: jobs.user_sync_stream(events, p, c))
+    return jobs.synced_users(synced_users(v), checkpoint)
 
 
 @query("t04_preference_stream", f"""
@@ -77,9 +77,9 @@ def t04(v):
     late = F.col("created_at") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     stored = preferences.fold(v.pref_patches.filter(~late)).select("user_id", *PREFERENCE_FIELDS).withColumns(
         {"created_at": as_of(), "updated_at": as_of()})
-    parts = _run(v, "preferences", lambda p, c: jobs.preference_stream(
-        _streams(v).patch_requests.filter(late), p, c, settle(v.users, "known")))
-    return jobs.current_preferences(stored, parts, as_of())
+    _, checkpoint = _run(v, "preferences", lambda p, c: jobs.preference_stream(
+        _streams(v).patch_requests.filter(late), p, c, settle(v.users, "known"), settle(stored, "stored"), as_of()))
+    return jobs.current_preferences(v.spark, checkpoint)
 
 
 FRESH_SQL = """
@@ -113,14 +113,20 @@ def t05_vectors(v):
 
 @query("t05_cache_stream", FRESH_SQL)
 def t05_stream(v):
-    parts = _run(v, "cache", lambda p, c: jobs.cache_stream(_streams(v).cache_events, p, c, ["value"]))
-    return jobs.live_entries(parts, yesterday(), ["seq"]).select("kind", "key", "seq")
+    _, checkpoint = _run(v, "cache", lambda p, c: jobs.cache_stream(_streams(v).cache_events, p, c, ["value"]))
+    return jobs.live_entries(v.spark, checkpoint, yesterday(), "value double").select("kind", "key", "seq")
 
 
-@query("t06_presence_stream", "SELECT user_id, sid FROM live")
+# The watermark is a day behind the newest event; a connection ends a week after its last sign of life, in whole minutes.
+@query("t06_presence_stream", """
+    SELECT user_id, sid FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id, sid ORDER BY ts DESC, event_id DESC) AS rn FROM connections)
+    WHERE rn = 1 AND connected
+      AND 60000 * CAST(ceil((epoch_us(ts) / 1000.0 + 7 * 86400000) / 60000.0) AS BIGINT)
+          > (SELECT epoch_ms(max(ts)) - 86400000 FROM connections)""")
 def t06(v):
-    parts = _run(v, "presence", lambda p, c: jobs.presence_stream(_streams(v).connections, p, c))
-    return jobs.present(parts)
+    _, checkpoint = _run(v, "presence", lambda p, c: jobs.presence_stream(_streams(v).connections, p, c))
+    return jobs.present(v.spark, checkpoint)
 
 
 def raw_messages(v):
@@ -129,19 +135,33 @@ def raw_messages(v):
     body = F.to_json(F.struct(F.col("event_id").alias("task"), F.col("event_type").alias("tier")))
     key = F.when(e % 5 == 0, F.concat(F.lit("audit_"), "user_id")).otherwise(
         messages.channel(F.col("user_id")))
-    return v.events.select("event_id", key.alias("key"),
+    return v.events.select("event_id", "ts", key.alias("key"),
                            F.when(e % 13 == 2, F.substring(body, 1, 9)).otherwise(body).alias("value"))
 
 
+def ended(v, rows, name, at="2030-01-01 00:00:00"):
+    """The stream with one more row of a user that no other row names, a long time after the others, as the end of the
+    input: the watermark passes every real row. (A row without a user would be dropped before it counts.)"""
+    fixed = {"ts": F.lit(at).cast("timestamp_ntz"), "user_id": F.lit(name)}
+    path = shared_dir(v.spark, "end")
+    v.spark.range(1).select(*[fixed.get(c, F.lit(None).cast(t)).alias(c) for c, t in rows.dtypes]).write.parquet(path)
+    return rows.unionByName(v.spark.readStream.schema(rows.schema).parquet(path))
+
+
 @query("t07_result_fan_out", """
-    SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS user_id, l.sid, e.event_type AS tier
-    FROM events e JOIN live l USING (user_id) WHERE e.event_id % 5 <> 0 AND e.event_id % 13 <> 2""")
+    SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS user_id, c.sid, e.event_type AS tier
+    FROM events e JOIN connections c ON c.user_id = e.user_id AND c.ts <= e.ts AND c.ts >= e.ts - INTERVAL 1 DAY
+    WHERE e.event_id % 5 <> 0 AND e.event_id % 13 <> 2
+    GROUP BY e.event_id, e.user_id, c.sid, e.event_type HAVING arg_max(c.connected, (c.ts, c.event_id))""")
 def t07(v):
-    live = settle(delivery.live_connections(v.connections).withColumn("user_id", F.col("user_id").cast("string")), "live")
-    results = messages.parse_results(raw_messages(_streams(v)), "task long, tier string").select(
-        "event_id", "user_id", "result.tier")
-    return _run(v, "delivery", lambda p, c: jobs.delivery_stream(results, p, c, live)).select(
-        "event_id", "user_id", "sid", "tier")
+    """Published messages and connection events as two streams."""
+    s = _streams(v)
+    results = messages.parse_results(raw_messages(s), "task long, tier string").select(
+        "event_id", "user_id", "ts", "result.tier")
+    signs = s.connections.withColumn("user_id", F.col("user_id").cast("string"))
+    out, _ = _run(v, "delivery", lambda p, c: jobs.delivery_stream(
+        ended(v, results, "end of results"), ended(v, signs, "end of signs"), p, c))
+    return sinks.read(v.spark, out, "event_id long, user_id string, sid string, tier string")
 
 
 @query("t08_trailing_activity_stream", """
@@ -149,6 +169,5 @@ def t07(v):
       SELECT community_id, unnest(generate_series(CAST(created_at AS DATE), CAST(created_at AS DATE) + INTERVAL 6 DAY, INTERVAL 1 DAY))::DATE AS day
       FROM activity) GROUP BY 1, 2""")
 def t08(v):
-    parts = _run(v, "activity", lambda p, c: jobs.daily_activity_stream(_streams(v).activity, p, c))
-    daily = jobs.latest_by_batch(parts, ["community_id", "day"], ["n"])
-    return jobs.trailing_counts(daily).select("community_id", "day", "message_count")
+    out, _ = _run(v, "activity", lambda p, c: jobs.daily_activity_stream(_streams(v).activity, p, c))
+    return jobs.trailing_counts(jobs.daily_counts(v.spark, out)).select("community_id", "day", "message_count")

@@ -1,6 +1,6 @@
 """Structured Streaming jobs.
 
-Stateless and fold-type jobs write each micro-batch, already reduced to one row per key, under its
-batch id: a replayed batch overwrites its own output, and the current table is the fold of the
-parts. Running totals and presence use Spark's streaming aggregates.
+Users, preferences, cache entries and presence keep one row per key in Spark's state store
+(``keyed``); delivery is a join of two streams; scores use Spark's streaming aggregate. Output goes
+through Spark's file sink, or to one partition per micro-batch that a replay overwrites (``sinks``).
 """

@@ -2,78 +2,18 @@
 
 from __future__ import annotations
 
-import time
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.plans import delivery, matching, preferences, users
-
-
-def write_parts(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    transform: Callable[[DataFrame], DataFrame] = lambda batch: batch,
-    mode: str = "append",
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """Start the stream; each micro-batch becomes, transformed, a part under ``path``.
-
-    A part is written to a folder of its own and counts once its commit row is there, so a replayed
-    batch never takes away what a reader sees: the newest commit of a batch wins.
-    """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        _commit(transform(batch), path, batch_id, compacted=False)
-
-    return (stream.writeStream.foreachBatch(step).outputMode(mode)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
-
-
-def _commit(rows: DataFrame, path: str, batch_id: int, compacted: bool) -> None:
-    attempt = f"a{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/rows/batch={batch_id}/attempt={attempt}")
-    rows.sparkSession.sql(
-        f"SELECT {batch_id}L AS batch, '{attempt}' AS attempt, {time.time_ns()}L AS at, {compacted} AS compacted"
-    ).write.mode("append").parquet(f"{path}/commits")
-
-
-def _commits(spark: SparkSession, path: str) -> DataFrame:
-    """The commits that count: the newest compaction, and of every later batch the newest attempt."""
-    commits = spark.read.parquet(f"{path}/commits")
-    base = commits.filter("compacted").agg(F.max("batch")).first()[0]
-    later = commits.filter(~F.col("compacted"))
-    if base is not None:
-        later = later.filter(F.col("batch") > base)
-        commits = later.unionByName(commits.filter(F.col("compacted") & (F.col("batch") == base)))
-    else:
-        commits = later
-    return commits.groupBy("batch").agg(F.max_by("attempt", "at").alias("attempt"))
-
-
-def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """The committed parts, with the ``batch`` each row came from."""
-    rows = spark.read.parquet(f"{path}/rows").withColumn("batch", F.col("batch").cast("long"))
-    return rows.join(_commits(spark, path), ["batch", "attempt"]).drop("attempt")
-
-
-def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> None:
-    """Fold all parts into one that takes their place at once; later batches go on from there.
-
-    ``merge`` must give rows that can be merged again. Folders of replaced parts may be deleted when
-    no reader uses them any more.
-    """
-    last = _commits(spark, path).agg(F.max("batch")).first()[0]
-    merged = merge(read_parts(spark, path))
-    _commit(merged.drop("batch"), path, last, compacted=True)
-
+from kindred.schemas import PREFERENCE_FIELDS
+from kindred.sources import messages
+from kindred.streaming import keyed, sinks
 
 # --- match results ------------------------------------------------------------------------------
 
+
 def match_stream(
     profiles: DataFrame, path: str, checkpoint: str,
     candidates: DataFrame, popular: DataFrame, index: DataFrame, members: DataFrame, **options,
@@ -86,115 +26,202 @@ def match_stream(
     def matched(batch: DataFrame) -> DataFrame:
         return matching.match_against(batch, candidates, popular, index, members, **options)
 
-    return write_parts(profiles, path, checkpoint, matched)
+    return sinks.per_batch(profiles, path, checkpoint, matched)
 
 
 # --- points -------------------------------------------------------------------------------------
 
+SCORES = "user_id long, karma_score long, batch long"
+
+
 def score_stream(ledger: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running score per user; every batch writes the users whose score moved."""
     totals = ledger.groupBy("user_id").agg(F.sum("point_delta").cast("long").alias("karma_score"))
-    return write_parts(totals, path, checkpoint, mode="update")
+    return sinks.per_batch(totals, path, checkpoint, mode="update")
 
 
-def latest_by_batch(parts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Newest emitted values per key."""
-    return parts.groupBy(*keys).agg(*[F.max_by(v, "batch").alias(v) for v in values])
+def current_scores(spark: SparkSession, path: str, schema: str = SCORES) -> DataFrame:
+    return sinks.latest_by_batch(sinks.read(spark, path, schema), ["user_id"], ["karma_score"])
 
 
 # --- users and preferences ----------------------------------------------------------------------
 
-def user_sync_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return write_parts(events, path, checkpoint, users.fold_events)
+def user_sync_stream(events: DataFrame, path: str, checkpoint: str, payload: list[str] | None = None) -> StreamingQuery:
+    """Change events in; one row per user that a micro-batch changes is appended under ``path``, and the
+    current row of every user stays in the state (:func:`synced_users`)."""
+    return sinks.append(keyed.users(events, payload), path, checkpoint)
 
 
-def synced_users(base: DataFrame, parts: DataFrame) -> DataFrame:
-    return users.apply_folds(base, users.merge_folds(parts))
+def synced_users(base: DataFrame, checkpoint: str, payload: list[str] | None = None) -> DataFrame:
+    """The stored users with the state of the stream laid over them."""
+    payload = payload or users.SYNC_COLUMNS
+    current = sinks.state(base.sparkSession, checkpoint, schema=keyed.user_schema(payload))
+    folds = current.select(
+        "user_id", F.when(F.col("deleted"), users.DELETE).alias("last_type"), F.col("upsert_ts").alias("upsert_at"),
+        F.struct(*payload).alias("payload"))
+    return users.apply_folds(base, folds, payload)
 
 
-def preference_stream(requests: DataFrame, path: str, checkpoint: str, known: DataFrame) -> StreamingQuery:
-    """Patch requests in, folded accepted patches out.
+def preference_stream(
+    requests: DataFrame, path: str, checkpoint: str, known: DataFrame, stored: DataFrame | None = None,
+    as_of: Column | None = None,
+) -> StreamingQuery:
+    """Patch requests in; the current row of every user that a micro-batch patches out.
 
-    Requests pass the same checks as in a batch (requester, active user of ``known``, choices,
-    location); refused ones are left out.
+    Requests pass the same checks as in a batch (requester, active user of ``known``, choices, location); refused
+    ones are left out. ``stored`` are the rows from before the stream, ``as_of`` the time patches count as applied
+    (default: when their batch runs).
     """
-    def folded(batch: DataFrame) -> DataFrame:
-        checked = preferences.check_patches(batch, known)
-        return preferences.fold_parts(checked.filter(F.col("reason").isNull()))
-
-    return write_parts(requests, path, checkpoint, folded)
+    checked = preferences.check_patches(requests, known).filter(F.col("reason").isNull())
+    touched = checked.withColumn("touched", F.current_timestamp() if as_of is None else as_of)
+    return sinks.append(keyed.preferences(touched, stored), path, checkpoint)
 
 
-def current_preferences(stored: DataFrame, parts: DataFrame, as_of: Column) -> DataFrame:
-    """The stored rows with everything the stream has accepted so far."""
-    return preferences.upsert(stored, preferences.merge_parts(parts), as_of)
+def current_preferences(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Every user's row, in the columns of the stored table."""
+    schema = keyed.preference_schema()
+    state = sinks.state(spark, checkpoint, schema=schema)
+    times = [F.timestamp_micros(F.col(c)).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")]
+    return state.select("user_id", *PREFERENCE_FIELDS, *times).withColumn("onboarding_complete", preferences.complete())
 
 
 # --- cache freshness ----------------------------------------------------------------------------
 
-def cache_stream(events: DataFrame, path: str, checkpoint: str, payload: list[str]) -> StreamingQuery:
-    """Follow cache writes and removals: each batch keeps its newest event per entry.
+def cache_stream(
+    events: DataFrame, path: str, checkpoint: str, payload: list[str], lifetimes: dict[str, int] | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Follow cache writes and removals (kind, key, op, ts, seq and the payload columns).
 
-    Whether an entry is still fresh depends on when it is read, so lifetimes apply at the reader
-    (:func:`live_entries`) and the stream needs no state. ``events``: kind, key, op, ts, seq and
-    the payload columns.
+    The state holds each entry's newest event and lets go of it when its kind's lifetime (milliseconds) has passed since
+    it was written there; the newest event by ``ts`` wins, whatever order they come in. Lifetimes pass by the clock, so
+    a stream that stops once all input is read would never stop: the default takes what there is as one batch, a
+    standing job gives a ``processingTime`` trigger.
     """
-    return write_parts(events, path, checkpoint, lambda batch: delivery.newest_entries(batch, payload))
+    lives = lifetimes or {kind: 1000 * seconds for kind, seconds in delivery.TTL_SECONDS.items()}
+    return sinks.append(keyed.entries(events, lives, payload), path, checkpoint, trigger or {"once": True})
 
 
-def live_entries(parts: DataFrame, as_of: Column, payload: list[str]) -> DataFrame:
-    return delivery.fresh_entries(parts, as_of, payload)
+def live_entries(
+    spark: SparkSession, checkpoint: str, as_of: Column, payload: str, kinds: list[str] | None = None,
+) -> DataFrame:
+    """The entries of the state that are still fresh at ``as_of`` by the time they were written with.
 
+    ``payload``: the payload columns' DDL; ``kinds``: those the stream was given lifetimes of.
+    """
+    schema = f"key string, live boolean, at long, seq long, {payload}"
+    columns = [c.split()[0] for c in payload.split(", ")]
+    parts = [sinks.state(spark, checkpoint, kind, f"kind string, {schema}") for kind in kinds or delivery.TTL_SECONDS]
+    held = parts[0]
+    for part in parts[1:]:
+        held = held.unionByName(part)
+    age = F.unix_micros(as_of.cast("timestamp")) - F.col("at")
+    return (held.filter(F.col("live") & (age < delivery.ttl_of(F.col("kind")) * F.lit(1_000_000).cast("long")))
+            .select("kind", "key", F.timestamp_micros("at").cast("timestamp_ntz").alias("cached_at"), "seq", *columns))
 
-# --- presence and delivery ----------------------------------------------------------------------
 
-def presence_stream(connections: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Newest state per connection and batch. The stream itself keeps no state; keyed by (user,
-    connection), so a user with very many connections is many small rows and not one large one."""
-    return write_parts(connections, path, checkpoint, lambda batch: delivery.newest_states(batch))
+# --- presence and delivery ----------------------------------------------------------------------
 
+def presence_stream(
+    connections: DataFrame, path: str, checkpoint: str, delay: str = "1 day", silence_ms: int = 7 * 86_400_000,
+) -> StreamingQuery:
+    """Connects and disconnects in (user_id, sid, connected, ts, event_id), each change of a connection out.
 
-def present(parts: DataFrame) -> DataFrame:
-    return delivery.newest_states(parts).filter("connected").select("user_id", "sid")
+    The state holds a user's open connections: closed ones and those without a sign of life leave it.
+    """
+    return sinks.append(keyed.connections(connections, delay, silence_ms), path, checkpoint)
 
 
-def forget_closed(grace: str = "INTERVAL 1 DAY") -> Callable[[DataFrame], DataFrame]:
-    """A merge for :func:`compact`: closed connections leave the table once they are ``grace`` older
-    than its newest event, so it shrinks with the connections. An event that arrives later than that
-    would reopen what it names."""
-    def merge(parts: DataFrame) -> DataFrame:
-        newest = parts.agg(F.max("ts")).first()[0]
-        return delivery.newest_states(parts).filter(
-            F.col("connected") | (F.col("ts") >= F.lit(newest) - F.expr(grace)))
-    return merge
+def present(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(user_id, sid) of the open connections; a user without any has no row."""
+    state = sinks.state(spark, checkpoint, "connections", f"user_id long, share long, sid string, {keyed.CONNECTION}")
+    return state.filter("connected").select("user_id", "sid")
 
 
-def delivery_stream(results: DataFrame, path: str, checkpoint: str, live: DataFrame) -> StreamingQuery:
-    """Each published result once per live connection of its user.
+def delivery_stream(
+    results: DataFrame, signs: DataFrame, path: str, checkpoint: str, reach: str = "1 day", delay: str = "1 hour",
+) -> StreamingQuery:
+    """Each published result once per connection that its user has open when it is published.
 
-    ``live`` should be a settled presence table: every micro-batch reads it.
+    A join of two streams: a result (event_id, user_id, ts, ...) meets the signs of life (user_id, sid, connected, ts,
+    event_id) of its user in the ``reach`` before it; it goes to a connection whose newest sign by then is a connect. So a
+    result from before its user connects is not delivered, nor one to a connection closed or silent for ``reach``. Rows
+    of both streams may come up to ``delay`` late; state older than that and ``reach`` is dropped.
     """
-    return write_parts(results, path, checkpoint, lambda batch: delivery.fan_out(batch, live))
+    columns = [c for c in results.columns if c not in ("event_id", "user_id", "ts")]
+    sent = results.withColumn("sent_at", F.col("ts").cast("timestamp")).drop("ts").withWatermark("sent_at", delay)
+    seen = signs.select(F.col("user_id").alias("_user"), "sid", "connected", F.col("event_id").alias("_event"),
+                        F.col("ts").cast("timestamp").alias("seen_at")).withWatermark("seen_at", delay)
+    met = sent.join(seen, (F.col("user_id") == F.col("_user")) & (F.col("seen_at") <= F.col("sent_at"))
+                    & (F.col("seen_at") >= F.col("sent_at") - F.expr(f"INTERVAL {reach}")))
+    # One event-time column goes on: a result is decided once the watermark has passed it.
+    place = F.struct(F.unix_micros("seen_at").alias("at"), F.col("_event").alias("event"))
+    told = met.select("event_id", "user_id", "sent_at", *columns, "sid", "connected", place.alias("place")).groupBy(
+        "event_id", "user_id", "sent_at", *columns, "sid").agg(F.max_by("connected", "place").alias("open"))
+    return sinks.append(told.filter("open").drop("open"), path, checkpoint)
+
+
+def publish_stream(results: DataFrame, path: str, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
+    """Results in, keyed messages out: appended by the file sink, one folder per day of sending."""
+    keyed_rows = messages.keyed_messages(results, columns).withColumn("sent_on", F.to_date(F.current_timestamp()))
+    return sinks.append(keyed_rows, path, checkpoint, partition_by=["sent_on"])
+
+
+def subscribe_stream(spark: SparkSession, path: str, schema: str, trigger_files: int | None = None) -> DataFrame:
+    """The published messages as a stream, parsed like :func:`messages.parse_results`: other channels and malformed
+    messages are left out, each message comes once over any restart of the reader."""
+    source = spark.readStream.schema("key string, value string, sent_on date")
+    if trigger_files:
+        source = source.option("maxFilesPerTrigger", trigger_files)
+    return messages.parse_results(source.parquet(path).select("key", "value"), schema)
 
 
 # --- activity -----------------------------------------------------------------------------------
 
-def daily_activity_stream(
-    activity: DataFrame, path: str, checkpoint: str, delay: str = "2 days",
-) -> StreamingQuery:
-    """Messages per community and day. Rows later than ``delay`` behind the newest are dropped."""
-    timed = activity.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
-    counts = (timed.groupBy(F.window("created_at", "1 day").alias("w"), "community_id")
-              .agg(F.count(F.lit(1)).alias("n"))
-              .select("community_id", F.to_date("w.start").alias("day"), "n"))
-    return write_parts(counts, path, checkpoint, mode="update")
+DAILY = "community_id long, day date, late boolean, n long, batch long"
+LATE = "message_id long, community_id long, created_at timestamp_ntz, batch long"
+
+
+def daily_activity_stream(activity: DataFrame, path: str, checkpoint: str, delay_days: int = 2) -> StreamingQuery:
+    """Messages per community and day, as increments: one partition of counts per micro-batch.
+
+    A row is late if its day ends before the newest time of all earlier batches less ``delay_days``. Late rows are kept:
+    they lie in a table of their own (``late``, see :func:`late_rows`) and their counts are marked, so a reader takes
+    the days as they were closed, or corrected (:func:`daily_counts`). The stream keeps no state: what it
+    knows of earlier batches is their newest time, one row each. A batch that runs again overwrites its partitions.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks = sinks.read(spark, f"{path}/marks", "newest timestamp_ntz, batch long")
+        newest = marks.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        day = F.to_date("created_at")
+        closed = F.lit(False) if newest is None else day < F.date_sub(F.to_date(F.lit(newest)), delay_days)
+        rows = batch.withColumn("day", day).withColumn("late", F.coalesce(closed, F.lit(False)))
+        counts = rows.groupBy("community_id", "day", "late").agg(F.count(F.lit(1)).alias("n"))
+        sinks.overwrite_batch(counts, f"{path}/counts", batch_id)
+        if newest is not None:
+            sinks.overwrite_batch(rows.filter("late").select("message_id", "community_id", "created_at"), f"{path}/late", batch_id)
+        sinks.overwrite_batch(batch.agg(F.max("created_at").cast("timestamp_ntz").alias("newest")), f"{path}/marks", batch_id)
+
+    return (activity.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(**sinks.ALL_THERE_IS).start())
+
+
+def late_rows(spark: SparkSession, path: str, schema: str = LATE) -> DataFrame:
+    return sinks.read(spark, f"{path}/late", schema)
+
+
+def daily_counts(spark: SparkSession, path: str, corrected: bool = True) -> DataFrame:
+    """``community_id``, ``day``, ``n``: with the late rows merged in, or as the days were closed."""
+    parts = sinks.read(spark, f"{path}/counts", DAILY)
+    return (parts if corrected else parts.filter("NOT late")).groupBy("community_id", "day").agg(F.sum("n").alias("n"))
 
 
 def trailing_counts(daily: DataFrame, days: int = 7) -> DataFrame:
     """Messages of the ``days`` days ending with each day, from daily counts.
 
-    A day's count is added to the days it belongs to, so the state of the stream stays one row per
-    community and day instead of one per overlapping window.
+    A day's count is added to the days it belongs to: one row per community and day is kept instead of one per
+    overlapping window.
     """
     spread = daily.withColumn("day", F.explode(F.sequence("day", F.date_add("day", days - 1))))
     return spread.groupBy("community_id", "day").agg(F.sum("n").alias("message_count"))

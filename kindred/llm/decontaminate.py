@@ -24,7 +24,7 @@ other columns are ignored; empty tables give an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ COVERAGE = 0.5
 CONSISTENCY = 0.75
 BITS = 22
 CACHE = 1 << 18
+# Words of texts that are hashed together.
+TOGETHER = 1 << 17
 
 # Words that count as units of measure.
 UNITS = frozenset("""
@@ -102,40 +104,43 @@ class Codes:
             self.codes[1, at] = xxhash.xxh64_intdigest(word.strip(PUNCTUATION).casefold())
         return at
 
-    def of(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words that are more than punctuation, their template codes and their plain codes."""
+    def of(self, words: list[str], text: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The words that are more than punctuation, which text each is of, their template and their plain codes."""
         if len(self.known) >= CACHE:
             self.known.clear()
         get, new = self.known.get, self.new
         at = np.array([get(w) or new(w) for w in words], np.int64)
         template = self.codes[0, at]
-        if (template == self.SPLIT).any():
-            return self.of([part for w, c in zip(words, template, strict=True)
-                            for part in (UNSPACED_PARTS.findall(w) if c == self.SPLIT else (w,))])
+        split = np.flatnonzero(template == self.SPLIT)
+        if len(split):
+            parts, counts, done = [], np.ones(len(words), np.int64), 0
+            for i in split.tolist():
+                own = UNSPACED_PARTS.findall(words[i])
+                parts += words[done:i] + own
+                counts[i], done = len(own), i + 1
+            return self.of(parts + words[done:], np.repeat(text, counts))
         real = template != self.DROP
         if not real.all():
-            words, at, template = [w for w, r in zip(words, real, strict=True) if r], at[real], template[real]
-        return words, template, self.codes[1, at]
-
-
-def windows(codes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """Hash of every window of ``length`` tokens."""
-    count = len(codes) - length + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
-    mixed = np.full(count, length + seed, np.uint64)
-    for k in range(length):
-        mixed = mixed * BASE + codes[k:k + count]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    return mixed
-
-
-def literal_windows(codes: np.ndarray, length: int) -> np.ndarray:
-    """Which windows of template codes hold enough literal words."""
+            words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
+            text, at, template = text[real], at[real], template[real]
+        return words, text, template, self.codes[1, at]
+
+
+def windows(codes: np.ndarray, lengths: Iterable[int], seed: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length with the hashes of all windows of so many tokens; each token goes into all lengths at once."""
+    lengths, mixed = set(lengths), np.full(len(codes), seed, np.uint64)
+    for k in range(max(lengths, default=0)):
+        mixed = mixed[:max(0, len(codes) - k)]
+        mixed *= BASE
+        mixed += codes[k:]
+        if k + 1 in lengths:
+            yield k + 1, mixed
+
+
+def literal_windows(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of template codes, given by their places, hold enough literal words."""
     before = np.concatenate([[0], np.cumsum((codes & np.uint64(7)) == 0)])
-    return before[length:] - before[:-length] >= max(2, LITERALS * length)
+    return before[at + length] - before[at] >= max(2, LITERALS * length)
 
 
 def counts_up(words: list[str]) -> bool:
@@ -152,36 +157,66 @@ def _surfaces(words: list[str]) -> str:
     return " ".join(out)
 
 
-def _window_rows(batches, lengths: list[int] | None, size: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Windows of every text as rows, templates and plain ones; ``lengths`` None: the text's own (items)."""
+def _batches(rows: list[tuple], ddl: str) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [field.split() for field in ddl.split(", ")]
+    for at in range(0, len(rows), 10_000):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows[at:at + 10_000], strict=True), fields, strict=True)],
+            names=[name for name, _ in fields])
+
+
+def _item_rows(batches, size: int) -> Iterator[pa.RecordBatch]:
+    """Windows of every item as rows, templates and plain ones; a shorter item is one window."""
     codes = Codes()
-    names = ["row", "id", "plain", "place", "length", "words", "total", "hash", "slots"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.int64(), pa.string()]
     for batch in slices(batches):
+        rows = []
         for row, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words, template, folded = codes.of(text.split())
-            rows = []
-            for length in lengths or [min(size, len(words))]:
-                if length > len(words) or length < 2:
-                    continue
-                if lengths is None and counts_up(words):
-                    continue
-                for plain, coded in ((False, template), (True, folded)):
-                    hashes = windows(coded, length, PLAIN_SEED if plain else 0)
-                    enough = np.ones(len(hashes), bool) if plain else literal_windows(coded, length)
-                    if table is not None:
-                        enough &= table[hashes & np.uint64(len(table) - 1)]
-                    total = int(enough.sum())
-                    rows += [(row, key, plain, int(i), length, len(words), total, int(hashes[i].astype(np.int64)),
-                              "" if plain else _surfaces(words[i:i + length]))
-                             for i in np.flatnonzero(enough)]
-            for at in range(0, len(rows), 10_000):
-                part = list(zip(*rows[at:at + 10_000], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(part, types, strict=True)], names=names)
+            split = text.split()
+            words, _, template, folded = codes.of(split, np.zeros(len(split), np.int64))
+            length = min(size, len(words))
+            if length < 2 or counts_up(words):
+                continue
+            for plain, coded, seed in ((False, template, 1), (True, folded, PLAIN_SEED)):
+                (_, hashes), = windows(coded, [length], seed)
+                places = np.arange(len(hashes))
+                places = places if plain else places[literal_windows(coded, places, length)]
+                rows += [(row, key, plain, i, length, len(words), len(places), int(hashes[i].astype(np.int64)),
+                          "" if plain else _surfaces(words[i:i + length])) for i in places.tolist()]
+        yield from _batches(rows, ROWS)
+
+
+def _text_rows(batches, lengths: list[int], bits: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Those windows of every text whose hash is in the bit table, as rows. Texts are hashed many at a time, and only
+    windows that hit the table are looked at one by one."""
+    codes = Codes()
+    shift = np.uint64(64 - bits)
+    for batch in slices(batches):
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        held, of, n = [], [], 0
+        for at, text in enumerate(batch.column(2).to_pylist()):
+            held.append(text.split())
+            of.append(at)
+            n += len(held[-1])
+            if n < TOGETHER and at < len(keys) - 1:
+                continue
+            words, text_of, template, folded = codes.of(
+                [w for words in held for w in words], np.repeat(np.array(of), [len(w) for w in held]))
+            held, of, n, rows = [], [], 0, []
+            for plain, coded, seed in ((False, template, 1), (True, folded, PLAIN_SEED)):
+                for length, hashes in windows(coded, lengths, seed):
+                    hit = np.flatnonzero(table[hashes >> shift])
+                    hit = hit[text_of[hit] == text_of[hit + length - 1]]
+                    if not plain:
+                        hit = hit[literal_windows(coded, hit, length)]
+                    places = hit - np.searchsorted(text_of, text_of[hit])
+                    rows += [(*keys[t], p, h, "" if plain else _surfaces(words[i:i + length])) for t, p, h, i in zip(
+                        text_of[hit].tolist(), places.tolist(), hashes[hit].astype(np.int64).tolist(), hit.tolist(), strict=True)]
+            yield from _batches(rows, HITS)
 
 
 ROWS = "row long, id long, plain boolean, place int, length int, words int, total int, hash long, slots string"
+HITS = "row long, id long, place int, hash long, slots string"
 FOUND = "array<struct<places:array<int>,item_places:array<int>,slots:string,item_slots:string>>"
 JUDGED = "row long, doc_id long, item_id long, coverage double, consistency double, same double"
 
@@ -244,9 +279,9 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: flo
     spark = docs.sparkSession
     items = texts(items, "item_id").dropDuplicates()
     items = items.select(row_key(), F.col("doc_id").alias("id"), "text")
-    wanted = items.mapInArrow(lambda b: _window_rows(b, None, size, None), ROWS)
+    wanted = items.mapInArrow(lambda b: _item_rows(b, size), ROWS)
     # Bounded whatever the benchmark: at most 2 ** bits slots, and window lengths up to ``size``.
-    slots = wanted.select(F.expr(f"hash & {(1 << bits) - 1}").cast("int").alias("slot")).distinct().toArrow()
+    slots = wanted.select(F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("slot")).distinct().toArrow()
     table = np.zeros(1 << bits, bool)
     table[slots["slot"].to_numpy()] = True
     lengths = sorted({r[0] for r in wanted.select("length").distinct().collect()} or {size})
@@ -254,9 +289,9 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: flo
 
     def look(batches):
         bit_table = np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
-        yield from _window_rows(batches, lengths, size, bit_table)
+        yield from _text_rows(batches, lengths, bits, bit_table)
 
-    held = texts(docs).select(row_key(), F.col("doc_id").alias("id"), "text").mapInArrow(look, ROWS)
+    held = texts(docs).select(row_key(), F.col("doc_id").alias("id"), "text").mapInArrow(look, HITS)
     # One row for each window of a text or item, with all its places.
     held = held.groupBy("row", F.col("id").alias("doc_id"), "hash", "slots").agg(F.collect_set("place").alias("places"))
     wanted = wanted.groupBy(

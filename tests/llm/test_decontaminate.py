@@ -103,3 +103,69 @@ def test_edges(spark, edge, none, items):
     assert out.columns == rows.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(
         [(None, "clean text"), (1, "clean text"), (2, None)], key=repr)
+
+
+def plainly(docs, items, size=8, coverage=0.5, consistency=0.75):
+    """Coverage and consistency of whole documents, by comparing every pair of windows; for texts without two copies."""
+    def words(text):
+        return [w for w in text.split() if decontaminate.canonical(w)[0]]
+
+    out = {}
+    for item_id, item in items:
+        wanted = words(item)
+        length = min(size, len(wanted))
+        for doc_id, text in docs:
+            held = words(text)
+            for plain in (False, True):
+                def form(ws, plain=plain):
+                    return [w.strip(decontaminate.PUNCTUATION).casefold() if plain else decontaminate.canonical(w)[0] for w in ws]
+
+                def places(ws, plain=plain):
+                    every = range(len(ws) - length + 1)
+                    return [i for i in every if plain or sum(
+                        not t.startswith("<") for t in form(ws[i:i + length])) >= max(2, 0.4 * length)]
+
+                mine = {i: form(wanted[i:i + length]) for i in places(wanted)}
+                met = [(i, j) for j in places(held) for i, f in mine.items() if form(held[j:j + length]) == f]
+                if not mine or len({i for i, _ in met}) < coverage * len(mine):
+                    continue
+                pairs = {((k := decontaminate.canonical(a))[0], k[1], decontaminate.canonical(b)[1]) for i, j in met
+                         for a, b in zip(wanted[i:i + length], held[j:j + length]) if decontaminate.canonical(a)[0].startswith("<")}
+                agree = 1.0 if plain or not pairs else min(
+                    len({p[:2] for p in pairs}), len({(p[0], p[2]) for p in pairs})) / len(pairs)
+                if agree >= consistency:
+                    old = out.get((doc_id, item_id), (0, 0))
+                    out[doc_id, item_id] = max(old[0], len({i for i, _ in met}) / len(mine)), max(old[1], agree)
+    return out
+
+
+def test_random_templates_equal_a_plain_comparison(spark):
+    import random
+    rng = random.Random(11)
+    literal = [f"{a}{b}" for a in "bdfgk" for b in ("ale", "ori", "une")]
+    names, numbers = ["Ann", "Bob", "Cleo", "Dan", "Eve"], ["3", "14", "159", "26"]
+
+    def item():
+        return [rng.choice(literal if rng.random() < 0.6 else names if rng.random() < 0.6 else numbers) for _ in range(rng.randint(6, 30))]
+
+    def changed(words):
+        swap = {w: rng.choice(names if w in names else numbers) if rng.random() < 0.4 else w for w in names + numbers}
+        new = [swap.get(w, w) for w in words]
+        if rng.random() < 0.3:
+            new = [rng.choice(names) if w in names else w for w in new]
+        start = rng.randint(0, len(new) // 2)
+        return new[start:] if rng.random() < 0.4 else new
+
+    items = [(i, " ".join(item())) for i in range(12)]
+    texts = []
+    for d in range(60):
+        filler = [f"z{rng.randint(0, 99)}y" for _ in range(rng.randint(0, 30))]
+        texts.append((d, " ".join([*filler, *changed(rng.choice(items)[1].split()), "...", *filler[:5]])))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(
+        wide(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plainly(texts, items)
+    # What passes as a whole document is found with at least these values; what is found beyond that is a stretch that passes.
+    assert set(want) <= set(got) and len(want) > 20
+    assert all(got[k].coverage >= v[0] - 1e-12 and got[k].consistency >= v[1] - 1e-12 for k, v in want.items())
+    loose = plainly(texts, items, consistency=0.0)
+    assert all(got[k].coverage <= loose[k][0] + 1e-12 for k in got) and set(got) <= set(loose)

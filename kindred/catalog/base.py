@@ -34,12 +34,12 @@ REGISTRY: dict[str, Query] = {}
 _SCHEMAS: dict[str, StructType] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``run(views)``; ``sql`` may use the view names below, which become CTEs."""
+def query(name: str, sql: str | None = None, **views: str):
+    """Register ``run(views)``; ``sql`` may use the view names below, which become CTEs; ``views`` stand for some of them."""
     def register(run: Callable[[Views], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(run, with_views(sql) if sql else None)
+        REGISTRY[name] = Query(run, with_views(sql, views) if sql else None)
         return run
     return register
 
@@ -315,6 +315,9 @@ def next_sql(s: str) -> str:
 
 
 VIEWS_SQL = {
+    "profiles": """
+        SELECT doc_id AS user_id, text AS bio, [' ' || upper(lang) || ' ', lang, source, ''] AS interest_tags
+        FROM documents""",
     "activity": f"SELECT event_id AS message_id, {K_SQL} AS community_id, user_id, ts AS created_at FROM events",
     "members": "SELECT DISTINCT user_id, community_id FROM activity",
     "places": "SELECT n_nationkey, n_name AS city, r_name AS timezone FROM nation JOIN region ON n_regionkey = r_regionkey",
@@ -355,9 +358,6 @@ VIEWS_SQL = {
                CASE WHEN event_id % 3 <> 0 THEN 'L' || (event_id % 40) END AS last_name,
                '{{"plan":"p' || {K_SQL} || '"}}' AS public_metadata
         FROM events""",
-    "profiles": """
-        SELECT doc_id AS user_id, text AS bio, [' ' || upper(lang) || ' ', lang, source, ''] AS interest_tags
-        FROM documents""",
     "toxicity": "SELECT doc_id AS user_id, CASE WHEN toxic = 1 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS score FROM labels",
     "connections": f"""
         SELECT user_id, user_id || '-' || {K_SQL} AS sid, event_type <> 'error' AS connected, ts, event_id FROM events""",
@@ -453,10 +453,13 @@ VIEWS_SQL = {
         LEFT JOIN toxicity x ON x.user_id = t.user_id""",
 }
 _ORDER = list(VIEWS_SQL)
+# Views that others name several times and that are dear to compute: computed once.
+_ONCE = {"user_vectors", "scored_communities", "candidates", "sims", "ranked", "flagged", "reranked", "tiers", "emitted", "results"}
 
 
-def with_views(body: str) -> str:
+def with_views(body: str, instead: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the CTEs of the views it names, directly or through other views."""
+    views = {**VIEWS_SQL, **(instead or {})}
     needed: set[str] = set()
     pending = [body]
     while pending:
@@ -464,8 +467,9 @@ def with_views(body: str) -> str:
         for name in _ORDER:
             if name not in needed and re.search(rf"\b{name}\b", text):
                 needed.add(name)
-                pending.append(VIEWS_SQL[name])
-    ctes = ",\n".join(f"{name} AS ({VIEWS_SQL[name].strip()})" for name in _ORDER if name in needed)
+                pending.append(views[name])
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in _ONCE else ''}({views[name].strip()})"
+                      for name in _ORDER if name in needed)
     if not ctes:
         return body.strip()
     body = body.strip()

@@ -8,6 +8,8 @@ from kindred.catalog.base import ALL_FIELDS_SQL, LATEST_FIELDS_SQL, SINCE, as_of
 from kindred.operators.validation import union_all
 from kindred.plans import matching, preferences, users
 from kindred.schemas import PREFERENCE_FIELDS
+from kindred.session import shared_dir
+from kindred.sources import tables
 
 
 @query("u01_union_counts", f"""
@@ -48,6 +50,14 @@ def u02(v):
     return users.sync(synced_users(v), upserts)
 
 
+@query("u02_bucketed_upsert", SYNC_SQL.format(where=""))
+def u02_bucketed(v):
+    """The users stored by id: only the day's events move, and the next snapshot is stored the same way."""
+    names = [shared_dir(v.spark, n) for n in ("users", "snapshot")]
+    stored, snapshot = ([p.rsplit("/", 1)[-1].replace("-", "_"), p, "user_id", 8] for p in names)
+    return tables.save_bucketed(users.sync(tables.save_bucketed(synced_users(v), *stored), v.change_events), *snapshot)
+
+
 @query("u03_soft_delete", """
     SELECT user_id, username, is_active AND user_id NOT IN (SELECT user_id FROM change_events WHERE type = 'user.deleted') AS is_active
     FROM users""")

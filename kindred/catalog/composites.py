@@ -8,12 +8,12 @@ from kindred import hooks
 from kindred.catalog.base import (
     ALL_FIELDS_SQL, AS_OF, DIM, LATEST_FIELDS_SQL, as_of, label_sql, level_sql, next_sql, query, strip_sql, tier_sql)
 from kindred.catalog.changes import SYNC_SQL, stored_preferences, synced_users
-from kindred.catalog.scalars import ELIGIBLE_SQL, EMAIL_SQL, PHONE_SQL, TAGS_SQL
+from kindred.catalog.scalars import ELIGIBLE_SQL, EMAIL_SQL, PHONE_SQL, TAGS_SQL, TOKEN_BREAK_SQL
 from kindred.functions import text as X
 from kindred.operators import validation as V
 from kindred.plans import ledger, matching, preferences, requests, users
-from kindred.schemas import PREFERENCE_FIELDS
-from kindred.session import settle
+from kindred.schemas import PREFERENCE_FIELDS, VECTOR_DIM
+from kindred.session import settle, shared_dir
 from kindred.sources import messages
 
 
@@ -29,16 +29,46 @@ def accepted_profiles(v):
     return cleaned.select("user_id", "embedding_text", "pii_removed").join(v.user_vectors, "user_id")
 
 
+# Valid profiles with the text that is embedded.
+TEXTS_SQL = f"""
+    SELECT user_id, 'Bio: ' || regexp_replace(regexp_replace({strip_sql("bio")}, {EMAIL_SQL}), {PHONE_SQL}) || chr(10) || 'Interests: '
+           || array_to_string(tags, ', ') AS text
+    FROM (SELECT *, list_sort(list_distinct(list_concat({TAGS_SQL}, list_filter([
+            {", ".join(f"CASE WHEN list_contains(regexp_split_to_array(lower({strip_sql('bio')}), '[^a-z0-9]+'), '{w}') THEN '{t}' END" for w, t in X.TAG_RULES)}
+          ], lambda t: t IS NOT NULL)))) AS tags FROM profiles
+          WHERE length(bio) BETWEEN 10 AND 500 AND length({strip_sql("bio")}) >= 10)"""
+
+
+def weights_sql(texts: str, key: str) -> str:
+    """The hashed-token vector of every text as (key, slot, w), weights in 32 bits, scaled to length 1 again in doubles."""
+    return f"""
+      SELECT {key}, slot, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM (
+        SELECT {key}, slot, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w FROM (
+          SELECT {key}, slot, CAST(count(*) AS DOUBLE) AS n FROM (
+            SELECT {key}, CAST('0x' || substr(md5(token), 1, 7) AS INTEGER) % {VECTOR_DIM} AS slot
+            FROM (SELECT {key}, unnest(string_split_regex(lower(text), '{TOKEN_BREAK_SQL}')) AS token FROM ({texts}))
+            WHERE token <> '') GROUP BY 1, 2))"""
+
+
+# The matching of texts: both sides are embedded.
+TEXT_VIEWS = {
+    "user_vectors": f"SELECT user_id, username, city, timezone, text FROM ({TEXTS_SQL}) JOIN users USING (user_id)",
+    "sims": f"""
+      SELECT u.user_id, c.community_id, c.community_name, c.category, c.member_count, c.recent_activity,
+             round(coalesce(d.dot, 0), 12) AS score
+      FROM user_vectors u JOIN candidates c USING (city, timezone) LEFT JOIN (
+        SELECT a.user_id, b.community_id, sum(a.w * b.w) AS dot
+        FROM (SELECT * FROM ({weights_sql("SELECT user_id, text FROM user_vectors", "user_id")}) JOIN users USING (user_id)) a
+        JOIN (SELECT * FROM ({weights_sql("SELECT community_id, concat_ws(' ', community_name, category, description) AS text FROM communities", "community_id")})
+              JOIN (SELECT community_id, city, timezone FROM communities) USING (community_id)) b
+          ON a.slot = b.slot AND a.city = b.city AND a.timezone = b.timezone
+        GROUP BY 1, 2) d ON d.user_id = u.user_id AND d.community_id = c.community_id"""}
+
+
 @query("p01_match_all_profiles", f"""
     SELECT e.user_id, e.tier, e.position, e.community_id, e.match_score, e.recent_activity, r.auto_joined_community,
            r.ai_intro_generated, length(p.text) AS text_chars
-    FROM emitted e JOIN results r USING (user_id) JOIN (
-      SELECT user_id, 'Bio: ' || regexp_replace(regexp_replace({strip_sql("bio")}, {EMAIL_SQL}), {PHONE_SQL}) || chr(10) || 'Interests: '
-             || array_to_string(tags, ', ') AS text
-      FROM (SELECT *, list_sort(list_distinct(list_concat({TAGS_SQL}, list_filter([
-              {", ".join(f"CASE WHEN list_contains(regexp_split_to_array(lower({strip_sql('bio')}), '[^a-z0-9]+'), '{w}') THEN '{t}' END" for w, t in X.TAG_RULES)}
-            ], lambda t: t IS NOT NULL)))) AS tags FROM profiles
-            WHERE length(bio) BETWEEN 10 AND 500 AND length({strip_sql("bio")}) >= 10)) p USING (user_id)""")
+    FROM emitted e JOIN results r USING (user_id) JOIN ({TEXTS_SQL}) p USING (user_id)""")
 def p01(v):
     results = matching.match_results(
         accepted_profiles(v), v.communities, v.index, v.activity, v.members, as_of(), v.toxicity,
@@ -49,7 +79,8 @@ def p01(v):
     return flat.drop("category", "member_count")
 
 
-@query("p01_match_from_text")
+@query("p01_match_from_text", """
+    SELECT user_id, tier, position, community_id, category, member_count, recent_activity, match_score FROM emitted""", **TEXT_VIEWS)
 def p01_text(v):
     """Raw profiles to results with the default text vectors on both sides."""
     profiles = v.profiles.join(v.users.select("user_id", "city", "timezone"), "user_id")
@@ -163,6 +194,21 @@ def p05(v):
         "id", "user_id", "balance", "tier", "tier_level", "next_tier_threshold", "inbox_shield_threshold")
 
 
+@query("p05_award_steps", f"""
+    SELECT id, user_id, CAST(run AS BIGINT) AS balance, {tier_sql("run")} AS tier,
+           CAST(coalesce(threshold, 0) AS INTEGER) AS inbox_shield_threshold
+    FROM (SELECT *, sum(point_delta) OVER (PARTITION BY user_id ORDER BY created_at, id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM checked_awards WHERE reason IS NULL)
+    LEFT JOIN shield USING (user_id)""")
+def p05_steps(v):
+    """All awards in three steps, each on the totals that the one before has stored."""
+    path = shared_dir(v.spark, "awards")
+    days = F.dayofmonth("created_at")
+    for step, (first, last) in enumerate(((1, 9), (10, 19), (20, 31))):
+        ledger.award_step(v.award_requests.filter(days.between(first, last)), v.users, v.shield, path, step)
+    return v.spark.read.parquet(f"{path}/awards").select("id", "user_id", "balance", "tier", "inbox_shield_threshold")
+
+
 @query("p05_award_rejects", "SELECT id, reason FROM checked_awards WHERE reason IS NOT NULL")
 def p05_rejects(v):
     return ledger.check_awards(v.award_requests, v.users).filter("reason IS NOT NULL").select("id", "reason")

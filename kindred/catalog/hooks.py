@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 from kindred import hooks
 from kindred.catalog.base import query
 from kindred.catalog.composites import decided
-from kindred.catalog.scalars import BIO_SQL, ENRICHED_SQL, MASKED_SQL, TAGS_SQL, bios
+from kindred.catalog.scalars import BIO_SQL, ENRICHED_SQL, MASKED_SQL, TAGS_SQL, TOKEN_BREAK_SQL, bios
 from kindred.functions import text as X
 from kindred.functions.matching import postable
 
 
 @query("v01_text_vectors", f"""
     SELECT user_id, CAST({hooks.VECTOR_DIM} AS INTEGER) AS dims, count(slot) AS n_slots,
-           round(coalesce(max(n) / sqrt(sum(n * n)), 0), 5) AS largest,
+           round(CAST(CAST(coalesce(max(n) / sqrt(sum(n * n)), 0) AS FLOAT) AS DOUBLE), 5) AS largest,
            coalesce(arg_max(slot, [n, -slot]), 0) AS largest_slot
     FROM (SELECT user_id, slot, CAST(count(slot) AS DOUBLE) AS n FROM (
             SELECT user_id, CASE WHEN token <> '' THEN CAST('0x' || substr(md5(token), 1, 7) AS INTEGER) % {hooks.VECTOR_DIM} END AS slot
-            FROM (SELECT user_id, unnest(string_split_regex(lower('Bio: ' || bio || chr(10) || 'Interests: ' || array_to_string({TAGS_SQL}, ', ')),
-                         '[\\t\\n\\x0b\\f\\r !-/:-@\\[-`{{-~]+')) AS token FROM profiles))
+            FROM (SELECT user_id, unnest(string_split_regex(lower('Bio: ' || bio || chr(10) || 'Interests: ' || array_to_string({TAGS_SQL}, ', ')), '{TOKEN_BREAK_SQL}')) AS token FROM profiles))
           GROUP BY 1, 2) GROUP BY 1""")
 def v01(v):
     """Hashed-token vector of every text: its size, used slots, largest weight and where it is."""

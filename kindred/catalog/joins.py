@@ -8,7 +8,10 @@ from kindred.catalog.base import DIM, SINCE, as_of, query
 from kindred.functions.karma import levels_may_chat
 from kindred.operators.lookups import lookup, restrict
 from kindred.plans import delivery, ledger, matching, users
+from kindred.operators import vector_index
 from kindred.operators.similarity import top_k_by_cosine, vector_rejects
+from kindred.session import shared_dir
+from kindred.sources import tables
 
 
 @query("j01_activity_left_join", """
@@ -23,6 +26,25 @@ def j02(v):
     return v.users.select("user_id", "username").join(v.members, "user_id")
 
 
+def stored_by_user(v, df, name):
+    """The table stored in buckets of its user, under a name of its own."""
+    path = shared_dir(v.spark, name)
+    return tables.save_bucketed(df, path.rsplit("/", 1)[-1].replace("-", "_"), path, "user_id", 8)
+
+
+@query("j02_bucketed_members", """
+    SELECT user_id, count(*) AS communities, CAST(sum(message_count) AS BIGINT) AS messages
+    FROM users JOIN members USING (user_id) JOIN (SELECT user_id, count(*) AS message_count FROM activity GROUP BY 1) USING (user_id)
+    GROUP BY 1""")
+def j02_bucketed(v):
+    """Users, members and activity stored by user: joined and counted where they lie."""
+    people, members, activity = (stored_by_user(v, df, name) for df, name in (
+        (v.users, "users"), (v.members, "members"), (v.activity.select("user_id", "message_id"), "activity")))
+    sent = activity.groupBy("user_id").agg(F.count(F.lit(1)).alias("message_count"))
+    return people.select("user_id").join(members, "user_id").join(sent, "user_id").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("communities"), F.sum("message_count").alias("messages"))
+
+
 @query("j03_left_join_on_predicates", f"""
     SELECT m.community_id, u.user_id, count(a.message_id) AS message_count
     FROM users u JOIN members m USING (user_id)
@@ -71,6 +93,21 @@ def j06(v):
         F.round("m.match_score", 6).alias("score"))
 
 
+@query("j06_cell_search", """
+    SELECT user_id, community_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, community_id) AS INTEGER) AS rank,
+           round(score, 6) AS score
+    FROM (SELECT u.user_id, c.community_id, round(list_cosine_similarity(u.vector, CAST(c.vector AS DOUBLE[])), 12) AS score
+          FROM user_vectors u JOIN communities c USING (city, timezone))
+    QUALIFY rank <= 20""")
+def j06_cells(v):
+    """All communities of a location, without a cap, through a stored index of cells."""
+    path = shared_dir(v.spark, "cells")
+    vector_index.build(v.communities.select("community_id", "city", "timezone"), v.index, DIM, path, ["community_id"])
+    top = vector_index.search(v.spark, v.user_vectors, path, DIM, ["community_id"], exact=True)
+    return top.select("user_id", F.posexplode("matches").alias("p", "m")).select(
+        "user_id", "m.community_id", (F.col("p") + 1).alias("rank"), F.round("m.match_score", 6).alias("score"))
+
+
 def misfits(v):
     """The index with unusable vectors: cut short on the lowest ids, empty, missing or not finite elsewhere."""
     i, x = F.col("community_id"), F.col("vector")

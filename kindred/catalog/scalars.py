@@ -10,12 +10,14 @@ from kindred.functions import karma as K
 from kindred.functions import matching as M
 from kindred.functions import text as X
 from kindred.functions.vectors import cosine
+from kindred.operators import phrases
 from kindred.plans import ledger, matching
 from kindred.schemas import INTRO_MAX_CHARS, TIER_UNLOCKS, tier_unlocks
 from kindred.sources import messages
 
 EMAIL_SQL = r"'\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[email removed]', 'g'"
 PHONE_SQL = r"'\b\d{3}[-.]?\d{3}[-.]?\d{4}\b', '[phone removed]', 'g'"
+TOKEN_BREAK_SQL = r"[\t\n\x0b\f\r !-/:-@\[-`{-~]+"
 BIO_SQL = "CASE WHEN user_id % 7 = 0 THEN bio || ' 555-123-4567' ELSE bio END"
 MASKED_SQL = f"regexp_replace(regexp_replace({BIO_SQL}, {EMAIL_SQL}), {PHONE_SQL})"
 
@@ -60,6 +62,41 @@ def x05(v):
     return v.profiles.select("user_id", F.array_join(tags, ",").alias("tags"))
 
 
+# A rule of one to three words from every text: those from its second word on.
+PHRASE_RULES_SQL = """
+    SELECT DISTINCT array_to_string(w[2:2 + user_id % 3], ' ') AS phrase, CAST(1 + user_id % 3 AS INTEGER) AS n,
+           'topic' || (user_id % 40) AS tag
+    FROM (SELECT user_id, list_filter(regexp_split_to_array(lower(bio), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM profiles)
+    WHERE len(w) >= 2 + user_id % 3"""
+
+
+def phrase_rules(v):
+    n = (F.col("user_id") % 3).cast("int")
+    words = v.profiles.select("user_id", phrases.words_of(F.col("bio")).alias("w")).filter(F.size("w") >= 2 + n)
+    # Written as a user may write them: in capitals, with other marks between the words.
+    return words.select(F.upper(F.array_join(F.slice("w", F.lit(2), 1 + n), " - ")).alias("phrase"),
+                        F.concat(F.lit("topic"), F.col("user_id") % 40).alias("tag"))
+
+
+@query("x05_phrase_tags", f"""
+    WITH rules AS MATERIALIZED ({PHRASE_RULES_SQL}),
+    w AS MATERIALIZED (SELECT user_id, {TAGS_SQL} AS own,
+                         list_filter(regexp_split_to_array(lower(bio), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM profiles),
+    placed AS (SELECT user_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
+    following AS (SELECT user_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM placed WINDOW o AS (PARTITION BY user_id ORDER BY i)),
+    grams AS MATERIALIZED (
+      SELECT DISTINCT user_id, 1 AS n, a AS phrase FROM following
+      UNION ALL SELECT DISTINCT user_id, 2, a || ' ' || b FROM following WHERE b IS NOT NULL
+      UNION ALL SELECT DISTINCT user_id, 3, a || ' ' || b || ' ' || c FROM following WHERE c IS NOT NULL),
+    found AS (SELECT g.user_id, list(DISTINCT tag) AS tags FROM grams g JOIN rules r ON r.n = g.n AND r.phrase = g.phrase GROUP BY 1)
+    SELECT w.user_id, array_to_string(list_sort(list_distinct(list_concat(own, coalesce(tags, [])))), ',') AS tags
+    FROM w LEFT JOIN found USING (user_id)""")
+def x05_phrases(v):
+    """Phrases of one to three words, as many rules as there are texts."""
+    tagged = v.profiles.withColumn("interest_tags", X.normalize_tags(F.col("interest_tags")))
+    return phrases.enrich(tagged, phrase_rules(v)).select("user_id", F.array_join("enriched_tags", ",").alias("tags"))
+
+
 @query("x06_embedding_text", f"""
     SELECT user_id, 'Bio: ' || bio || chr(10) || 'Interests: ' || array_to_string({TAGS_SQL}, ', ') AS embedding_text FROM profiles""")
 def x06(v):

@@ -55,3 +55,16 @@ def k04(v):
 @query("k05_leaderboard", "SELECT user_id, karma_score FROM karma ORDER BY karma_score DESC, user_id LIMIT 100")
 def k05(v):
     return ledger.leaderboard(ledger.scores(v.users, v.ledger), 100)
+
+
+@query("k05_rank_of_user", """
+    SELECT user_id, karma_score, row_number() OVER (ORDER BY karma_score DESC, user_id) AS position FROM karma""")
+def k05_rank(v):
+    return ledger.standings(ledger.scores(v.users, v.ledger))
+
+
+@query("k05_leaderboard_page", """
+    SELECT user_id, karma_score, position FROM (
+      SELECT *, row_number() OVER (ORDER BY karma_score DESC, user_id) AS position FROM karma) WHERE position BETWEEN 101 AND 120""")
+def k05_page(v):
+    return ledger.standings(ledger.scores(v.users, v.ledger)).filter(F.col("position").between(101, 120))

@@ -6,6 +6,7 @@ every job runs without a model.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -23,6 +24,8 @@ from kindred.schemas import INTRO_MAX_CHARS, VECTOR_DIM
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH = 1024
+# Slots of tokens that a task remembers.
+KNOWN_TOKENS = 1 << 20
 TOKEN_BREAK = r"[\s\p{Punct}]+"
 SCORE_COLUMNS = ("hate", "harassment", "violence", "sexual")
 
@@ -57,9 +60,9 @@ def embed(
     return df.mapInArrow(run, _ddl(df, "vector array<float>"))
 
 
-def token_slot(token: Column, dim: int) -> Column:
+def token_slot(token: str, dim: int) -> int:
     """A token's slot: the first 28 bits of its md5, modulo ``dim``."""
-    return F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("int") % F.lit(dim)
+    return int(hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()[:7], 16) % dim
 
 
 def _list_array(rows: np.ndarray) -> pa.Array:
@@ -69,27 +72,31 @@ def _list_array(rows: np.ndarray) -> pa.Array:
 
 
 def _hashed_vectors(df: DataFrame, text: str, dim: int) -> DataFrame:
-    """Tokens are cut and hashed in the JVM; tasks only count buckets and scale. The text itself stays
-    with the JVM unless the caller's frame has it."""
+    """Tokens are cut in the JVM; a task hashes each distinct token once, counts buckets and scales. The text itself
+    stays with the JVM unless the caller's frame has it."""
     tokens = F.array_remove(F.split(F.lower(F.col(text)), TOKEN_BREAK), "")
-    slots = df.withColumn("_slots", F.transform(tokens, lambda t: token_slot(t, dim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                lists = part.column("_slots").fill_null([]) if part.column("_slots").null_count else part.column("_slots")
-                sizes = np.asarray(lists.value_lengths())
+                lists = part.column("_tokens")
+                sizes = np.asarray(lists.value_lengths().fill_null(0))
+                coded = lists.flatten().dictionary_encode()
+                if len(known) > KNOWN_TOKENS:
+                    known.clear()
+                slots = np.array([known[t] if t in known else known.setdefault(t, token_slot(t, dim))
+                                  for t in coded.dictionary.to_pylist()], np.int64)
                 row = np.repeat(np.arange(part.num_rows), sizes)
-                slot = np.asarray(lists.flatten())
-                counts = np.bincount(row * dim + slot, minlength=part.num_rows * dim)
+                counts = np.bincount(row * dim + slots[np.asarray(coded.indices)], minlength=part.num_rows * dim)
                 rows = counts.reshape(part.num_rows, dim).astype(np.float64)
                 length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
                 length[length == 0] = 1.0
                 out = _replacing(part, vector=_list_array((rows / length[:, None]).astype(np.float32)))
-                yield out.select([n for n in out.schema.names if n != "_slots"])
+                yield out.select([n for n in out.schema.names if n != "_tokens"])
 
-    return slots.mapInArrow(run, _ddl(df, "vector array<float>"))
+    return df.withColumn("_tokens", tokens).mapInArrow(run, _ddl(df, "vector array<float>"))
 
 
 def clean_profiles(

@@ -14,6 +14,9 @@ from kindred.session import settle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
+# Up to this rank the rows that all map tasks send for one key (rank x tasks) fit one task without a salted round.
+PLAIN_PAGE = 100
+
 
 def heavy_keys(df: DataFrame, keys: Sequence[str | Column], above: int, name: str) -> DataFrame | None:
     """Keys with more than ``above`` rows and their count ``_n``, settled; None if there are none.
@@ -142,7 +145,7 @@ def page_per_key(
     """
     last = offset + limit
     if last <= GROUP_LIMIT:
-        ranked = top_k_per_key(df, [key], [F.desc(ts), F.desc(tie)], last, rank, salt_on=[tie])
+        ranked = top_k_per_key(df, [key], [F.desc(ts), F.desc(tie)], last, rank, salt_on=[tie] if last > PLAIN_PAGE else None)
     else:
         # A deep page would send most of a hot key to one task; a running count does not.
         ranked = running_by_key(df, [key], ts, tie, sums={rank: F.lit(1)}, descending=True, **options)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import karma as K
+from kindred.operators.ranking import with_position
 from kindred.operators.skew import page_per_key, running_by_key
 from kindred.operators.validation import reject_if
 from kindred.schemas import AWARD_RULES, PAGE_LIMIT
+from kindred.session import settle
+from kindred.sources import tables
 
 
 def scores(users: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -107,14 +110,21 @@ def check_awards(requests: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def award(
-    requests: DataFrame, users: DataFrame, ledger: DataFrame, shields: DataFrame, **options,
+    requests: DataFrame, users: DataFrame, ledger: DataFrame, shields: DataFrame, opening: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """Accepted awards, each with the profile that results from it on top of the existing ledger.
 
-    The rows to append are the accepted ones; ``balance`` is the user's whole score after each.
+    The rows to append are the accepted ones; ``balance`` is the user's whole score after each. ``opening`` (user_id,
+    balance) stands for the ledger where totals are stored (:func:`award_step`); without it the ledger of the
+    requests' users is added up.
     """
     accepted = check_awards(requests, users).filter(F.col("reason").isNull()).drop("reason")
-    opening = ledger.groupBy("user_id").agg(F.sum("point_delta").cast("long").alias("_opening"))
+    if opening is None:
+        asked = requests.select("user_id").distinct()
+        opening = ledger.join(asked, "user_id", "left_semi").groupBy("user_id").agg(
+            F.sum("point_delta").cast("long").alias("balance"))
+    opening = opening.select("user_id", F.col("balance").alias("_opening"))
     # The requests bound the rows per user, so hot users are counted without the checks.
     balances = running_balance(accepted, population=requests, **options).drop("tier")
     whole = (balances.join(opening, "user_id", "left")
@@ -122,6 +132,52 @@ def award(
     return with_shield(with_tier(whole, "balance"), shields)
 
 
+TOTALS = "user_id long, balance long, awards long, step long"
+
+
+def stored_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals that the steps so far have left under ``path``: one row per user and step that touched the user."""
+    return tables.read_or_empty(spark, f"{path}/totals", TOTALS)
+
+
+def last_totals(totals: DataFrame) -> DataFrame:
+    """``user_id``, ``balance`` and number of ``awards`` after each user's last step."""
+    last = totals.groupBy("user_id").agg(F.max_by(F.struct("balance", "awards"), "step").alias("_t"))
+    return last.select("user_id", "_t.balance", "_t.awards")
+
+
+def award_step(
+    requests: DataFrame, users: DataFrame, shields: DataFrame, path: str, step: int, **options,
+) -> DataFrame:
+    """Apply one batch of awards on top of the stored totals; the awards with their balances, as written.
+
+    Steps come in order, and the awards of a step count as later than those of the steps before. A step reads its own
+    users' last totals and no awards of earlier steps. It writes its awards (``awards``) and its users' new totals
+    (``totals``) as partition ``step=<n>``, which a repetition of the step overwrites; :func:`fold_totals` keeps the
+    totals at one row per user.
+    """
+    spark = requests.sparkSession
+    asked = requests.select("user_id").distinct()
+    before = stored_totals(spark, path).filter(F.col("step") < step).join(asked, "user_id", "left_semi")
+    opening = settle(last_totals(before), "opening")
+    done = award(requests, users, None, shields, opening=opening, **options)
+    tables.overwrite_partition(done, f"{path}/awards", "step", step)
+    awards = spark.read.parquet(f"{path}/awards").filter(F.col("step") == step).drop("step")
+    new = awards.groupBy("user_id").agg(F.sum("point_delta").cast("long").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    totals = new.join(opening, "user_id", "left").select(
+        "user_id", (F.coalesce("balance", F.lit(0)) + F.col("_sum")).cast("long").alias("balance"),
+        (F.coalesce("awards", F.lit(0)) + F.col("_n")).cast("long").alias("awards"))
+    tables.overwrite_partition(totals, f"{path}/totals", "step", step)
+    return awards
+
+
+def fold_totals(spark: SparkSession, path: str, folded: str) -> None:
+    """Write the totals as one row per user, under the step that left it, to a new place."""
+    totals = stored_totals(spark, path)
+    last = totals.groupBy("user_id").agg(F.max_by(F.struct("balance", "awards", "step"), "step").alias("_t"))
+    last.select("user_id", "_t.*").write.partitionBy("step").parquet(f"{folded}/totals")
+
+
 def pair_scores(pairs: DataFrame, score_table: DataFrame, shields: DataFrame) -> DataFrame:
     """Both sides of (sender_id, target_id) looked up; a missing side counts 0."""
     sender = score_table.select(F.col("user_id").alias("sender_id"), F.col("karma_score").alias("_s"))
@@ -152,5 +208,10 @@ def unlocks(profile: DataFrame, unlock_table: DataFrame) -> DataFrame:
     return reached.join(unlock_table, "level")
 
 
+def standings(score_table: DataFrame) -> DataFrame:
+    """Every user with its ``position`` by score, equal scores by id: any user's place and any page by a filter."""
+    return with_position(score_table, [F.desc("karma_score"), F.asc("user_id")])
+
+
 def leaderboard(score_table: DataFrame, n: int) -> DataFrame:
     return score_table.orderBy(F.desc("karma_score"), F.asc("user_id")).limit(n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kindred.schemas import TABLES
 
@@ -37,3 +38,42 @@ def append_ledger(entries: DataFrame, path: str, as_of: Column) -> None:
     """Append entries with a generated id, and ``as_of`` where no time is given."""
     created = F.coalesce(F.col("created_at"), as_of) if "created_at" in entries.columns else as_of
     append_dated(entries.withColumn("created_at", created), path, "created_at", with_id="id")
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds anything."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(where) and len(files.listStatus(where)) > 0
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet rows under ``path``; none if nothing has been written there yet."""
+    if not written(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.select(StructType.fromDDL(schema).names)
+
+
+def overwrite_partition(rows: DataFrame, path: str, column: str, value: int) -> None:
+    """Write the rows as partition ``column=<value>``; what an earlier attempt wrote there gives way."""
+    (rows.withColumn(column, F.lit(value).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path))
+
+
+def save_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store a table cut by the hash of ``key`` into ``buckets`` sorted files, and read it back as ``name``.
+
+    Joins, aggregates and upserts on ``key`` then read the stored side where it lies; only what meets it is shuffled, if it
+    is not stored the same way. One task writes each bucket.
+    """
+    rows = df.repartition(buckets, key)
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """Name a table that another session has stored with :func:`save_bucketed`."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({schema}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)

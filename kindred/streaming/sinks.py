@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kindred.sources import tables
+
 ALL_THERE_IS = {"availableNow": True}
 
 
@@ -22,8 +24,7 @@ def append(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
 
 def overwrite_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Write the rows of one micro-batch as partition ``batch=<id>``; a replayed batch takes the place of its first run."""
-    (rows.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+    tables.overwrite_partition(rows, path, "batch", batch_id)
 
 
 def per_batch(
@@ -38,18 +39,9 @@ def per_batch(
             .trigger(**(trigger or ALL_THERE_IS)).start())
 
 
-def written(spark: SparkSession, path: str) -> bool:
-    """Whether a folder holds anything."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(where) and len(files.listStatus(where)) > 0
-
-
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What a stream has written (``schema`` includes ``batch`` where batches are partitions); no rows before its first batch."""
-    if not written(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return tables.read_or_empty(spark, path, schema)
 
 
 def latest_by_batch(parts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -63,7 +55,7 @@ def state(spark: SparkSession, checkpoint: str, name: str = "current", schema: s
     Read by Spark's state source from the checkpoint, so a reader gets one row per key and folds nothing. Before the
     first batch there are none (``schema``).
     """
-    if not written(spark, f"{checkpoint}/state"):
+    if not tables.written(spark, f"{checkpoint}/state"):
         return spark.createDataFrame([], schema)
     rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
     if "value" not in rows.columns:

@@ -4,10 +4,11 @@ A word enters as its own vector (if the training sample holds it often enough) a
 character n-grams, so unseen forms of a known stem are recognised. The network reads windows of ``WINDOW`` words that
 overlap by half; attention pools the states of a window to one logit, and the highest window gives a text its score.
 
-Training takes a bounded sample: at most ``SAMPLE`` documents of label 1 and ``CLEAN`` times as many of label 0, in
-the order of a hash of the id, and at most ``BAG`` windows of each, spread over the whole text. First every window
-carries its document's label, then only the highest window of each document does. Everything else (scoring) covers
-all rows and whole texts.
+Training takes a bounded sample: at most ``SAMPLE`` documents of label 1 and ``CLEAN`` times as many of label 0, and at
+most ``ROOM`` bytes of each, in the order of a hash of the id. All windows of a document of label 1 take part, and at
+most ``BAG`` of one of label 0, all of which are clean. Words start with the evidence that the sample's documents give.
+First every window carries its document's label, then only the highest window of each document does. Everything else
+(scoring) covers all rows and whole texts.
 
 Defined cases: null texts count as empty; a text without words scores like a window without words; a null ``doc_id``
 and repeated rows are kept; null labels are left out and of conflicting labels the higher counts; without both
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kindred.llm.common import sample, slices, texts
 
@@ -30,10 +32,19 @@ WINDOW = 32
 STEP = 16
 SAMPLE = 1500
 CLEAN = 3
+ROOM = 32 << 20
 BAG = 48
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 12, 8
 MAX_WORDS, MAX_GRAMS = 20_000, 40_000
-LEAST_DOCS, LEAST_WORD_DOCS = 8, 20
+# An n-gram or word is known if enough documents of the sample hold it: a share of those with label 1, within limits.
+LEAST_DOCS, LEAST_WORD_DOCS = (0.06, 2, 8), (0.08, 3, 20)
+# In a sample with fewer than ``FULL`` documents of a label every ``WATCH``-th watches over the training instead of taking
+# part, and the weights that did best by them stay; not so with under twice ``WATCH``, where none can be spared.
+WATCH, FULL = 5, 200
+# Documents of label 1 from which on the vectors of words learn as fast as the network.
+ENOUGH = 250
+# Deviations that rare words reach by chance.
+CHANCE = 2.5
 LEAST_STEPS = 80
 GRAMS = (3, 5)
 SLOTS = 18
@@ -222,6 +233,20 @@ def _summed(index: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     return np.bincount(flat, values.ravel(), count * size).reshape(count, size).astype(np.float32)
 
 
+def least(rule: tuple[float, int, int], positive: int) -> float:
+    share, low, high = rule
+    return min(high, max(low, share * positive))
+
+
+def evidence(docs: np.ndarray, totals: list[int]) -> np.ndarray:
+    """How much a word speaks for label 1 (or against it, below 0): by how many standard deviations beyond ``CHANCE`` the
+    log odds of the documents that hold it differ from none."""
+    clean, toxic = docs + 0.5
+    odds = np.log(toxic / (totals[1] + 1)) - np.log(clean / (totals[0] + 1))
+    beyond = odds / np.sqrt(1 / toxic + 1 / clean)
+    return (np.sign(beyond) * np.maximum(np.abs(beyond) - CHANCE, 0)).astype(np.float32)
+
+
 def fit(documents: list[tuple[str, int]], base: float | None = None, noisy: int = 3, sharp: int = 4,
         batch: int = 256, rate: float = 0.01, seed: int = 7) -> Model:
     """Train on (text, label) pairs; ``base``: the share of label 1 among all rows that the sample stands for."""
@@ -232,10 +257,10 @@ def fit(documents: list[tuple[str, int]], base: float | None = None, noisy: int
         return Model({}, None, {}, share)
     index: dict[str, int] = {}
     parts, owner, seen = [], [], []
-    for d, (text, _) in enumerate(documents):
+    for d, (text, y) in enumerate(documents):
         words = split(text)
         at = np.array(starts(len(words)))
-        if len(at) > BAG:
+        if not y and len(at) > BAG:
             at = np.sort(rng.choice(at, BAG, replace=False))
         line = np.zeros(max(at[-1] + WINDOW, len(words)), np.int32)
         line[:len(words)] = [index.setdefault(w, len(index) + 1) for w in words]
@@ -243,26 +268,40 @@ def fit(documents: list[tuple[str, int]], base: float | None = None, noisy: int
         owner.append(np.full(len(at), d))
         seen.append(np.unique(parts[-1]))
     ids, owner = np.concatenate(parts), np.concatenate(owner)
-    seen = np.bincount(np.concatenate(seen), minlength=len(index) + 1)
+    labels = np.array([y for _, y in documents], np.float32)
+    watching = np.zeros(len(documents), bool)
+    rarer = min(labels.sum(), (1 - labels).sum())
+    for y in (0, 1):
+        watching[rng.permutation(np.flatnonzero(labels == y))[::WATCH]] = 2 * WATCH <= rarer < FULL
     lexicon = Lexicon(list(index))
     if not index:
         return Model({}, None, {}, share)
+    # Documents of either label that hold a word; those that watch do not count.
+    seen = np.array([np.bincount(np.concatenate([np.zeros(0, np.int64), *(
+        w for w, y, off in zip(seen, labels, watching, strict=True) if y == label and not off)]).astype(np.int64),
+        minlength=len(index) + 1) for label in (0, 1)])
+    totals = [int(((labels == y) & ~watching).sum()) for y in (0, 1)]
     del parts, index
-    often: dict[str, np.ndarray] = {"codes": np.zeros(0, np.uint64), "docs": np.zeros(0)}
-    for codes, owners in lexicon.parts_of():
-        distinct, place = np.unique(np.concatenate([often["codes"], codes]), return_inverse=True)
-        often = {"codes": distinct, "docs": np.bincount(place, np.concatenate([often["docs"], seen[owners]]))}
-    chosen = np.argsort(-often["docs"], kind="stable")[:MAX_GRAMS]
-    common = np.argsort(-seen[1:], kind="stable")[:MAX_WORDS]
-    model = new_model([lexicon.names[i] for i in common if seen[i + 1] >= LEAST_WORD_DOCS],
-                      Grams(often["codes"][chosen[often["docs"][chosen] >= LEAST_DOCS]]), seed)
+    codes, docs = np.zeros(0, np.uint64), np.zeros((2, 0))
+    for found, owners in lexicon.parts_of():
+        codes, place = np.unique(np.concatenate([codes, found]), return_inverse=True)
+        docs = np.array([np.bincount(place, np.concatenate([docs[y], seen[y][owners]])) for y in (0, 1)])
+    chosen = np.argsort(-docs.sum(axis=0), kind="stable")[:MAX_GRAMS]
+    chosen = chosen[docs.sum(axis=0)[chosen] >= least(LEAST_DOCS, totals[1])]
+    common = np.argsort(-seen[:, 1:].sum(axis=0), kind="stable")[:MAX_WORDS]
+    common = common[seen[:, 1:].sum(axis=0)[common] >= least(LEAST_WORD_DOCS, totals[1])]
+    model = new_model([lexicon.names[i] for i in common], Grams(codes[chosen]), seed)
+    model.weights["E"][1:, 0] = evidence(seen[:, common + 1], totals)
+    model.weights["C"][1:, 0] = evidence(docs[:, chosen], totals)
     lexicon.number(model)
-    labels = np.array([y for _, y in documents], np.float32)
     # Both labels weigh the same while learning; the prior of label 1 comes back in the last step.
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in model.weights.items()}
     step = 0
 
+    # With few documents of label 1 words keep what they start with, and the network learns to read it.
+    slow = rate * min(1.0, totals[1] / ENOUGH)
+
     def learn(rows: np.ndarray):
         nonlocal step
         used, place = np.unique(ids[rows].T, return_inverse=True)
@@ -281,25 +320,38 @@ def fit(documents: list[tuple[str, int]], base: float | None = None, noisy: int
             m += 0.1 * (g[k] - m)
             v += 0.01 * (g[k] ** 2 - v)
             move = m / (1 - 0.9 ** step) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
-            model.weights[k] -= (rate * move).astype(np.float32)
+            model.weights[k] -= ((slow if k in "EC" else rate) * move).astype(np.float32)
+
+    def watched() -> float:
+        """Mean loss, both labels weighing the same, of the documents that watch."""
+        mine = np.flatnonzero(watching[owner])
+        top = np.full(len(documents), -np.inf)
+        np.maximum.at(top, owner[mine], everything.logits(ids[mine]))
+        loss = np.logaddexp(0, np.where(labels == 1, -top, top))
+        return float(np.average(loss[watching], weights=weight[watching]))
 
     everything = _Scorer(model, lexicon)
+    best, kept = np.inf, {}
     # A small sample is read more often, so that each phase takes its ``LEAST_STEPS``.
     noisy = max(noisy, -(-LEAST_STEPS * batch // (4 * len(documents))))
     sharp = max(sharp, -(-LEAST_STEPS * batch // (2 * len(documents))))
     for epoch in range(noisy + sharp):
         if epoch < noisy:
             # As many windows as there are documents times four, each label half of them.
-            halves = [np.flatnonzero(labels[owner] == y) for y in (0, 1)]
+            halves = [np.flatnonzero((labels[owner] == y) & ~watching[owner]) for y in (0, 1)]
             rows = np.concatenate([rng.choice(h, 2 * len(documents)) for h in halves])
         else:
             logits = everything.logits(ids)
             order = np.lexsort((-logits, owner))
             top = order[np.concatenate([[True], np.diff(owner[order]) != 0])]
+            top = top[~watching[owner[top]]]
             rows = np.concatenate([top, rng.permutation(top)])
         rng.shuffle(rows)
         for at in range(0, len(rows), batch):
             learn(rows[at:at + batch])
+        if epoch >= noisy - 1 and watching.any() and (loss := watched()) < best:
+            best, kept = loss, {k: x.copy() for k, x in model.weights.items()}
+    model.weights |= kept
     prior = min(max(base or share, 1e-4), 1 - 1e-4)
     model.weights["c"] += np.float32(np.log(prior / (1 - prior)))
     return model
@@ -383,19 +435,43 @@ def project(model: Model, table: Table, words: set[str]) -> tuple[np.ndarray, di
     return table.rows, index
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", size: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", size: int = SAMPLE, room: int = ROOM) -> Model:
+    """Learn from at most ``size`` documents of label 1 and ``CLEAN`` times as many of label 0, and of each label from
+    ``room`` bytes of text at most: ids in the order of a hash until either is reached."""
     chosen, base = sample(docs, labels, label, CLEAN * size, size)
+    sizes = chosen.select("doc_id", "label", F.xxhash64("doc_id").alias("at"), F.octet_length("text").alias("bytes")).toArrow().to_pylist()
+    held, used = set(), [0, 0]
+    for row in sorted(sizes, key=lambda r: (r["at"], r["doc_id"], r["bytes"])):
+        if used[row["label"]] + row["bytes"] <= room:
+            used[row["label"]] += row["bytes"]
+            held.add(row["doc_id"])
+    if len(held) < len({r["doc_id"] for r in sizes}):
+        chosen = chosen.where(F.col("doc_id").isin(sorted(held)))
     return fit([(r.text, r.label) for r in chosen.collect()], base)
 
 
+def plain(model: Model) -> tuple:
+    """The model as plain values, which workers can read without this package."""
+    grams = model.grams and (model.grams.codes, model.grams.numbers, model.grams.count)
+    return model.words, grams, model.weights, model.constant
+
+
+def restored(words: dict, grams: tuple | None, weights: dict, constant: float | None) -> Model:
+    known = None
+    if grams:
+        known = Grams(np.zeros(0, np.uint64))
+        known.codes, known.numbers, known.count = grams
+    return Model(words, known, weights, constant)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` for every row."""
-    packed = docs.sparkSession.sparkContext.broadcast(model)
+    packed = docs.sparkSession.sparkContext.broadcast(plain(model))
 
     def run(batches):
-        table = Table()
+        table, own = Table(), restored(*packed.value)
         for b in slices(batches):
-            found = scores(packed.value, b[1].to_pylist(), table)
+            found = scores(own, b[1].to_pylist(), table)
             yield pa.RecordBatch.from_arrays([b[0], pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
@@ -403,12 +479,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below ``threshold``, columns unchanged."""
-    packed = docs.sparkSession.sparkContext.broadcast(model)
+    packed = docs.sparkSession.sparkContext.broadcast(plain(model))
 
     def run(batches):
-        table = Table()
+        table, own = Table(), restored(*packed.value)
         for b in slices(batches):
             given = ["" if t is None else t for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array(scores(packed.value, given, table) < threshold))
+            yield b.filter(pa.array(scores(own, given, table) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -44,6 +44,53 @@ def test_toxicity_on_unseen_forms_of_known_stems(network):
     assert (toxicity.scores(network, made(rng, 200, False)) >= 0.3).mean() < 0.12
 
 
+@pytest.mark.parametrize(("sf", "precision", "recall"), [("sf0.01", 0.8, 0.6), ("sf0.1", 0.85, 0.85)])
+def test_toxicity_on_held_out_documents(sf, precision, recall):
+    import duckdb
+    folder = f"/root/testdata/{sf}"
+    rows = duckdb.sql(f"SELECT d.doc_id, coalesce(text, ''), toxic FROM '{folder}/documents.parquet' d "
+                      f"JOIN '{folder}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY doc_id").fetchall()
+    apart = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows]
+    learned = [(t, y) for (_, t, y), out in zip(rows, apart, strict=True) if not out]
+    model = toxicity.fit(learned, float(np.mean([y for _, y in learned])))
+    held = [(t, y) for (_, t, y), out in zip(rows, apart, strict=True) if out]
+    called = toxicity.scores(model, [t for t, _ in held]) >= toxicity.THRESHOLD
+    truth = np.array([y for _, y in held]) == 1
+    assert (called & truth).sum() >= precision * called.sum() and (called & truth).sum() >= recall * truth.sum()
+
+
+def test_a_bounded_sample_of_bytes(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "fit", lambda documents, base: given.append(documents))
+    rows = [(i, f"{i:04d}" + "x" * 96) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for room, count in ((1000, 20), (1 << 20, 200)):
+        toxicity.train(docs, labels, room=room)
+        assert len(given[-1]) == count and {y for _, y in given[-1]} == {0, 1}
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """Queries whose tasks hold objects of the package, from a folder and an environment without it."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from kindred.llm import queries
+from kindred.session import build_session
+spark = build_session("apart", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+                      spark__checkpoint__dir={str(tmp_path)!r})
+for name in ("op6_toxicity", "op11_cosine_duplicates", "op12_repair_conversations", "op13_filter_audit"):
+    assert queries.QUERIES[name](spark, {SF!r}).count() > 0, name
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_gradients_against_differences(network):
     rng = np.random.default_rng(0)
     model = toxicity.Model({}, None, {k: v.astype(np.float64) for k, v in network.weights.items()})

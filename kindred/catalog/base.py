@@ -30,8 +30,8 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-# Schemas read from the files once per session, so that building a query starts no job for them.
-_SCHEMAS: dict[str, StructType] = {}
+# Schemas read from the files once, until a file or folder changes, so that building a query starts no job for them.
+_SCHEMAS: dict[tuple[str, int], StructType] = {}
 
 
 def query(name: str, sql: str | None = None, **views: str):
@@ -52,9 +52,12 @@ class Views:
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.dir}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        known = path, files.getFileStatus(where).getModificationTime()
+        if known not in _SCHEMAS:
+            _SCHEMAS[known] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[known]).parquet(path)
 
     @cached_property
     def events(self) -> DataFrame:

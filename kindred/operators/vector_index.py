@@ -110,12 +110,13 @@ def _ranked(users: DataFrame, probes: DataFrame, lists: DataFrame, dim: int, key
 
 
 def search(
-    spark: SparkSession, users: DataFrame, path: str, dim: int, fields: Sequence[str], k: int = 20, probes: float = 0.5,
+    spark: SparkSession, users: DataFrame, path: str, dim: int, fields: Sequence[str], k: int = 20, probes: float = 0.8,
     exact: bool = False, location: Sequence[str] = ("city", "timezone"), user_key: str = "user_id", slots: int = SLOTS,
 ) -> DataFrame:
     """One row per user: ``user_key`` and ``matches``, best first, as :func:`top_k_by_cosine` gives them.
 
-    ``probes``: the share of a location's cells that is read for a user, nearest first. ``exact`` goes on to all
+    ``probes``: the share of a location's cells that is read for a user, nearest first; the default finds 95 % of the 20 best
+    among vectors without clusters, clustered ones need far less. ``exact`` goes on to all
     cells that can hold a better one. Users without a location, a usable vector or a candidate get an empty array.
     """
     location, fields = list(location), list(fields)

@@ -1,4 +1,4 @@
-"""Exact removal of repeated passages: anchors chosen by content, counted by the hash of what surrounds them.
+"""Removal of repeated passages: anchors chosen by content, counted by the hash of what surrounds them.
 
 This replaces prefix doubling: no rank pairs are sorted, nothing is ranked anew and the offsets do not double.
 
@@ -17,7 +17,7 @@ themselves. The rounds, at growing offsets:
    each different pair of the same core. The ranks are past the threshold, so equal ones are repeated strings.
 
 Ranks are 64-bit names by content (two bases, used in pairs) in place of dense numbers, which saves the sort that
-renumbers them. Texts travel as compressed blocks; a core shared by very many positions is ranked string by string
+renumbers them. Strings with equal names count as equal: their bytes are not compared. Texts travel as compressed blocks; a core shared by very many positions is ranked string by string
 over the whole cluster instead of in one task.
 
 Defined cases: null texts count as empty; texts shorter than ``LENGTH`` stay whole; a null ``doc_id`` and repeated rows

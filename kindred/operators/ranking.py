@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
     part = F.shiftright("_at", _ROW_BITS)
     counts = sorted(map(tuple, cut.groupBy(part.alias("_part")).count().collect()))
     before = accumulate((n for _, n in counts), initial=0)
-    offsets = df.sparkSession.createDataFrame(
-        [(p, b) for (p, _), b in zip(counts, before)], "_part long, _before long")
+    offsets = df.sparkSession.createDataFrame(pa.table({
+        "_part": pa.array([p for p, _ in counts], pa.int64()), "_before": pa.array(list(before)[:-1], pa.int64())}))
     row = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return cut.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
         name, F.col("_before") + row + 1).drop("_part", "_before", "_at")

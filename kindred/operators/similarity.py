@@ -44,13 +44,16 @@ def vector_rejects(df: DataFrame, dim: int, vector: str = "vector") -> DataFrame
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of rows with a vector, those rows as a matrix); unusable vectors are null by now."""
+    """(indices of rows with a usable vector, those rows as a matrix); vectors of another size are null by now."""
     arr = column.combine_chunks()
     if isinstance(arr, pa.ChunkedArray):
         arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], type=column.type)
     ok = pc.is_valid(arr)
     rows = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
-    return rows, arr.filter(ok).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+    # Missing values become NaN.
+    values = arr.filter(ok).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+    finite = np.isfinite(values).all(axis=1)
+    return (rows, values) if finite.all() else (rows[finite], values[finite])
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -139,12 +142,14 @@ def top_k_by_cosine(
         return F.coalesce(F.col(c).cast("string"), F.lit(NO_LOCATION))
 
     columns = dict.fromkeys([*keep, user_key])
-    usable = F.when(vector_reason(F.col("vector"), dim).isNull(), F.col("vector"))
+    # Sizes are checked here; whether all values are finite is seen where the matrix is read.
+    fits = F.size("vector") == dim
+    usable = F.when(fits, F.col("vector"))
     left = users.select(*[key(c).alias(f"_{c}") for c in location], *columns, usable.alias("vector"))
     # Vectors join after the candidates are ranked, so ranking moves narrow rows only.
     right = candidates.dropna(subset=list(location)).select(
         *[F.col(c).cast("string").alias(f"_{c}") for c in location], *fields
-    ).join(index.select(fields[0], "vector").filter(vector_reason(F.col("vector"), dim).isNull()), fields[0])
+    ).join(index.select(fields[0], "vector").filter(fits), fields[0])
 
     # Locations with more users than fit one block, and how many blocks each needs: at most one row
     # per ``block_rows`` users. It is settled, so that its size decides whether it is broadcast and the

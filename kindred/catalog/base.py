@@ -122,13 +122,14 @@ class Views:
 
     @cached_property
     def ledger(self) -> DataFrame:
+        """Every event is an award; from a day that depends on the user on it brings no points, so scores differ."""
         kind = F.col("event_type")
         start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-        return (self.events
-                .filter(F.col("ts") < start + F.make_dt_interval(days=(1 + F.col("user_id") % 30).cast("int")))
-                .select(F.col("event_id").alias("id"), "user_id", action_of(kind).alias("action_type"),
-                        delta_of(kind).alias("point_delta"), k().alias("reference_id"),
-                        F.col("ts").alias("created_at")))
+        counts = F.col("ts") < start + F.make_dt_interval(days=(1 + F.col("user_id") % 30).cast("int"))
+        return self.events.select(
+            F.col("event_id").alias("id"), "user_id", action_of(kind).alias("action_type"),
+            F.when(counts, delta_of(kind)).otherwise(0).alias("point_delta"), k().alias("reference_id"),
+            F.col("ts").alias("created_at"))
 
     @cached_property
     def shield(self) -> DataFrame:
@@ -344,9 +345,10 @@ VIEWS_SQL = {
     "ledger": f"""
         SELECT event_id AS id, user_id,
                CASE event_type {" ".join(f"WHEN '{e}' THEN '{a}'" for e, a, _ in EVENT_AWARDS)} END AS action_type,
-               CAST(CASE event_type {" ".join(f"WHEN '{e}' THEN {p}" for e, _, p in EVENT_AWARDS)} END AS INTEGER) AS point_delta,
+               CAST(CASE WHEN ts < TIMESTAMP '2024-01-01' + to_days(CAST(1 + user_id % 30 AS INTEGER)) THEN
+                 CASE event_type {" ".join(f"WHEN '{e}' THEN {p}" for e, _, p in EVENT_AWARDS)} END ELSE 0 END AS INTEGER) AS point_delta,
                {K_SQL} AS reference_id, ts AS created_at
-        FROM events WHERE ts < TIMESTAMP '2024-01-01' + to_days(CAST(1 + user_id % 30 AS INTEGER))""",
+        FROM events""",
     "shield": "SELECT c_custkey AS user_id, CAST((c_custkey % 5) * 100 AS INTEGER) AS threshold FROM customer",
     "karma": """
         SELECT u.user_id, CAST(coalesce(s, 0) AS BIGINT) AS karma_score

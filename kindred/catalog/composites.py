@@ -24,9 +24,9 @@ def decided(v):
 
 
 def accepted_profiles(v):
-    """Valid profiles, cleaned, with their owner's location and vector."""
+    """Valid profiles, cleaned, with their owner's location and vector; null for owners that are not known."""
     cleaned, _ = requests.prepare(v.profiles)
-    return cleaned.select("user_id", "embedding_text", "pii_removed").join(v.user_vectors, "user_id")
+    return cleaned.select("user_id", "embedding_text", "pii_removed").join(v.user_vectors, "user_id", "left")
 
 
 # Valid profiles with the text that is embedded.
@@ -52,7 +52,7 @@ def weights_sql(texts: str, key: str) -> str:
 
 # The matching of texts: both sides are embedded.
 TEXT_VIEWS = {
-    "user_vectors": f"SELECT user_id, username, city, timezone, text FROM ({TEXTS_SQL}) JOIN users USING (user_id)",
+    "user_vectors": f"SELECT user_id, username, city, timezone, text FROM ({TEXTS_SQL}) LEFT JOIN users USING (user_id)",
     "sims": f"""
       SELECT u.user_id, c.community_id, c.community_name, c.category, c.member_count, c.recent_activity,
              round(coalesce(d.dot, 0), 12) AS score
@@ -68,7 +68,11 @@ TEXT_VIEWS = {
 @query("p01_match_all_profiles", f"""
     SELECT e.user_id, e.tier, e.position, e.community_id, e.match_score, e.recent_activity, r.auto_joined_community,
            r.ai_intro_generated, length(p.text) AS text_chars
-    FROM emitted e JOIN results r USING (user_id) JOIN ({TEXTS_SQL}) p USING (user_id)""")
+    FROM emitted e JOIN results r USING (user_id) JOIN ({TEXTS_SQL}) p USING (user_id)
+    UNION ALL
+    SELECT p.user_id, 'fallback', CAST(q.pos AS INTEGER), q.community_id, CAST(0 AS DOUBLE), q.recent_activity,
+           CAST(NULL AS BIGINT), FALSE, length(p.text)
+    FROM ({TEXTS_SQL}) p JOIN popular q ON TRUE WHERE p.user_id NOT IN (SELECT user_id FROM users)""")
 def p01(v):
     results = matching.match_results(
         accepted_profiles(v), v.communities, v.index, v.activity, v.members, as_of(), v.toxicity,
@@ -83,7 +87,7 @@ def p01(v):
     SELECT user_id, tier, position, community_id, category, member_count, recent_activity, match_score FROM emitted""", **TEXT_VIEWS)
 def p01_text(v):
     """Raw profiles to results with the default text vectors on both sides."""
-    profiles = v.profiles.join(v.users.select("user_id", "city", "timezone"), "user_id")
+    profiles = v.profiles.join(v.users.select("user_id", "city", "timezone"), "user_id", "left")
     described = v.communities.select("community_id", F.concat_ws(
         " ", "community_name", "category", "description").alias("embedding_text"))
     index = hooks.embed(described).select("community_id", "vector")

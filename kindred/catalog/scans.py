@@ -14,6 +14,7 @@ from kindred.schemas import AWARD_RULES
 from kindred.session import shared_dir
 from kindred.sources import messages, tables
 from kindred.sources.tables import conform
+from kindred.streaming import jobs, sinks
 
 
 def scanned(df, name: str):
@@ -227,3 +228,21 @@ def s09(v):
     return parsed.select("user_id", "tier", F.posexplode("result.matches").alias("p", "m")).select(
         "user_id", "tier", (F.col("p") + 1).alias("position"), F.col("m.community_id").alias("community_id"),
         F.round("m.match_score", 6).alias("match_score"))
+
+
+@query("s09_stream_round_trip", """
+    SELECT CAST(user_id AS VARCHAR) AS user_id, tier, position, community_id, match_score FROM emitted""")
+def s09_stream(v):
+    """Results as a stream into the file sink as messages, read back from there as a stream."""
+    base = shared_dir(v.spark, "mail")
+    match_results(v.user_vectors, v.communities, v.index, v.activity, v.members, as_of(), v.toxicity, population=v.users,
+                  dim=DIM).write.parquet(f"{base}/results")
+    results = v.spark.readStream.schema(v.spark.read.parquet(f"{base}/results").schema).parquet(f"{base}/results")
+    jobs.publish_stream(results, f"{base}/wire", f"{base}/sent").awaitTermination()
+    schema = "tier string, matches array<struct<community_id:long,match_score:double>>"
+    received = jobs.subscribe_stream(v.spark, f"{base}/wire", schema).select(
+        "user_id", "result.tier", F.posexplode("result.matches").alias("p", "m")).select(
+        "user_id", "tier", (F.col("p") + 1).alias("position"), F.col("m.community_id").alias("community_id"),
+        F.round("m.match_score", 6).alias("match_score"))
+    sinks.append(received, f"{base}/received", f"{base}/read").awaitTermination()
+    return sinks.read(v.spark, f"{base}/received", "user_id string, tier string, position int, community_id long, match_score double")

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kindred.llm import neighbours, queries
+from kindred.session import settle
 
 SF = "/root/testdata/sf0.1"
 
@@ -61,3 +62,38 @@ def test_edges(spark):
     assert neighbours.nearest(table.where("vec_id < 0"), table).count() == 0
     many = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(200)], "vec_id long, embedding array<float>")
     assert [i for i, _ in asked(neighbours.nearest(many, many.where("vec_id = 100")))[100]] == list(range(10))
+
+
+def test_queries_go_only_to_the_blocks_their_windows_reach(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (40, 32))
+    rows = [(i, (centres[i % 40] + rng.normal(0, 0.02, 32)).tolist()) for i in range(4000)]
+    # A third of all rows are copies of one vector.
+    rows += [(4000 + i, rows[0][1]) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = settle(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(neighbours, "settle", keep)
+    got = asked(neighbours.nearest(table, table.where("vec_id % 50 = 0"), block=150, query_block=16))
+    want = exact(rows, [i for i, _ in rows if i % 50 == 0], 10)
+    assert set(got) == set(want)
+    assert sum(abs(got[q][-1][1] - want[q][-1][1]) < 1e-9 for q in want) / len(want) >= 0.95
+    assert got[0] == [(i, 0.0) for i in range(4000, 4010)]
+    blocks = kept["home"].where("low IS NOT NULL").count()
+    assert blocks >= 40 and kept["opened"].count() < 0.5 * blocks * len(want)
+    sizes = kept["cells"].groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert sizes > 2000
+
+
+def test_a_bounded_search_keeps_what_lies_within(spark):
+    rng = np.random.default_rng(5)
+    vectors, ids = rng.normal(0, 1, (2000, 16)), np.arange(2000)
+    free = list(neighbours.search_block(vectors, ids, vectors[:20], ids[:20], 10))
+    limits = np.array([scores[4] for _, _, scores in free])
+    for (_, all_ids, all_scores), (_, some, scores) in zip(
+            free, neighbours.search_block(vectors, ids, vectors[:20], ids[:20], 10, limits), strict=True):
+        assert some.tolist() == all_ids[:5].tolist() and scores.tolist() == all_scores[:5].tolist()

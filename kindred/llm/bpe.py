@@ -144,30 +144,40 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
         enc = Encoder(vocabulary, pattern)
         for b in slices(batches, 8):
             for row, doc_id, start, following, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, ends, counts = enc.marked(text)
-                ends, counts = np.array([0, *ends], np.int64) + start, np.array([0, *counts], np.int64)
-                head = ends <= start + 2 * overlap + 2 * EDGE if start else np.zeros(len(ends), bool)
-                tail = (ends >= following) & (ends <= start + len(text) - EDGE) if following >= 0 \
-                    else np.zeros(len(ends), bool)
-                if start and following < 0 or start and not (head & (ends > start)).any():
-                    head[:] = True
+                head, tail, ids = marks(enc, start, following, text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row]), pa.array([doc_id], pa.int64()), pa.array([start]),
-                     *(pa.array([x], pa.list_(pa.int64())) for x in (ends[head], counts[head], ends[tail], counts[tail])),
-                     pa.array([np.array(ids, np.int32)], pa.list_(pa.int32()))],
-                    names=["row", "doc_id", "start", "head", "head_ids", "tail", "tail_ids", "ids"])
+                    [pa.array([row]), pa.array([doc_id], pa.int64()), pa.array([start]), pa.array([following]), pa.array([text]),
+                     *(pa.array([x], pa.list_(pa.int64())) for x in (*head, *tail)),
+                     pa.array([ids], pa.list_(pa.int32()))],
+                    names=["row", "doc_id", "start", "following", "text", "head", "head_ids", "tail", "tail_ids", "ids"])
+
+    def marks(enc, start, following, text):
+        """Boundaries (place, ids before it) where the chunk may follow the one before or give way to the next; its ids."""
+        ids, ends, counts = enc.marked(text)
+        ends, counts = np.array([0, *ends], np.int64) + start, np.array([0, *counts], np.int64)
+        head = ends <= start + 2 * overlap + 2 * EDGE if start else np.zeros(len(ends), bool)
+        tail = (ends >= following) & (ends <= start + len(text) - EDGE) if following >= 0 else np.zeros(len(ends), bool)
+        if start and following < 0 or start and not (head & (ends > start)).any():
+            head[:] = True
+        return (ends[head], counts[head]), (ends[tail], counts[tail]), np.array(ids, np.int32)
 
     def stitch(group):
-        group = group.sort_values("start")
-        parts, skip = [], 0
-        chunks = list(group.itertuples())
-        for this, after in zip(chunks, [*chunks[1:], None], strict=True):
-            if after is None:
-                parts.append(this.ids[skip:])
+        chunks = [(c.start, c.following, c.text, (c.head, c.head_ids), (c.tail, c.tail_ids), c.ids)
+                  for c in group.sort_values("start").itertuples()]
+        parts, skip, begun = [], 0, 0
+        start, _, text, _, tail, ids = chunks[0]
+        for after in chunks[1:]:
+            _, here, there = np.intersect1d(tail[0], after[3][0], return_indices=True)
+            if len(here):
+                parts.append(ids[skip:tail[1][here[0]]])
+                begun, skip = int(tail[0][here[0]]), after[3][1][there[0]]
+                start, _, text, _, tail, ids = after
             else:
-                _, here, there = np.intersect1d(this.tail, after.head, return_indices=True)
-                parts.append(this.ids[skip:this.tail_ids[here[0]]])
-                skip = after.head_ids[there[0]]
+                # Nowhere do the two meet: they are encoded as one, from the last boundary that is known.
+                text = text[begun - start:max(0, after[0] - start)] + after[2][max(0, begun - after[0]):]
+                start, skip = begun, 0
+                _, tail, ids = marks(Encoder(vocabulary, pattern), start, after[1], text)
+        parts.append(ids[skip:])
         return group.iloc[:1][["doc_id"]].assign(ids=[np.concatenate(parts)])
 
     short = rows.where(F.char_length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
@@ -176,8 +186,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
         .mapInArrow(cut_rows, "row long, doc_id long, start long, following long, text string")
         .repartition("row", "start")
-        .mapInArrow(encode_chunks, "row long, doc_id long, start long, head array<long>, head_ids array<long>, "
-                                   "tail array<long>, tail_ids array<long>, ids array<int>")
+        .mapInArrow(encode_chunks, "row long, doc_id long, start long, following long, text string, "
+                                   "head array<long>, head_ids array<long>, tail array<long>, tail_ids array<long>, ids array<int>")
         .groupBy("row").applyInPandas(stitch, "doc_id long, ids array<int>"))
     return short.unionByName(long)
 

@@ -42,6 +42,17 @@ def test_chunks_meet(spark, docs, reference, chunk, overlap):
     assert got == {d: reference(t or "") for d, t in rows}
 
 
+def test_chunks_without_a_common_boundary_become_one(spark):
+    # Marks run on over line ends here, so that a cut inside a run has no boundary in common with the next chunk.
+    pattern = r" ?[^\s\p{L}]+[\r\n]*|\p{L}+|\s+"
+    rows = [(1, "#" * 700 + "\n" * 10), (2, "#" * 150 + "\n" * 10 + "then words " * 40 + "=" * 300 + "\n\n\n\n"), (3, "a b " * 100),
+            (4, ("." * 100 + "\n" * 6) * 8 + "end")]
+    plain = bpe.Encoder(None, pattern)
+    got = {r.doc_id: r.ids for r in bpe.encode(
+        spark.createDataFrame(rows, "doc_id long, text string"), pattern=pattern, chunk=64, overlap=4).collect()}
+    assert got == {d: plain.ids(t) for d, t in rows}
+
+
 def test_chunks_cover_the_text_and_overlap():
     text = "word and more " * 500
     parts = list(bpe.cut(text, 100, 20))

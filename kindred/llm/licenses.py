@@ -54,10 +54,21 @@ TEMPLATES: dict[str, str] = {
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
         "CONDITIONS OF ANY KIND, either express or implied."),
+    "GPL-2.0": (
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License"),
     "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version."),
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License"),
+    "LGPL-2.1": (
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License"),
+    "LGPL-3.0": (
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License"),
+    "AGPL-3.0": (
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License"),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -67,6 +78,38 @@ TEMPLATES: dict[str, str] = {
         "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
         "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means."),
+    "Zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+        "and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this "
+        "software must not be misrepresented; you must not claim that you wrote the original software."),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        "and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, "
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to "
+        "permit third-parties to whom the Software is furnished to do so"),
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+        "rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "OFL-1.1": (
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, "
+        "and is also available with a FAQ at: https://scripts.sil.org/OFL"),
+    "PostgreSQL": (
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without "
+        "fee, and without a written agreement is hereby granted, provided that the above copyright notice and this "
+        "paragraph and the following two paragraphs appear in all copies."),
 }
 
 

@@ -49,3 +49,12 @@ def test_edges(spark, edge, none):
         (1, "MIT-line", 1.0), (4, "MIT-line", 1.0), (None, "MIT-line", 1.0)]
     own = {"a": "alpha beta gamma delta epsilon zeta", "b": "it's alpha beta gamma delta epsilon"}
     assert {n for _, n, _ in same(spark, [(1, "x alpha beta gamma delta epsilon zeta y")], templates=own)} == {"a"}
+
+
+def test_licenses_of_a_family_are_told_apart(spark):
+    gnu = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+    commons = ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+    rows = [(i, "This is free software: you can redistribute it and/or modify it " + licenses.TEMPLATES[n]
+             + ", or (at your option) any later version.") for i, n in enumerate(gnu)]
+    rows += [(10 + i, "Notes. " + licenses.TEMPLATES[n] + " More notes.") for i, n in enumerate(commons)]
+    assert {(d, n) for d, n, _ in same(spark, rows)} == {*enumerate(gnu), *enumerate(commons, 10)}

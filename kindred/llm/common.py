@@ -57,11 +57,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """All columns of ``docs`` and, under the returned name, the key that ``row_key`` gives its texts."""
-    name = fresh(docs, "row")
-    return docs.withColumn(name, F.xxhash64(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))), name
+def _id_name() -> Column:
+    """The id as a string that is never null, so that it can be a join key."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All columns of ``docs`` and, under the returned names, the key that ``row_key`` gives its texts and the id.
+
+    The hash alone could meet another document's by chance in a very large table; with the id only rows of one id
+    are told apart by it.
+    """
+    row, name = fresh(docs, "row"), fresh(docs, "row_id")
+    return docs.withColumns({
+        row: F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))),
+        name: _id_name()}), [row, name]
+
+
+def keys_of(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``row`` and ``doc_id`` of ``rows`` under the names that ``with_row_key`` gave."""
+    return rows.select(F.col("row").alias(names[0]), _id_name().alias(names[1]))
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import row_key, slices, texts, with_row_key
+from kindred.llm.common import keys_of, row_key, slices, texts, with_row_key
 
 WINDOW = 8
 LITERALS = 0.4
@@ -314,6 +314,6 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without those that match an item, columns unchanged."""
-    bad = matches(docs, items, **options).select("row").distinct()
-    keyed, row = with_row_key(docs)
-    return keyed.join(bad.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)
+    bad = matches(docs, items, **options).select("row", "doc_id").distinct()
+    keyed, names = with_row_key(docs)
+    return keyed.join(keys_of(bad, names), names, "left_anti").select(docs.columns)

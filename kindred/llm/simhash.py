@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import row_key, signed, slices, texts, with_row_key
+from kindred.llm.common import keys_of, row_key, signed, slices, texts, with_row_key
 from kindred.llm.components import components
 from kindred.session import settle
 
@@ -184,6 +184,6 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) ->
     """One document of each component, the one with the smallest id (a null id only where there is no other); of rows
     that repeat id and text, one. Columns unchanged."""
     first = placed(docs, size, distance).groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))["row"].alias("row"))
-    keyed, row = with_row_key(docs)
-    return keyed.join(first.select(F.col("row").alias(row)), row, "left_semi").dropDuplicates([row]).select(docs.columns)
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")).select("first.*")
+    keyed, names = with_row_key(docs)
+    return keyed.join(keys_of(first, names), names, "left_semi").dropDuplicates(names).select(docs.columns)

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kindred.llm import queries, simhash
+from kindred.llm import common, queries, simhash
 from kindred.llm.components import components
 from tests.llm.conftest import EDGE_ROWS, SF, wide
 
@@ -101,3 +101,10 @@ def test_keep_one(spark, edge):
     left = sorted(((r.doc_id, r.text) for r in simhash.keep_one(rows).collect()), key=repr)
     assert left == [(5, "one two three four"), (5, "p q r s")]
     assert simhash.keep_one(rows.where(F.col("doc_id").isNull())).count() == 1
+    # Hashes that meet do not make rows of two ids one.
+    more = rows.withColumn("row", F.lit(1)).withColumn("row_id", F.lit("x"))
+    assert simhash.keep_one(more).columns == more.columns and simhash.keep_one(more).count() == 2
+    keyed, names = common.with_row_key(more)
+    assert len(set(names) | set(more.columns)) == len(more.columns) + 2
+    forged = spark.createDataFrame([(5, 7), (6, 7), (None, 7)], "doc_id long, row long")
+    assert common.keys_of(forged, names).distinct().count() == 3

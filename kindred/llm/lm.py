@@ -324,6 +324,9 @@ def score(docs: DataFrame, trained: Column, block: int = BLOCK,
             "block", none.cast("binary").alias("word"), none.cast("long").alias("c"), F.lit(False).alias("first"),
             "gram", "value"))
 
+    # Of a task: its first block builds the table for all of them.
+    tables: list[Lookup] = []
+
     def meet(data: pa.Table, found: pa.Table) -> pa.Table:
         names = ["doc_id", "n_tokens", "n_known", "n_bytes", "logs", "score", "distinct"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
@@ -335,7 +338,9 @@ def score(docs: DataFrame, trained: Column, block: int = BLOCK,
             of_grams = found.filter(found["gram"].is_valid())
             lookup = Lookup(of_grams["gram"].to_numpy(), of_grams["value"].to_numpy())
         else:
-            lookup = Lookup(*model.value)
+            if not tables:
+                tables.append(Lookup(*model.value))
+            lookup = tables[0]
         rows = []
         for blob in data["data"]:
             rows += score_block(blob.as_py(), known, lookup)

@@ -189,6 +189,26 @@ def test_recall_on_all_given_users(spark):
     assert want.join(got, ["user_id", "c"], "left_semi").count() >= 0.95 * want.count()
 
 
+def test_a_search_moves_a_row_per_user_and_chunk(spark, cells, monkeypatch):
+    """Not one per user and cell: users in blocks, vectors in chunks, a cell that is larger than a chunk in parts."""
+    groups, people, _, whole = cells
+    for name, value in {"LEAST_ROWS": 1, "BLOCK_VALUES": 40 * DIM, "CHUNK_VALUES": 70 * DIM, "SCORES": 1 << 10}.items():
+        monkeypatch.setattr(vector_index, name, value)
+    path = shared_dir(spark, "chunks")
+    vector_index.build(groups.select("community_id", "city", "timezone"), groups.select("community_id", "vector"), DIM, path,
+                       ["community_id"], cells=5)
+    assert spark.read.parquet(f"{path}/cells").agg(F.max("rows")).first()[0] > 70
+    seen = []
+    real = vector_index.settle
+    monkeypatch.setattr(vector_index, "settle", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    exact = vector_index.search(spark, people, path, DIM, ["community_id"], probes=0.3, exact=True)
+    # The last digit of a score depends on how many columns are multiplied at once.
+    assert [(*r[:3], round(r[3], 9)) for r in exploded(exact)] == [(*r[:3], round(r[3], 9)) for r in exploded(whole)]
+    settled = dict(seen)
+    assert settled["order"].count() == 300 and settled["chunks"].select("_chunk").distinct().count() > 5
+    assert settled["order"].select("_city", "_block").distinct().count() > 5
+
+
 def test_a_small_search_reads_only_its_cells(spark, cells):
     _, people, path, _ = cells
     cell = spark.read.parquet(f"{path}/cells").orderBy("cell").select("cell").limit(2)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -205,52 +205,77 @@ CONNECTION = "connected boolean, at long, event_id long"
 
 
 class _Connections(StatefulProcessor):
-    """The newest event of each connection of one user's share; timers end silent ones and forget closed ones."""
+    """The newest event of each connection of one user's share; a timer at the first end drops silent and closed ones.
 
-    def __init__(self, silence_ms: int, step_ms: int, key_columns: list[str]):
-        self.silence, self.step, self.key_columns = silence_ms, step_ms, key_columns
+    The share is one list in the state, read and written as a whole: a call of the state per connection costs more than
+    all else."""
+
+    def __init__(self, silence_ms: int, step_ms: int):
+        self.silence, self.step = silence_ms, step_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getMapState("connections", "sid string", CONNECTION)
+        self.known = handle.getListState("connections", f"sid string, {CONNECTION}")
 
     def _ends(self, connected: bool, at: int) -> int:
         """When an entry leaves the state, in milliseconds, rounded up to a step."""
         ms = -(-at // 1000) + (self.silence if connected else 0)
         return -(-ms // self.step) * self.step
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _first_end(self, entries) -> int | None:
+        return min((self._ends(connected, at) for connected, at, _ in entries), default=None)
+
+    def _keep(self, entries: dict[str, tuple]) -> None:
+        if entries:
+            self.known.put([(sid, *entry) for sid, entry in entries.items()])
+        else:
+            self.known.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         newest: dict[str, tuple] = {}
-        for chunk in rows:
-            for sid, connected, at, event_id in zip(chunk["sid"], chunk["connected"], chunk["at"], chunk["event_id"], strict=True):
-                event = (int(at), int(event_id), bool(connected))
-                if sid not in newest or event > newest[sid]:
-                    newest[sid] = event
-        out, timers = [], set()
+        for row in rows:
+            event = (int(row.at), int(row.event_id), bool(row.connected))
+            if row.sid not in newest or event > newest[row.sid]:
+                newest[row.sid] = event
+        entries = {sid: entry for sid, *entry in self.known.get()}
+        timer = self._first_end(entries.values())
+        changed = []
         for sid, (at, event_id, connected) in newest.items():
-            old = self.known.getValue((sid,)) if self.known.containsKey((sid,)) else None
-            if old is None or (at, event_id) >= old[1:3]:
-                self.known.updateValue((sid,), (connected, at, event_id))
-                timers.add(self._ends(connected, at))
-                out.append((*key[:1], sid, connected, at, event_id, "event"))
-        for ms in timers:
-            self.handle.registerTimer(ms)
-        if out:
-            yield pd.DataFrame(out, columns=self.key_columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        ended = [(sid[0], *value) for sid, value in self.known.iterator() if self._ends(value[0], value[1]) <= now]
-        for sid, *_ in ended:
-            self.known.removeKey((sid,))
-        silent = [(key[0], sid, False, at, event_id, "silent") for sid, connected, at, event_id in ended if connected]
-        if silent:
-            yield pd.DataFrame(silent, columns=self.key_columns)
+            old = entries.get(sid)
+            if old is None or (at, event_id) >= tuple(old[1:3]):
+                entries[sid] = (connected, at, event_id)
+                changed.append(sid)
+        if changed:
+            self._keep(entries)
+            first = self._first_end(entries.values())
+            if first != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
+        for sid in changed:
+            yield _change(key[0], sid, *entries[sid], "event")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        entries = {sid: entry for sid, *entry in self.known.get()}
+        ended = [sid for sid, (connected, at, _) in entries.items() if self._ends(connected, at) <= now]
+        gone = [(sid, entries.pop(sid)) for sid in ended]
+        if gone:
+            self._keep(entries)
+        if entries:
+            self.handle.registerTimer(self._first_end(entries.values()))
+        for sid, (connected, at, event_id) in gone:
+            if connected:
+                yield _change(key[0], sid, False, at, event_id, "silent")
 
     def close(self) -> None:
         pass
 
 
+def _change(user_id, sid, connected, at, event_id, reason) -> Row:
+    return Row(user_id=user_id, sid=sid, connected=connected, at=at, event_id=event_id, reason=reason)
+
+
 def connections(events: DataFrame, delay: str, silence_ms: int, step_ms: int = 60_000, shares: int = 4) -> DataFrame:
     """Connects and disconnects in, changes of a connection out (``reason``: the event, or ``silent``).
 
@@ -259,9 +284,8 @@ def connections(events: DataFrame, delay: str, silence_ms: int, step_ms: int = 6
     connections are dealt into ``shares`` keys, so a user with very many is not one task's work.
     """
     key = dict(events.dtypes)["user_id"].replace("bigint", "long")
-    columns = ["user_id", "sid", "connected", "at", "event_id", "reason"]
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).filter(F.col("user_id").isNotNull())
     keyed = timed.select("user_id", F.pmod(F.xxhash64("sid"), F.lit(shares)).alias("share"), "sid", "connected", "ts",
                          micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id")).groupBy("user_id", "share")
-    return keyed.transformWithStateInPandas(
-        _Connections(silence_ms, step_ms, columns), f"user_id {key}, sid string, {CONNECTION}, reason string", "append", "EventTime")
+    return keyed.transformWithState(
+        _Connections(silence_ms, step_ms), f"user_id {key}, sid string, {CONNECTION}, reason string", "append", "EventTime")

@@ -58,6 +58,8 @@ def state(spark: SparkSession, checkpoint: str, name: str = "current", schema: s
     if not tables.written(spark, f"{checkpoint}/state"):
         return spark.createDataFrame([], schema)
     rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    if "list_element" in rows.columns:
+        return rows.select("key.*", "list_element.*")
     if "value" not in rows.columns:
         return rows.select("key.*", "user_map_key.*", "user_map_value.*")
     # With a lifetime the value lies beside the moment it ends.

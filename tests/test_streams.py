@@ -7,6 +7,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from kindred.catalog.base import DIM, Views, as_of
@@ -14,7 +15,7 @@ from kindred.plans import delivery, matching, preferences, users
 from kindred.schemas import PREFERENCE_FIELDS
 from kindred.session import shared_dir
 from kindred.sources import messages
-from kindred.streaming import jobs, sinks
+from kindred.streaming import jobs, keyed, sinks
 from tests.conftest import rows
 
 
@@ -185,6 +186,34 @@ def test_closed_and_silent_connections_leave_the_state(spark):
     assert rows(ended, "user_id", "sid", "connected") == [(1, "a", False), (2, "c", False), (3, "d", False)]
 
 
+def test_a_share_of_connections_costs_a_few_calls_of_the_state():
+    calls = []
+
+    class Handle:
+        held = ()
+
+        def getListState(self, name, schema):  # noqa: N802  Spark's name
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (iter(self.held) if name == "get" else None)
+
+        def put(self, held):
+            calls.append("put")
+            self.held = held
+
+    minute = 60_000
+    processor = keyed._Connections(10 * minute, minute)
+    processor.init(handle := Handle())
+    events = [Row(sid=f"s{i}", connected=i % 2 == 0, at=i * minute * 1000, event_id=i) for i in range(1000)]
+    assert len(list(processor.handleInputRows((1, 0), iter(events), None))) == 1000
+    assert calls == ["get", "put", "registerTimer"] and len(handle.held) == 1000
+    # Events that change the first end move the timer; old ones change nothing.
+    calls.clear()
+    assert not list(processor.handleInputRows((1, 0), iter([Row(sid="s9", connected=True, at=0, event_id=0)]), None))
+    assert calls == ["get"]
+
+
 def test_results_reach_connections_open_when_they_are_sent(spark):
     at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
     folders = {n: shared_dir(spark, n) for n in ("results", "signs", "delivered", "checkpoint")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,12 @@ def test_a_small_search_reads_only_its_cells(spark, cells):
     assert "PushedFilters: [In(cell" in plan(lists) or "Or(EqualTo(cell" in plan(lists) or "cell, [" in plan(lists)
     everything = spark.read.parquet(f"{path}/lists")
     assert rows(lists, "community_id") == rows(everything.join(cell, "cell", "left_semi"), "community_id")
+
+
+def test_a_group_of_texts_asks_once_for_a_stretch():
+    """500 equal texts and one more: their stretches of one and two words, each once, and none that the filter rules out."""
+    bits = np.full(1 << (phrases.FILTER - 6), np.uint64(2**64 - 1))
+    batch = pa.RecordBatch.from_pydict({"_group": [7] * 501, "_words": [["a", "b", "a", "b"]] * 500 + [["c"]]})
+    got = [(r["_group"], r["phrase"]) for part in phrases._asked([1, 2], bits)(iter([batch])) for r in part.to_pylist()]
+    assert sorted(got) == [(7, "a"), (7, "a b"), (7, "b"), (7, "b a"), (7, "c")]
+    assert not list(phrases._asked([1, 2], bits * np.uint64(0))(iter([batch])))

@@ -152,7 +152,13 @@ def delivery_stream(
     sent = results.withColumn("sent_at", F.col("ts").cast("timestamp")).drop("ts").withWatermark("sent_at", delay)
     seen = signs.select(F.col("user_id").alias("_user"), "sid", "connected", F.col("event_id").alias("_event"),
                         F.col("ts").cast("timestamp").alias("seen_at")).withWatermark("seen_at", delay)
-    met = sent.join(seen, (F.col("user_id") == F.col("_user")) & (F.col("seen_at") <= F.col("sent_at"))
+    # A sign lies in the stretch of time of the result or in the one before: rows of a user meet within stretches only.
+    length = results.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {reach})").first()[0]
+    stretch = F.floor(F.unix_micros("sent_at") / length)
+    sent = sent.withColumn("_stretch", F.explode(F.array(stretch, stretch - 1)))
+    seen = seen.withColumn("_seen_in", F.floor(F.unix_micros("seen_at") / length))
+    met = sent.join(seen, (F.col("user_id") == F.col("_user")) & (F.col("_stretch") == F.col("_seen_in"))
+                    & (F.col("seen_at") <= F.col("sent_at"))
                     & (F.col("seen_at") >= F.col("sent_at") - F.expr(f"INTERVAL {reach}")))
     # One event-time column goes on: a result is decided once the watermark has passed it.
     place = F.struct(F.unix_micros("seen_at").alias("at"), F.col("_event").alias("event"))

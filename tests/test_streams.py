@@ -382,3 +382,26 @@ def test_profile_lines_as_stream(spark):
     assert rows(spark.read.parquet(out), "user_id", "bio", "city") == [("u", "hello there bio", "c")]
     out, _ = run(spark, "bad", lambda p, c: sinks.append(bad, p, c))
     assert spark.read.parquet(out).count() == 2
+
+
+def test_results_are_kept_by_user_and_stretch_of_time(spark):
+    """So a result meets a user's signs of two stretches of time, not all that the state holds."""
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    folders = {n: shared_dir(spark, n) for n in ("results", "signs", "delivered", "checkpoint")}
+    result, sign = "event_id long, user_id string, ts timestamp, tier string", "user_id string, sid string, connected boolean, ts timestamp, event_id long"
+    spark.createDataFrame([(9, "u", at(30), "x")], result).write.parquet(folders["results"])
+    spark.createDataFrame([("u", f"s{i}", True, at(i), i) for i in range(35)], sign).write.parquet(folders["signs"])
+    jobs.delivery_stream(spark.readStream.schema(result).parquet(folders["results"]),
+                         spark.readStream.schema(sign).parquet(folders["signs"]),
+                         folders["delivered"], folders["checkpoint"], reach="10 hours", delay="48 hours").awaitTermination()
+    state = spark.read.format("statestore").option("operatorId", 1).option("joinSide", "right").load(folders["checkpoint"])
+    by_key = state.groupBy("key").count().collect()
+    assert sorted(r["count"] for r in by_key) == [7, 8, 10, 10]
+    # All of them are there in time for the result, from both stretches.
+    spark.createDataFrame([(None, "end", at(999), "x")], result).write.mode("append").parquet(folders["results"])
+    spark.createDataFrame([("end", "e", True, at(999), 99)], sign).write.mode("append").parquet(folders["signs"])
+    jobs.delivery_stream(spark.readStream.schema(result).parquet(folders["results"]),
+                         spark.readStream.schema(sign).parquet(folders["signs"]),
+                         folders["delivered"], folders["checkpoint"], reach="10 hours", delay="48 hours").awaitTermination()
+    got = spark.read.schema("event_id long, sid string").parquet(folders["delivered"]).filter("event_id = 9")
+    assert {r.sid for r in got.collect()} == {f"s{i}" for i in range(20, 31)}
